@@ -58,24 +58,27 @@ def member(data: bytes, level: int = 3) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def mark_revisits(df: DataFrame, id_col: str, payload: str, min_bytes: int = 0) -> DataFrame:
-    """(id, url kept by the caller, payload binary, refers): refers is the id of the response, null for responses."""
-    rows = df.where(F.col(id_col).isNotNull()).withColumn("_payload", F.coalesce(F.col(payload).cast("binary"), F.lit(b""))).withColumn("_digest", F.sha2("_payload", 256))
-    equal = rows.where(F.length("_payload") >= min_bytes).groupBy("_digest").agg(F.max(id_col).alias("_last"), F.min(id_col).alias("_first"))
-    equal = equal.where("_first < _last").drop("_first")  # only groups, so the join is small where few pages repeat
-    return rows.join(equal, "_digest", "left").withColumn("_refers", F.when((F.col(id_col) != F.col("_last")) & (F.length("_payload") >= min_bytes), F.col("_last")))
+def revisits(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(id, digest, refers) of the rows (id, payload, digest) that repeat the payload of a row with a larger id."""
+    rows = rows.where(F.length("payload") >= min_bytes).select("id", "digest").distinct()
+    groups = rows.groupBy("digest").agg(F.max("id").alias("refers"), F.min("id").alias("first")).where("first < refers").drop("first")
+    return rows.join(groups, "digest").where("id < refers").select("id", "digest", "refers")
 
 
 def write(df: DataFrame, folder: str, id_col: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, roll: int = ROLL, date: str = DATE) -> DataFrame:
     """Writes the archives and returns their manifest (file, records, bytes, sha1), also written to folder/manifest."""
-    rows = mark_revisits(df.select(F.col(id_col).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.col(payload).alias("payload")), "id", "payload", min_bytes)
-    rows = rows.select("id", "url", "_payload", "_refers").repartitionByRange(shuffle_partitions(df.sparkSession), "id").sortWithinPartitions("id", "url", "_payload")
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    # what a row revisits travels as a row before it, so payloads are shuffled once whatever the number of repeats
+    refs = revisits(rows, min_bytes).select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers")
+    rows = refs.union(rows.withColumn("refers", F.lit(None).cast("long")))
+    rows = rows.repartitionByRange(shuffle_partitions(df.sparkSession), "id").sortWithinPartitions("id", F.col("payload").isNotNull(), "url", "digest")
     files = f"{folder}/warc"
 
     def save(batches):
         from pyspark import TaskContext
 
-        part, roll_no, out, n, sha, done = TaskContext.get().partitionId(), 0, None, 0, None, []
+        part, roll_no, out, n, sha, done, at, known = TaskContext.get().partitionId(), 0, None, 0, None, [], None, {}
 
         def close():
             nonlocal out, n
@@ -86,11 +89,16 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url: str = "url",
 
         try:
             for b in batches:
-                for page, uri, body, refers in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+                for page, uri, body, digest, refers in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist()):
+                    if page != at:
+                        at, known = page, {}
+                    if not body.is_valid:
+                        known[digest] = refers
+                        continue
                     if not out:
                         out, sha = Committed(files, f"part-{part:05d}-{roll_no:04d}.warc.gz"), hashlib.sha1()
                         roll_no += 1
-                    data = member(record(page, uri, body.as_py(), refers, date))
+                    data = member(record(page, uri, body.as_py(), known.get(digest), date))
                     out.write(data)
                     sha.update(data)
                     n += 1
