@@ -1,9 +1,10 @@
 """The registered queries of this subpackage, one for each operator, and SQL where it can express them."""
 
-from . import chat, embedding_dedup, mixing, sentencepiece, simhash, token_file, topk, toxicity, warc
+from . import chat, embedding_dedup, mixing, sentencepiece, simhash, suffix_dedup, token_file, topk, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece.op1_sentencepiece,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_chat": chat.op4_chat,
     "op5_warc": warc.op5_warc,
