@@ -135,6 +135,29 @@ def taken(docs: DataFrame, slots: DataFrame, block: int) -> DataFrame:
     return d.join(per, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
+def mixed_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", block: int = 256, **how) -> DataFrame:
+    """The mix as rows of df: a row for the words a document gives once or more, and another for those it gives twice.
+    A document given whole keeps its text as it is; of others the words taken remain, joined by spaces, in order."""
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    # the parts of a text are found by its place among equal rows, so rows keep an index of their own
+    src = written(df.toDF(*names).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    at = dict(zip(df.columns, names))
+    docs, slots = mix(src, "_row", at[text], at["source"], block, **how)
+    uses = slots.groupBy("sid", "index").agg(F.sort_array(F.collect_list("n_words"), asc=False).alias("n"))  # at most `most` uses
+    first, last = F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block)
+    pieces = docs.where("size > 0").select(F.col("id").alias("row"), "sid", "begin", "size", F.explode(F.sequence(first, last)).alias("index")).join(uses, ["sid", "index"])
+    pieces = pieces.select("*", F.posexplode("n").alias("turn", "upto"))
+    low = F.greatest(F.col("index") * block, F.col("begin"))
+    high = F.least(F.col("index") * block + F.col("upto"), F.col("begin") + F.col("size"))
+    pieces = pieces.withColumn("from", low - F.col("begin")).withColumn("n_words", high - low).where("n_words > 0")
+    parts = pieces.groupBy("row", "turn").agg(F.sort_array(F.collect_list(F.struct("from", "n_words"))).alias("parts"), F.sum("n_words").alias("taken"), F.first("size").alias("size"))
+    met = src.join(parts.withColumnRenamed("row", "_row"), "_row")
+    words = F.regexp_extract_all(F.col(at[text]), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, (p["from"] + 1).cast("int"), p["n_words"].cast("int")))), " ")
+    out = met.withColumn(at[text], F.when(F.col("taken") == F.col("size"), F.col(at[text])).otherwise(some))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, df.columns)])
+
+
 #: Words in a block of the registered query.
 BLOCK = 256
 

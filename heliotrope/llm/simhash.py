@@ -16,8 +16,10 @@ other columns pass through fingerprints() untouched.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -118,20 +120,20 @@ def thresholds(cost: list[list[float]], t: int) -> list[int]:
     return best[t - m + 1][1]
 
 
-def link(fps: DataFrame, t: int = 2, m: int | None = None) -> DataFrame:
-    """Edges (a, b) between nodes of fps (node, fp; fp distinct) whose components are those of all pairs within t bits."""
-    m = m or t + 1
+def buckets(fps: DataFrame, t: int, m: int) -> DataFrame:
+    """fps with (part, key, c): every pair of fps within t bits shares a part and key; c counts the key's rows, from 2."""
     groups = bit_groups(fps, m)
     masks = _masks(groups)
-    parts = fps.select("node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(x))) for x in masks])).alias("part", "key"))
+    parts = fps.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(x))) for x in masks])).alias("part", "key"))
     counts = {r.part: (r.pairs, r.n) for r in parts.groupBy("part", "key").agg(F.count(F.lit(1)).alias("c")).groupBy("part").agg(F.sum(F.expr("c * (c - 1) / 2")).alias("pairs"), F.sum("c").alias("n")).collect()}
     # pairs at one more bit: estimated as if each bit of the partition were the free one in turn
     cost = []
     for i, g in enumerate(groups):
         pairs, n = counts.get(i, (0.0, 0))
-        cost.append([0.0] + [(float(pairs) + 1) * (1 + len(g)) ** e + n * (1 + len(g) * (e > 0)) for e in range(t + 1)])
+        keys = lambda e: sum(comb(len(g), r) for r in range((e + 1) // 2 + 1))  # noqa: B023, E731
+        cost.append([0.0] + [(float(pairs) + 1) * (1 + len(g)) ** e + n * keys(e) for e in range(t + 1)])
     es = thresholds(cost, t)
-    keys = None
+    out = None
     for i, (g, mask, e) in enumerate(zip(groups, masks, es)):
         if e < 0:
             continue
@@ -139,30 +141,45 @@ def link(fps: DataFrame, t: int = 2, m: int | None = None) -> DataFrame:
         flips = [sum(1 << b for b in c) for r in range((e + 1) // 2 + 1) for c in combinations(g, r)]
         own = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
         k = own if len(flips) == 1 else F.explode(F.array(*[own.bitwiseXOR(F.lit(_signed(x))) for x in flips]))
-        one = fps.select("node", "fp", F.lit(i).alias("part"), k.alias("key"))
-        keys = one if keys is None else keys.union(one)
-    sizes = keys.groupBy("part", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    held = written(keys.join(sizes, ["part", "key"]), "buckets")
+        one = fps.select(*fps.columns, F.lit(i).alias("part"), k.alias("key"))
+        out = one if out is None else out.union(one)
+    sizes = out.groupBy("part", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return out.join(sizes, ["part", "key"])
+
+
+def _forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[list[int], list[int]]:
+    """A spanning forest of the pairs (i, j) over the nodes."""
+    parent = list(range(len(nodes)))
+
+    def root(k):
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    a, b = [], []
+    for x, y in zip(i.tolist(), j.tolist()):
+        rx, ry = root(x), root(y)
+        if rx != ry:
+            parent[rx] = ry
+            a.append(nodes[x])
+            b.append(nodes[y])
+    return a, b
+
+
+def link(fps: DataFrame, t: int = 2, m: int | None = None) -> DataFrame:
+    """Edges (a, b) between nodes of fps (node, fp; fp distinct) whose components are those of all pairs within t bits."""
+    held = written(buckets(fps.select("node", "fp"), t, m or t + 1), "buckets")
 
     def verified(batches):
-        for b in batches:
-            a, z = [], []
-            for nodes, values in zip(b.nodes, b.fps):
+        for batch in batches:
+            a, b = [], []
+            for nodes, values in zip(batch.nodes, batch.fps):
                 x, nodes = np.asarray(values, dtype=np.int64).view(np.uint64), np.asarray(nodes, dtype=np.int64)
-                near = np.bitwise_count(x[:, None] ^ x[None, :]) <= t
-                seen = np.zeros(len(x), dtype=bool)
-                for i in range(len(x)):  # a spanning forest of the bucket, not its pairs
-                    if seen[i]:
-                        continue
-                    seen[i], todo = True, [i]
-                    while todo:
-                        j = todo.pop()
-                        new = np.flatnonzero(near[j] & ~seen)
-                        seen[new] = True
-                        a += [nodes[j]] * len(new)
-                        z += nodes[new].tolist()
-                        todo += new.tolist()
-            yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(z, dtype=np.int64)})
+                i, j = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= t, 1))
+                p, q = _forest(nodes, i, j)  # not the bucket's pairs
+                a, b = a + p, b + q
+            yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
     small = held.where(F.col("c") <= BUCKET).groupBy("part", "key").agg(F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps"))
     edges = small.select("nodes", "fps").mapInPandas(verified, "a long, b long")
@@ -201,6 +218,156 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k
     return prints.join(groups, "fp").select("id", F.col("fp").alias("fingerprint"), "component_id")
 
 
+# -- near copies by the share of common shingles ----------------------------------------------------------------------
+#: Bits that fingerprints of words may differ in for a pair to be compared; a share of 0.8 of common 5-word shingles
+#: leaves about 2 % of the words changed, which moves some 4 of 64 bits, and pairs of unrelated texts differ in 13 and more.
+WORD_BITS = 8
+#: Texts compared at a time within a group of close fingerprints.
+GROUP = 512
+
+
+def word_fingerprint(text: str | None) -> tuple[int, int]:
+    """A fingerprint of a text's words, weighted by the root of their counts, and the number of words."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0, 0
+    c = Counter(words)
+    w, total, one = np.sqrt(np.fromiter(c.values(), dtype=np.float64, count=len(c))), 0.0, np.zeros(64)
+    h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in c), dtype="<u8", count=len(c))
+    for i in range(0, len(h), STEP):
+        one += w[i : i + STEP] @ np.unpackbits(h[i : i + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += w[i : i + STEP].sum()
+    return int(((2 * one > total).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum()), len(words)
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """Sorted hashes of the different k-word shingles (fewer words: the whole sequence; none: nothing)."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    n = max(1, len(words) - k + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 7) for i in range(n)), dtype=np.uint64, count=n))
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    if not len(x) and not len(y):
+        return 1.0
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id): groups of texts linked by a share of at least `similarity` of their k-word shingles (as sets).
+
+    Equal texts are one node. Candidates come from fingerprints of words, probed by partitions; a bucket whose close
+    pairs are many beside its texts is a dense group: it gives a spanning forest, and the group's texts are compared
+    together, once, in blocks that skip what is linked already. All other candidate pairs are compared one by one."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    keyed = rows.withColumn("key", F.sha2("text", 256))
+
+    @F.pandas_udf("fp long, n long")
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            got = [word_fingerprint(x) for x in s]
+            yield pd.DataFrame({"fp": np.array([g[0] for g in got], dtype=np.uint64).astype(np.int64), "n": np.array([g[1] for g in got], dtype=np.int64)})
+
+    marked = written(keyed.withColumn("p", prints("text")).select("id", "key", "p.fp", "p.n"), "marked")
+    texts = marked.groupBy("key").agg(F.min("id").alias("own"), F.first("fp").alias("fp"))
+    node = F.coalesce("own", F.expr("-4611686018427387904 + pmod(xxhash64(key), 4611686018427387904)"))
+    texts = written(texts.withColumn("node", node), "nodes")
+    fps = texts.select("node", "fp")
+    held = buckets(fps, WORD_BITS, 3)
+    # a bucket is compared in blocks, every pair of blocks a row; most have one block
+    split = held.withColumn("blocks", F.ceil(F.col("c") / 2048).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sent = split.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("part", "key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "node", "fp")
+    packed = sent.groupBy("part", "key", "lo", "hi").agg(F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps"))
+
+    def close(batches):
+        for batch in batches:
+            a, b, dense = [], [], []
+            for nodes, values in zip(batch.nodes, batch.fps):
+                x, nodes = np.asarray(values, dtype=np.int64).view(np.uint64), np.asarray(nodes, dtype=np.int64)
+                i, j = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= WORD_BITS, 1))
+                many = len(i) > 4 * len(x)
+                p, q = _forest(nodes, i, j) if many else (nodes[i].tolist(), nodes[j].tolist())
+                a, b, dense = a + p, b + q, dense + [many] * len(p)
+            a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "dense": np.array(dense, dtype=bool)})
+
+    pairs = written(packed.select("nodes", "fps").mapInPandas(close, "a long, b long, dense boolean").distinct(), "pairs")
+    groups = written(components(pairs.where("dense")), "dense")
+    sparse = pairs.where("not dense").select("a", "b")
+    wanted = groups.select("node").union(sparse.select("a")).union(sparse.select("b")).distinct()
+
+    @F.pandas_udf("binary")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([shingle_set(x, k).tobytes() for x in s])
+
+    owners = wanted.join(texts.select("node", "key"), "node")
+    first = _one_text(keyed, owners)
+    shingles = written(first.select("node", sets("text").alias("s")), "shingles")
+
+    @F.pandas_udf("double")
+    def share(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)) for a, b in zip(x, y)], dtype="float64")
+
+    one = sparse.join(shingles.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(shingles.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    links = one.where(share("sa", "sb") >= similarity).select("a", "b")
+
+    n = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks"))
+    members = groups.join(n, "component").join(fps, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(shingles, "node")
+    members = members.select("component", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "fp", "s")
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        nodes, x = pdf.node.to_numpy(), pdf.fp.to_numpy().view(np.uint64)
+        s = [np.frombuffer(v, dtype=np.uint64) for v in pdf.s]
+        sizes, block = np.array([len(v) for v in s]), pdf.block.to_numpy()
+        parent, a, b = list(range(len(nodes))), [], []
+
+        def root(v):
+            while parent[v] != v:
+                parent[v] = parent[parent[v]]
+                v = parent[v]
+            return v
+
+        cross = pdf.lo.iat[0] != pdf.hi.iat[0]
+        for i in range(len(nodes)):
+            near = np.bitwise_count(x[i + 1 :] ^ x[i]) <= WORD_BITS
+            near &= np.minimum(sizes[i + 1 :], sizes[i]) >= similarity * np.maximum(sizes[i + 1 :], sizes[i])
+            if cross:
+                near &= block[i + 1 :] != block[i]
+            for j in (np.flatnonzero(near) + i + 1).tolist():
+                ri, rj = root(i), root(j)
+                if ri != rj and jaccard(s[i], s[j]) >= similarity:
+                    parent[ri] = rj
+                    a.append(nodes[i])
+                    b.append(nodes[j])
+        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+
+    links = written(links.union(members.groupBy("component", "lo", "hi").applyInPandas(together, "a long, b long")), "links")
+    found = components(links)
+    named = found.join(texts.select("node", "own"), "node")
+    least = named.groupBy("component").agg(F.min("own").alias("component_id"))
+    per = texts.select("key", "own", "node").join(found, "node", "left").join(least, "component", "left")
+    per = per.select("key", F.when(F.col("component").isNull(), F.col("own")).otherwise(F.col("component_id")).alias("component_id"))
+    return marked.join(per, "key").select("id", "key", "component_id")
+
+
+def _one_text(keyed: DataFrame, owners: DataFrame) -> DataFrame:
+    """(node, text) of each owner: by id, which one row of its key has, so a text with many copies is met once; a text
+    without any id by its key."""
+    by_id = keyed.join(owners.select(F.col("node").alias("id"), F.col("key").alias("k"), "node"), "id").where("key = k")
+    no_id = keyed.where("id is null").join(owners.select("key", "node"), "key").where("id is null")
+    return by_id.select("node", "text").union(no_id.select("node", "text")).dropDuplicates(["node"])
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = near_duplicates(docs, "doc_id", "text", k=3, t=2)
