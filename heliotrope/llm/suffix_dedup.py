@@ -34,7 +34,7 @@ from ._shared import dropped, shuffle_partitions, written
 
 K = 32
 #: Contexts of an anchor that are compared by suffix array.
-GROUP = 1024
+GROUP = 16_384
 #: Bytes of text hashed at a time, unless one text is longer.
 CHUNK = 1 << 20
 
@@ -45,65 +45,64 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 # -- one text -----------------------------------------------------------------------------------------------------
-def suffix_array(x: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in suffix order and each position's rank, by prefix doubling; to `depth` symbols if given, with equal
-    prefixes in order of position and of equal rank."""
-    n = len(x)
-    rank = np.unique(x, return_inverse=True)[1].astype(np.int64)
-    h = 1
-    while True:
-        if h >= n or (depth and h >= depth):
-            break
-        step = min(h, depth - h) if depth else h
-        nxt = np.zeros(n, dtype=np.int64)
-        nxt[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + nxt
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        h += step
-        if rank.max(initial=0) == n - 1:
-            break
-    return np.argsort(rank, kind="stable"), rank
-
-
-def _smaller(sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place of sa the place of the nearest smaller value before and after (-1 and n if none), by pointers
-    that jump over what is larger, all places at once."""
-    n = len(sa)
-    psv, nsv = np.arange(-1, n - 1), np.arange(1, n + 1)
-    padded = np.append(sa, -1)
-    while True:
-        go = np.flatnonzero((psv >= 0) & (padded[psv] > sa))
-        if not len(go):
-            break
-        psv[go] = psv[psv[go]]
-    while True:
-        go = np.flatnonzero((nsv < n) & (padded[nsv] > sa))
-        if not len(go):
-            break
-        nsv[go] = nsv[nsv[go]]
-    return psv, nsv
-
-
-def lpf_reaches(x: np.ndarray, length: int) -> np.ndarray:
-    """Whether each position's longest previous factor has at least `length` symbols.
-
-    With suffixes ordered to `length` symbols, equal ones by position, a previous factor of that length exists just if
-    the previous smaller position in suffix order has the same rank."""
+def _ranked(key: np.ndarray) -> np.ndarray:
+    """Each key's number among the different keys, in order."""
+    order = np.argsort(key)
+    there = key[order]
+    rank = np.empty(len(key), dtype=np.int64)
+    rank[order] = np.concatenate([[0], np.cumsum(there[1:] != there[:-1])])
+    return rank
+
+
+def suffix_ranks(x: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the suffixes of the bytes x at `starts` in the order of their first `depth` bytes (equal: same rank);
+    each suffix must have that many. Prefix doubling from packed words of 8 bytes: all positions up to the greatest
+    power of two that two overlapping ranks need, then the starts alone."""
     n = len(x)
+    wide = np.concatenate([x, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
+    first = min(8, depth)
+    word = np.zeros(n, dtype=np.uint64)
+    for i in range(first):
+        word = (word << np.uint64(8)) | wide[i : i + n]
+    rank, h = _ranked(word), first
+    while h * 4 <= depth:
+        key = rank * n
+        key[: n - h] += rank[h:] + 1 if n > h else 0
+        rank, h = _ranked(key), 2 * h
+    # the rest is covered by ranks at 0, h, 2h, ... and one that ends at depth
+    at = [*range(0, depth - h, h), depth - h]
+    out = rank[starts]
+    for i in at[1:] if len(at) > 1 else []:
+        out = _ranked(out * n + rank[starts + i])
+    return out
+
+
+def _earlier(sa: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each place of sa whether its nearest smaller position before or after shares `depth` bytes with it.
+
+    Suffixes with one rank are a run of sa in ascending order of position. So the previous smaller value of a place
+    is the place before it if that has the same rank; if not, it lies in another run and shares less. The next smaller
+    value never lies in the same run, for the same reason. So neither array needs to be made beyond that."""
+    same = np.zeros(len(sa), dtype=bool)
+    same[1:] = rank[sa[1:]] == rank[sa[:-1]]
+    return same
+
+
+def lpf_reaches(x: np.ndarray, length: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """For each of the starts (by default all that have `length` bytes after them), in ascending order, whether its
+    longest previous factor has at least `length` bytes.
+
+    With suffixes in order of `length` bytes, equal ones by position, a previous factor of that length exists just if
+    the nearest smaller position before or after in suffix order has the same rank."""
+    if starts is None:
+        starts = np.arange(max(0, len(x) - length + 1))
+    n = len(starts)
     out = np.zeros(n, dtype=bool)
-    if n <= length:
+    if n < 2:
         return out
-    sa, rank = suffix_array(x, length)
-    psv, nsv = _smaller(sa)
-    same = np.zeros(n, dtype=bool)
-    for near in (psv, nsv):
-        ok = (near >= 0) & (near < n)
-        same[ok] |= rank[sa[near[ok]]] == rank[sa[ok]]
-    out[sa] = same
-    out[n - length + 1 :] = False  # shorter than length
+    rank = suffix_ranks(np.asarray(x, dtype=np.uint8), starts, length)
+    sa = np.argsort(rank * n + np.arange(n))
+    out[sa] = _earlier(sa, rank)
     return out
 
 
@@ -288,21 +287,17 @@ def compare_contexts(contexts: DataFrame, length: int) -> DataFrame:
 
     def decide(groups: list[pd.DataFrame]):
         g = pd.concat(groups) if len(groups) > 1 else groups[0]
-        # a sign of its own after each context, so that no match runs over an end; and one before each anchor's first
-        # so that anchors in one array do not meet: their order is by anchor, then place
+        # windows lie within their contexts, so the contexts follow one another without signs between them; anchors in
+        # one array do not meet, as equal windows have equal anchors
         data, n = g.bytes.tolist(), len(g)
         sizes = np.array([len(d) for d in data], dtype=np.int64)
-        at = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-        x = np.empty(int((sizes + 1).sum()), dtype=np.int64)
-        x[at + sizes] = 256 + np.arange(n)
-        body = np.ones(len(x), dtype=bool)
-        body[at + sizes] = False
-        x[body] = np.frombuffer(b"".join(data), dtype=np.uint8)
-        hit = lpf_reaches(x, length)
-        owner = np.repeat(np.arange(n), sizes + 1)
-        pos = np.flatnonzero(hit)
-        own = owner[pos]
-        p, s = g.place.to_numpy()[own], g.lo.to_numpy()[own] + pos - at[own]
+        at = np.cumsum(sizes) - sizes
+        counts = sizes - length + 1
+        owner = np.repeat(np.arange(n), counts)
+        offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        hit = lpf_reaches(np.frombuffer(b"".join(data), dtype=np.uint8), length, at[owner] + offset)
+        own = owner[hit]
+        p, s = g.place.to_numpy()[own], g.lo.to_numpy()[own] + offset[hit]
         if not len(p):
             return
         o = np.lexsort((s, p))
