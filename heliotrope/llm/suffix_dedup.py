@@ -35,8 +35,10 @@ from ._shared import dropped, shuffle_partitions, written
 K = 32
 #: Contexts of an anchor that are compared by suffix array.
 GROUP = 16_384
-#: Bytes of text hashed at a time, unless one text is longer.
-CHUNK = 1 << 20
+#: Bytes of text hashed at a time, unless one text is longer, and those whose anchors are sorted at a time.
+CHUNK, SLICE = 1 << 18, 1 << 22
+#: Bytes of contexts in one suffix array, unless one anchor has more.
+ARRAY = 1 << 19
 
 _rng = np.random.default_rng(20240101)
 _T1, _T2 = (_rng.integers(0, 2**64, 256, dtype=np.uint64) for _ in range(2))
@@ -174,11 +176,11 @@ def anchors(x: np.ndarray, starts: np.ndarray, length: int, k: int) -> tuple[np.
     return doc, h[a].view(np.int64), c.view(np.int64), run - starts[doc], stop - starts[doc]
 
 
-def _chunks(texts: list[bytes]):
+def _chunks(texts: list, most: int):
     i = 0
     while i < len(texts):
         j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK):
+        while j < len(texts) and (j == i or size + len(texts[j]) <= most):
             size += len(texts[j])
             j += 1
         yield i, j
@@ -203,19 +205,22 @@ def _frame(kind, h, c, place, lo, hi) -> pd.DataFrame:
 
 
 def find_anchors(texts: DataFrame, length: int, k: int) -> DataFrame:
-    """Anchor rows of (place, text) rows; a context that repeats in a batch is decided there."""
+    """Anchor rows of (place, text) rows; a context that repeats in a slice of a batch is decided there."""
 
     def scan(batches):
         for b in batches:
-            data, places = [t.encode() for t in b.text], b.place.to_numpy()
+            texts, places = b.text.tolist(), b.place.to_numpy()
+            for i, j in _chunks(texts, SLICE):
+                yield from slice_of([t.encode() for t in texts[i:j]], places[i:j])
+
+    def slice_of(data, places):
+        if data:
             parts = []
-            for i, j in _chunks(data):
+            for i, j in _chunks(data, CHUNK):
                 x = np.frombuffer(b"".join(data[i:j]), dtype=np.uint8)
                 starts = np.concatenate([[0], np.cumsum([len(t) for t in data[i:j]])[:-1]]).astype(np.int64)
                 doc, h, c, lo, hi = anchors(x, starts, length, k)
                 parts.append((h, c, places[i:j][doc], lo, hi))
-            if not parts:
-                continue
             h, c, place, lo, hi = (np.concatenate(v) for v in zip(*parts))
             order, first = _first([h, c, place, lo])
             h, c, place, lo, hi = (v[order] for v in (h, c, place, lo, hi))
@@ -287,6 +292,16 @@ def compare_contexts(contexts: DataFrame, length: int) -> DataFrame:
 
     def decide(groups: list[pd.DataFrame]):
         g = pd.concat(groups) if len(groups) > 1 else groups[0]
+        h, upto = g.h.to_numpy(), np.cumsum(g.bytes.map(len).to_numpy())
+        ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))  # whole anchors
+        i = 0
+        while i < len(h):
+            below = ends[(ends > i) & (upto[ends - 1] - (upto[i - 1] if i else 0) <= ARRAY)]
+            j = below[-1] if len(below) else ends[ends > i][0]
+            yield from array(g.iloc[i:j])
+            i = j
+
+    def array(g: pd.DataFrame):
         # windows lie within their contexts, so the contexts follow one another without signs between them; anchors in
         # one array do not meet, as equal windows have equal anchors
         data, n = g.bytes.tolist(), len(g)
@@ -332,12 +347,16 @@ def repeats(texts: DataFrame, length: int, k: int) -> DataFrame:
     open_ = settled.where("kind = 0").select("h", "place", "lo", "hi")
     counts = open_.groupBy("h").count()
     hot = written(counts.where(F.col("count") > GROUP).select("h"), "hot")
+
     # the bytes of the open contexts only
-    per = open_.groupBy("place").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("a"))  # a text's own anchors
+    def fetched(rows: DataFrame) -> DataFrame:
+        per = rows.groupBy("place").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("a"))  # a text's own anchors
+        return texts.join(per, "place").select("place", "text", "a")
 
     def cut(batches):
+        frame = lambda *x: pd.DataFrame({n: np.array(v, dtype=np.int64) if n != "bytes" else v for n, v in zip(("h", "place", "lo", "hi", "bytes"), x)})
+        h, place, lo, hi, data = [], [], [], [], []
         for b in batches:
-            h, place, lo, hi, data = [], [], [], [], []
             for p, t, a in zip(b.place, b.text, b.a):
                 t = t.encode()
                 for r in a:
@@ -346,19 +365,18 @@ def repeats(texts: DataFrame, length: int, k: int) -> DataFrame:
                     lo.append(r["lo"])
                     hi.append(r["hi"])
                     data.append(t[r["lo"] : r["hi"] + length])
-            for i in range(0, max(1, len(h)), 20_000):
-                s = slice(i, i + 20_000)
-                yield pd.DataFrame({"h": np.array(h[s], dtype=np.int64), "place": np.array(place[s], dtype=np.int64), "lo": np.array(lo[s], dtype=np.int64), "hi": np.array(hi[s], dtype=np.int64), "bytes": data[s]})
+                if len(h) >= 4000:
+                    yield frame(h, place, lo, hi, data)
+                    h, place, lo, hi, data = [], [], [], [], []
+        yield frame(h, place, lo, hi, data)
 
-    contexts = texts.join(per, "place").select("place", "text", "a").mapInPandas(cut, "h long, place long, lo long, hi long, bytes binary")
     if hot.isEmpty():
-        cold = contexts
+        cold = fetched(open_)
     else:
-        cold = contexts.join(hot, "h", "left_anti")
-        hot_rows = contexts.join(hot, "h", "left_semi")
+        cold = fetched(open_.join(hot, "h", "left_anti"))
 
         def windows(batches):
-            for b in batches:
+            for b in cut(batches):
                 a, c, place, s = [], [], [], []
                 for p, lo, data in zip(b.place, b.lo, b.bytes):
                     for i in range(len(data) - length + 1):
@@ -369,11 +387,12 @@ def repeats(texts: DataFrame, length: int, k: int) -> DataFrame:
                         s.append(lo + i)
                 yield pd.DataFrame({"x": np.array(a, dtype=np.int64), "y": np.array(c, dtype=np.int64), "place": np.array(place, dtype=np.int64), "lo": np.array(s, dtype=np.int64)})
 
-        each = written(hot_rows.mapInPandas(windows, "x long, y long, place long, lo long"), "windows")
+        each = written(fetched(open_.join(hot, "h", "left_semi")).mapInPandas(windows, "x long, y long, place long, lo long"), "windows")
         firsts = each.groupBy("x", "y").agg(F.min(F.struct("place", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         more = each.join(firsts, ["x", "y"]).where("struct(place, lo) > first").select("place", "lo", F.col("lo").alias("hi"))
         out = out.union(more)
-    dealt = cold.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h", "place", "lo")
+    contexts = cold.mapInPandas(cut, "h long, place long, lo long, hi long, bytes binary")
+    dealt = contexts.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h", "place", "lo")
     out = written(out.union(compare_contexts(dealt, length)), "repeats")
     dropped(settled)
     return out
