@@ -21,11 +21,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁"
 NONE = np.int64(1 << 40)
 #: Symbols (ids) the table of encoded words may hold before it starts anew.
-TABLE_IDS = 4_000_000
+TABLE_IDS = 1_000_000
 #: Characters of text handled at a time.
 CHUNK_CHARS = 2_000_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
@@ -320,11 +321,15 @@ def _model(data: bytes) -> Model:
     return _models[data]
 
 
-def _udf(df: DataFrame, model_file: str, kind: str):
+def _held(df: DataFrame, model_file: str):
     with open(model_file, "rb") as f:
         data = f.read()
     Model(data)  # refuses what is not supported here rather than on an executor
-    held = df.sparkSession.sparkContext.broadcast(data)  # the model's size, whatever the input's
+    return df.sparkSession.sparkContext.broadcast(data)  # the model's size, whatever the input's
+
+
+def _udf(df: DataFrame, model_file: str, kind: str):
+    held = _held(df, model_file)
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = _model(held.value)
@@ -349,12 +354,40 @@ def decode(df: DataFrame, ids: str | Column, model_file: str, out: str = "decode
     return df.withColumn(out, _udf(df, model_file, "decode")(F.col(ids) if isinstance(ids, str) else ids))
 
 
+def round_trip(df: DataFrame, text: str, model_file: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """df with the ids of each text and their decoding in one Python worker, a slice of a batch at a time; columns of
+    these names are replaced, all others pass through as they are."""
+    if text in (ids, decoded):
+        raise ValueError("the text's column cannot be replaced")
+    model, kept = _held(df, model_file), df.drop(ids, decoded)
+    at = kept.columns.index(text)
+
+    def both(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        m = _model(model.value)
+        for b in batches:
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            i = 0
+            while i < len(sizes):
+                j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + CHUNK_CHARS, side="right")))
+                part = b.slice(i, j - i)
+                got = m.encode(part.column(at).to_pylist())
+                offsets = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(got), type=pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, flat, pa.array(m.decode(got), type=pa.string())], names=[*part.schema.names, ids, decoded])
+                i = j
+
+    return kept.mapInArrow(both, T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())]))
+
+
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decode(encode(docs, "text", model), "ids", model)
+    both = round_trip(docs, "text", model)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
