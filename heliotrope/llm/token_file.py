@@ -19,6 +19,7 @@ empty tables give an empty manifest and no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,14 +30,16 @@ from pyspark.sql import functions as F
 
 from ._files import Committed, opened
 from ._shared import shuffle_partitions, work_dir
+from .sentencepiece import ragged
 
 MAGIC = b"S8BIDS01"
 BLOCK = 8192
+_BITS16 = np.array([i.bit_length() for i in range(1 << 16)], dtype=np.uint8)
 COUNT = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
-#: Ids gathered before a file is closed: about 64 MB in memory.
-ROLL_IDS = 8_000_000
-TABLE_IDS = 2_000_000
+#: Ids gathered before a file is closed: about 32 MB in memory.
+ROLL_IDS = 4_000_000
+TABLE_IDS = 1_500_000
 CHUNK_CHARS = 2_000_000
 
 
@@ -51,17 +54,24 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     if not n:
         return np.zeros(0, dtype=np.uint64), escapes
-    need = np.zeros(n, dtype=np.int64)
-    for b in BITS[1:-1]:
-        need += values >= np.uint64(1) << np.uint64(b)  # how many selectors are too narrow from the narrowest on
-    least = need + 1
-    # choice[i]: the first selector whose values from i on all fit and are there
-    choice = np.full(n, 15, dtype=np.int64)
-    for s in range(14, -1, -1):
-        k = COUNT[s]
-        if n >= k:
-            wide = np.concatenate([[0], np.cumsum(least > s if s else values > 0)])
-            choice[: n - k + 1][(wide[k:] - wide[:-k]) == 0] = s
+    if int(values.max()) < 1 << 16:
+        bits = _BITS16[values]
+    else:
+        bits = np.zeros(n, dtype=np.uint8)
+        for b in range(60):
+            bits += values >= np.uint64(1) << np.uint64(b)
+    # wide[k]: most bits among k values from each place on, from two overlapping shorter runs
+    wide = {1: bits}
+    choice = np.full(n, 15, dtype=np.uint8)
+    for s in range(15, -1, -1):
+        k = int(COUNT[s])
+        if n < k:
+            break
+        if k > 1:
+            h = max(x for x in wide if x < k)
+            x = wide[h]
+            wide[k] = np.maximum(x[: n - k + 1], x[k - h : k - h + n - k + 1])
+        choice[: n - k + 1][wide[k] <= BITS[s]] = s
     step, at, i = COUNT[choice].tolist(), [], 0
     while i < n:
         at.append(i)
@@ -131,9 +141,40 @@ def load(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 # -- the library's ids --------------------------------------------------------------------------------------------
+class _Table(dict):
+    """Numbers of texts in the order in which they first came; `fresh` are those without ids yet."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+        self.ids, self.at = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+
+    def __missing__(self, text: str) -> int:
+        self[text] = n = len(self)
+        self.fresh.append(text)
+        return n
+
+    def numbers(self, texts: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, texts), dtype=np.int64, count=len(texts))
+
+    def learn(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        self.fresh = []
+
+
+#: Words of signs whose lower case, normal form and class are beyond doubt: printable ASCII, Latin and Cyrillic letters.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-žЀ-џ]*")
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for plain words in lower case; a space ends a word.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+| ").findall
+
+
 class Encoder:
-    """Ids of whole texts as the library gives them without special tokens added, from each piece between ASCII white
-    space; pieces whose text could meet another across white space do not exist in the models admitted."""
+    """Ids of whole texts as the library gives them without special tokens added.
+
+    Words between ASCII white space are numbered by a table. New plain words are cut into the pieces that the
+    tokenizer's pattern makes; the library encodes new pieces, many in one call: its end-of-word ids part them. Other
+    new words are encoded one by one. Models that are not of this shape are refused."""
 
     def __init__(self, data: str):
         import json
@@ -141,38 +182,70 @@ class Encoder:
         from tokenizers import Tokenizer
 
         j = json.loads(data)
-        split = json.dumps(j.get("pre_tokenizer") or {})
-        if "Removed" not in split or "\\\\s" not in split or any(t.get("lstrip") or t.get("rstrip") for t in j.get("added_tokens") or []):
-            raise ValueError("only tokenizers that drop white space between pieces are supported")
+        steps = [(n.get("type"), (n.get("pattern") or {}).get("Regex"), n.get("behavior"), n.get("invert")) for n in (j.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        normal = [n.get("type") for n in (j.get("normalizer") or {}).get("normalizers", [])]
+        suffix = j["model"].get("end_of_word_suffix")
+        if normal != ["NFC", "Replace", "Lowercase"] or steps[0] != ("Split", _SPLIT, "Removed", True) or not suffix or any(t.get("lstrip") or t.get("rstrip") for t in j.get("added_tokens") or []):
+            raise ValueError("only tokenizers that lower-case, drop white space between pieces and mark ends of words are supported")
         self.tokenizer = Tokenizer.from_str(data)
-        self.reset()
-
-    def reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.at = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.added = [t["content"] for t in j.get("added_tokens") or []]
+        self.ends = np.zeros(1 + max([*j["model"]["vocab"].values(), *(t["id"] for t in j.get("added_tokens") or [])]), dtype=bool)
+        self.ends[[i for t, i in j["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self.words, self.pieces = _Table(), _Table()
+
+    def _learn_pieces(self) -> None:
+        new = self.pieces.fresh
+        calls = [" ".join(new[i : i + 1000]) for i in range(0, len(new), 1000)]
+        ids = np.array([x for e in self.tokenizer.encode_batch_fast(calls, add_special_tokens=False) for x in e.ids], dtype=np.int64)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(new):
+            raise ValueError("the tokenizer's pieces are not those expected")
+        self.pieces.learn(ids, np.diff(last, prepend=-1))
+
+    def _learn(self) -> None:
+        new = self.words.fresh
+        plain = [bool(_PLAIN.fullmatch(w)) and not any(a in w for a in self.added) for w in new]
+        parts = _PIECES(" ".join([w for w, p in zip(new, plain) if p]).lower() + " ")
+        if len(self.pieces.ids) > TABLE_IDS:
+            self.pieces = _Table()
+        code = self.pieces.numbers([x for x in parts if x != " "])
+        if self.pieces.fresh:
+            self._learn_pieces()
+        ids, sizes = ragged(self.pieces.ids, self.pieces.at, code)
+        # pieces of each word: those between two spaces
+        gap = np.flatnonzero(np.fromiter((x == " " for x in parts), dtype=bool, count=len(parts)))
+        upto = np.concatenate([[0], np.cumsum(sizes)])[gap - np.arange(len(gap))]
+        odd = [w for w, p in zip(new, plain) if not p]
+        got = [np.array(e.ids, dtype=np.int64) for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)] if odd else []
+        size = np.zeros(len(new), dtype=np.int64)
+        is_plain = np.array(plain, dtype=bool)
+        if is_plain.any():
+            size[is_plain] = np.diff(upto, prepend=0)
+        size[~is_plain] = [len(g) for g in got]
+        out = np.zeros(int(size.sum()), dtype=np.int64)
+        mine = np.repeat(is_plain, size)
+        out[mine] = ids
+        out[~mine] = np.concatenate(got) if got else np.zeros(0, dtype=np.int64)
+        self.words.learn(out, size)
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        from .sentencepiece import ragged
-
         i = 0
         while i < len(texts):
-            group, chars = [], 0
-            while i < len(texts) and (not group or chars + len(texts[i] or "") <= CHUNK_CHARS):
-                group.append(words := _ascii_split(texts[i] or ""))
+            words, counts, chars = [], [], 0
+            while i < len(texts) and (not counts or chars + len(texts[i] or "") <= CHUNK_CHARS):
+                mine = _ascii_split(texts[i] or "")
+                words += mine
+                counts.append(len(mine))
                 chars += len(texts[i] or "") + 1
                 i += 1
-            if len(self.ids) > TABLE_IDS:
-                self.reset()
-            fresh = list(dict.fromkeys(w for words in group for w in words if w not in self.known))
-            if fresh:
-                self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-                got = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
-                self.ids = np.concatenate([self.ids, np.array([x for g in got for x in g], dtype=np.int64)])
-                self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(g) for g in got])])
-            for words in group:
-                code = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-                yield ragged(self.ids, self.at, code)[0]
-
+            if len(self.words.ids) > TABLE_IDS:
+                self.words = _Table()
+            code = self.words.numbers(words)
+            if self.words.fresh:
+                self._learn()
+            ids, sizes = ragged(self.words.ids, self.words.at, code)
+            ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+            yield from np.split(ids, ends[:-1])
 
 
 def _ascii_split(text: str) -> list[str]:
@@ -221,7 +294,7 @@ def write(df: DataFrame, folder: str, tokenizer_file: str, id_col: str = "doc_id
 
         end = np.array([end_id], dtype=np.int64)
         for b in batches:
-            for doc, ids in zip(b.id, encoder.encode(b.text.tolist())):
+            for doc, ids in zip(b.id.tolist(), encoder.encode(b.text.tolist())):
                 docs.append(doc)
                 parts.append(np.concatenate([ids, end]))
                 size += len(parts[-1])
@@ -236,10 +309,10 @@ def write(df: DataFrame, folder: str, tokenizer_file: str, id_col: str = "doc_id
     return spark.read.schema(found.schema).parquet(f"{folder}/manifest")
 
 
-def read(manifest: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) read from the files; start counts all ids of the documents before."""
+def _files(manifest: DataFrame, folder: str, row, schema: str) -> DataFrame:
+    """row(docs, starts, ends, ids, base) -> a frame, for at most 1024 documents of a file at a time."""
     files = f"{folder}/ids"
-    # one row a file, of some 64 MB each: far fewer than documents
+    # one row a file, of a few MB each: far fewer than documents
     placed = manifest.withColumn("base", F.sum("ids").over(Window.orderBy("file")) - F.col("ids"))
     spread = placed.select("file", "base", "crc32").repartition(shuffle_partitions(manifest.sparkSession), "file")
 
@@ -252,19 +325,23 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                     raise ValueError(f"{name} is not the file in the manifest")
                 docs, ends, ids = load(data)
                 starts = np.concatenate([[0], ends[:-1]])
-                for i in range(0, len(docs), 4096):
-                    s, e = starts[i : i + 4096], ends[i : i + 4096]
-                    yield pd.DataFrame({"doc_id": docs[i : i + 4096], "start": s + base, "n_tokens": e - s, "ids": [ids[x:y].astype(np.int64) for x, y in zip(s, e)]})
+                for i in range(0, len(docs), 1024):
+                    yield row(docs[i : i + 1024], starts[i : i + 1024], ends[i : i + 1024], ids, base)
+
+    return spread.mapInPandas(open_files, schema)
 
-    return spread.mapInPandas(open_files, "doc_id long, start long, n_tokens long, ids array<long>")
 
+def read(manifest: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) read from the files; start counts all ids of the documents before."""
+    row = lambda docs, s, e, ids, base: pd.DataFrame({"doc_id": docs, "start": s + base, "n_tokens": e - s, "ids": [ids[x:y].astype(np.int64) for x, y in zip(s, e)]})
+    return _files(manifest, folder, row, "doc_id long, start long, n_tokens long, ids array<long>")
 
-def digests(read_back: DataFrame) -> DataFrame:
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.asarray(x).astype("<u4").tobytes()) for x in ids])
 
-    return read_back.select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
+def digests(manifest: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) from the files, without moving the ids out of the worker that reads them."""
+    crc = lambda x: zlib.crc32(x.astype("<u4").tobytes())
+    row = lambda docs, s, e, ids, base: pd.DataFrame({"doc_id": docs, "start": s + base, "n_tokens": e - s, "ids_crc32": [crc(ids[x:y]) for x, y in zip(s, e)]})
+    return _files(manifest, folder, row, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_file(spark, sf_dir: str) -> DataFrame:
@@ -272,4 +349,4 @@ def op9_token_file(spark, sf_dir: str) -> DataFrame:
 
     folder = work_dir(spark, "ids")
     manifest = write(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, public_tokenizers.path("word_bpe_49k.json"))
-    return digests(read(manifest, folder))
+    return digests(manifest, folder)
