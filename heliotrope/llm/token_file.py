@@ -39,7 +39,7 @@ COUNT = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 #: Ids gathered before a file is closed: about 32 MB in memory.
 ROLL_IDS = 4_000_000
-TABLE_IDS = 1_500_000
+TABLE_IDS = 4_000_000
 CHUNK_CHARS = 2_000_000
 
 
@@ -142,28 +142,25 @@ def load(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 # -- the library's ids --------------------------------------------------------------------------------------------
 class _Table(dict):
-    """Numbers of texts in the order in which they first came; `fresh` are those without ids yet."""
-
-    def __init__(self):
-        self.fresh: list[str] = []
-        self.ids, self.at = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
-
-    def __missing__(self, text: str) -> int:
-        self[text] = n = len(self)
-        self.fresh.append(text)
-        return n
-
-    def numbers(self, texts: list[str]) -> np.ndarray:
+    """Numbers of texts and the ids of each."""
+
+    def __init__(self, *empty: str):
+        super().__init__(zip(empty, range(len(empty))))
+        self.ids, self.at = np.zeros(0, dtype=np.int32), np.zeros(1 + len(empty), dtype=np.int64)
+
+    def numbers(self, texts: list[str], learn) -> np.ndarray:
+        """The number of each text; learn(texts) gives ids and sizes of those that are new."""
+        fresh = list(set(texts).difference(self))
+        if fresh:
+            ids, sizes = learn(fresh)
+            self.update(zip(fresh, range(len(self), len(self) + len(fresh))))
+            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
         return np.fromiter(map(self.__getitem__, texts), dtype=np.int64, count=len(texts))
 
-    def learn(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
-        self.fresh = []
-
 
-#: Words of signs whose lower case, normal form and class are beyond doubt: printable ASCII, Latin and Cyrillic letters.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-žЀ-џ]*")
+#: Signs beside those whose lower case, normal form and class are beyond doubt: printable ASCII, Latin and Cyrillic letters.
+_ODD = "[^ -~À-ÖØ-öø-įı-ňŊ-žЀ-џ]"
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same for plain words in lower case; a space ends a word.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+| ").findall
@@ -188,45 +185,41 @@ class Encoder:
         if normal != ["NFC", "Replace", "Lowercase"] or steps[0] != ("Split", _SPLIT, "Removed", True) or not suffix or any(t.get("lstrip") or t.get("rstrip") for t in j.get("added_tokens") or []):
             raise ValueError("only tokenizers that lower-case, drop white space between pieces and mark ends of words are supported")
         self.tokenizer = Tokenizer.from_str(data)
-        self.added = [t["content"] for t in j.get("added_tokens") or []]
+        self.odd = re.compile("|".join([_ODD, *(re.escape(t["content"]) for t in j.get("added_tokens") or [])]))
         self.ends = np.zeros(1 + max([*j["model"]["vocab"].values(), *(t["id"] for t in j.get("added_tokens") or [])]), dtype=bool)
         self.ends[[i for t, i in j["model"]["vocab"].items() if t.endswith(suffix)]] = True
-        self.words, self.pieces = _Table(), _Table()
+        self.words, self.pieces = _Table(), _Table(" ")
 
-    def _learn_pieces(self) -> None:
-        new = self.pieces.fresh
+    def _new_pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         calls = [" ".join(new[i : i + 1000]) for i in range(0, len(new), 1000)]
         ids = np.array([x for e in self.tokenizer.encode_batch_fast(calls, add_special_tokens=False) for x in e.ids], dtype=np.int64)
         last = np.flatnonzero(self.ends[ids])
         if len(last) != len(new):
             raise ValueError("the tokenizer's pieces are not those expected")
-        self.pieces.learn(ids, np.diff(last, prepend=-1))
-
-    def _learn(self) -> None:
-        new = self.words.fresh
-        plain = [bool(_PLAIN.fullmatch(w)) and not any(a in w for a in self.added) for w in new]
-        parts = _PIECES(" ".join([w for w, p in zip(new, plain) if p]).lower() + " ")
-        if len(self.pieces.ids) > TABLE_IDS:
-            self.pieces = _Table()
-        code = self.pieces.numbers([x for x in parts if x != " "])
-        if self.pieces.fresh:
-            self._learn_pieces()
-        ids, sizes = ragged(self.pieces.ids, self.pieces.at, code)
-        # pieces of each word: those between two spaces
-        gap = np.flatnonzero(np.fromiter((x == " " for x in parts), dtype=bool, count=len(parts)))
-        upto = np.concatenate([[0], np.cumsum(sizes)])[gap - np.arange(len(gap))]
-        odd = [w for w, p in zip(new, plain) if not p]
+        return ids, np.diff(last, prepend=-1)
+
+    def _new_words(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
+        bad = [m.start() for m in self.odd.finditer(" ".join(new))]
+        plain = np.ones(len(new), dtype=bool)
+        plain[np.searchsorted(np.cumsum(sizes + 1), bad, side="right")] = False
+        odd = [new[i] for i in np.flatnonzero(~plain).tolist()]
         got = [np.array(e.ids, dtype=np.int64) for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)] if odd else []
         size = np.zeros(len(new), dtype=np.int64)
-        is_plain = np.array(plain, dtype=bool)
-        if is_plain.any():
-            size[is_plain] = np.diff(upto, prepend=0)
-        size[~is_plain] = [len(g) for g in got]
+        size[~plain] = [len(g) for g in got]
+        ids = np.zeros(0, dtype=np.int64)
+        if plain.any():
+            if len(self.pieces.ids) > TABLE_IDS:
+                self.pieces = _Table(" ")
+            easy = new if len(odd) == 0 else [new[i] for i in np.flatnonzero(plain).tolist()]
+            code = self.pieces.numbers(_PIECES(" ".join(easy).lower() + " "), self._new_pieces)
+            ids, each = ragged(self.pieces.ids, self.pieces.at, code)
+            size[plain] = np.diff(np.cumsum(each)[code == 0], prepend=0)  # those between two spaces
         out = np.zeros(int(size.sum()), dtype=np.int64)
-        mine = np.repeat(is_plain, size)
+        mine = np.repeat(plain, size)
         out[mine] = ids
         out[~mine] = np.concatenate(got) if got else np.zeros(0, dtype=np.int64)
-        self.words.learn(out, size)
+        return out, size
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         i = 0
@@ -240,9 +233,7 @@ class Encoder:
                 i += 1
             if len(self.words.ids) > TABLE_IDS:
                 self.words = _Table()
-            code = self.words.numbers(words)
-            if self.words.fresh:
-                self._learn()
+            code = self.words.numbers(words, self._new_words)
             ids, sizes = ragged(self.words.ids, self.words.at, code)
             ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
             yield from np.split(ids, ends[:-1])
