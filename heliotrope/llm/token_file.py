@@ -150,7 +150,7 @@ class _Table(dict):
 
     def numbers(self, texts: list[str], learn) -> np.ndarray:
         """The number of each text; learn(texts) gives ids and sizes of those that are new."""
-        fresh = list(set(texts).difference(self))
+        fresh = [x for x in dict.fromkeys(texts) if x not in self]  # in order, so that neighbours stay close in memory
         if fresh:
             ids, sizes = learn(fresh)
             self.update(zip(fresh, range(len(self), len(self) + len(fresh))))
