@@ -41,7 +41,6 @@ class Scalar:
 
 
 RANGE_FUNCTIONS = {"rate", "irate", "increase", "delta", "idelta", "deriv", "predict_linear", "quantile_over_time", "mad_over_time", "avg_over_time", "min_over_time", "max_over_time", "sum_over_time", "count_over_time", "last_over_time", "present_over_time", "stddev_over_time", "stdvar_over_time", "changes", "resets", "double_exponential_smoothing", "holt_winters", "absent_over_time"}
-_x = F.col("value")
 SIMPLE = {n: getattr(F, n) for n in ("abs", "exp", "sin", "cos", "tan", "asin", "acos", "atan", "sinh", "cosh", "tanh", "asinh", "acosh", "atanh")} | {
     "ceil": lambda x: F.ceil(x).cast("double"), "floor": lambda x: F.floor(x).cast("double"), "sqrt": F.sqrt, "sgn": F.signum, "deg": F.degrees, "rad": F.radians,
     "ln": lambda x: F.when(x == 0, F.lit(float("-inf"))).otherwise(F.ln(x)), "log2": lambda x: F.when(x == 0, F.lit(float("-inf"))).otherwise(F.log2(x)), "log10": lambda x: F.when(x == 0, F.lit(float("-inf"))).otherwise(F.log10(x)),
@@ -194,7 +193,8 @@ class Engine:
                 s = sf * p["value"] + (1 - sf) * (acc["s"] + acc["b"])
                 return state(s, tf * (s - acc["s"]) + (1 - tf) * acc["b"])
 
-            begin = state(F.col("a")[0]["value"], F.col("a")[1]["value"] - F.col("a")[0]["value"])
+            first, second = (F.get("a", F.lit(i))["value"] for i in (0, 1))
+            begin = state(first, second - first)
             out = out.withColumn("value", F.aggregate(F.slice("a", F.lit(2), F.size("a")), begin, fold, lambda s: s["s"]))
         else:
             out = df.groupBy(*key).agg(folds[c.name]().alias("value"), F.any_value("labels").alias("labels"))
