@@ -39,6 +39,8 @@ SAMPLE = 20_000
 LEAST, SHARE = 3, 0.005
 LEAST_ODDS = 3.0
 CUT = 0.7
+#: Rows of a frame that a worker gives back.
+ROWS = 10_000
 
 _LOOK = {
     "а": "a", "в": "b", "е": "e", "ё": "e", "з": "3", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ѵ": "v", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ո": "n", "օ": "o", "һ": "h", "ӏ": "l",
@@ -153,6 +155,14 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(b) for b in beta)
 
 
+def _frames(**columns) -> Iterator[pd.DataFrame]:
+    """Equally long columns as frames of ROWS rows, so that no text or partition makes one large frame."""
+    n = len(next(iter(columns.values())))
+    for i in range(0, n, ROWS):
+        part = {k: v[i : i + ROWS] for k, v in columns.items()}
+        yield pd.DataFrame({k: np.array(v, dtype=np.int64) if v and isinstance(v[0], int) else v for k, v in part.items()})
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", exceptions: tuple[str, ...] = ()) -> Lexicon:
     """A lexicon from the texts of docs that labels marks; the caller leaves out of labels what must not be learned from."""
     marks = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
@@ -161,13 +171,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     # 1: candidates from toxic rows, by families
     def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out, fam = [], []
             for t in b["_t"]:
                 words = set(folded(t).split())
-                f, fs = _family(words), features(words)
-                out += fs
-                fam += [f] * len(fs)
-            yield pd.DataFrame({"p": out, "f": np.array(fam, dtype=np.int64)})
+                fs = list(features(words))
+                yield from _frames(p=fs, f=[_family(words)] * len(fs))
 
     found = rows.where("_y = 1").select("_t").mapInPandas(words_of, "p string, f long").groupBy("p").agg(F.countDistinct("f").alias("n"))
     sizes = rows.groupBy("_y").count().collect()  # two numbers
@@ -183,7 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         for b in batches:
             for t in b["_t"]:
                 c.update(features(set(folded(t).split())) & cand.keys())
-        yield pd.DataFrame({"p": list(c), "c": np.array(list(c.values()), dtype=np.int64)})
+        yield from _frames(p=list(c), c=list(c.values()))
 
     seen = {r.p: r.c for r in rows.where("_y = 0").select("_t").mapInPandas(clean, "p string, c long").groupBy("p").agg(F.sum("c").alias("c")).collect()}  # MAX_PATTERNS at most
     odds = {p: math.log((k + 0.5) / (families + 1)) - math.log((seen.get(p, 0) + 0.5) / (n[0] + 1)) for p, k in cand.items()}
@@ -201,7 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
                     mine |= {f"{before} {rest[0]}".strip(), " ".join(rest[:2]).strip()} - {rest[0]}
                 c.update((p, int(y)) for p in mine)
         keep = [(p, y, k) for (p, y), k in c.items()]
-        yield pd.DataFrame({"p": [x[0] for x in keep], "y": np.array([x[1] for x in keep], dtype=np.int64), "k": np.array([x[2] for x in keep], dtype=np.int64)})
+        yield from _frames(p=[x[0] for x in keep], y=[x[1] for x in keep], k=[x[2] for x in keep])
 
     phrases = rows.select("_t", "_y").mapInPandas(pairs, "p string, y long, k long").groupBy("p").agg(F.sum(F.when(F.col("y") == 0, F.col("k")).otherwise(0)).alias("c"), F.sum(F.when(F.col("y") == 1, F.col("k")).otherwise(0)).alias("t"))
     phrases = phrases.where((F.col("c") >= 3) & (F.col("t") == 0)).orderBy(F.desc("c"), "p").limit(MAX_PATTERNS)
