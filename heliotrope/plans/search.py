@@ -179,7 +179,8 @@ def log_target() -> Target:
         if name in ("service", "service.name", "service_name"):
             return at("resource", "service.name")
         if name[:5] == "attr.":
-            return F.coalesce(at("attributes", name[5:]), at("attributes", name[5:].replace("_", ".")))
+            spelt = F.map_filter("attributes", lambda k, v: F.replace(k, F.lit("."), F.lit("_")) == name[5:])
+            return F.coalesce(at("attributes", name[5:]), F.get(F.map_values(spelt), F.lit(0)))
         if name[:4] == "res.":
             return at("resource", name[4:])
         return F.coalesce(at("attributes", name), at("resource", name))
