@@ -16,18 +16,17 @@ other columns pass through fingerprints() untouched.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._shared import dropped, written
+from ._shared import dropped, join_checked, written
 
 #: Fingerprints that a bucket may have and be verified by pairs.
 BUCKET = 512
@@ -219,27 +218,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k
 
 
 # -- near copies by the share of common shingles ----------------------------------------------------------------------
-#: Bits that fingerprints of words may differ in for a pair to be compared; a share of 0.8 of common 5-word shingles
-#: leaves about 2 % of the words changed, which moves some 4 of 64 bits, and pairs of unrelated texts differ in 13 and more.
-WORD_BITS = 8
-#: Texts compared at a time within a group of close fingerprints.
+#: Texts compared at a time within a group of candidates.
 GROUP = 512
-
-
-def word_fingerprint(text: str | None) -> tuple[int, int]:
-    """A fingerprint of a text's words, weighted by the root of their counts, and the number of words."""
-    import xxhash
-
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0, 0
-    c = Counter(words)
-    w, total, one = np.sqrt(np.fromiter(c.values(), dtype=np.float64, count=len(c))), 0.0, np.zeros(64)
-    h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in c), dtype="<u8", count=len(c))
-    for i in range(0, len(h), STEP):
-        one += w[i : i + STEP] @ np.unpackbits(h[i : i + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += w[i : i + STEP].sum()
-    return int(((2 * one > total).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum()), len(words)
+#: Texts, about, whose shingles are counted to put frequent ones last, how often one must be met there, and how many are
+#: told apart. They set the order of shingles only: the links are the same in any order.
+SAMPLE, OFTEN, ORDERED = 10_000, 5, 1 << 17
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -249,8 +232,11 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    n = max(1, len(words) - k + 1)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 7) for i in range(n)), dtype=np.uint64, count=n))
+    flat, digest = b" ".join(words), xxhash.xxh64_intdigest
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends, n = np.cumsum(sizes + 1) - 1, max(1, len(words) - k + 1)
+    begins, ends = (ends - sizes)[:n].tolist(), (ends[k - 1 :] if len(words) >= k else ends[-1:]).tolist()
+    return np.unique(np.fromiter((digest(flat[i:j], 7) for i, j in zip(begins, ends)), dtype=np.uint64, count=n))
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -260,111 +246,167 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def shingle_prefix(s: np.ndarray, often: np.ndarray, times: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of s, frequent ones last, of which two sets with a share of `similarity` have one in common:
+    both have ceil(similarity * n) of n in common, so not all of the n - that + 1 first of either are missing in the
+    other. A set without shingles has a sign of its own."""
+    if not len(s):
+        return np.array([-1], dtype=np.int64)
+    n = len(s) - int(np.ceil(similarity * len(s) - 1e-6)) + 1
+    if len(often):
+        at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+        s = s[np.argsort(np.where(often[at] == s, times[at], 0), kind="stable")]
+    return s[:n].view(np.int64)
+
+
+def _candidates(nodes: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, similarity: float) -> tuple[list[int], list[int], bool]:
+    """Pairs of a shingle's texts (places) that are not linked yet and may have the share if this is the first shingle
+    that they have in common; of many pairs a spanning forest, and True."""
+    rest, a, b, forest, total = n - pos, [], [], ([], []), 0
+    label = np.arange(len(nodes))
+    for i in range(len(nodes) - 1):
+        both = np.minimum(rest[i + 1 :], rest[i])
+        j = np.flatnonzero((both * (1 + similarity) >= similarity * (n[i + 1 :] + n[i]) - 1e-6) & (comp[i + 1 :] != comp[i])) + i + 1
+        if not len(j):
+            continue
+        total += len(j)
+        if total <= 4 * len(nodes):
+            a += [i] * len(j)
+            b += j.tolist()
+        others, at = np.unique(label[j], return_index=True)
+        new = others != label[i]
+        if new.any():
+            forest[0].extend([i] * int(new.sum()))
+            forest[1].extend(j[at[new]].tolist())
+            label[np.isin(label, others[new])] = label[i]
+    return (*forest, True) if total > 4 * len(nodes) else (a, b, False)
+
+
 def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id): groups of texts linked by a share of at least `similarity` of their k-word shingles (as sets).
 
-    Equal texts are one node. Candidates come from fingerprints of words, probed by partitions; a bucket whose close
-    pairs are many beside its texts is a dense group: it gives a spanning forest, and the group's texts are compared
-    together, once, in blocks that skip what is linked already. All other candidate pairs are compared one by one."""
+    Equal texts are one node. Candidates share a shingle of their prefixes (see shingle_prefix), so that no pair with
+    the share is lost. First each shingle's texts are compared with one of them. Then those pairs that are not linked by
+    that, and that length and place of the shingle allow, are compared one by one; a shingle with many such pairs
+    beside its texts gives a spanning forest, and a group so made is compared together, in blocks."""
+    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keyed = rows.withColumn("key", F.sha2("text", 256))
 
-    @F.pandas_udf("fp long, n long")
-    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            got = [word_fingerprint(x) for x in s]
-            yield pd.DataFrame({"fp": np.array([g[0] for g in got], dtype=np.uint64).astype(np.int64), "n": np.array([g[1] for g in got], dtype=np.int64)})
-
-    marked = written(keyed.withColumn("p", prints("text")).select("id", "key", "p.fp", "p.n"), "marked")
-    texts = marked.groupBy("key").agg(F.min("id").alias("own"), F.first("fp").alias("fp"))
-    node = F.coalesce("own", F.expr("-4611686018427387904 + pmod(xxhash64(key), 4611686018427387904)"))
-    texts = written(texts.withColumn("node", node), "nodes")
-    fps = texts.select("node", "fp")
-    held = buckets(fps, WORD_BITS, 3)
-    # a bucket is compared in blocks, every pair of blocks a row; most have one block
-    split = held.withColumn("blocks", F.ceil(F.col("c") / 2048).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    sent = split.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("part", "key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "node", "fp")
-    packed = sent.groupBy("part", "key", "lo", "hi").agg(F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps"))
-
-    def close(batches):
+    # frequent shingles, from a sample of texts
+    def counted(batches):
         for batch in batches:
-            a, b, dense = [], [], []
-            for nodes, values in zip(batch.nodes, batch.fps):
-                x, nodes = np.asarray(values, dtype=np.int64).view(np.uint64), np.asarray(nodes, dtype=np.int64)
-                i, j = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= WORD_BITS, 1))
-                many = len(i) > 4 * len(x)
-                p, q = _forest(nodes, i, j) if many else (nodes[i].tolist(), nodes[j].tolist())
-                a, b, dense = a + p, b + q, dense + [many] * len(p)
-            a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "dense": np.array(dense, dtype=bool)})
+            got = [shingle_set(x, k) for x in batch.text]
+            h, c = np.unique(np.concatenate(got or [np.zeros(0, dtype=np.uint64)]), return_counts=True)
+            yield pd.DataFrame({"h": h.view(np.int64), "c": c.astype(np.int64)})
+
+    share_of = max(1, df.count() // SAMPLE)
+    some = keyed.where(F.pmod(F.xxhash64("key"), F.lit(share_of)) == 0).dropDuplicates(["key"]).select("text")
+    often = some.mapInPandas(counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= OFTEN)
+    often = often.orderBy(F.desc("c"), "h").limit(ORDERED).toPandas()
+    shingle, times = often.h.to_numpy(dtype=np.int64).view(np.uint64), often.c.to_numpy(dtype=np.int64)
+    order = np.argsort(shingle)
+    held = spark.sparkContext.broadcast((shingle[order], times[order]))  # bounded by ORDERED
+
+    @F.pandas_udf("n long, sig array<long>")
+    def prefixes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            got = [shingle_set(x, k) for x in batch]
+            yield pd.DataFrame({"n": np.array([len(s) for s in got], dtype=np.int64), "sig": [shingle_prefix(s, *held.value, similarity) for s in got]})
 
-    pairs = written(packed.select("nodes", "fps").mapInPandas(close, "a long, b long, dense boolean").distinct(), "pairs")
-    groups = written(components(pairs.where("dense")), "dense")
-    sparse = pairs.where("not dense").select("a", "b")
-    wanted = groups.select("node").union(sparse.select("a")).union(sparse.select("b")).distinct()
+    marked = written(keyed.withColumn("p", prefixes("text")).select("id", "key", "p.n", "p.sig"), "marked")
+    texts = marked.groupBy("key").agg(F.min("id").alias("own"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    node = F.coalesce("own", F.expr("-4611686018427387904 + pmod(xxhash64(key), 4611686018427387904)"))
+    # an id with several texts is the node of one of them only
+    texts = texts.withColumn("node", node).withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("key")))
+    texts = written(texts.withColumn("node", F.when(F.col("nth") == 1, F.col("node")).otherwise(F.expr("-4611686018427387904 + pmod(xxhash64(key), 4611686018427387904)"))).drop("nth"), "nodes")
+    index = texts.select("node", "n", F.posexplode("sig").alias("pos", "h"))
+    lists = lambda x: x.groupBy("h").agg(F.collect_list("node").alias("nodes"), F.collect_list("n").alias("ns"), F.collect_list("pos").alias("at"))
+    packed = written(lists(index).where(F.size("nodes") > 1).select("h", F.arrays_zip("nodes", "ns", "at").alias("m")), "buckets")
 
     @F.pandas_udf("binary")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series([shingle_set(x, k).tobytes() for x in s])
 
-    owners = wanted.join(texts.select("node", "key"), "node")
-    first = _one_text(keyed, owners)
-    shingles = written(first.select("node", sets("text").alias("s")), "shingles")
-
     @F.pandas_udf("double")
     def share(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([jaccard(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)) for a, b in zip(x, y)], dtype="float64")
 
-    one = sparse.join(shingles.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(shingles.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    links = one.where(share("sa", "sb") >= similarity).select("a", "b")
+    # 1: each text against one of each of its shingles
+    hub = F.expr("array_min(transform(m, x -> named_struct('x', xxhash64(x.nodes), 'node', x.nodes, 'n', x.ns)))")
+    stars = packed.select(hub.alias("hub"), F.explode("m").alias("m")).where("hub.node <> m.nodes")
+    fits = F.least("hub.n", "m.ns") >= F.greatest("hub.n", "m.ns") * F.lit(similarity) - F.lit(1e-6)
+    tried = written(stars.where(fits).select(F.least("hub.node", "m.nodes").alias("a"), F.greatest("hub.node", "m.nodes").alias("b")).distinct(), "stars")
+    members = packed.select("h", F.explode("m").alias("m")).select("h", F.col("m.nodes").alias("node"), F.col("m.ns").alias("n"), F.col("m.at").alias("pos"))
+    wanted = tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct().join(texts.select("node", "key", "own"), "node")
+    shingles = written(_one_text(keyed, wanted).select("node", sets("text").alias("s")), "shingles")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        one = pairs.join(shingles.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(shingles.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        return one.where(share("sa", "sb") >= similarity).select("a", "b")
+
+    stars = written(linked(tried), "links")
+    first = written(components(stars), "first")
+    # 2: what these links leave open
+    comp = members.join(first, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    several = comp.groupBy("h").agg(F.collect_list("node").alias("nodes"), F.collect_list("n").alias("ns"), F.collect_list("pos").alias("at"), F.collect_list("comp").alias("comps"))
+    several = several.where(F.array_min("comps") < F.array_max("comps"))
 
-    n = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks"))
-    members = groups.join(n, "component").join(fps, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(shingles, "node")
-    members = members.select("component", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "fp", "s")
+    def close(batches):
+        for batch in batches:
+            a, b, dense = [], [], []
+            for nodes, n, pos, comps in zip(batch.nodes, batch.ns, batch["at"], batch.comps):
+                nodes, n, pos, comps = (np.asarray(x, dtype=np.int64) for x in (nodes, n, pos, comps))
+                i, j, many = _candidates(nodes, n, pos, comps, similarity)
+                a, b, dense = a + nodes[i].tolist() if i else a, b + nodes[j].tolist() if j else b, dense + [many] * len(i)
+            a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "dense": np.array(dense, dtype=bool)})
+
+    pairs = written(several.select("nodes", "ns", "at", "comps").mapInPandas(close, "a long, b long, dense boolean").distinct(), "pairs")
+    sparse = pairs.where("not dense").select("a", "b").join(tried, ["a", "b"], "left_anti")
+    groups = written(components(pairs.where("dense")), "dense")
+    size = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks"))
+    dealt = groups.join(size, "component").join(first.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.join(shingles, "node").select("component", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "node", "comp", "s")
 
     def together(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        nodes, x = pdf.node.to_numpy(), pdf.fp.to_numpy().view(np.uint64)
+        nodes, comps = pdf.node.to_numpy(), np.unique(pdf.comp.to_numpy(), return_inverse=True)[1]
         s = [np.frombuffer(v, dtype=np.uint64) for v in pdf.s]
-        sizes, block = np.array([len(v) for v in s]), pdf.block.to_numpy()
-        parent, a, b = list(range(len(nodes))), [], []
-
-        def root(v):
-            while parent[v] != v:
-                parent[v] = parent[parent[v]]
-                v = parent[v]
-            return v
-
-        cross = pdf.lo.iat[0] != pdf.hi.iat[0]
-        for i in range(len(nodes)):
-            near = np.bitwise_count(x[i + 1 :] ^ x[i]) <= WORD_BITS
-            near &= np.minimum(sizes[i + 1 :], sizes[i]) >= similarity * np.maximum(sizes[i + 1 :], sizes[i])
-            if cross:
-                near &= block[i + 1 :] != block[i]
-            for j in (np.flatnonzero(near) + i + 1).tolist():
-                ri, rj = root(i), root(j)
-                if ri != rj and jaccard(s[i], s[j]) >= similarity:
-                    parent[ri] = rj
-                    a.append(nodes[i])
-                    b.append(nodes[j])
+        sizes, a, b = np.array([len(v) for v in s]), [], []
+        # of all texts the numbers of shingles that they share with one, from lists of texts by shingle
+        who, token = np.repeat(np.arange(len(s)), sizes), np.unique(np.concatenate(s), return_inverse=True)[1]
+        by, ends = who[np.argsort(token, kind="stable")], np.cumsum(np.bincount(token)) if len(token) else np.zeros(0, dtype=np.int64)
+        begins, stops = np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        for i in range(len(s)):
+            if (comps == comps[i]).all():
+                break
+            lists = [by[begins[t] : stops[t]] for t in token[at[i] : at[i + 1]].tolist()]
+            both = np.bincount(np.concatenate(lists), minlength=len(s)) if lists else np.zeros(len(s), dtype=np.int64)
+            every = sizes + sizes[i] - both
+            near = np.flatnonzero((both / np.maximum(every, 1) >= similarity) & (every > 0) & (comps != comps[i]))
+            for c in np.unique(comps[near]).tolist():
+                a.append(nodes[i])
+                b.append(nodes[near[comps[near] == c][0]])
+            comps[np.isin(comps, comps[near])] = comps[i]
         return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
-    links = written(links.union(members.groupBy("component", "lo", "hi").applyInPandas(together, "a long, b long")), "links")
-    found = components(links)
+    more = dealt.groupBy("component", "lo", "hi").applyInPandas(together, "a long, b long")
+    found = components(written(stars.union(linked(sparse)).union(more), "links"))
     named = found.join(texts.select("node", "own"), "node")
     least = named.groupBy("component").agg(F.min("own").alias("component_id"))
     per = texts.select("key", "own", "node").join(found, "node", "left").join(least, "component", "left")
     per = per.select("key", F.when(F.col("component").isNull(), F.col("own")).otherwise(F.col("component_id")).alias("component_id"))
-    return marked.join(per, "key").select("id", "key", "component_id")
+    return marked.select("id", "key").join(per, "key").select("id", "key", "component_id")
 
 
 def _one_text(keyed: DataFrame, owners: DataFrame) -> DataFrame:
     """(node, text) of each owner: by id, which one row of its key has, so a text with many copies is met once; a text
     without any id by its key."""
-    by_id = keyed.join(owners.select(F.col("node").alias("id"), F.col("key").alias("k"), "node"), "id").where("key = k")
-    no_id = keyed.where("id is null").join(owners.select("key", "node"), "key").where("id is null")
+    by_id = join_checked(keyed, owners.where("own is not null").select(F.col("own").alias("id"), F.col("key").alias("k"), "node"), "id", "inner").where("key = k")
+    no_id = keyed.where("id is null").join(owners.where("own is null").select("key", "node"), "key")
     return by_id.select("node", "text").union(no_id.select("node", "text")).dropDuplicates(["node"])
 
 

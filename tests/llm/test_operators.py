@@ -289,6 +289,43 @@ def test_near_texts(spark, sf, odd, texts):
     assert simhash.near_texts(odd).count() == odd.count()
 
 
+def test_near_texts_loses_no_pair(spark):
+    """Appended tails and rewritten passages of a fifth and less, in texts of 20 to 1000 words: every pair with the share is linked."""
+    rnd = random.Random(8)
+    word = lambda: f"w{min(int(rnd.paretovariate(0.7)), 5000)}"
+    rows = []
+    for n in (20, 100, 300, 1000):
+        for _ in range(25):
+            base = [word() for _ in range(n)]
+            at = rnd.randrange(n - n // 12)
+            rows.append(" ".join(base))
+            rows.append(" ".join(base + [word() for _ in range(n // 5)]))
+            rows.append(" ".join(base[:at] + [word() for _ in range(n // 12)] + base[at + n // 12 :]))
+    rows += [" ", "", "\t", "lone", "LONE"]
+    s = [simhash.shingle_set(t, 5) for t in rows]
+    want = linked(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a) if simhash.jaccard(s[a], s[b]) >= 0.8])
+    got = {r.id: r.component_id for r in simhash.near_texts(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == want and sum(want[d] != d for d in want) > 100
+
+
+@pytest.mark.parametrize("group", [512, 7])
+def test_near_texts_dense(spark, monkeypatch, group):
+    """Many texts near the share: compared together, in blocks too, to the same end."""
+    rnd = random.Random(4)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        t = list(base)
+        at = rnd.randrange(100)
+        t[at : at + 9] = [f"x{i}-{j}" for j in range(9)]
+        rows.append((i, " ".join(t)))
+    s = [simhash.shingle_set(t, 5) for _, t in rows]
+    want = linked(range(60), [(a, b) for a in range(60) for b in range(a) if simhash.jaccard(s[a], s[b]) >= 0.8])
+    monkeypatch.setattr(simhash, "GROUP", group)
+    got = {r.id: r.component_id for r in simhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 1 < len(set(want.values())) < 60
+
+
 # -- the pipeline ---------------------------------------------------------------------------------------------------
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
