@@ -8,7 +8,8 @@ telling stays. Exception phrases are pairs of neighbouring words with a match th
 not; a match inside one does not count. The score is a logistic function of the log of the summed weights and of that
 sum per word.
 
-Candidate words and the logistic function are the model: MAX_PATTERNS words at most, and SAMPLE labelled rows of each
+Weighted words and the logistic function are the model: MAX_PATTERNS words at most (those with the greatest log-odds times
+families, of all that tell), and SAMPLE labelled rows of each
 class at most (chosen by hash) for the two slopes. Word counts cover all labelled rows that may be learned from.
 
 Cases: null and empty texts score as texts without a match; labels that are null, and rows without a label, teach
@@ -183,18 +184,21 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         return Lexicon({}, exceptions)
     families = rows.where("_y = 1").select("_t").mapInPandas(lambda bs: (pd.DataFrame({"f": [_family(set(folded(t).split())) for t in b["_t"]]}) for b in bs), "f long").distinct().count()
     need = max(LEAST, SHARE * families)
-    cand = {r.p: r.n for r in found.where(F.col("n") >= need).orderBy(F.desc("n"), "p").limit(MAX_PATTERNS).collect()}
-    # 2: the candidates in clean rows
+    cand = found.where(F.col("n") >= need)
+    # 2: clean rows with each pattern; the most telling candidates stay, by log-odds times support
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter = Counter()
         for b in batches:
+            c: Counter = Counter()
             for t in b["_t"]:
-                c.update(features(set(folded(t).split())) & cand.keys())
-        yield from _frames(p=list(c), c=list(c.values()))
-
-    seen = {r.p: r.c for r in rows.where("_y = 0").select("_t").mapInPandas(clean, "p string, c long").groupBy("p").agg(F.sum("c").alias("c")).collect()}  # MAX_PATTERNS at most
-    odds = {p: math.log((k + 0.5) / (families + 1)) - math.log((seen.get(p, 0) + 0.5) / (n[0] + 1)) for p, k in cand.items()}
-    weights = _thinned({p: w for p, w in odds.items() if w >= LEAST_ODDS and seen.get(p, 0) <= cand[p]}, cand)
+                c.update(features(set(folded(t).split())))
+            yield from _frames(p=list(c), c=list(c.values()))
+
+    seen = rows.where("_y = 0").select("_t").mapInPandas(clean, "p string, c long").groupBy("p").agg(F.sum("c").alias("c"))
+    both = cand.join(seen, "p", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    odds = F.log((F.col("n") + 0.5) / F.lit(families + 1.0)) - F.log((F.col("c") + 0.5) / F.lit(n[0] + 1.0))
+    both = both.withColumn("w", odds).where((F.col("w") >= LEAST_ODDS) & (F.col("c") <= F.col("n")))
+    told = both.orderBy(F.desc(F.col("w") * F.col("n")), "p").limit(MAX_PATTERNS).collect()
+    weights = _thinned({r.p: r.w for r in told})
     lex = Lexicon(weights, exceptions)
     # 3: exception phrases and a bounded sample of measures
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,7 +239,7 @@ def _share(sample: int, n: int) -> int:
     return int(-(2**63) + min(1.0, sample / max(1, n)) * (2**64 - 1)) if n > sample else 2**63 - 1
 
 
-def _thinned(weights: dict[str, float], support: dict[str, int]) -> dict[str, float]:
+def _thinned(weights: dict[str, float]) -> dict[str, float]:
     """Longer patterns go where a beginning of theirs that tells as much is there, and beginnings that only one longer
     pattern makes up go for that one."""
     out = {}

@@ -165,6 +165,17 @@ def test_toxicity_without_labels(spark, odd):
     assert toxicity.score(odd, none).count() == odd.count()
 
 
+def test_toxicity_keeps_the_telling(spark, monkeypatch):
+    """A bound on patterns keeps rare telling words, not frequent neutral ones."""
+    common = "morning window garden yellow silver market"
+    own = lambda i: " ".join(hashlib.md5(f"{i}-{j}".encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop")) for j in range(20))
+    rows = [(i, f"{common} {own(i)}" + (" zorgblat" if i < 30 and i % 2 else ""), int(i < 30)) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    monkeypatch.setattr(toxicity, "MAX_PATTERNS", 8)
+    lexicon = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert lexicon.matches(toxicity.folded("a zorgblat")) and not lexicon.matches(toxicity.folded(common))
+
+
 def test_toxicity_folding():
     assert toxicity.folded("1D10T! ѕtupid") == toxicity.folded("idiot stupid")
     lex = toxicity.Lexicon({" stupid ": 5.0}, ("stupid hat",), (3.0, 0.0, -2.0))
