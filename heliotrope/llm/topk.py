@@ -13,8 +13,9 @@ local threshold is reachable is visited. The query set is named by the caller; i
 Cases: vectors that are null, empty or hold null or non-finite components take no part, as query or candidate; vectors
 of another dimension than the query are no candidates; ties go to the smaller id; rows repeated with the same id
 are one candidate for others when equal, and are never candidates of their own id; fewer than k candidates: all; null
-ids are left out; empty tables give no rows; other columns are ignored. Scores are long and must not overflow: the
-components after scaling are clipped to +-2^28 for that, far beyond embeddings.
+ids are left out; empty tables give no rows; other columns are ignored. Components of any size count as they are:
+blocks whose products may pass int64 are computed in Python's integers, without pruning. Scores are long; one among
+the best of a block that no long holds, or a component that scaling makes infinite, is an error.
 """
 
 from __future__ import annotations
@@ -54,7 +55,11 @@ def block_search(qid, q, floor, cid, c, k: int):
     cf = c.astype(np.float64)
     unit = cf / np.where(cn > 0, cn, 1)[:, None]
     # each product and sum below 2^53 is exact in double precision, which is much faster than integers
-    exact = bool(len(c)) and np.abs(cf).max(initial=0) * max(1.0, np.abs(q).max(initial=0)) * c.shape[1] < 2**53
+    most = np.abs(cf).max(initial=0) * max(1.0, np.abs(q).max(initial=0)) * c.shape[1] if len(c) else 0.0
+    if not most < 2**62:
+        return _wide(qid, q, floor, cid, c, k)
+    exact = most < 2**53
+    whole = None if exact else c.astype(np.int64)
     out_q, out_c, out_s = [], [], []
     for n, x in enumerate(q):
         t = floor[n]
@@ -72,7 +77,7 @@ def block_search(qid, q, floor, cid, c, k: int):
                 xf = unit[:end, f]
                 bound = qf * xf + np.sqrt(max(0.0, 1 - qf * qf)) * np.sqrt(np.maximum(0.0, 1 - xf * xf))
                 keep = np.flatnonzero(bound * own * cn[:end] >= t * (1 - 1e-9))
-        s = (cf[keep] @ x.astype(np.float64)).astype(np.int64) if exact else c[keep] @ x
+        s = (cf[keep] @ x.astype(np.float64)).astype(np.int64) if exact else whole[keep] @ x.astype(np.int64)
         ok = (s >= t) & (cid[keep] != qid[n])
         ids, s = cid[keep][ok], s[ok]
         b = _best(ids, s, k)
@@ -83,13 +88,26 @@ def block_search(qid, q, floor, cid, c, k: int):
     return pd.DataFrame({"query_id": cat(out_q).astype(np.int64), "vec_id": cat(out_c).astype(np.int64), "score": cat(out_s).astype(np.int64)})
 
 
+def _wide(qid, q, floor, cid, c, k: int):
+    """block_search in Python's integers."""
+    rows = [[int(v) for v in x] for x in c]
+    out = []
+    for n, x in enumerate([int(v) for v in x] for x in q):
+        s = [(-sum(a * b for a, b in zip(x, y)), int(i)) for i, y in zip(cid, rows) if i != qid[n]]
+        for neg, i in sorted(v for v in s if -v[0] >= int(floor[n]) or -v[0] < -(2**63))[:k]:
+            if not -(2**63) <= -neg < 2**63:
+                raise ValueError(f"the inner product of vectors {qid[n]} and {i} is beyond a long")
+            out.append((int(qid[n]), i, -neg))
+    return pd.DataFrame({name: np.array([r[m] for r in out], dtype=np.int64) for m, name in enumerate(("query_id", "vec_id", "score"))})
+
+
 def _joined(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
     """The k best of each query, over pairs of blocks: q has a row per query block and candidate block to visit."""
 
     def search(batches):
         for b in batches:
             for qr, floors, cr in zip(b.queries, b.floors, b.rows):
-                arr = lambda rows: (np.array([r["id"] for r in rows], dtype=np.int64), np.array([r["v"] for r in rows], dtype=np.int64))
+                arr = lambda rows: (np.array([r["id"] for r in rows], dtype=np.int64), np.array([r["v"] for r in rows], dtype=np.float64))
                 qi, qv = arr(qr)
                 ci, cv = arr(cr)
                 yield block_search(qi, qv, np.asarray(floors, dtype=np.int64), ci, cv, k)
@@ -103,12 +121,17 @@ def _joined(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
 def top_k(df: DataFrame, query: str, id_col: str = "vec_id", vector: str = "embedding", scale: float = 256.0, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows with the greatest inner product of floor(scale * x) for each row of
     df that the SQL condition query names."""
-    v = F.transform(F.col(vector), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
+    # whole numbers in double precision: floor gives a long, which holds all that have a fraction
+    def whole(x):
+        y = F.lit(float(scale)) * x.cast("double")
+        y = F.when(F.abs(y) < F.lit(2.0**53), F.floor(y).cast("double")).otherwise(y) + F.lit(0.0)
+        return F.when(F.abs(y) == F.lit(float("inf")), F.raise_error(F.lit("a scaled component is infinite")).cast("double")).otherwise(y)
+
+    v = F.transform(F.col(vector), whole)
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
     fine = df.where(F.coalesce(F.col(id_col).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, bad), F.lit(False)))
-    clip = lambda x: F.least(F.greatest(x, F.lit(-(2**28))), F.lit(2**28)).cast("long")
-    rows = fine.select(F.col(id_col).cast("long").alias("id"), F.transform(v, clip).alias("v"), F.expr(f"coalesce({query}, false)").alias("asks")).distinct()
-    rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).withColumn("d", F.size("v"))
+    rows = fine.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.expr(f"coalesce({query}, false)").alias("asks")).distinct()
+    rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).withColumn("d", F.size("v"))
     rows = written(rows, "vectors")
     # BUCKETS quantiles of the length, and a count for each bucket: bounded by the parameter and the dimensions in use
     cuts = rows.groupBy("d").agg(F.percentile_approx("norm", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("cuts"))
@@ -121,12 +144,12 @@ def top_k(df: DataFrame, query: str, id_col: str = "vec_id", vector: str = "embe
     asked = asked.withColumn("qb", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n)).cast("int"))
     # 1: a floor from one block of the longest vectors
     packed = asked.groupBy("d", "qb").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("queries"), F.max("norm").alias("norm"))
-    packed = packed.withColumn("floors", F.transform("queries", lambda q: F.lit(-(2**62)).cast("long")))
+    packed = packed.withColumn("floors", F.transform("queries", lambda q: F.lit(-(2**63)).cast("long")))
     first = sizes.groupBy("d").agg(F.min_by(F.struct("bucket", "blocks"), "bucket").alias("f")).select("d", "f.bucket", "f.blocks")
     seeds = _joined(packed.join(F.broadcast(first), "d").withColumn("block", F.pmod(F.col("qb"), F.col("blocks"))).drop("blocks"), blocks, k)
     floors = written(seeds.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor")), "floors")
     # 2: every block of every bucket that the floor does not rule out
-    asked = asked.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-(2**62))))
+    asked = asked.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-(2**63))))
     packed = asked.groupBy("d", "qb").agg(F.sort_array(F.collect_list(F.struct("id", "v", "floor"))).alias("q"), F.min(F.when(F.col("norm") > 0, F.col("floor") / F.col("norm")).otherwise(F.when(F.col("floor") > 0, 1e300).otherwise(-1e300))).alias("need"))
     packed = packed.select("d", "qb", F.transform("q", lambda x: F.struct(x["id"].alias("id"), x["v"].alias("v"))).alias("queries"), F.transform("q", lambda x: x["floor"]).alias("floors"), "need")
     visits = packed.join(F.broadcast(sizes), "d").where(F.col("longest") * (1 + 1e-9) >= F.col("need"))

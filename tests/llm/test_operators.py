@@ -229,6 +229,20 @@ def test_top_k(vectors):
     assert topk.top_k(vectors.limit(0), "true").count() == 0
 
 
+@pytest.mark.parametrize("size", [1e6, 2e6, 3e6])
+def test_top_k_large_components(spark, size):
+    """Components beyond 2^20 take part as they are; what no long holds is an error."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in size * rng.standard_normal(4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    score = lambda a, b: sum(x * y for x, y in zip(q[a], q[b]))
+    want = {(a, n + 1, b, -s) for a in (0, 50) for n, (s, b) in enumerate(sorted((-score(a, b), b) for b in q if b != a)[:5])}
+    assert {tuple(r) for r in topk.top_k(df, "vec_id % 50 = 0").collect()} == want
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.top_k(spark.createDataFrame([(0, [1e9] * 4), (1, [1e9] * 4)], df.schema), "true").collect()
+
+
 def test_embedding_dedup(vectors):
     rows = vectors.collect()
     ok = {r.vec_id: (r.label, np.array(r.embedding)) for r in rows if r.label is not None and r.embedding and None not in r.embedding and np.isfinite(r.embedding).all() and any(r.embedding)}
