@@ -1,9 +1,9 @@
-"""Near-duplicate embeddings by randomised-rotation binary codes with stored correction factors.
+"""Near-duplicate embeddings by randomised-rotation binary codes and a deterministic bound.
 
 Each unit vector o is rotated; its code is the signs x of the rotated components, its factor a = <o, x / sqrt(D)>.
-With s = <q, x / sqrt(D)>, s / a is an unbiased estimate of <o, q>; its interval needs no chance at all:
-<o, q> lies within a s +- sqrt(1 - a^2) sqrt(1 - s^2), as both are angles to the same code. Only pairs whose upper
-bound reaches the threshold are computed again, in double precision; the rest cannot link, so no link is lost.
+With s = <q, x / sqrt(D)>, no estimate and no chance is needed: <o, q> lies within a s +- sqrt(1 - a^2) sqrt(1 - s^2),
+as both are angles to the same code. Only pairs whose upper bound reaches the threshold are computed again, in double
+precision; the rest cannot link, so no link is lost.
 
 Equal vectors of a label are one row with a weight. Labels are cut into blocks of BLOCK distinct vectors; block pairs
 are dealt out as tasks of their own, so a label with a third of all rows is spread over its block pairs. A block pair
@@ -37,7 +37,7 @@ def rotation(d: int, seed: int = 7) -> np.ndarray:
 
 
 class Codes:
-    """Signs of the rotated unit vectors, their factors, and estimates and upper bounds against other vectors."""
+    """Signs of the rotated unit vectors, their factors, and upper bounds against other vectors."""
 
     def __init__(self, unit: np.ndarray, rot: np.ndarray):
         d = unit.shape[1]
@@ -46,9 +46,6 @@ class Codes:
         self.signs = np.where(turned >= 0, 1, -1).astype(np.float32) / np.float32(np.sqrt(d))
         self.factor = np.abs(turned).sum(axis=1) / np.sqrt(d)
 
-    def estimates(self, other: Codes) -> np.ndarray:
-        return (self.signs @ other.turned.T) / self.factor[:, None]
-
     def upper(self, other: Codes) -> np.ndarray:
         s = np.clip(self.signs @ other.turned.T, -1, 1)
         a = np.clip(self.factor, 0, 1).astype(np.float32)[:, None]
