@@ -366,6 +366,58 @@ def test_pipeline(spark, sf):
     assert all(f(spark, empty, sf).count() == 0 for _, f in p.STAGES)
 
 
+def test_pipeline_stages_equal_brute_force(spark, sf, monkeypatch):
+    """The rows of every stage of one run against plain Python, with no tolerance."""
+    import sentencepiece as library
+
+    import corpus_pipeline as p
+
+    folder = work_dir(spark, "test-pipeline")
+    monkeypatch.setattr(p, "work_dir", lambda *_: folder)
+    out = Counter((r.doc_id, r.n_tokens, tuple(r.ids), r.exact) for r in p.run(spark, sf).collect())
+    raw = spark.read.parquet(f"{sf}/documents.parquet")
+    of = lambda name: spark.read.parquet(f"{folder}/{name}")
+    rows = lambda df: [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in df.collect()]
+    # toxicity: the learned lexicon, row by row
+    lexicon = toxicity.learn(raw, spark.read.parquet(f"{sf}/labels.parquet").where(~toxicity.held_out("doc_id")))
+    docs = [(d, t, la, so, len(t or "")) for d, t, la, so, _ in rows(raw) if lexicon.score(t) < 0.7]
+    assert 0 < len(docs) < raw.count() and Counter(rows(of("toxicity"))) == Counter(docs)
+    # near copies: every pair
+    s = {d: simhash.shingle_set(t, 5) for d, t, *_ in docs}
+    text = {d: t or "" for d, t, *_ in docs}
+    root = linked(s, [(a, b) for a in s for b in s if a < b and (text[a] == text[b] or simhash.jaccard(s[a], s[b]) >= 0.8)])
+    docs = [r for r in docs if root[r[0]] == r[0]]
+    assert len(docs) < len(s) and Counter(rows(of("simhash_near_dedup"))) == Counter(docs)
+    # repeated strings
+    left = {i: k.decode("utf-8", "ignore") for i, _, _, _, k in repeats_of(sorted((r[0], r[1] or "") for r in docs), 100)}
+    docs = [(d, left[d], la, so, len(left[d])) for d, _, la, so, _ in docs]
+    assert Counter(rows(of("suffix_array_dedup"))) == Counter(docs)
+    # mixing: the slots' words, cut into documents by their order in the source
+    src = of("suffix_array_dedup").withColumn("_row", F.monotonically_increasing_id())
+    slots = mixing.mix(src, "_row", "text", "source", mixing.BLOCK)[1].collect()
+    streams, size, kept = defaultdict(list), {}, {r._row: r for r in src.collect()}
+    for i in sorted(kept):
+        words = re.findall(r"[^\x20\x09-\x0D]+", kept[i].text)
+        size[i] = len(words)
+        streams[kept[i].source] += [(i, w) for w in words]
+    uses, given = defaultdict(list), defaultdict(list)
+    for r in slots:
+        uses[r.source, r["index"]].append(r.n_words)
+    for source, index in sorted(uses, key=lambda u: (u[0] is not None, u[0] or "", u[1])):
+        for turn, n in enumerate(sorted(uses[source, index], reverse=True)):
+            for i, w in streams[source][index * mixing.BLOCK : index * mixing.BLOCK + n]:
+                given[i, turn].append(w)
+    docs = []
+    for (i, _), words in given.items():
+        t = kept[i].text if len(words) == size[i] else " ".join(words)
+        docs.append((kept[i].doc_id, t, kept[i].lang, kept[i].source, len(t)))
+    assert Counter(rows(of("mixing"))) == Counter(docs)
+    # token ids
+    lib = library.SentencePieceProcessor(model_file=tokenizer_files.path("piece_bpe_32k.model"))
+    ids = [(d, lib.encode(t), t) for d, t, *_ in docs]
+    assert out == Counter((d, len(x), tuple(x), lib.decode(x) == t) for d, x, t in ids)
+
+
 def test_no_more_operators_and_clean_imports():
     assert sorted(queries.QUERIES) == sorted(k for k in queries.QUERIES if k.startswith("op")) and len(queries.QUERIES) == 10
     root = Path(__file__).resolve().parents[2] / "heliotrope"
