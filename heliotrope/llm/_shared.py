@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -9,6 +11,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of rows that go to a Python worker at a time. A batch lies in the executor's JVM, in its worker and there once
+#: more as Python strings, for each core; 64 MB, the default, is more than whole texts need.
+BATCH_BYTES = 4 << 20
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """From now on batches of the session have at most BATCH_BYTES (one row may be longer); a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).removesuffix("b"))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+@functools.cache
+def _libc():
+    """The C library if it has malloc_trim (glibc), with arrays from 256 kB on in pages of their own."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.malloc_trim  # noqa: B018
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: fixed, else it grows with the arrays freed, whose memory then stays
+        return libc
+    except (AttributeError, OSError):
+        return None
+
+
+def lean(work):
+    """A function over batches for Python workers that gives back to the machine what it frees: workers live on for the
+    next tasks, two or more of them beside an executor's JVM."""
+
+    @functools.wraps(work)
+    def run(batches):
+        import pyarrow as pa
+
+        libc = _libc()
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if libc:
+                libc.malloc_trim(0)
+
+    return run
+
+
+def freed(df: DataFrame, *results: str) -> DataFrame:
+    """df with columns that have a result's name (whatever its case) renamed: underscores are added until it is free."""
+    taken, names = {c.lower() for c in df.columns} | {r.lower() for r in results}, []
+    for c in df.columns:
+        if c.lower() in {r.lower() for r in results}:
+            while c.lower() in taken:
+                c += "_"
+            taken.add(c.lower())
+        names.append(c)
+    return df.toDF(*names)
+
+
 def work_dir(spark: SparkSession, tag: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 

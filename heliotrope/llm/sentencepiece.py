@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._shared import lean, narrow_batches
+
 SPACE = "▁"
 NONE = np.int64(1 << 40)
 #: Symbols (ids) the table of encoded words may hold before it starts anew.
 TABLE_IDS = 1_000_000
 #: Characters of text handled at a time.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 
 codecs.register_error("one_by_one", lambda e: ("�", e.start + 1))
@@ -324,6 +326,7 @@ def _model(data: bytes) -> Model:
 def _held(df: DataFrame, model_file: str):
     with open(model_file, "rb") as f:
         data = f.read()
+    narrow_batches(df.sparkSession)
     Model(data)  # refuses what is not supported here rather than on an executor
     return df.sparkSession.sparkContext.broadcast(data)  # the model's size, whatever the input's
 
@@ -331,11 +334,13 @@ def _held(df: DataFrame, model_file: str):
 def _udf(df: DataFrame, model_file: str, kind: str):
     held = _held(df, model_file)
 
+    @lean
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = _model(held.value)
         for s in batches:
             yield pd.Series(m.encode([None if x is None or x != x else x for x in s]), index=s.index, dtype=object)
 
+    @lean
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = _model(held.value)
         for s in batches:
@@ -362,6 +367,7 @@ def round_trip(df: DataFrame, text: str, model_file: str, ids: str = "ids", deco
     model, kept = _held(df, model_file), df.drop(ids, decoded)
     at = kept.columns.index(text)
 
+    @lean
     def both(batches):
         import pyarrow as pa
         import pyarrow.compute as pc

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._shared import dropped, join_checked, written
+from ._shared import dropped, join_checked, lean, narrow_batches, written
 
 #: Fingerprints that a bucket may have and be verified by pairs.
 BUCKET = 512
@@ -53,8 +53,10 @@ def fingerprint(text: str | None, k: int) -> int:
 
 def fingerprints(df: DataFrame, text: str = "text", k: int = 5, out: str = "fingerprint") -> DataFrame:
     """df with each text's fingerprint as a long of the same 64 bits."""
+    narrow_batches(df.sparkSession)
 
     @F.pandas_udf("long")
+    @lean
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series(np.array([fingerprint(x, k) for x in s], dtype=np.uint64).astype(np.int64))
@@ -65,6 +67,7 @@ def fingerprints(df: DataFrame, text: str = "text", k: int = 5, out: str = "fing
 def bit_groups(fps: DataFrame, m: int) -> list[list[int]]:
     """64 bits in m groups: greedily, by absolute correlation over all rows of fps."""
 
+    @lean
     def moments(batches):
         n, one, two = 0, np.zeros(64), np.zeros((64, 64))
         for b in batches:
@@ -170,6 +173,7 @@ def link(fps: DataFrame, t: int = 2, m: int | None = None) -> DataFrame:
     """Edges (a, b) between nodes of fps (node, fp; fp distinct) whose components are those of all pairs within t bits."""
     held = written(buckets(fps.select("node", "fp"), t, m or t + 1), "buckets")
 
+    @lean
     def verified(batches):
         for batch in batches:
             a, b = [], []
@@ -290,10 +294,12 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     that, and that length and place of the shingle allow, are compared one by one; a shingle with many such pairs
     beside its texts gives a spanning forest, and a group so made is compared together, in blocks."""
     spark = df.sparkSession
+    narrow_batches(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keyed = rows.withColumn("key", F.sha2("text", 256))
 
     # frequent shingles, from a sample of texts
+    @lean
     def counted(batches):
         for batch in batches:
             got = [shingle_set(x, k) for x in batch.text]
@@ -309,6 +315,7 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     held = spark.sparkContext.broadcast((shingle[order], times[order]))  # bounded by ORDERED
 
     @F.pandas_udf("n long, sig array<long>")
+    @lean
     def prefixes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = [shingle_set(x, k) for x in batch]
@@ -325,6 +332,7 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     packed = written(lists(index).where(F.size("nodes") > 1).select("h", F.arrays_zip("nodes", "ns", "at").alias("m")), "buckets")
 
     @F.pandas_udf("binary")
+    @lean
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series([shingle_set(x, k).tobytes() for x in s])
@@ -353,6 +361,7 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     several = comp.groupBy("h").agg(F.collect_list("node").alias("nodes"), F.collect_list("n").alias("ns"), F.collect_list("pos").alias("at"), F.collect_list("comp").alias("comps"))
     several = several.where(F.array_min("comps") < F.array_max("comps"))
 
+    @lean
     def close(batches):
         for batch in batches:
             a, b, dense = [], [], []

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import dropped, shuffle_partitions, written
+from ._shared import dropped, lean, narrow_batches, shuffle_partitions, written
 
 K = 32
 #: Contexts of an anchor that are compared by suffix array.
@@ -207,6 +207,7 @@ def _frame(kind, h, c, place, lo, hi) -> pd.DataFrame:
 def find_anchors(texts: DataFrame, length: int, k: int) -> DataFrame:
     """Anchor rows of (place, text) rows; a context that repeats in a slice of a batch is decided there."""
 
+    @lean
     def scan(batches):
         for b in batches:
             texts, places = b.text.tolist(), b.place.to_numpy()
@@ -242,6 +243,7 @@ def settle(found: DataFrame) -> DataFrame:
     """Streams anchor rows in order of (h, c, place, lo): all but the first of equal contexts are repeated (kind 1); the
     first of each context stays (kind 0) if its anchor has another context, else it goes. Memory: one batch."""
 
+    @lean
     def merge(batches):
         # what is known of the anchor and context that the last batch ended in
         ph = pc = None
@@ -321,6 +323,7 @@ def compare_contexts(contexts: DataFrame, length: int) -> DataFrame:
         first = np.flatnonzero(new)
         yield pd.DataFrame({"place": p[first], "lo": s[first], "hi": s[np.append(first[1:], len(p)) - 1]})
 
+    @lean
     def stream(batches):
         tail: list[pd.DataFrame] = []
         for b in batches:
@@ -353,6 +356,7 @@ def repeats(texts: DataFrame, length: int, k: int) -> DataFrame:
         per = rows.groupBy("place").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("a"))  # a text's own anchors
         return texts.join(per, "place").select("place", "text", "a")
 
+    @lean
     def cut(batches):
         frame = lambda *x: pd.DataFrame({n: np.array(v, dtype=np.int64) if n != "bytes" else v for n, v in zip(("h", "place", "lo", "hi", "bytes"), x)})
         h, place, lo, hi, data = [], [], [], [], []
@@ -375,6 +379,7 @@ def repeats(texts: DataFrame, length: int, k: int) -> DataFrame:
     else:
         cold = fetched(open_.join(hot, "h", "left_anti"))
 
+        @lean
         def windows(batches):
             for b in cut(batches):
                 a, c, place, s = [], [], [], []
@@ -402,6 +407,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text: str = "text", leng
     """df with n_bytes, n_removed, n_spans and kept (binary): what is left of each text."""
     if not 0 < k <= length:
         raise ValueError("k must lie in 1..length")
+    narrow_batches(df.sparkSession)
     names = [f"_c{i}" for i in range(len(df.columns))]
     rows = df.toDF(*names)
     id_, text_ = names[df.columns.index(id_col)], names[df.columns.index(text)]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._files import Committed, opened
-from ._shared import shuffle_partitions, work_dir
+from ._shared import lean, narrow_batches, shuffle_partitions, work_dir
 from .sentencepiece import ragged
 
 MAGIC = b"S8BIDS01"
@@ -40,7 +40,7 @@ BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 #: Ids gathered before a file is closed: about 32 MB in memory.
 ROLL_IDS = 4_000_000
 TABLE_IDS = 1_500_000
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
 # -- Simple-8b ----------------------------------------------------------------------------------------------------
@@ -267,11 +267,13 @@ def write(df: DataFrame, folder: str, tokenizer_file: str, id_col: str = "doc_id
         data = f.read()
     Encoder(data)
     spark = df.sparkSession
+    narrow_batches(spark)
     held = spark.sparkContext.broadcast(data)  # the vocabulary's size
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange(shuffle_partitions(spark), "id").sortWithinPartitions("id", "text")
     files = f"{folder}/ids"
 
+    @lean
     def save(batches):
         from pyspark import TaskContext
 
@@ -316,6 +318,7 @@ def _files(manifest: DataFrame, folder: str, row, schema: str) -> DataFrame:
     placed = manifest.withColumn("base", F.sum("ids").over(Window.orderBy("file")) - F.col("ids"))
     spread = placed.select("file", "base", "crc32").repartition(shuffle_partitions(manifest.sparkSession), "file")
 
+    @lean
     def open_files(batches):
         for b in batches:
             for name, base, crc in zip(b.file, b.base, b.crc32):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._files import Committed, opened
-from ._shared import shuffle_partitions, work_dir, written
+from ._shared import lean, narrow_batches, shuffle_partitions, work_dir, written
 
 ROLL = 256 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -67,6 +67,7 @@ def revisits(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def write(df: DataFrame, folder: str, id_col: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, roll: int = ROLL, date: str = DATE) -> DataFrame:
     """Writes the archives and returns their manifest (file, records, bytes, sha1), also written to folder/manifest."""
+    narrow_batches(df.sparkSession)
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     # what a row revisits travels as a row before it, so payloads are shuffled once whatever the number of repeats
@@ -75,6 +76,7 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url: str = "url",
     rows = rows.repartitionByRange(shuffle_partitions(df.sparkSession), "id").sortWithinPartitions("id", F.col("payload").isNotNull(), "url", "digest")
     files = f"{folder}/warc"
 
+    @lean
     def save(batches):
         from pyspark import TaskContext
 
@@ -152,6 +154,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     files = f"{folder}/warc"
     spread = manifest.select("file", "sha1").repartition(shuffle_partitions(manifest.sparkSession), "file")
 
+    @lean
     def load(batches):
         for b in batches:
             for name, want in zip(b.file, b.sha1):
