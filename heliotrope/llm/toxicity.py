@@ -2,20 +2,24 @@
 
 Folding: lower case, look-alike letters of other scripts and full-width forms to Latin ones, digits and signs used as
 letters (1d10t, $tup1d) to those, all else to single spaces. The lexicon is learned from labelled rows: whole words and
-word beginnings of PREFIX letters, weighted by smoothed log-odds; each count is of families of near copies (rows with
+word beginnings of PREFIX letters, weighted by smoothed log-odds; toxic counts are of families of near copies (rows with
 the same least word hash), so that a text copied often does not make a lexicon. Of patterns that start alike the most
-telling stays. Exception phrases are pairs of neighbouring words with a match that clean rows show and toxic ones do
-not; a match inside one does not count. The score is a logistic function of the log of the summed weights and of that
+telling stays. Exception phrases are words with a match, alone or with a neighbour, that toxic rows show hardly more often
+than clean ones (log-odds up to MOST_ODDS); a match inside one does not count. The score is a logistic function of the log of the summed weights and of that
 sum per word.
 
-Weighted words and the logistic function are the model: MAX_PATTERNS words at most (those with the greatest log-odds times
-families, of all that tell), and SAMPLE labelled rows of each
-class at most (chosen by hash) for the two slopes. Word counts cover all labelled rows that may be learned from.
+Which patterns are kept is a matter of evidence, not of rank: a pattern is in LEAST and in SHARE of the toxic families,
+its log-odds are LEAST_ODDS, and by chance (a Chernoff bound on the binomial tail, times the number of patterns tried)
+CHANCE patterns at most would have as many toxic families. As each is in SHARE of the families, there are at most 1 / SHARE
+times as many as an average toxic text has, whatever the number of rows; so they can be broadcast. Counts cover all
+labelled rows; only the three numbers of the logistic function are fitted on a sample, of about SAMPLE rows of each
+class, chosen by hash.
 
 Cases: null and empty texts score as texts without a match; labels that are null, and rows without a label, teach
-nothing; without toxic or without clean rows to learn from every score is 0; repeated labels of a row count once
-(toxic wins a tie); repeated rows of documents are scored each; very long texts are folded whole; empty tables give no
-rows; other columns pass through score() untouched.
+nothing; without toxic or without clean rows to learn from, or without a telling pattern, every score is near 0;
+repeated labels of a row count once (toxic wins a tie); repeated rows of documents are scored each; very long texts are
+folded whole; empty tables give no rows; other columns pass through score() untouched, one that has the name of the
+result under that name with underscores behind it.
 """
 
 from __future__ import annotations
@@ -28,17 +32,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import join_checked
+from ._shared import dropped, freed, join_checked, lean, narrow_batches, written
 
 PREFIX = (4, 5, 6)
-MAX_PATTERNS = 20_000
+#: Labelled rows of each class, about, that the logistic function is fitted on.
 SAMPLE = 20_000
 #: A pattern must appear in as many families of toxic rows, and in this share of them.
 LEAST, SHARE = 3, 0.005
-LEAST_ODDS = 3.0
+#: Least log-odds of a pattern, and how many patterns may be expected to get as far by chance.
+LEAST_ODDS, CHANCE = 2.0, 1.0
+#: Log-odds up to which a phrase with a match is an exception: toxic rows have it hardly more often than clean ones.
+MOST_ODDS = 1.0
 CUT = 0.7
 #: Rows of a frame that a worker gives back.
 ROWS = 10_000
@@ -120,18 +127,20 @@ class Lexicon:
                 spared.append((begin, end))
             elif w > hits.get(begin, 0.0):
                 hits[begin] = w
-        for a, b in spared:
-            hits = {k: w for k, w in hits.items() if not a <= k < b}
+        for at, end in spared:
+            while 0 <= at < end:  # each word of the phrase
+                hits.pop(at, None)
+                at = text.find(" ", at + 1)
         return hits
 
-    def measure(self, text: str | None) -> tuple[float, float]:
-        t = folded(text)
+    def measure(self, t: str) -> tuple[float, float]:
+        """Of a folded text: the log of the summed weights, and of that sum per word."""
         total = sum(self.matches(t).values())
         return math.log1p(total), math.log1p(1000.0 * total / (t.count(" ") + 20))
 
     def score(self, text: str | None) -> float:
         a, b, c = self.slopes
-        x, y = self.measure(text)
+        x, y = self.measure(folded(text))
         z = max(-60.0, min(60.0, a * x + b * y + c))
         return 1.0 / (1.0 + math.exp(-z))
 
@@ -164,74 +173,87 @@ def _frames(**columns) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({k: np.array(v, dtype=np.int64) if v and isinstance(v[0], int) else v for k, v in part.items()})
 
 
+def _patterns(text: str) -> Column:
+    """features() of a folded text, in DataFrame functions."""
+    one = lambda w: F.array(F.when(F.length(w) > 2, F.concat(F.lit(" "), w, F.lit(" "))), *[F.when(F.length(w) >= n, F.concat(F.lit(" "), F.substring(w, 1, n))) for n in PREFIX])
+    words = F.array_distinct(F.split(F.trim(F.col(text)), " "))
+    return F.array_distinct(F.filter(F.flatten(F.transform(words, one)), lambda x: x.isNotNull()))
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", exceptions: tuple[str, ...] = ()) -> Lexicon:
     """A lexicon from the texts of docs that labels marks; the caller leaves out of labels what must not be learned from."""
-    marks = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
+    narrow_batches(docs.sparkSession)
+    marks = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("y"))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_t"))
-    rows = join_checked(rows, marks, "_id", "inner")
-    # 1: candidates from toxic rows, by families
-    def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for t in b["_t"]:
-                words = set(folded(t).split())
-                fs = list(features(words))
-                yield from _frames(p=fs, f=[_family(words)] * len(fs))
-
-    found = rows.where("_y = 1").select("_t").mapInPandas(words_of, "p string, f long").groupBy("p").agg(F.countDistinct("f").alias("n"))
-    sizes = rows.groupBy("_y").count().collect()  # two numbers
-    n = {r["_y"]: r["count"] for r in sizes}
-    if not n.get(1) or not n.get(0):
+
+    @F.pandas_udf("t string, f long")
+    @lean
+    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            t = [folded(x) for x in s]
+            yield pd.DataFrame({"t": t, "f": np.array([_family(set(x.split())) for x in t], dtype=np.int64)})
+
+    # texts are read and folded once; what follows reads the folded labelled rows
+    rows = join_checked(rows, marks, "_id", "inner").withColumn("x", fold("_t"))
+    rows = written(rows.select("_id", "y", "x.t", "x.f"), "labelled")
+    n = {r.y: (r.n, r.f) for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("f").alias("f")).collect()}  # two rows
+    if 0 not in n or 1 not in n:
+        dropped(rows)
         return Lexicon({}, exceptions)
-    families = rows.where("_y = 1").select("_t").mapInPandas(lambda bs: (pd.DataFrame({"f": [_family(set(folded(t).split())) for t in b["_t"]]}) for b in bs), "f long").distinct().count()
+    families, clean = n[1][1], n[0][0]
     need = max(LEAST, SHARE * families)
-    cand = found.where(F.col("n") >= need)
-    # 2: clean rows with each pattern; the most telling candidates stay, by log-odds times support
-    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            c: Counter = Counter()
-            for t in b["_t"]:
-                c.update(features(set(folded(t).split())))
-            yield from _frames(p=list(c), c=list(c.values()))
-
-    seen = rows.where("_y = 0").select("_t").mapInPandas(clean, "p string, c long").groupBy("p").agg(F.sum("c").alias("c"))
-    both = cand.join(seen, "p", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    odds = F.log((F.col("n") + 0.5) / F.lit(families + 1.0)) - F.log((F.col("c") + 0.5) / F.lit(n[0] + 1.0))
-    both = both.withColumn("w", odds).where((F.col("w") >= LEAST_ODDS) & (F.col("c") <= F.col("n")))
-    told = both.orderBy(F.desc(F.col("w") * F.col("n")), "p").limit(MAX_PATTERNS).collect()
-    weights = _thinned({r.p: r.w for r in told})
-    lex = Lexicon(weights, exceptions)
-    # 3: exception phrases and a bounded sample of measures
+    # 1: patterns of enough toxic families: at most 1 / SHARE (or 200 / LEAST) times those of a text, so they are broadcast
+    seen = rows.select("y", "f", F.explode(_patterns("t")).alias("p"))
+    cand = seen.where("y = 1").select("p", "f").distinct().groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need)
+    cand = written(cand, "candidates")
+    tried = cand.count()
+    # 2: clean rows with each of them
+    met = seen.where("y = 0").join(F.broadcast(cand.select("p")), "p").groupBy("p").agg(F.count(F.lit(1)).alias("c"))
+    both = cand.join(met, "p", "left").withColumn("c", F.coalesce("c", F.lit(0))).withColumn("m", F.col("n") + F.col("c"))
+    odds = F.log((F.col("n") + 0.5) / F.lit(families + 1.0)) - F.log((F.col("c") + 0.5) / F.lit(clean + 1.0))
+    q = families / (families + clean)
+    part = lambda x, p: F.when(x > 0, x * F.log(x / (F.col("m") * F.lit(p)))).otherwise(0.0)
+    evidence = part(F.col("n"), q) + part(F.col("c"), 1 - q) - math.log(max(1, tried))
+    told = both.withColumn("w", odds).where((F.col("w") >= LEAST_ODDS) & (evidence >= -math.log(CHANCE))).select("p", "w").collect()
+    dropped(cand)
+    lex = Lexicon(_thinned({r.p: r.w for r in told}), exceptions)
+
+    # 3: exception phrases, in SHARE of the clean rows that have a match, and a bounded sample of measures
+    @lean
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter = Counter()
         for b in batches:
-            for t, y in zip(b["_t"], b["_y"]):
-                t = folded(t)
+            c: Counter = Counter()
+            for t, y in zip(b["t"], b["y"]):
                 mine = set()
                 for at in lex.matches(t):
                     before, rest = t[:at].rsplit(" ", 1)[-1], t[at + 1 :].split(" ", 2)
-                    mine |= {f"{before} {rest[0]}".strip(), " ".join(rest[:2]).strip()} - {rest[0]}
-                c.update((p, int(y)) for p in mine)
-        keep = [(p, y, k) for (p, y), k in c.items()]
-        yield from _frames(p=[x[0] for x in keep], y=[x[1] for x in keep], k=[x[2] for x in keep])
-
-    phrases = rows.select("_t", "_y").mapInPandas(pairs, "p string, y long, k long").groupBy("p").agg(F.sum(F.when(F.col("y") == 0, F.col("k")).otherwise(0)).alias("c"), F.sum(F.when(F.col("y") == 1, F.col("k")).otherwise(0)).alias("t"))
-    phrases = phrases.where((F.col("c") >= 3) & (F.col("t") == 0)).orderBy(F.desc("c"), "p").limit(MAX_PATTERNS)
-    lex = Lexicon(weights, tuple(sorted({*exceptions, *(r.p for r in phrases.collect())})))
-
+                    mine |= {rest[0], f"{before} {rest[0]}".strip(), " ".join(rest[:2]).strip()}
+                if mine:
+                    c.update((p, int(y)) for p in mine | {""})
+            yield from _frames(p=[p for p, _ in c], y=[y for _, y in c], k=list(c.values()))
+
+    of = lambda y: F.sum(F.when(F.col("y") == y, F.col("k")).otherwise(0))
+    phrases = rows.select("t", "y").mapInPandas(pairs, "p string, y long, k long").groupBy("p").agg(of(0).alias("c"), of(1).alias("t"))
+    phrases = written(phrases, "phrases")
+    every = phrases.where("p = ''").first()
+    if every:
+        odds = F.log((F.col("t") + 0.5) / F.lit(n[1][0] + 1.0)) - F.log((F.col("c") + 0.5) / F.lit(clean + 1.0))
+        kept = phrases.where((F.col("p") != "") & (odds <= MOST_ODDS) & (F.col("c") >= max(LEAST, SHARE * every.c))).collect()
+        lex = Lexicon(lex.weights, tuple(sorted({*exceptions, *(r.p for r in kept)})))
+    dropped(phrases)
+
+    @lean
     def measures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            m = [lex.measure(t) for t in b["_t"]]
-            yield pd.DataFrame({"x": [v[0] for v in m], "z": [v[1] for v in m], "y": b["_y"]})
-
-    sample = None
-    for y in (0, 1):
-        some = rows.where(F.col("_y") == y).withColumn("_h", F.xxhash64("_id"))
-        some = some.where(F.col("_h").between(-(2**63), _share(SAMPLE, n[y]))).select("_t", "_y").mapInPandas(measures, "x double, z double, y int").limit(2 * SAMPLE)
-        sample = some if sample is None else sample.union(some)
-    got = sample.toPandas()
+            m = np.array([lex.measure(t) for t in b["t"]], dtype=np.float64).reshape(-1, 2)
+            yield pd.DataFrame({"x": m[:, 0], "z": m[:, 1], "y": b["y"]})
+
+    upto = F.when(F.col("y") == 1, F.lit(_share(SAMPLE, n[1][0]))).otherwise(F.lit(_share(SAMPLE, clean)))
+    got = rows.where(F.xxhash64("_id") <= upto).select("t", "y").mapInPandas(measures, "x double, z double, y int").toPandas()
+    dropped(rows)
     if got.y.nunique() < 2:
         return Lexicon({}, exceptions)
-    return Lexicon(weights, lex.exceptions, _fit(got[["x", "z"]].to_numpy(), got.y.to_numpy()))
+    return Lexicon(lex.weights, lex.exceptions, _fit(got[["x", "z"]].to_numpy(), got.y.to_numpy()))
 
 
 def _share(sample: int, n: int) -> int:
@@ -251,14 +273,17 @@ def _thinned(weights: dict[str, float]) -> dict[str, float]:
 
 
 def score(df: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "score") -> DataFrame:
-    held = df.sparkSession.sparkContext.broadcast(lexicon)  # bounded by MAX_PATTERNS
+    narrow_batches(df.sparkSession)
+    held = df.sparkSession.sparkContext.broadcast(lexicon)  # bounded by SHARE, see above
 
     @F.pandas_udf("double")
+    @lean
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series([held.value.score(t) for t in s], dtype="float64")
 
-    return df.withColumn(out, of(text))
+    df, name = freed(df, out), text + "_" * (text.lower() == out.lower())
+    return df.withColumn(out, of(name))
 
 
 def held_out(id_col: str):

@@ -147,31 +147,76 @@ def test_suffix_dedup_hot_anchor(spark, monkeypatch):
 
 
 # -- 3: toxicity ----------------------------------------------------------------------------------------------------
-FEW = pytest.mark.xfail(reason="33 toxic rows to learn from: 14 of 18 found, 14 of 17 right", strict=True)
+FEW = pytest.mark.xfail(reason="33 toxic rows to learn from; the 4 of 18 that are missed have no pattern that these show", strict=True)
 
 
-@pytest.mark.parametrize("size", ["sf0.1", pytest.param("sf0.01", marks=FEW)])
-def test_toxicity_held_out(spark, size):
-    sf = f"/root/testdata/{size}"
+@pytest.fixture(scope="module", params=["sf0.1", "sf0.01"])
+def scored(request, spark):
+    sf = f"/root/testdata/{request.param}"
     got = toxicity.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
-    hit = sum(r.predicted == 1 and r.toxic == 1 for r in got)
-    assert hit >= 0.85 * sum(r.toxic == 1 for r in got) and hit >= 0.85 * sum(r.predicted == 1 for r in got)
+    return request.param, got, sum(r.predicted == 1 and r.toxic == 1 for r in got)
+
+
+def test_toxicity_held_out(scored):
+    """Nearly all that is flagged is toxic, at both sizes; what a small one misses is what scores as a text without a match."""
+    _, got, hit = scored
+    assert hit >= 0.9 * sum(r.predicted == 1 for r in got) and hit >= 0.75 * sum(r.toxic == 1 for r in got)
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_toxicity_recall(request, scored):
+    size, got, hit = scored
+    if size == "sf0.01":
+        request.applymarker(FEW)
+    assert hit >= 0.85 * sum(r.toxic == 1 for r in got)
+
+
+def slow_matches(weights, exceptions, t):
+    hits = {}
+    for k in range(len(t)):
+        found = [w for p, w in weights.items() if t.startswith(p, k)]
+        if found:
+            hits[k] = max(found)
+    for p in exceptions:
+        for k in range(len(t)):
+            if f" {p} " not in weights and t.startswith(f" {p} ", k):
+                hits = {i: w for i, w in hits.items() if not k <= i < k + len(p) + 1}
+    return hits
+
+
+def test_toxicity_matches_equal_naive():
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 5)))
+    for _ in range(200):
+        weights = {f" {word()}" + rnd.choice(["", " "]): rnd.uniform(1, 9) for _ in range(12)}
+        exceptions = tuple({rnd.choice([word(), f"{word()} {word()}"]) for _ in range(8)})
+        t = " " + " ".join(word() for _ in range(60)) + " "
+        assert toxicity.Lexicon(weights, exceptions).matches(t) == slow_matches(weights, exceptions, t)
+    assert toxicity.Lexicon({" a": 1.0}).matches("  ") == {} == toxicity.Lexicon({}).matches(" a ")
+
+
+def test_toxicity_patterns(spark):
+    texts = [toxicity.folded(t) for t in ("", "a bc def ghijklm ghij", "Réeux-ment 1d10t! idiots idiots", "w" * 9)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", toxicity._patterns("t").alias("p"))
+    assert {r.t: sorted(r.p) for r in df.collect()} == {t: sorted(toxicity.features(set(t.split()))) for t in texts}
+
+
 def test_toxicity_without_labels(spark, odd):
     none = toxicity.learn(odd, odd.limit(0).select("doc_id", F.lit(1).alias("toxic")))
     assert toxicity.score(odd, none).where("score > 0.01").count() == 0
-    assert toxicity.score(odd, none).count() == odd.count()
+    got = toxicity.score(odd, none)
+    assert got.count() == odd.count() and got.where("score_ = 0.5").count() == odd.where("score = 0.5").count()  # the column that had the name
+    long = spark.createDataFrame([(1, "fine words " * 300_000, "x"), (2, None, "y")], "doc_id long, text string, y string")
+    assert {r.doc_id: r.y for r in toxicity.score(long, none).collect()} == {1: "x", 2: "y"}
+    assert toxicity.score(odd.limit(0), none).count() == 0
 
 
-def test_toxicity_keeps_the_telling(spark, monkeypatch):
-    """A bound on patterns keeps rare telling words, not frequent neutral ones."""
+def test_toxicity_keeps_the_telling(spark):
+    """Rare telling words are kept, not frequent neutral ones nor those of one row."""
     common = "morning window garden yellow silver market"
     own = lambda i: " ".join(hashlib.md5(f"{i}-{j}".encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop")) for j in range(20))
     rows = [(i, f"{common} {own(i)}" + (" zorgblat" if i < 30 and i % 2 else ""), int(i < 30)) for i in range(90)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    monkeypatch.setattr(toxicity, "MAX_PATTERNS", 8)
     lexicon = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
     assert lexicon.matches(toxicity.folded("a zorgblat")) and not lexicon.matches(toxicity.folded(common))
 
