@@ -11,14 +11,14 @@ anchor's windows in a text form one context of less than 2 * length bytes. Conte
  - equal contexts: all but the earliest are wholly repeated, decided in sorted order, by hash, without their bytes
    (in the map task already for copies in a batch, so that a hot passage is one row a batch);
  - anchors with several different contexts: only those few bytes are fetched and go through suffix and LPF arrays, in
-   groups of up to GROUP; an anchor with more is decided exactly by window hashes, as combinable minima.
+   groups of up to GROUP; an anchor with more is decided by window hashes, as combinable minima, to the same end.
 Equal documents are one text (the earliest); later copies are removed whole if they have a window at all. Hashes that
 decide are 128 bits.
 
 Cases: null and empty texts have no bytes; texts shorter than `length` lose nothing; rows with a null id come before
 all others; repeated rows with one id are documents in the order of their texts, equal ones in any order; overlapping
 repeats (aaaa...) count; texts of any length are read whole; empty tables give no rows; other columns pass through
-deduplicated() untouched, under whatever names.
+deduplicated() untouched, those that have the name of a result under that name with underscores behind it.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import dropped, lean, narrow_batches, shuffle_partitions, written
+from ._shared import dropped, freed, lean, narrow_batches, shuffle_partitions, written
 
 K = 32
 #: Contexts of an anchor that are compared by suffix array.
@@ -56,55 +56,80 @@ def _ranked(key: np.ndarray) -> np.ndarray:
     return rank
 
 
-def suffix_ranks(x: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of the suffixes of the bytes x at `starts` in the order of their first `depth` bytes (equal: same rank);
-    each suffix must have that many. Prefix doubling from packed words of 8 bytes: all positions up to the greatest
-    power of two that two overlapping ranks need, then the starts alone."""
-    n = len(x)
-    wide = np.concatenate([x, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
-    first = min(8, depth)
-    word = np.zeros(n, dtype=np.uint64)
-    for i in range(first):
-        word = (word << np.uint64(8)) | wide[i : i + n]
-    rank, h = _ranked(word), first
-    while h * 4 <= depth:
-        key = rank * n
-        key[: n - h] += rank[h:] + 1 if n > h else 0
-        rank, h = _ranked(key), 2 * h
-    # the rest is covered by ranks at 0, h, 2h, ... and one that ends at depth
-    at = [*range(0, depth - h, h), depth - h]
-    out = rank[starts]
-    for i in at[1:] if len(at) > 1 else []:
-        out = _ranked(out * n + rank[starts + i])
+def suffix_levels(x: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """(h, ranks) of all positions of the bytes x by their first h bytes, for h of 1, 2, 4, ... up to depth, by prefix
+    doubling; what lies beyond the end is less than any byte."""
+    n, h = len(x), 1
+    rank = x.astype(np.int64) + 1
+    out = [(h, rank)]
+    while h * 2 <= depth:
+        key = rank * (max(n, 256) + 2)
+        key[: max(0, n - h)] += rank[h:]
+        rank, h = _ranked(key) + 1, 2 * h
+        out.append((h, rank))
     return out
 
 
-def _earlier(sa: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """For each place of sa whether its nearest smaller position before or after shares `depth` bytes with it.
-
-    Suffixes with one rank are a run of sa in ascending order of position. So the previous smaller value of a place
-    is the place before it if that has the same rank; if not, it lies in another run and shares less. The next smaller
-    value never lies in the same run, for the same reason. So neither array needs to be made beyond that."""
-    same = np.zeros(len(sa), dtype=bool)
-    same[1:] = rank[sa[1:]] == rank[sa[:-1]]
-    return same
-
-
-def lpf_reaches(x: np.ndarray, length: int, starts: np.ndarray | None = None) -> np.ndarray:
-    """For each of the starts (by default all that have `length` bytes after them), in ascending order, whether its
-    longest previous factor has at least `length` bytes.
-
-    With suffixes in order of `length` bytes, equal ones by position, a previous factor of that length exists just if
-    the nearest smaller position before or after in suffix order has the same rank."""
+def suffix_array(levels: list[tuple[int, np.ndarray]], starts: np.ndarray, depth: int) -> np.ndarray:
+    """Places of the starts (ascending positions with `depth` bytes behind them) in the order of their suffixes' first
+    depth bytes, equal ones by position."""
+    h, rank = levels[-1]
+    out = rank[starts]
+    for i in (*range(h, depth - h, h), depth - h) if depth > h else ():
+        out = _ranked(out * (len(rank) + 2) + rank[starts + i])
+    return np.argsort(out, kind="stable")
+
+
+def smaller_neighbours(sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of sa the nearest place before and after it with a smaller value (-1 and len(sa): none), by pointer
+    jumping: all that lies between a place and its pointer is greater than the value there, so an unsettled place may
+    take the pointer of its pointer."""
+    n = len(sa)
+
+    def nearest(v: np.ndarray) -> np.ndarray:
+        wall = np.concatenate([v, [-1]])  # pointers to none end at the last place
+        to = np.arange(-1, n)
+        to[-1] = to[0] = n
+        left = np.arange(n)
+        while len(left):
+            left = left[wall[to[left]] > wall[left]]
+            to[left] = to[to[left]]
+        return to[:n]
+
+    before = nearest(sa)
+    after = nearest(sa[::-1])[::-1]
+    return np.where(before == n, -1, before), np.where(after == n, n, n - 1 - after)
+
+
+def common_prefix(levels: list[tuple[int, np.ndarray]], p: np.ndarray, q: np.ndarray, depth: int) -> np.ndarray:
+    """Length of the common prefix of the suffixes at p and q, up to depth; both have depth bytes."""
+    size = np.zeros(len(p), dtype=np.int64)
+    n = len(levels[0][1])
+    for h, rank in reversed(levels):
+        for _ in range(max(1, depth // h if h == levels[-1][0] else 1)):
+            a, b = p + size, q + size
+            same = (size + h <= depth) & (np.maximum(a, b) + h <= n)
+            same[same] = rank[a[same]] == rank[b[same]]
+            size[same] += h
+    return size
+
+
+def lpf(x: np.ndarray, length: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """The longest previous factor of each of the starts (by default all that have `length` bytes behind them), counted
+    up to `length` and among the starts: the greater of the prefixes shared with the previous and the next smaller
+    position in suffix order."""
+    x = np.asarray(x, dtype=np.uint8)
     if starts is None:
         starts = np.arange(max(0, len(x) - length + 1))
-    n = len(starts)
-    out = np.zeros(n, dtype=bool)
-    if n < 2:
+    out = np.zeros(len(starts), dtype=np.int64)
+    if len(starts) < 2:
         return out
-    rank = suffix_ranks(np.asarray(x, dtype=np.uint8), starts, length)
-    sa = np.argsort(rank * n + np.arange(n))
-    out[sa] = _earlier(sa, rank)
+    levels = suffix_levels(x, length)
+    sa = suffix_array(levels, starts, length)
+    for near in smaller_neighbours(sa):
+        there = (near >= 0) & (near < len(sa))
+        mine, other = sa[there], sa[near[there]]
+        out[mine] = np.maximum(out[mine], common_prefix(levels, starts[mine], starts[other], length))
     return out
 
 
@@ -312,7 +337,7 @@ def compare_contexts(contexts: DataFrame, length: int) -> DataFrame:
         counts = sizes - length + 1
         owner = np.repeat(np.arange(n), counts)
         offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        hit = lpf_reaches(np.frombuffer(b"".join(data), dtype=np.uint8), length, at[owner] + offset)
+        hit = lpf(np.frombuffer(b"".join(data), dtype=np.uint8), length, at[owner] + offset) >= length
         own = owner[hit]
         p, s = g.place.to_numpy()[own], g.lo.to_numpy()[own] + offset[hit]
         if not len(p):
@@ -408,6 +433,8 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text: str = "text", leng
     if not 0 < k <= length:
         raise ValueError("k must lie in 1..length")
     narrow_batches(df.sparkSession)
+    results = ("n_bytes", "n_removed", "n_spans", "kept")
+    ends = freed(df, *results).columns
     names = [f"_c{i}" for i in range(len(df.columns))]
     rows = df.toDF(*names)
     id_, text_ = names[df.columns.index(id_col)], names[df.columns.index(text)]
@@ -446,7 +473,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text: str = "text", leng
         work = spans.withColumn("copy", F.lit(False)).unionByName(copies.select(F.col("id").alias("place"), F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), F.lit(True).alias("copy")))
         joined = rows.join(work, F.col(id_).cast("long") == F.col("place"), "left")
     out = joined.select(*names, _cut(length)(F.coalesce(F.col(text_), F.lit("")), "spans", F.coalesce("copy", F.lit(False))).alias("_out"))
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, df.columns)], "_out.n_bytes", "_out.n_removed", "_out.n_spans", "_out.kept")
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, ends)], *[f"_out.{r}" for r in results])
 
 
 def _cut(length: int):

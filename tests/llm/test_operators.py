@@ -134,6 +134,25 @@ def test_suffix_dedup(spark, sf, odd, texts):
     kept = suffix_dedup.deduplicated(odd, length=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()
     assert Counter((r[0], r[1], r[2], r[3], bytes(r[4])) for r in kept) == Counter(repeats_of(rows, 100))
     assert suffix_dedup.deduplicated(odd.limit(0)).count() == 0
+    clash = odd.select("doc_id", "text", F.lit("mine").alias("kept"), F.lit(1).alias("N_SPANS"))
+    both = suffix_dedup.deduplicated(clash).where("kept_ = 'mine' and N_SPANS_ = 1")
+    assert both.columns == ["doc_id", "text", "kept_", "N_SPANS_", "n_bytes", "n_removed", "n_spans", "kept"] and both.count() == odd.count()
+
+
+def test_longest_previous_factors():
+    """Arrays against their definitions, on bytes with many repeats, runs and chosen starts."""
+    rnd = random.Random(7)
+    for _ in range(300):
+        sa = np.array(rnd.sample(range(40), rnd.randint(1, 40)))
+        before, after = suffix_dedup.smaller_neighbours(sa)
+        for i, v in enumerate(sa):
+            assert before[i] == max((j for j in range(i) if sa[j] < v), default=-1)
+            assert after[i] == min((j for j in range(i + 1, len(sa)) if sa[j] < v), default=len(sa))
+        x = np.frombuffer("".join(rnd.choice("ab") for _ in range(rnd.randint(0, 60))).encode() * rnd.randint(1, 3), dtype=np.uint8)
+        length = rnd.randint(1, 30)
+        starts = np.array([i for i in range(len(x) - length + 1) if rnd.random() < 0.8], dtype=np.int64)
+        shared = lambda p, q: next((k for k in range(length) if x[p + k] != x[q + k]), length)  # noqa: E731, B023
+        assert suffix_dedup.lpf(x, length, starts).tolist() == [max((shared(p, q) for q in starts[:i]), default=0) for i, p in enumerate(starts)]
 
 
 def test_suffix_dedup_hot_anchor(spark, monkeypatch):
