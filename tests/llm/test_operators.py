@@ -314,6 +314,39 @@ def test_embedding_dedup(vectors):
     n, root = Counter(x for p in near for x in p), linked([r.vec_id for r in rows], near)
     got = {tuple(r) for r in embedding_dedup.near_duplicates(vectors).collect()}
     assert len(near) > 100 and got == {(i, n[i], root[i], root[i] == i) for i in root}
+    assert embedding_dedup.near_duplicates(vectors.limit(0)).count() == 0
+
+
+def test_embedding_estimates():
+    """Estimates are unbiased over rotations, their upper bounds hold always, and most random pairs are ruled out."""
+    rng = np.random.default_rng(2)
+    unit = embedding_dedup.unit_rows(rng.standard_normal((120, 33)))
+    unit[60:] = embedding_dedup.unit_rows(unit[:60] + 0.03 * rng.standard_normal((60, 33)))
+    exact, total = unit @ unit.T, np.zeros((120, 120))
+    for seed in range(300):
+        rot = embedding_dedup.rotation(33, seed)
+        code, factor = embedding_dedup.encode(unit, rot)
+        e = embedding_dedup.estimates(code, factor, (unit @ rot.T).astype(np.float32))
+        total += e
+        near = e >= embedding_dedup.least_estimates(factor, 0.98)[:, None]
+        assert near[exact >= 0.98].all()
+    assert np.abs(total / 300 - exact).max() < 0.1 and np.abs((total / 300 - exact).mean()) < 0.002
+    assert near[exact < 0.6].mean() < 0.02
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_embedding_blocks(spark, monkeypatch, block):
+    """A dense label in several blocks: the same counts and components."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((12, 16))
+    rows = [(i, [float(x) for x in base[i % 12] * rng.uniform(0.1, 9) + 0.05 * rng.standard_normal(16)], 0) for i in range(150)]
+    u = embedding_dedup.unit_rows(np.array([v for _, v, _ in rows]))
+    near = [(a, b) for a in range(150) for b in range(a) if u[a] @ u[b] >= 0.98]
+    n, root = Counter(x for p in near for x in p), linked(range(150), near)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "STEP", 7)
+    got = {tuple(r) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert len(near) > 200 and got == {(i, n[i], root[i], root[i] == i) for i in root}
 
 
 # -- 7: mixing ------------------------------------------------------------------------------------------------------
