@@ -7,9 +7,9 @@ A turn reads `<turn>role<says>text<done>`. Inside roles and texts `\\`, `<` and
 control string of this or of another template (</s>, [INST]) can appear in a text; reading undoes that.
 
 Cases: null texts and roles are empty; turns are ordered by turn (null first), then role and text, so repeated rows
-and ties keep a defined order; rows with a null conv_id form one conversation; long texts are never cut; an example
-holds its whole context, as the method asks, so a conversation's output grows with the square of its turns; empty
-tables give no rows; other columns are ignored.
+and ties keep a defined order; each row with a null conv_id is a conversation of its own, as nothing says which rows
+belong together; long texts are never cut; an example holds its whole context, as the method asks, so a conversation's
+output grows with the square of its turns; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     code points, from 0; loss_start and loss_len are null where an example has no target."""
     e = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = df.select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("turn"), e(role).alias("role"), e(text).alias("text")).alias("t"))
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    chats = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    chats = chats.union(rows.where("conv_id is null").select("conv_id", F.array("t")))
     head = lambda t: F.concat(F.lit(TURN), escaped(t["role"]), F.lit(SAYS))
     parts = F.transform("turns", lambda t: F.struct((t["role"] == "assistant").alias("asks"), F.char_length(head(t)).alias("skip"), F.char_length(escaped(t["text"])).alias("size"), F.concat(head(t), escaped(t["text"]), F.lit(DONE)).alias("said")))
     chats = chats.select("conv_id", parts.alias("parts"))
@@ -60,7 +61,10 @@ def digest(examples: DataFrame) -> DataFrame:
     """Per conversation what is read back from its examples; only the last one's turns and each one's target travel."""
     loss = F.coalesce(read_loss(F.col("formatted"), F.col("loss_start"), F.col("loss_len")), F.lit(""))
     rows = examples.select("conv_id", "example", F.char_length("formatted").cast("long").alias("chars"), loss.alias("loss"), "formatted")
-    out = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("example", "loss"))).alias("losses"), F.max_by("formatted", "example").alias("whole"), F.sum("chars").alias("formatted_chars"))
+    one = F.struct("example", "loss")
+    out = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("losses"), F.max_by("formatted", "example").alias("whole"), F.sum("chars").alias("formatted_chars"))
+    # conversations without an id are one row and so one example each
+    out = out.union(rows.where("conv_id is null").select("conv_id", F.array(one), "formatted", "chars"))
     loss = F.array_join(F.transform("losses", lambda x: x["loss"]), "")
     turns = read_turns(F.col("whole"))
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -77,17 +81,18 @@ def op4_chat(spark, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]', NULL UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]', NULL
 ), l AS (
   SELECT *, length(replace(replace(replace(role, '\', '\s'), '<', '\l'), '[', '\b')) + length(replace(replace(replace(text, '\', '\s'), '<', '\l'), '[', '\b')) + 18 AS n,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS m FROM c
+    row_number() OVER (PARTITION BY conv_id, own ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id, own) AS m FROM c
 ), p AS (
-  SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM l
+  SELECT *, sum(n) OVER (PARTITION BY conv_id, own ORDER BY i) AS upto FROM l
 )
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(upto) FILTER (role = 'assistant' OR i = m)::BIGINT AS formatted_chars
-FROM p GROUP BY conv_id
+FROM p GROUP BY conv_id, own
 """

@@ -16,7 +16,9 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_suffix_dedup": suffix_dedup.OP2_SQL,
     "op4_chat": chat.OP4_SQL,
+    "op5_warc": warc.OP5_SQL,
     "op6_topk": topk.OP6_SQL,
     "op10_embedding_dedup": embedding_dedup.OP10_SQL,
 }

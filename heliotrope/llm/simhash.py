@@ -11,7 +11,8 @@ within r bits of both, so all that share such a word form a star.
 Cases: null, empty and white-space texts have fingerprint zero and link like any other; repeated rows and copies share
 one fingerprint, so they link without pairs; ties (a bit set in exactly half) give 0; null ids have a fingerprint but
 no component of their own (component: smallest id of the group, null if none has one); empty tables give no rows;
-other columns pass through fingerprints() untouched.
+other columns pass through fingerprints() untouched, one that has the result's name under that name with underscores
+behind it.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._shared import dropped, join_checked, lean, narrow_batches, written
+from ._shared import dropped, freed, join_checked, lean, narrow_batches, written
 
 #: Fingerprints that a bucket may have and be verified by pairs.
 BUCKET = 512
@@ -61,7 +62,8 @@ def fingerprints(df: DataFrame, text: str = "text", k: int = 5, out: str = "fing
         for s in batches:
             yield pd.Series(np.array([fingerprint(x, k) for x in s], dtype=np.uint64).astype(np.int64))
 
-    return df.withColumn(out, of(text))
+    df, name = freed(df, out), text + "_" * (text.lower() == out.lower())
+    return df.withColumn(out, of(name))
 
 
 def bit_groups(fps: DataFrame, m: int) -> list[list[int]]:

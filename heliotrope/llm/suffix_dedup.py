@@ -503,3 +503,30 @@ def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = deduplicated(docs, length=100)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window of 100 bytes in hexadecimal digits, cut from pieces of 1000 windows; of equal ones all but the first are
+#: repeated.
+OP2_SQL = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS r, hex(encode(coalesce(text, ''))) AS h FROM documents
+), c AS (
+  SELECT r, k, substr(h, 2000 * k + 1, 2198) AS part
+  FROM (SELECT r, h, unnest(range((length(h) // 2 + 900) // 1000)) AS k FROM d WHERE length(h) >= 200)
+), w AS (
+  SELECT r, i, row_number() OVER (PARTITION BY x ORDER BY r, i) > 1 AS again FROM (
+    SELECT r, 1000 * k + j AS i, md5_number(substr(part, 2 * j + 1, 200)) AS x
+    FROM (SELECT r, k, part, unnest(range(length(part) // 2 - 99)) AS j FROM c))
+), g AS (
+  SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 100 THEN 1 ELSE 0 END AS fresh FROM w WHERE again
+), s AS (
+  SELECT r, min(i) AS a, max(i) + 100 AS b FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM g) GROUP BY r, run
+), k AS (
+  SELECT s.r, sum(b - a) AS gone, count(*) AS spans, max(b) AS last,
+    string_agg(substr(h, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT), '' ORDER BY a) AS kept
+  FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM s) s JOIN d USING (r) GROUP BY s.r
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN k.r IS NULL THEN h ELSE kept || substr(h, (2 * last + 1)::BIGINT) END)) AS kept_sha256
+FROM d LEFT JOIN k ON d.r = k.r
+"""

@@ -5,15 +5,16 @@ upper 4 bits select how many ids of how many bits share the other 60 (240 or 120
 15 x 4, 12 x 5, 10 x 6, 8 x 7, 7 x 8, 6 x 10, 5 x 12, 4 x 15, 3 x 20, 2 x 30, 1 x 60 bits). Ids of 2^60 and more are
 escapes: they are written as 0 with position and value in the block's escape list. Words are aligned to 8 bytes.
 
-Layout, little-endian: magic, counts (documents, ids, blocks), then per document its id and end (8 + 8 bytes), per
-block the offset of its words and the number of its words and escapes, the escapes, the words. Offsets let a
+Layout, little-endian: magic, counts (documents, those without an id, ids, blocks), then per document its id and end (8
++ 8 bytes; the first ones, without an id, have 0), per block the offset of its words and the number of its words and escapes, the escapes, the words. Offsets let a
 reader decode any block alone; both directions work on whole arrays.
 
 Encoding takes the library's ids of each text; texts are cut at ASCII white space, whose pieces the vocabulary's
 tokenizer treats apart, and each different piece is encoded once while the table of pieces keeps its bound.
 
-Cases: null and empty texts hold only the end id; rows with a null document id are left out (the file needs an order);
-repeated rows are documents of their own, ordered by id and text; very long texts are split over blocks but never cut;
+Cases: null and empty texts hold only the end id; documents without an id come before all others and read back as null;
+repeated rows are documents of their own, those of one id ordered by the hash of their texts (so that one id may have any
+number of rows) and then the text; very long texts are split over blocks but never cut;
 empty tables give an empty manifest and no rows; other columns are ignored.
 """
 
@@ -32,7 +33,7 @@ from ._files import Committed, opened
 from ._shared import lean, narrow_batches, shuffle_partitions, work_dir
 from .sentencepiece import ragged
 
-MAGIC = b"S8BIDS01"
+MAGIC = b"S8BIDS02"
 BLOCK = 8192
 _BITS16 = np.array([i.bit_length() for i in range(1 << 16)], dtype=np.uint8)
 COUNT = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -102,8 +103,8 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def dump(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> bytes:
-    """The bytes of a file: documents, their ends in ids, and all ids."""
+def dump(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray, nulls: int = 0) -> bytes:
+    """The bytes of a file: documents (the first `nulls` have no id), their ends in ids, and all ids."""
     ids = np.asarray(ids, dtype=np.uint64)
     index, escapes, words, at = [], [], [], 0
     for i in range(0, len(ids), BLOCK):
@@ -112,17 +113,17 @@ def dump(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> bytes:
         escapes += [(p, ids[i + p]) for p in e]
         words.append(w)
         at += len(w)
-    head = np.array([len(doc_ids), len(ids), len(index)], dtype="<u8")
+    head = np.array([len(doc_ids), nulls, len(ids), len(index)], dtype="<u8")
     parts = [MAGIC, head.tobytes(), np.stack([np.asarray(doc_ids, dtype="<i8"), np.asarray(ends, dtype="<i8")], axis=1).astype("<i8").tobytes(), np.array(index, dtype="<u8").reshape(-1, 3).tobytes(), np.array(escapes, dtype="<u8").reshape(-1, 2).tobytes(), *(w.astype("<u8").tobytes() for w in words)]
     return b"".join(parts)
 
 
-def load(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, ends and ids of a file."""
+def load(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """doc_ids, ends and ids of a file, and how many documents at its begin have no id."""
     if data[:8] != MAGIC:
         raise ValueError("not a token file")
-    d, n, b = map(int, np.frombuffer(data, dtype="<u8", count=3, offset=8))
-    at = 32
+    d, nulls, n, b = map(int, np.frombuffer(data, dtype="<u8", count=4, offset=8))
+    at = 40
     docs = np.frombuffer(data, dtype="<i8", count=2 * d, offset=at).reshape(-1, 2)
     at += 16 * d
     index = np.frombuffer(data, dtype="<u8", count=3 * b, offset=at).reshape(-1, 3).astype(np.int64)
@@ -137,7 +138,7 @@ def load(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         block[esc[e : e + ne, 0].astype(np.int64)] = esc[e : e + ne, 1]
         out[k * BLOCK : k * BLOCK + len(block)] = block
         e += ne
-    return docs[:, 0], docs[:, 1], out
+    return docs[:, 0], docs[:, 1], out, nulls
 
 
 # -- the library's ids --------------------------------------------------------------------------------------------
@@ -259,7 +260,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def write(df: DataFrame, folder: str, tokenizer_file: str, id_col: str = "doc_id", text: str = "text", end_id: int = 1) -> DataFrame:
-    """Writes the files and returns their manifest (part, file, documents, ids, crc32), also written to folder/manifest.
+    """Writes the files and returns their manifest (part: the task, file, documents, ids, crc32), also written to folder/manifest.
     Files in the order of their names hold the documents in ascending id order."""
     import os
 
@@ -269,8 +270,8 @@ def write(df: DataFrame, folder: str, tokenizer_file: str, id_col: str = "doc_id
     spark = df.sparkSession
     narrow_batches(spark)
     held = spark.sparkContext.broadcast(data)  # the vocabulary's size
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(shuffle_partitions(spark), "id").sortWithinPartitions("id", "text")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
+    rows = rows.repartitionByRange(shuffle_partitions(spark), "id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
     files = f"{folder}/ids"
 
     @lean
@@ -288,25 +289,26 @@ def write(df: DataFrame, folder: str, tokenizer_file: str, id_col: str = "doc_id
             ends = np.cumsum([len(p) for p in parts])
             ids = np.concatenate(parts)
             out = Committed(files, f"part-{part:05d}-{len(done):05d}.s8b")
-            data = dump(np.array(docs), ends, ids)
+            missing = [d is None for d in docs]
+            data = dump(np.array([0 if d is None else d for d in docs], dtype=np.int64), ends, ids, sum(missing))
             out.write(data)
             out.close()
-            done.append((out.name, len(docs), len(ids), zlib.crc32(data)))
+            done.append((part, out.name, len(docs), len(ids), zlib.crc32(data)))
             docs, parts, size = [], [], 0
 
         end = np.array([end_id], dtype=np.int64)
         for b in batches:
-            for doc, ids in zip(b.id.tolist(), encoder.encode(b.text.tolist())):
-                docs.append(doc)
+            for doc, ids in zip(b.id.astype("Int64").tolist(), encoder.encode(b.text.tolist())):
+                docs.append(None if doc is pd.NA else doc)
                 parts.append(np.concatenate([ids, end]))
                 size += len(parts[-1])
                 if size >= ROLL_IDS:
                     flush()
         if docs:
             flush()
-        yield pd.DataFrame(done, columns=["file", "documents", "ids", "crc32"])
+        yield pd.DataFrame(done, columns=["part", "file", "documents", "ids", "crc32"])
 
-    found = rows.mapInPandas(save, "file string, documents long, ids long, crc32 long")
+    found = rows.mapInPandas(save, "part int, file string, documents long, ids long, crc32 long")
     found.write.parquet(f"{folder}/manifest")
     return spark.read.schema(found.schema).parquet(f"{folder}/manifest")
 
@@ -314,8 +316,11 @@ def write(df: DataFrame, folder: str, tokenizer_file: str, id_col: str = "doc_id
 def _files(manifest: DataFrame, folder: str, row, schema: str) -> DataFrame:
     """row(docs, starts, ends, ids, base) -> a frame, for at most 1024 documents of a file at a time."""
     files = f"{folder}/ids"
-    # one row a file, of a few MB each: far fewer than documents
-    placed = manifest.withColumn("base", F.sum("ids").over(Window.orderBy("file")) - F.col("ids"))
+    # ids before a file: those of the tasks before, of which there is one row each, and of its own task's files before
+    parts = manifest.groupBy("part").agg(F.sum("ids").alias("all"))
+    parts = parts.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))
+    own = F.sum("ids").over(Window.partitionBy("part").orderBy("file")) - F.col("ids")
+    placed = manifest.withColumn("own", own).join(parts, "part").withColumn("base", F.col("own") + F.col("before"))
     spread = placed.select("file", "base", "crc32").repartition(shuffle_partitions(manifest.sparkSession), "file")
 
     @lean
@@ -326,7 +331,9 @@ def _files(manifest: DataFrame, folder: str, row, schema: str) -> DataFrame:
                     data = f.read()
                 if zlib.crc32(data) != crc:
                     raise ValueError(f"{name} is not the file in the manifest")
-                docs, ends, ids = load(data)
+                docs, ends, ids, nulls = load(data)
+                docs = pd.array(docs, dtype="Int64")
+                docs[:nulls] = pd.NA
                 starts = np.concatenate([[0], ends[:-1]])
                 for i in range(0, len(docs), 1024):
                     yield row(docs[i : i + 1024], starts[i : i + 1024], ends[i : i + 1024], ids, base)

@@ -6,9 +6,10 @@ and digests are made anew from the payload. Of records with equal payloads of at
 id is a response and the others revisit it. Equal rows of input give equal bytes: record ids derive from the row's id,
 dates are fixed by a parameter and gzip carries no time.
 
-Cases: null payloads are empty; null urls are written as urn:page:id; rows with a null id are refused (left out, as a
-record needs a name); rows repeated with one id are written as often as they occur, all of the same type; very long
-payloads are one record each; empty tables give no files and no rows; other columns are ignored.
+Cases: null payloads are empty; null urls are written as urn:page:id; rows with a null id come first, under a record id of
+their own that reads back as null, and revisit a row of their payload that has an id (if none has, all are responses); rows
+repeated with one id are written as often as they occur, all of the same type; very long payloads are one record each;
+empty tables give no files and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +29,18 @@ ROLL = 256 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
-def _uuid(n: int) -> str:
+def _uuid(n: int | None) -> str:
+    if n is None:
+        return "urn:uuid:68656c69-6f74-8001-0000-000000000000"
     h = f"{n & (2**64 - 1):016x}"
     return f"urn:uuid:68656c69-6f74-8000-{h[:4]}-{h[4:]}"
 
 
-def _number(uuid: str) -> int:
-    n = int("".join(uuid.strip("<>").split("-")[-2:]), 16)
+def _number(uuid: str) -> int | None:
+    parts = uuid.strip("<>").split("-")
+    if parts[-3] == "8001":
+        return None
+    n = int("".join(parts[-2:]), 16)
     return n - 2**64 if n >= 2**63 else n
 
 
@@ -42,7 +48,7 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page: int, url: str | None, payload: bytes, refers: int | None, date: str = DATE) -> bytes:
+def record(page: int | None, url: str | None, payload: bytes, refers: int | None, date: str = DATE) -> bytes:
     """One uncompressed record. A revisit keeps its HTTP header only, and the length and digest of the payload."""
     uri = (url or f"urn:page:{page}").replace("\r", "%0D").replace("\n", "%0A").replace(" ", "%20")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -61,26 +67,27 @@ def member(data: bytes, level: int = 3) -> bytes:
 def revisits(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(id, digest, refers) of the rows (id, payload, digest) that repeat the payload of a row with a larger id."""
     rows = rows.where(F.length("payload") >= min_bytes).select("id", "digest").distinct()
-    groups = rows.groupBy("digest").agg(F.max("id").alias("refers"), F.min("id").alias("first")).where("first < refers").drop("first")
-    return rows.join(groups, "digest").where("id < refers").select("id", "digest", "refers")
+    groups = rows.groupBy("digest").agg(F.max("id").alias("refers"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers is not null").drop("n")
+    return rows.join(groups, "digest").where("id is null or id < refers").select("id", "digest", "refers")
 
 
 def write(df: DataFrame, folder: str, id_col: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, roll: int = ROLL, date: str = DATE) -> DataFrame:
     """Writes the archives and returns their manifest (file, records, bytes, sha1), also written to folder/manifest."""
     narrow_batches(df.sparkSession)
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     # what a row revisits travels as a row before it, so payloads are shuffled once whatever the number of repeats
     refs = revisits(rows, min_bytes).select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers")
     rows = refs.union(rows.withColumn("refers", F.lit(None).cast("long")))
-    rows = rows.repartitionByRange(shuffle_partitions(df.sparkSession), "id").sortWithinPartitions("id", F.col("payload").isNotNull(), "url", "digest")
+    order = ("id", "digest")  # an id may have many payloads, so ranges may end within an id
+    rows = rows.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order, F.col("payload").isNotNull(), "url")
     files = f"{folder}/warc"
 
     @lean
     def save(batches):
         from pyspark import TaskContext
 
-        part, roll_no, out, n, sha, done, at, known = TaskContext.get().partitionId(), 0, None, 0, None, [], None, {}
+        part, roll_no, out, n, sha, done, at, target = TaskContext.get().partitionId(), 0, None, 0, None, [], None, None
 
         def close():
             nonlocal out, n
@@ -92,15 +99,15 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url: str = "url",
         try:
             for b in batches:
                 for page, uri, body, digest, refers in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist()):
-                    if page != at:
-                        at, known = page, {}
+                    if (page, digest) != at:
+                        at, target = (page, digest), None
                     if not body.is_valid:
-                        known[digest] = refers
+                        target = refers
                         continue
                     if not out:
                         out, sha = Committed(files, f"part-{part:05d}-{roll_no:04d}.warc.gz"), hashlib.sha1()
                         roll_no += 1
-                    data = member(record(page, uri, body.as_py(), known.get(digest), date))
+                    data = member(record(page, uri, body.as_py(), target, date))
                     out.write(data)
                     sha.update(data)
                     n += 1
@@ -178,7 +185,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 
     def frame(rows):
         out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
-        return out.astype({"refers_to": "Int64"})
+        return out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     return spread.mapInPandas(load, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
@@ -187,3 +194,21 @@ def op5_warc(spark, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "warc")
     manifest = write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     return read(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: SHA-1 in base 32: each sign has 5 bits, which lie in two hexadecimal digits.
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+), h AS (
+  SELECT page_id, octet_length(b) AS n, b, sha1(b) AS x FROM p
+), d AS (
+  SELECT page_id, n, b, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((
+    ((strpos('0123456789abcdef', substr(x, (5 * i) // 4 + 1, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(x, (5 * i) // 4 + 2, 1)) - 1)
+    >> (3 - (5 * i) % 4)) & 31)::INT + 1, 1)), 'string_agg', '') AS digest, max(page_id) OVER (PARTITION BY b) AS top FROM h
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN top IS NULL OR page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN top IS NULL OR page_id = top THEN NULL ELSE top END AS refers_to
+FROM d
+"""

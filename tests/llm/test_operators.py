@@ -96,19 +96,35 @@ def test_token_file(spark, odd, texts):
     folder = work_dir(spark, "test-ids")
     manifest = token_file.write(odd, folder, file)
     rows = token_file.read(manifest, folder).orderBy("start").collect()
-    assert [r.doc_id for r in rows] == [0, 1, 2, 3, 4, 4, 5, 6, 7, 8, 9]  # the row without an id has no place
+    assert [r.doc_id for r in rows] == [None, 0, 1, 2, 3, 4, 4, 5, 6, 7, 8, 9]
     at = 0
     for r in rows:
-        assert r.start == at and r.ids == [*lib.encode(ODD[r.doc_id] or "", add_special_tokens=False).ids, 1]
+        assert r.start == at and r.ids == [*lib.encode("lone" if r.doc_id is None else ODD[r.doc_id] or "", add_special_tokens=False).ids, 1]
         at += r.n_tokens
     sums = {(r.doc_id, r.start): r.ids_crc32 for r in token_file.digests(manifest, folder).collect()}
     assert all(sums[r.doc_id, r.start] == zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) for r in rows)
+    empty = token_file.write(odd.limit(0), work_dir(spark, "test-ids"), file)
+    assert empty.count() == 0
+
+
+def test_token_file_query(spark, sf, texts, monkeypatch):
+    """The registered query over the whole table, in files of few ids: starts, counts and checksums from the library."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tokenizer_files.path("word_bpe_49k.json"))
+    want, at = {}, 0
+    for d, t in sorted(texts.items()):
+        ids = [*lib.encode(t, add_special_tokens=False).ids, 1]
+        want[d] = (d, at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+        at += len(ids)
+    monkeypatch.setattr(token_file, "ROLL_IDS", 3000)
+    assert sorted(map(tuple, token_file.op9_token_file(spark, sf).collect())) == [want[d] for d in sorted(want)]
 
 
 @pytest.mark.parametrize("values", [[], [0] * 500, [1] * 61, [2**60, 2**64 - 1, 5], list(range(9000)), [0, 2**59, 0, 7] * 3000])
 def test_simple8b(values):
-    docs, ends, ids = token_file.load(token_file.dump(np.array([3]), np.array([len(values)]), np.array(values, dtype=np.uint64)))
-    assert ids.tolist() == values and docs.tolist() == [3] and ends.tolist() == [len(values)]
+    docs, ends, ids, nulls = token_file.load(token_file.dump(np.array([3]), np.array([len(values)]), np.array(values, dtype=np.uint64), 1))
+    assert ids.tolist() == values and docs.tolist() == [3] and ends.tolist() == [len(values)] and nulls == 1
 
 
 # -- 2: repeated strings --------------------------------------------------------------------------------------------
@@ -256,21 +272,41 @@ def test_chat(spark):
         assert r.loss == ["<turn>é\\", ""][r.example]
 
 
+def test_chat_cases(spark):
+    """Rows without a conversation, ties, repeated rows, columns with clashing names, long texts and no rows at all."""
+    schema = "conv_id long, turn long, role string, text string, example long, turns string, formatted string"
+    rows = [(None, 1, "user", "a"), (None, 1, "user", "a"), (None, 2, "assistant", "b<"), (5, 1, "user", "x" * 300_000), (5, 1, "user", "tie"), (5, 2, "assistant", "y"), (5, 2, "assistant", "y"), (6, None, None, None)]
+    df = spark.createDataFrame([(*r, 9, "t", "f") for r in rows], schema)
+    got = Counter(map(tuple, chat.digest(chat.format_chats(df)).collect()))
+    want = Counter()
+    for c, turns in [(None, rows[:1]), (None, rows[1:2]), (None, rows[2:3]), (5, [rows[4], rows[3], *rows[5:7]]), (6, rows[7:])]:
+        said = [(r or "", t or "") for _, _, r, t in turns]
+        loss = "".join(t for r, t in said if r == "assistant")
+        sizes = [len("<turn><says><done>") + len(r) + len(t) + (r + t).count("<") + (r + t).count("[") + (r + t).count("\\") for r, t in said]
+        ends = [i for i, (r, _) in enumerate(said) if r == "assistant" or i == len(said) - 1]
+        want[c, len(said), sha("".join(f"{r}\n{t}\n" for r, t in said)), len(loss), sha(loss), sum(sum(sizes[: i + 1]) for i in ends)] += 1
+    assert got == want
+    assert chat.digest(chat.format_chats(df.limit(0))).count() == 0
+
+
 # -- 5: archives ----------------------------------------------------------------------------------------------------
 def test_warc(spark):
-    rows = [(1, "u", "same"), (2, None, "same"), (3, "u\r\nx y", "other"), (4, "u", None), (5, "u", ""), (6, "u", "é" * 99999), (6, "u", "é" * 99999), (-3, "u", "same"), (None, "u", "same")]
+    rows = [(1, "u", "same"), (2, None, "same"), (3, "u\r\nx y", "other"), (4, "u", None), (5, "u", ""), (6, "u", "é" * 99999), (6, "u", "é" * 99999), (-3, "u", "same"), (None, "u", "same"), (None, "u", "lone"), (None, "v", "lone")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, digest string")
     folders = [work_dir(spark, "test-warc") for _ in range(2)]
     manifests = [warc.write(df, f, roll=2000).orderBy("file").collect() for f in folders]
     assert manifests[0] == manifests[1] and len(manifests[0]) > 1  # the same bytes again
     got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(spark.createDataFrame(manifests[0]), folders[0]).collect())
     top, want = defaultdict(int), Counter()
-    for p, _, h in rows[:-1]:
-        top[h or ""] = max(top[h or ""], p)
-    for p, _, h in rows[:-1]:
-        b = (h or "").encode()
-        want[p, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if p == top[h or ""] else "revisit", None if p == top[h or ""] else top[h or ""]] += 1
-    assert got == want
+    for p, _, h in rows:
+        top[h or ""] = max(filter(None, (top[h or ""], p)), default=0)
+    for p, _, h in rows:
+        b, first = (h or "").encode(), top[h or ""] or None
+        want[p, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if p == first else "revisit", None if p == first else first] += 1
+    assert got == want and want[None, 4, base64.b32encode(hashlib.sha1(b"lone").digest()).decode(), "response", None] == 2
+    folder = work_dir(spark, "test-warc")
+    empty = warc.write(df.limit(0), folder)
+    assert empty.count() == 0 and warc.read(empty, folder).count() == 0
 
 
 # -- 6 and 10: vectors ----------------------------------------------------------------------------------------------
@@ -366,6 +402,39 @@ def test_mixing(spark, sf, odd):
         assert sum(t for t, _ in target.values()) == pytest.approx(min(room, 1.5 * sum(s for _, s in target.values())))
 
 
+def test_mixing_equals_brute_force(spark, sf, texts):
+    """Sizes, weights, water level and the words taken over the whole table, from their definitions."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: (r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in docs.collect()}
+    total = defaultdict(int)
+    for source, n in rows.values():
+        total[source] += n
+    order = sorted(total, key=lambda x: (x is None, x or ""))
+    weight = {x: (5, 2, 1)[i % 3] for i, x in enumerate(order)}
+    target, free, left = {}, set(order), 1.5 * sum(total.values())
+    while free:  # those above their caps are set to them, the rest is shared anew
+        share = {x: left * weight[x] / sum(weight[y] for y in free) for x in free}
+        full = {x for x in free if share[x] > 2 * total[x]}
+        if not full:
+            target |= share
+            break
+        for x in full:
+            target[x] = 2.0 * total[x]
+            left -= target[x]
+        free -= full
+    got = mixing.op7_mixing(spark, sf).collect()
+    assert {r.doc_id: (r.size, r.source_size) for r in got} == {d: (n, total[x]) for d, (x, n) in rows.items()}
+    assert all(r.target == pytest.approx(target[rows[r.doc_id][0]], rel=1e-12) for r in got)
+    # taken: the words of each document that the slots hold, by walking the sources' words
+    mixed, slots = mixing.mix(docs, block=mixing.BLOCK)
+    begin = {r.id: (r.sid, r.begin, r.size) for r in mixed.collect()}
+    uses = [(r.sid, r.from_word, r.from_word + r.n_words) for r in slots.collect()]
+    taken = {d: sum(max(0, min(b + n, hi) - max(b, lo)) for s, lo, hi in uses if s == sid) for d, (sid, b, n) in begin.items()}
+    assert {r.doc_id: r.taken for r in got} == taken
+    spans = sorted(begin.values())
+    assert all(b + n == c for (s, b, n), (u, c, _) in zip(spans, spans[1:]) if s == u)  # words lie side by side
+
+
 # -- 8: near duplicates ---------------------------------------------------------------------------------------------
 def slow_print(text, k):
     w = (text or "").encode().lower().split()
@@ -379,6 +448,9 @@ def test_simhash(spark, sf, odd, texts):
     root = linked(fp, [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 2])
     assert {d: (int(r.fingerprint, 16), r.component_id) for d, r in got.items()} == {d: (fp[d], root[d]) for d in fp}
     assert simhash.near_duplicates(odd).count() == odd.count()
+    assert simhash.near_duplicates(odd.limit(0)).count() == 0 == simhash.near_texts(odd.limit(0)).count()
+    clash = simhash.fingerprints(odd.withColumnRenamed("score", "Fingerprint"))
+    assert clash.where("Fingerprint_ = 0.5").count() == odd.where("score = 0.5").count() and clash.columns[-1] == "fingerprint"
 
 
 @pytest.mark.parametrize(("t", "bucket"), [(2, 512), (2, 2), (3, 2), (1, 2)])
