@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 
@@ -70,12 +71,15 @@ def freed(df: DataFrame, *results: str) -> DataFrame:
 def work_dir(spark: SparkSession, tag: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where that is unset (tests, one machine) a folder of the driver's own serves and is set.
+    Where that is unset and all run in one process (local mode, tests) a temporary folder serves and is set; on a cluster
+    it is an error, as executors would each write to disks of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="heliotrope-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -101,14 +105,19 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def bounded(df: DataFrame, limit: int) -> bool:
-    """Whether df has at most limit rows, found without counting past the limit."""
-    return df.limit(limit + 1).count() <= limit
+def bounded(df: DataFrame, rows: int, size: int) -> bool:
+    """Whether df has at most so many rows and bytes, found without reading far beyond them."""
+    wide = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    if any(t.startswith(("array", "map", "struct")) for _, t in df.dtypes):
+        raise ValueError("only flat columns are measured")
+    each = sum(wide, F.lit(16 * len(df.columns))).cast("long")
+    got = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(each), F.lit(0)).alias("b")).first()
+    return got.n <= rows and got.b <= size
 
 
-def join_checked(big: DataFrame, small: DataFrame, on, how: str, limit: int = 1_000_000) -> DataFrame:
-    """Joins with a broadcast of small if it has at most limit narrow rows, else with a shuffle join that AQE may split."""
-    return big.join(F.broadcast(small) if bounded(small, limit) else small, on, how)
+def join_checked(big: DataFrame, small: DataFrame, on, how: str, rows: int = 1_000_000, size: int = 64 << 20) -> DataFrame:
+    """Joins with a broadcast of small if it is that small, else with a shuffle join that AQE may split."""
+    return big.join(F.broadcast(small) if bounded(small, rows, size) else small, on, how)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -9,8 +9,9 @@ permutation in every epoch; in the last, partial epoch the short block comes las
 and blocks are joined by index.
 
 Cases: null or empty texts have size 0 and are taken 0 times; a null source is a source of its own, after all others;
-repeated rows are documents of their own, ordered by id, size and text hash; ids may be null; no words at all: targets
-0; other columns are ignored; empty tables give no rows. Reruns agree: nothing depends on partitioning.
+repeated rows are documents of their own, ordered by a hash of id and text, then id, size and text hash; ids may be null
+or of any type with an order; no words at all: targets 0; other columns are ignored by mix() and kept by mixed_texts(); very
+long texts are cut into blocks like others; empty tables give no rows. Reruns agree: nothing depends on files or partitions.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     docs = written(docs, "sizes")
     n = docs.count()
     cells = max(1, n // CELL)
-    docs = docs.withColumn("cell", F.coalesce(F.pmod(F.col("id"), F.lit(cells)), F.lit(0)))
+    docs = docs.withColumn("cell", F.pmod(F.xxhash64("id", "x"), F.lit(cells)))
     # places in a source: sums by cell first, so that no window holds a source's rows
     sums = docs.groupBy("source", "cell").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("source").orderBy("cell")
@@ -135,13 +136,30 @@ def taken(docs: DataFrame, slots: DataFrame, block: int) -> DataFrame:
     return d.join(per, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
+def named_rows(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows of df under free column names, with a name of each row in _row, and which column is which.
+
+    A row's name is made of what it holds, so that it does not depend on files or partitions: two hashes and, among rows
+    equal in all columns, a number."""
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    rows = df.toDF(*names)
+    all_ = [F.to_json(F.struct(n)) if "map<" in t else F.col(n) for n, t in rows.dtypes]  # maps have no hash
+    src = written(rows.withColumn("_a", F.xxhash64(*all_)).withColumn("_b", F.xxhash64(F.lit(1), *all_)), "rows")
+    again = src.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_a", "_b")
+    if again.isEmpty():
+        src = src.withColumn("n", F.lit(0))
+    else:
+        again = written(again, "again")
+        nth = F.row_number().over(Window.partitionBy("_a", "_b").orderBy(F.lit(0)))
+        same = src.join(again, ["_a", "_b"]).select(*src.columns, nth.alias("n"))
+        src = written(src.join(again, ["_a", "_b"], "left_anti").select(*src.columns, F.lit(0).alias("n")).union(same), "numbered")
+    return src.select(*names, F.struct("_a", "_b", "n").alias("_row")), dict(zip(df.columns, names))
+
+
 def mixed_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", block: int = 256, **how) -> DataFrame:
     """The mix as rows of df: a row for the words a document gives once or more, and another for those it gives twice.
     A document given whole keeps its text as it is; of others the words taken remain, joined by spaces, in order."""
-    names = [f"_c{i}" for i in range(len(df.columns))]
-    # the parts of a text are found by its place among equal rows, so rows keep an index of their own
-    src = written(df.toDF(*names).withColumn("_row", F.monotonically_increasing_id()), "rows")
-    at = dict(zip(df.columns, names))
+    src, at = named_rows(df)
     docs, slots = mix(src, "_row", at[text], at["source"], block, **how)
     uses = slots.groupBy("sid", "index").agg(F.sort_array(F.collect_list("n_words"), asc=False).alias("n"))  # at most `most` uses
     first, last = F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block)
@@ -155,7 +173,7 @@ def mixed_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", block
     words = F.regexp_extract_all(F.col(at[text]), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
     some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, (p["from"] + 1).cast("int"), p["n_words"].cast("int")))), " ")
     out = met.withColumn(at[text], F.when(F.col("taken") == F.col("size"), F.col(at[text])).otherwise(some))
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, df.columns)])
+    return out.select(*[F.col(n).alias(c) for c, n in at.items()])
 
 
 #: Words in a block of the registered query.

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import join_checked, lean, narrow_batches, written
 
 BUCKETS = 16
 BLOCK = 8192
@@ -104,6 +104,7 @@ def _wide(qid, q, floor, cid, c, k: int):
 def _joined(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
     """The k best of each query, over pairs of blocks: q has a row per query block and candidate block to visit."""
 
+    @lean
     def search(batches):
         for b in batches:
             for qr, floors, cr in zip(b.queries, b.floors, b.rows):
@@ -127,6 +128,7 @@ def top_k(df: DataFrame, query: str, id_col: str = "vec_id", vector: str = "embe
         y = F.when(F.abs(y) < F.lit(2.0**53), F.floor(y).cast("double")).otherwise(y) + F.lit(0.0)
         return F.when(F.abs(y) == F.lit(float("inf")), F.raise_error(F.lit("a scaled component is infinite")).cast("double")).otherwise(y)
 
+    narrow_batches(df.sparkSession)
     v = F.transform(F.col(vector), whole)
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
     fine = df.where(F.coalesce(F.col(id_col).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, bad), F.lit(False)))
@@ -135,10 +137,10 @@ def top_k(df: DataFrame, query: str, id_col: str = "vec_id", vector: str = "embe
     rows = written(rows, "vectors")
     # BUCKETS quantiles of the length, and a count for each bucket: bounded by the parameter and the dimensions in use
     cuts = rows.groupBy("d").agg(F.percentile_approx("norm", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("cuts"))
-    cand = rows.join(F.broadcast(cuts), "d").withColumn("bucket", F.size(F.filter("cuts", lambda c: c > F.col("norm")))).drop("cuts")
+    cand = rows.join(cuts, "d").withColumn("bucket", F.size(F.filter("cuts", lambda c: c > F.col("norm")))).drop("cuts")
     sizes = cand.groupBy("d", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("longest")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     sizes = written(sizes, "buckets")
-    blocks = written(_pack(cand.join(F.broadcast(sizes.select("d", "bucket", "blocks")), ["d", "bucket"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), ["d", "bucket", "block"]).drop("longest"), "blocks")
+    blocks = written(_pack(join_checked(cand, sizes.select("d", "bucket", "blocks"), ["d", "bucket"], "inner").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), ["d", "bucket", "block"]).drop("longest"), "blocks")
     asked = rows.where("asks")
     n = max(1, -(-asked.count() // QUERIES))
     asked = asked.withColumn("qb", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n)).cast("int"))
@@ -146,13 +148,13 @@ def top_k(df: DataFrame, query: str, id_col: str = "vec_id", vector: str = "embe
     packed = asked.groupBy("d", "qb").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("queries"), F.max("norm").alias("norm"))
     packed = packed.withColumn("floors", F.transform("queries", lambda q: F.lit(-(2**63)).cast("long")))
     first = sizes.groupBy("d").agg(F.min_by(F.struct("bucket", "blocks"), "bucket").alias("f")).select("d", "f.bucket", "f.blocks")
-    seeds = _joined(packed.join(F.broadcast(first), "d").withColumn("block", F.pmod(F.col("qb"), F.col("blocks"))).drop("blocks"), blocks, k)
+    seeds = _joined(join_checked(packed, first, "d", "inner").withColumn("block", F.pmod(F.col("qb"), F.col("blocks"))).drop("blocks"), blocks, k)
     floors = written(seeds.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor")), "floors")
     # 2: every block of every bucket that the floor does not rule out
     asked = asked.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-(2**63))))
     packed = asked.groupBy("d", "qb").agg(F.sort_array(F.collect_list(F.struct("id", "v", "floor"))).alias("q"), F.min(F.when(F.col("norm") > 0, F.col("floor") / F.col("norm")).otherwise(F.when(F.col("floor") > 0, 1e300).otherwise(-1e300))).alias("need"))
     packed = packed.select("d", "qb", F.transform("q", lambda x: F.struct(x["id"].alias("id"), x["v"].alias("v"))).alias("queries"), F.transform("q", lambda x: x["floor"]).alias("floors"), "need")
-    visits = packed.join(F.broadcast(sizes), "d").where(F.col("longest") * (1 + 1e-9) >= F.col("need"))
+    visits = join_checked(packed, sizes, "d", "inner").where(F.col("longest") * (1 + 1e-9) >= F.col("need"))
     visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("need", "longest", "n", "blocks")
     return _joined(visits, blocks, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -14,6 +14,7 @@ import numpy as np
 import public_tokenizers as tokenizer_files
 import pytest
 import xxhash
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from heliotrope.llm import chat, embedding_dedup, mixing, queries, sentencepiece, simhash, suffix_dedup, token_file, topk, toxicity, warc
@@ -435,6 +436,15 @@ def test_mixing_equals_brute_force(spark, sf, texts):
     assert all(b + n == c for (s, b, n), (u, c, _) in zip(spans, spans[1:]) if s == u)  # words lie side by side
 
 
+def test_mixed_texts_any_layout(spark, sf, odd):
+    """The mix is the same whatever the files and partitions, repeated rows and odd columns included."""
+    for df, block in ((spark.read.parquet(f"{sf}/documents.parquet"), 64), (odd.withColumn("m", F.create_map(F.lit(1), F.lit(2))), 16)):
+        key = lambda x: Counter((r.doc_id, r.text, r.source, r.lang) for r in x.collect())
+        one = key(mixing.mixed_texts(df.repartition(1), block=block))
+        assert one == key(mixing.mixed_texts(df.orderBy(F.desc("text")).repartition(13), block=block)) and sum(one.values())
+    assert mixing.mixed_texts(odd.limit(0)).count() == 0
+
+
 # -- 8: near duplicates ---------------------------------------------------------------------------------------------
 def slow_print(text, k):
     w = (text or "").encode().lower().split()
@@ -562,19 +572,20 @@ def test_pipeline_stages_equal_brute_force(spark, sf, monkeypatch):
     docs = [(d, left[d], la, so, len(left[d])) for d, _, la, so, _ in docs]
     assert Counter(rows(of("suffix_array_dedup"))) == Counter(docs)
     # mixing: the slots' words, cut into documents by their order in the source
-    src = of("suffix_array_dedup").withColumn("_row", F.monotonically_increasing_id())
-    slots = mixing.mix(src, "_row", "text", "source", mixing.BLOCK)[1].collect()
-    streams, size, kept = defaultdict(list), {}, {r._row: r for r in src.collect()}
-    for i in sorted(kept):
+    src, at = mixing.named_rows(of("suffix_array_dedup"))
+    mixed, slots = mixing.mix(src, "_row", at["text"], at["source"], mixing.BLOCK)
+    begin = {tuple(r.id): (r.sid, r.begin) for r in mixed.collect()}
+    streams, size, kept = defaultdict(list), {}, {tuple(r._row): Row(**{c: r[n] for c, n in at.items()}) for r in src.collect()}
+    for i in sorted(kept, key=begin.get):
         words = re.findall(r"[^\x20\x09-\x0D]+", kept[i].text)
         size[i] = len(words)
-        streams[kept[i].source] += [(i, w) for w in words]
+        streams[begin[i][0]] += [(i, w) for w in words]
     uses, given = defaultdict(list), defaultdict(list)
-    for r in slots:
-        uses[r.source, r["index"]].append(r.n_words)
-    for source, index in sorted(uses, key=lambda u: (u[0] is not None, u[0] or "", u[1])):
-        for turn, n in enumerate(sorted(uses[source, index], reverse=True)):
-            for i, w in streams[source][index * mixing.BLOCK : index * mixing.BLOCK + n]:
+    for r in slots.collect():
+        uses[r.sid, r["index"]].append(r.n_words)
+    for sid, index in sorted(uses):
+        for turn, n in enumerate(sorted(uses[sid, index], reverse=True)):
+            for i, w in streams[sid][index * mixing.BLOCK : index * mixing.BLOCK + n]:
                 given[i, turn].append(w)
     docs = []
     for (i, _), words in given.items():
