@@ -27,11 +27,11 @@ def narrow_batches(spark: SparkSession) -> None:
 
 @functools.cache
 def _libc():
-    """The C library if it has malloc_trim (glibc), with arrays from 256 kB on in pages of their own."""
+    """The C library if it has malloc_trim (glibc), with arrays from 8 MB on in pages of their own."""
     try:
         libc = ctypes.CDLL(None)
         libc.malloc_trim  # noqa: B018
-        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: fixed, else it grows with the arrays freed, whose memory then stays
+        libc.mallopt(-3, 1 << 23)  # M_MMAP_THRESHOLD: fixed, else it grows with the arrays freed, whose memory then stays
         return libc
     except (AttributeError, OSError):
         return None

@@ -224,11 +224,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k
 
 
 # -- near copies by the share of common shingles ----------------------------------------------------------------------
-#: Texts compared at a time within a group of candidates.
-GROUP = 512
+#: Texts compared at a time within a group of candidates, and those of one shingle that are listed in one row.
+GROUP, LISTED = 512, 4096
 #: Texts, about, whose shingles are counted to put frequent ones last, how often one must be met there, and how many are
 #: told apart. They set the order of shingles only: the links are the same in any order.
 SAMPLE, OFTEN, ORDERED = 10_000, 5, 1 << 17
+#: Counters of a shingle set's outline.
+BINS = 256
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -288,17 +290,57 @@ def _candidates(nodes: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndar
     return (*forest, True) if total > 4 * len(nodes) else (a, b, False)
 
 
+def outline(s: np.ndarray) -> bytes:
+    """How many shingles of the set fall into each of BINS bins, a byte each; empty where a byte holds no such count."""
+    c = np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+    return c.astype(np.uint8).tobytes() if c.max() < 256 else b""
+
+
+def may_share(a: pd.Series, b: pd.Series, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m shingles with these outlines can have the share: the sum of the smaller counts is at
+    least the number that they have in common."""
+    out = np.ones(len(a), dtype=bool)
+    known = np.flatnonzero((a.map(len).to_numpy() == BINS) & (b.map(len).to_numpy() == BINS)) if len(a) else []
+    for i in range(0, len(known), 4096):
+        k = known[i : i + 4096]
+        x, y = (np.frombuffer(b"".join(v.iloc[k]), dtype=np.uint8).reshape(-1, BINS) for v in (a, b))
+        most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+        out[k] = most * (1 + similarity) >= similarity * (n[k] + m[k]) - 1e-6
+    return out
+
+
+def _different_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (id, text): (id, key) of each row, and one row (node, own, key, text) for each different text. own is the
+    least id that has it; node is own, or for a text without an id of its own a number below all ids."""
+    keyed = rows.withColumn("key", F.sha2("text", 256))
+    narrow = written(keyed.select("id", "key"), "keys")
+    firsts = narrow.groupBy("key").agg(F.min("id").alias("own"), F.count(F.lit(1)).alias("c"))
+    if narrow.groupBy("id").count().where("count > 1 or id is null").isEmpty():
+        # ids are unique: the rows that repeat a text are left out by id, and no text is shuffled
+        again = narrow.join(firsts.where("c > 1").select("key", "own"), "key").where("id <> own").select("id")
+        texts = join_checked(keyed, written(again, "copies"), "id", "left_anti")
+        return narrow, texts.select(F.col("id").alias("node"), F.col("id").alias("own"), "key", "text")
+    below = F.expr("-4611686018427387904 + pmod(xxhash64(key), 4611686018427387904)")
+    # an id with several texts is the node of one of them only
+    names = firsts.withColumn("nth", F.row_number().over(Window.partitionBy("own").orderBy("key")))
+    names = names.select("key", "own", F.when((F.col("nth") == 1) & F.col("own").isNotNull(), F.col("own")).otherwise(below).alias("node"))
+    one = keyed.groupBy("key").agg(F.first("text").alias("text"))
+    return narrow, one.join(names, "key").select("node", "own", "key", "text")
+
+
 def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component_id): groups of texts linked by a share of at least `similarity` of their k-word shingles (as sets).
+    """(id, key, component_id): groups of texts linked by a share of at least `similarity` of their k-word shingles (as
+    sets); key is the text's SHA-256.
 
     Equal texts are one node. Candidates share a shingle of their prefixes (see shingle_prefix), so that no pair with
-    the share is lost. First each shingle's texts are compared with one of them. Then those pairs that are not linked by
-    that, and that length and place of the shingle allow, are compared one by one; a shingle with many such pairs
-    beside its texts gives a spanning forest, and a group so made is compared together, in blocks."""
+    the share is lost; outlines rule out most of those that lack it, and the sets themselves decide. First each shingle's
+    texts are compared with the least of them. Then those pairs that are not linked by that, and that length and place of
+    the shingle allow, are compared one by one; a shingle with many such pairs beside its texts, or with more than LISTED
+    texts, gives a spanning forest, and a group so made is compared together, in blocks."""
     spark = df.sparkSession
     narrow_batches(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keyed = rows.withColumn("key", F.sha2("text", 256))
+    marked, texts = _different_texts(rows)
 
     # frequent shingles, from a sample of texts
     @lean
@@ -308,30 +350,35 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
             h, c = np.unique(np.concatenate(got or [np.zeros(0, dtype=np.uint64)]), return_counts=True)
             yield pd.DataFrame({"h": h.view(np.int64), "c": c.astype(np.int64)})
 
-    share_of = max(1, df.count() // SAMPLE)
-    some = keyed.where(F.pmod(F.xxhash64("key"), F.lit(share_of)) == 0).dropDuplicates(["key"]).select("text")
+    share_of = max(1, marked.count() // SAMPLE)
+    some = texts.where(F.pmod(F.xxhash64("key"), F.lit(share_of)) == 0).select("text")
     often = some.mapInPandas(counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= OFTEN)
     often = often.orderBy(F.desc("c"), "h").limit(ORDERED).toPandas()
     shingle, times = often.h.to_numpy(dtype=np.int64).view(np.uint64), often.c.to_numpy(dtype=np.int64)
     order = np.argsort(shingle)
     held = spark.sparkContext.broadcast((shingle[order], times[order]))  # bounded by ORDERED
 
-    @F.pandas_udf("n long, sig array<long>")
+    @F.pandas_udf("n long, sig array<long>, outline binary")
     @lean
-    def prefixes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = [shingle_set(x, k) for x in batch]
-            yield pd.DataFrame({"n": np.array([len(s) for s in got], dtype=np.int64), "sig": [shingle_prefix(s, *held.value, similarity) for s in got]})
-
-    marked = written(keyed.withColumn("p", prefixes("text")).select("id", "key", "p.n", "p.sig"), "marked")
-    texts = marked.groupBy("key").agg(F.min("id").alias("own"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    node = F.coalesce("own", F.expr("-4611686018427387904 + pmod(xxhash64(key), 4611686018427387904)"))
-    # an id with several texts is the node of one of them only
-    texts = texts.withColumn("node", node).withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("key")))
-    texts = written(texts.withColumn("node", F.when(F.col("nth") == 1, F.col("node")).otherwise(F.expr("-4611686018427387904 + pmod(xxhash64(key), 4611686018427387904)"))).drop("nth"), "nodes")
-    index = texts.select("node", "n", F.posexplode("sig").alias("pos", "h"))
-    lists = lambda x: x.groupBy("h").agg(F.collect_list("node").alias("nodes"), F.collect_list("n").alias("ns"), F.collect_list("pos").alias("at"))
-    packed = written(lists(index).where(F.size("nodes") > 1).select("h", F.arrays_zip("nodes", "ns", "at").alias("m")), "buckets")
+            sig = [shingle_prefix(s, *held.value, similarity) for s in got]
+            yield pd.DataFrame({"n": np.array([len(s) for s in got], dtype=np.int64), "sig": sig, "outline": [outline(s) for s in got]})
+
+    nodes = written(texts.withColumn("p", signed("text")).select("node", "own", "key", "p.n", "p.sig", "p.outline"), "nodes")
+    index = nodes.select("node", "n", F.posexplode("sig").alias("pos", "h"))
+    # shingles with several texts, the least of which is the hub
+    hubs = index.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub < far").select("h", "hub")
+    hubs = written(hubs, "hubs")
+    members = written(join_checked(index, hubs, "h", "inner"), "members")
+    dropped(hubs)
+
+    @F.pandas_udf("boolean")
+    @lean
+    def may(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for x, y, n, m in batches:
+            yield pd.Series(may_share(x, y, n.to_numpy(), m.to_numpy(), similarity))
 
     @F.pandas_udf("binary")
     @lean
@@ -340,43 +387,71 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
             yield pd.Series([shingle_set(x, k).tobytes() for x in s])
 
     @F.pandas_udf("double")
-    def share(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)) for a, b in zip(x, y)], dtype="float64")
-
-    # 1: each text against one of each of its shingles
-    hub = F.expr("array_min(transform(m, x -> named_struct('x', xxhash64(x.nodes), 'node', x.nodes, 'n', x.ns)))")
-    stars = packed.select(hub.alias("hub"), F.explode("m").alias("m")).where("hub.node <> m.nodes")
-    fits = F.least("hub.n", "m.ns") >= F.greatest("hub.n", "m.ns") * F.lit(similarity) - F.lit(1e-6)
-    tried = written(stars.where(fits).select(F.least("hub.node", "m.nodes").alias("a"), F.greatest("hub.node", "m.nodes").alias("b")).distinct(), "stars")
-    members = packed.select("h", F.explode("m").alias("m")).select("h", F.col("m.nodes").alias("node"), F.col("m.ns").alias("n"), F.col("m.at").alias("pos"))
-    wanted = tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct().join(texts.select("node", "key", "own"), "node")
-    shingles = written(_one_text(keyed, wanted).select("node", sets("text").alias("s")), "shingles")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(shingles.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(shingles.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        return one.where(share("sa", "sb") >= similarity).select("a", "b")
-
-    stars = written(linked(tried), "links")
-    first = written(components(stars), "first")
+    @lean
+    def share(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in batches:
+            yield pd.Series([jaccard(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)) for a, b in zip(x, y)], dtype="float64")
+
+    def shingles_of(wanted: DataFrame, tag: str) -> DataFrame:
+        """(node, s) of the nodes in wanted."""
+        owners = join_checked(texts, wanted, "node", "left_semi")
+        return written(owners.select("node", sets("text").alias("s")), tag)
+
+    def linked(pairs: DataFrame, tag: str) -> DataFrame:
+        """Those of the pairs (a, b) with the share."""
+        side = lambda c, *x: nodes.select(F.col("node").alias(c), *[F.col(f).alias(f"{f}_{c}") for f in x])
+        maybe = pairs.join(side("a", "n", "outline"), "a").join(side("b", "n", "outline"), "b")
+        maybe = written(maybe.where(may("outline_a", "outline_b", "n_a", "n_b")).select("a", "b"), f"{tag}-maybe")
+        both = maybe.select(F.col("a").alias("node")).union(maybe.select("b")).distinct()
+        s = shingles_of(both, f"{tag}-shingles")
+        one = maybe.join(s.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        out = written(one.where(share("sa", "sb") >= similarity).select("a", "b"), tag)
+        dropped(s)
+        dropped(maybe)
+        return out
+
+    # 1: each text against the least of each of its shingles
+    tried = written(members.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "tried")
+    stars = linked(tried, "stars")
+    first = components(stars)
     # 2: what these links leave open
-    comp = members.join(first, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    several = comp.groupBy("h").agg(F.collect_list("node").alias("nodes"), F.collect_list("n").alias("ns"), F.collect_list("pos").alias("at"), F.collect_list("comp").alias("comps"))
-    several = several.where(F.array_min("comps") < F.array_max("comps"))
+    comp = members.join(first, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    comp = written(comp, "open")
+    several = comp.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c")).where("x < y").select("h", "c")
+    several = comp.join(several, "h")
+    listed = several.where(F.col("c") <= LISTED).groupBy("h").agg(*[F.collect_list(c).alias(c) for c in ("node", "n", "pos", "comp")])
 
     @lean
     def close(batches):
         for batch in batches:
             a, b, dense = [], [], []
-            for nodes, n, pos, comps in zip(batch.nodes, batch.ns, batch["at"], batch.comps):
+            for nodes, n, pos, comps in zip(batch.node, batch.n, batch.pos, batch.comp):
                 nodes, n, pos, comps = (np.asarray(x, dtype=np.int64) for x in (nodes, n, pos, comps))
                 i, j, many = _candidates(nodes, n, pos, comps, similarity)
                 a, b, dense = a + nodes[i].tolist() if i else a, b + nodes[j].tolist() if j else b, dense + [many] * len(i)
             a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "dense": np.array(dense, dtype=bool)})
 
-    pairs = written(several.select("nodes", "ns", "at", "comps").mapInPandas(close, "a long, b long, dense boolean").distinct(), "pairs")
-    sparse = pairs.where("not dense").select("a", "b").join(tried, ["a", "b"], "left_anti")
-    groups = written(components(pairs.where("dense")), "dense")
+    pairs = listed.select("node", "n", "pos", "comp").mapInPandas(close, "a long, b long, dense boolean")
+    crowded = several.where((F.col("c") > LISTED) & (F.col("hub") != F.col("node"))).select(F.col("hub").alias("a"), F.col("node").alias("b"), F.lit(True))
+    pairs = written(pairs.union(crowded).distinct(), "pairs")
+    dropped(members)
+    found = linked(pairs.where("not dense").select("a", "b").join(tried, ["a", "b"], "left_anti"), "sparse")
+    groups = components(pairs.where("dense"))
+    links = stars.union(found)
+    if not groups.isEmpty():
+        links = links.union(_together(groups, first, shingles_of(groups.select("node"), "dense"), similarity))
+    found = components(links)
+    named = found.join(nodes.select("node", "own"), "node")
+    least = named.groupBy("component").agg(F.min("own").alias("component_id"))
+    per = nodes.select("key", "own", "node").join(found, "node", "left").join(least, "component", "left")
+    per = per.select("key", F.when(F.col("component").isNull(), F.col("own")).otherwise(F.col("component_id")).alias("component_id"))
+    return marked.join(per, "key").select("id", "key", "component_id")
+
+
+def _together(groups: DataFrame, first: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join all texts of a group (node, component) with the share which `first` does not join yet, by
+    comparing blocks of GROUP texts."""
     size = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks"))
     dealt = groups.join(size, "component").join(first.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -404,21 +479,7 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
             comps[np.isin(comps, comps[near])] = comps[i]
         return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
-    more = dealt.groupBy("component", "lo", "hi").applyInPandas(together, "a long, b long")
-    found = components(written(stars.union(linked(sparse)).union(more), "links"))
-    named = found.join(texts.select("node", "own"), "node")
-    least = named.groupBy("component").agg(F.min("own").alias("component_id"))
-    per = texts.select("key", "own", "node").join(found, "node", "left").join(least, "component", "left")
-    per = per.select("key", F.when(F.col("component").isNull(), F.col("own")).otherwise(F.col("component_id")).alias("component_id"))
-    return marked.select("id", "key").join(per, "key").select("id", "key", "component_id")
-
-
-def _one_text(keyed: DataFrame, owners: DataFrame) -> DataFrame:
-    """(node, text) of each owner: by id, which one row of its key has, so a text with many copies is met once; a text
-    without any id by its key."""
-    by_id = join_checked(keyed, owners.where("own is not null").select(F.col("own").alias("id"), F.col("key").alias("k"), "node"), "id", "inner").where("key = k")
-    no_id = keyed.where("id is null").join(owners.where("own is null").select("key", "node"), "key")
-    return by_id.select("node", "text").union(no_id.select("node", "text")).dropDuplicates(["node"])
+    return written(dealt.groupBy("component", "lo", "hi").applyInPandas(together, "a long, b long"), "together")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
