@@ -329,8 +329,8 @@ def _different_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, key, component_id): groups of texts linked by a share of at least `similarity` of their k-word shingles (as
-    sets); key is the text's SHA-256.
+    """(id, key, component_id, group) per row: groups of texts linked by a share of at least `similarity` of their k-word
+    shingles (as sets); key is the text's SHA-256, component_id the least id of the group, group a number of its own.
 
     Equal texts are one node. Candidates share a shingle of their prefixes (see shingle_prefix), so that no pair with
     the share is lost; outlines rule out most of those that lack it, and the sets themselves decide. First each shingle's
@@ -445,8 +445,8 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     named = found.join(nodes.select("node", "own"), "node")
     least = named.groupBy("component").agg(F.min("own").alias("component_id"))
     per = nodes.select("key", "own", "node").join(found, "node", "left").join(least, "component", "left")
-    per = per.select("key", F.when(F.col("component").isNull(), F.col("own")).otherwise(F.col("component_id")).alias("component_id"))
-    return marked.join(per, "key").select("id", "key", "component_id")
+    per = per.select("key", F.when(F.col("component").isNull(), F.col("own")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component", "node").alias("group"))
+    return marked.join(per, "key").select("id", "key", "component_id", "group")
 
 
 def _together(groups: DataFrame, first: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:

@@ -564,6 +564,26 @@ def test_pipeline(spark, sf):
     assert all(f(spark, empty, sf).count() == 0 for _, f in p.STAGES)
 
 
+def test_pipeline_stages_odd_rows(spark, sf, odd):
+    """Null ids, texts and sources, repeated rows and ids, extra columns: what each stage's docstring says."""
+    import corpus_pipeline as p
+
+    near = " ".join(f"w{i}" for i in range(60))
+    more = [(1, "one text of its own", "en", "x", 0), (1, near, "en", "x", 0), (1, near + " tail", "en", "x", 0), (None, near + " end", "en", None, 0), (50, near, "en", "x", 0), (51, "", "en", "x", 0)]
+    docs = odd.unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True)
+    clean = p.drop_toxic(spark, docs, sf)
+    assert clean.columns == list(p.COLUMNS) and clean.count() == docs.count()
+    left = p.drop_near_copies(spark, docs, sf).collect()
+    got = Counter((r.doc_id, r.text) for r in left)
+    first = min((near, near + " tail"), key=sha)
+    assert got == Counter({(0, ""): 1, (3, "a"): 1, (4, "a" * 5000): 1, (5, ODD[5]): 1, (6, ODD[6]): 1, (7, ODD[7]): 1, (8, ODD[8]): 1, (None, "lone"): 1, (1, "one text of its own"): 1, (1, first): 1})
+    assert p.drop_repeats(spark, docs, sf).count() == docs.count()
+    mixed = p.mix_sources(spark, docs, sf)
+    assert mixed.columns == list(p.COLUMNS) and mixed.where("n_chars = 0").isEmpty() and not mixed.isEmpty()
+    ids = p.tokenize(spark, docs, sf)
+    assert ids.count() == docs.count() and ids.where("text is not null").isEmpty() if "text" in ids.columns else ids.where("n_tokens = 0 and not exact").isEmpty()
+
+
 def test_pipeline_stages_equal_brute_force(spark, sf, monkeypatch):
     """The rows of every stage of one run against plain Python, with no tolerance."""
     import sentencepiece as library
