@@ -34,7 +34,7 @@ from ._shared import lean, narrow_batches, shuffle_partitions, work_dir
 from .sentencepiece import ragged
 
 MAGIC = b"S8BIDS02"
-BLOCK = 8192
+BLOCK = 65_536
 _BITS16 = np.array([i.bit_length() for i in range(1 << 16)], dtype=np.uint8)
 COUNT = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])

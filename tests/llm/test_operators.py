@@ -123,7 +123,7 @@ def test_token_file_query(spark, sf, texts, monkeypatch):
     assert sorted(map(tuple, token_file.op9_token_file(spark, sf).collect())) == [want[d] for d in sorted(want)]
 
 
-@pytest.mark.parametrize("values", [[], [0] * 500, [1] * 61, [2**60, 2**64 - 1, 5], list(range(9000)), [0, 2**59, 0, 7] * 3000])
+@pytest.mark.parametrize("values", [[], [0] * 500, [1] * 61, [2**60, 2**64 - 1, 5], list(range(9000)), list(range(140_000)), [0, 2**59, 0, 7] * 40_000])
 def test_simple8b(values):
     docs, ends, ids, nulls = token_file.load(token_file.dump(np.array([3]), np.array([len(values)]), np.array(values, dtype=np.uint64), 1))
     assert ids.tolist() == values and docs.tolist() == [3] and ends.tolist() == [len(values)] and nulls == 1
