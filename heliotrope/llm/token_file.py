@@ -40,8 +40,8 @@ COUNT = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 #: Ids gathered before a file is closed: about 32 MB in memory.
 ROLL_IDS = 4_000_000
-TABLE_IDS = 1_500_000
-CHUNK_CHARS = 1_000_000
+TABLE_IDS = 4_000_000
+CHUNK_CHARS = 2_000_000
 
 
 # -- Simple-8b ----------------------------------------------------------------------------------------------------
@@ -145,9 +145,11 @@ def load(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
 class _Table(dict):
     """Numbers of texts in the order in which they first came; `fresh` are those without ids yet."""
 
-    def __init__(self):
+    def __init__(self, *empty: str):
+        """empty: texts without ids, known from the beginning."""
+        super().__init__(zip(empty, range(len(empty))))
         self.fresh: list[str] = []
-        self.ids, self.at = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+        self.ids, self.at = np.zeros(0, dtype=np.int32), np.zeros(1 + len(empty), dtype=np.int64)
 
     def __missing__(self, text: str) -> int:
         self[text] = n = len(self)
@@ -192,7 +194,7 @@ class Encoder:
         self.added = [t["content"] for t in j.get("added_tokens") or []]
         self.ends = np.zeros(1 + max([*j["model"]["vocab"].values(), *(t["id"] for t in j.get("added_tokens") or [])]), dtype=bool)
         self.ends[[i for t, i in j["model"]["vocab"].items() if t.endswith(suffix)]] = True
-        self.words, self.pieces = _Table(), _Table()
+        self.words, self.pieces = _Table(), _Table(" ")
 
     def _learn_pieces(self) -> None:
         new = self.pieces.fresh
@@ -205,17 +207,19 @@ class Encoder:
 
     def _learn(self) -> None:
         new = self.words.fresh
-        plain = [bool(_PLAIN.fullmatch(w)) and not any(a in w for a in self.added) for w in new]
+        plain = list(map(bool, map(_PLAIN.fullmatch, new)))
+        line = " ".join(new)
+        if any(a in line for a in self.added):
+            plain = [p and not any(a in w for a in self.added) for w, p in zip(new, plain)]
         parts = _PIECES(" ".join([w for w, p in zip(new, plain) if p]).lower() + " ")
         if len(self.pieces.ids) > TABLE_IDS:
-            self.pieces = _Table()
-        code = self.pieces.numbers([x for x in parts if x != " "])
+            self.pieces = _Table(" ")
+        code = self.pieces.numbers(parts)
         if self.pieces.fresh:
             self._learn_pieces()
         ids, sizes = ragged(self.pieces.ids, self.pieces.at, code)
         # pieces of each word: those between two spaces
-        gap = np.flatnonzero(np.fromiter((x == " " for x in parts), dtype=bool, count=len(parts)))
-        upto = np.concatenate([[0], np.cumsum(sizes)])[gap - np.arange(len(gap))]
+        upto = np.cumsum(sizes)[code == 0]
         odd = [w for w, p in zip(new, plain) if not p]
         got = [np.array(e.ids, dtype=np.int64) for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)] if odd else []
         size = np.zeros(len(new), dtype=np.int64)
