@@ -11,6 +11,11 @@ def label_key(labels: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(labels))))
 
 
+def read_key(key: Column) -> Column:
+    """The label set of a key."""
+    return F.from_json(key, "map<string,string>")
+
+
 def keep(labels: Column, names: list[str]) -> Column:
     return F.map_filter(labels, lambda k, v: k.isin(names)) if names else F.map_filter(labels, lambda k, v: F.lit(False))
 

@@ -5,61 +5,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import label_key
+from ..functions.labels import label_key, read_key
 from ..plans.search import compile_search, log_target, span_target
+from ..sources.tables import Scan, all_rows, between
 
 VOLUME_BUCKETS = 60
 
 
 # -- search -------------------------------------------------------------------------------------------------------
-def search_logs(logs: DataFrame, query: str, start: int, end: int, limit: int = 1000, newest: bool = True, severity_min: int = 0) -> DataFrame:
-    """The newest (or oldest) `limit` logs of [start, end] that match."""
-    df = logs.where(F.col("ts_ns").between(start, end) & (F.col("severity_number") >= severity_min)).where(compile_search(query, log_target()))
+def search_logs(logs: DataFrame | Scan, query: str, start: int, end: int, limit: int = 1000, newest: bool = True, severity_min: int = 0) -> DataFrame:
+    """The newest (or oldest) `limit` logs of [start, end] that match; limits beyond 10,000 are refused."""
+    _check_limit(limit)
+    df = between(logs, start, end).where(F.col("severity_number") >= severity_min).where(compile_search(query, log_target()))
     ts = F.col("ts_ns")
-    return df.orderBy(ts.desc() if newest else ts, "span_id").limit(min(limit, 10_000))
+    return df.orderBy(ts.desc() if newest else ts, "span_id").limit(limit)
+
+
+def _check_limit(limit: int, most: int = 10_000) -> None:
+    if not 0 <= limit <= most:
+        raise ValueError(f"a limit lies in 0..{most}")
 
 
 def search_traces(spans: DataFrame, query: str, start: int, end: int, limit: int = 200, trace_id: str | None = None) -> DataFrame:
-    """Spans that overlap [start, end] and match, newest first; filters come before the limit."""
+    """Spans that overlap [start, end] and match, newest first; filters come before the limit, which is 10,000 at most."""
+    _check_limit(limit)
     df = spans.where((F.col("start_ns") <= end) & (F.col("end_ns") >= start)).where(compile_search(query, span_target()))
     if trace_id is not None:
         df = df.where(F.col("trace_id") == trace_id.lower())
-    return df.orderBy(F.col("start_ns").desc(), "span_id").limit(min(limit, 10_000))
+    return df.orderBy(F.col("start_ns").desc(), "span_id").limit(limit)
 
 
-def volume(df: DataFrame, start: int, end: int, ts: str = "ts_ns") -> DataFrame:
+def volume(df: DataFrame | Scan, start: int, end: int, ts: str = "ts_ns") -> DataFrame:
     """(bucket, n): rows in 60 buckets of [start, end]; buckets without rows are not there."""
     width = (end - start) // VOLUME_BUCKETS
     if width <= 0:
-        return df.limit(0).select(F.lit(0).cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
+        return all_rows(df).limit(0).select(F.lit(0).cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
     b = F.least(F.greatest(F.floor((F.col(ts) - start) / width), F.lit(0)), F.lit(VOLUME_BUCKETS - 1)).cast("int")
-    return df.where(F.col(ts).between(start, end)).groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return between(df, start, end, ts).groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # -- discovery ----------------------------------------------------------------------------------------------------
 def metric_names(samples: DataFrame) -> DataFrame:
-    return samples.select("metric_name").distinct()
+    return all_rows(samples).select("metric_name").distinct()
 
 
 def label_names(samples: DataFrame) -> DataFrame:
-    return samples.select(F.explode(F.map_keys("labels")).alias("name")).distinct()
+    return all_rows(samples).select(F.explode(F.map_keys("labels")).alias("name")).distinct()
 
 
 def label_values(samples: DataFrame, label: str, prefix: str = "", limit: int = 100) -> DataFrame:
-    """(value, last_ns) newest first."""
+    """(value, last_ns) newest first; limits beyond 100 are refused."""
+    _check_limit(limit, 100)
     v = F.element_at("labels", F.lit(label))
-    df = samples.where(v.isNotNull() & v.startswith(prefix)).groupBy(v.alias("value")).agg(F.max("ts_ns").alias("last_ns"))
-    return df.orderBy(F.col("last_ns").desc(), "value").limit(max(1, min(limit, 100)))
+    df = all_rows(samples).where(v.isNotNull() & v.startswith(prefix)).groupBy(v.alias("value")).agg(F.max("ts_ns").alias("last_ns"))
+    return df.orderBy(F.col("last_ns").desc(), "value").limit(max(1, limit))
 
 
 def log_fields(logs: DataFrame) -> DataFrame:
     """(field, n): attributes and how many logs have them."""
-    return logs.select(F.explode(F.map_keys("attributes")).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+    return all_rows(logs).select(F.explode(F.map_keys("attributes")).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
 def log_field_values(logs: DataFrame, field: str, limit: int = 100) -> DataFrame:
     v = log_target().field(field)
-    return logs.where(v.isNotNull()).groupBy(v.alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "value").limit(limit)
+    return all_rows(logs).where(v.isNotNull()).groupBy(v.alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "value").limit(limit)
 
 
 # -- metrics ------------------------------------------------------------------------------------------------------
@@ -71,14 +80,16 @@ def downsample(samples: DataFrame, metric: str, op: str, start: int, end: int, s
     span = (F.max(ts) - F.min(ts)) / 1e9
     two = lambda x: F.when(n >= 2, x)
     ops = {"avg": F.avg(v), "sum": F.sum(v), "min": F.min(v), "max": F.max(v), "count": n.cast("double"), "stddev": two(F.stddev_pop(v)), "stdvar": two(F.var_pop(v)), "rate": two(F.try_divide(last - first, span)), "increase": two(F.when(last < first, last).otherwise(last - first)), "delta": two(last - first), "last": last, "quantile": F.percentile(v, phi)}
-    df = samples.where((F.col("metric_name") == metric) & (ts >= start) & (ts < end)).withColumn("lkey", label_key(F.col("labels")))
+    df = between(samples, start, end - 1).where(F.col("metric_name") == metric)
+    df = df.withColumn("lkey", F.col("lkey") if "lkey" in df.columns else label_key(F.col("labels")))
     bucket = (ts - F.pmod(ts - start, F.lit(step))).alias("bucket_ns")
-    return df.groupBy("lkey", bucket).agg(ops[op].alias("value"), F.any_value("labels").alias("labels")).where("value is not null").select("bucket_ns", "labels", "lkey", "value")
+    return df.groupBy("lkey", bucket).agg(ops[op].alias("value")).where("value is not null").select("bucket_ns", read_key(F.col("lkey")).alias("labels"), "lkey", "value")
 
 
 def limit_series(samples: DataFrame, limit: int) -> DataFrame:
     """Samples of the first `limit` series of each metric, in order of their first sample, then of their key (0: all).
     Series are ranked, not samples: a metric's ranking holds one row a series."""
+    samples = all_rows(samples)
     if limit <= 0:
         return samples
     df = samples.withColumn("lkey", label_key(F.col("labels")))

@@ -10,6 +10,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import Scan, all_rows, between
 from .promql_parser import duration
 from .search import compile_search, row_target
 
@@ -39,7 +40,7 @@ def stages(query: str) -> list[tuple[str, str]]:
 class Pipelines:
     """Runs pipelines over logs, spans and samples (any may be None)."""
 
-    def __init__(self, logs: DataFrame | None = None, spans: DataFrame | None = None, samples: DataFrame | None = None):
+    def __init__(self, logs: DataFrame | Scan | None = None, spans: DataFrame | Scan | None = None, samples: DataFrame | Scan | None = None):
         self.logs, self.spans, self.samples = logs, spans, samples
 
     def fetch(self, signal: str, start: int, end: int) -> DataFrame:
@@ -51,7 +52,7 @@ class Pipelines:
             df, ts = self.samples, "ts_ns"
         else:
             raise PipelineError(f"unknown signal {signal!r}")
-        df = df.where(F.col(ts).between(start, end))
+        df = between(df, start, end, ts)
         if signal == "logs":
             return df.select(F.col("ts_ns").alias("timestamp_ns"), "body", F.col("severity_text").alias("severity"), "severity_number", "trace_id", F.element_at("resource", F.lit("service.name")).alias("service"), F.map_concat(F.map_filter("resource", lambda k, v: ~F.map_contains_key("attributes", k)), "attributes").alias("fields"))
         if signal == "traces":
@@ -128,12 +129,12 @@ class Pipelines:
         window = duration(next((w.split("=")[1] for w in words if w.startswith("window=")), "5m"))
         row = df.withColumn("_row", F.monotonically_increasing_id())
         if words[:1] == ["traces"]:
-            per = self.spans.groupBy("trace_id").agg(F.sort_array(F.collect_set("service")).alias("correlated_trace_services"), F.count(F.lit(1)).alias("correlated_span_count"), F.max((F.col("end_ns") - F.col("start_ns")) / 1e6).alias("correlated_trace_duration_ms"))
+            per = all_rows(self.spans).groupBy("trace_id").agg(F.sort_array(F.collect_set("service")).alias("correlated_trace_services"), F.count(F.lit(1)).alias("correlated_span_count"), F.max((F.col("end_ns") - F.col("start_ns")) / 1e6).alias("correlated_trace_duration_ms"))
             return df.join(per, "trace_id", "left")
         if words[:1] != ["logs"]:
             raise PipelineError("correlate takes traces or logs")
         # an interval join by buckets as wide as the window: a row meets its own bucket and both neighbours
-        logs = self.logs.select(F.element_at("resource", F.lit("service.name")).alias("_s"), F.col("ts_ns").alias("_t"), F.col("severity_number").alias("_n")).withColumn("_b", F.floor(F.col("_t") / F.lit(window)))
+        logs = all_rows(self.logs).select(F.element_at("resource", F.lit("service.name")).alias("_s"), F.col("ts_ns").alias("_t"), F.col("severity_number").alias("_n")).withColumn("_b", F.floor(F.col("_t") / F.lit(window)))
         left = row.withColumn("_b", F.explode(F.expr(f"transform(sequence(-1, 1), d -> floor(timestamp_ns / {window}) + d)")))
         j = left.join(logs, (F.col("service") == F.col("_s")) & (left["_b"] == logs["_b"]) & (F.abs(F.col("timestamp_ns") - F.col("_t")) <= window))
         got = j.groupBy("_row").agg(F.count(F.lit(1)).alias("c"), F.max("_n").alias("m"))

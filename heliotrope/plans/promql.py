@@ -1,8 +1,11 @@
 """Metric queries compiled to one DataFrame plan over all evaluation steps.
 
-A vector is (step_ts, labels, lkey, value). Instant selectors spread each sample over the steps at which it is the last
-one (a lead window, no join); range functions spread it over the steps whose window holds it and aggregate with map-side
-combination. Windows per series use changes to the sample before, found once by a lag window.
+A vector is (step_ts, labels, lkey, value). Samples travel as (lkey, ts_ns, value): lkey, the sorted JSON text of the
+labels, is made once, and labels are read back from it after all aggregation, so that no map lies in a hash table. Instant
+selectors spread each sample over the steps at which it is the last one (a lead window, no join). Range functions first fold
+the samples of a series that lie in the windows of the same steps into one row of combinable states, and spread these rows
+over their steps; only medians, quantiles, deviations, regressions and smoothing spread the samples. Changes to the sample
+before come from a lag window, where a function asks for them. A selector of several metrics keeps their names in the key.
 """
 
 from __future__ import annotations
@@ -13,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ieee import COMPARE, NAN, OPS
-from ..functions.labels import drop, empty_labels, keep, label_key, with_label
+from ..functions.labels import drop, empty_labels, keep, label_key, read_key, with_label
+from ..sources.tables import Scan, between
 from .promql_parser import Aggregate, Binary, Call, Number, ParseError, Range, Selector, Text, parse
 
 LOOKBACK = 300 * 10**9
@@ -40,9 +44,14 @@ class Scalar:
     value: Column
 
 
+def _whole(fn, x: Column) -> Column:
+    """ceil or floor of doubles beyond what a long holds, infinities and NaN too: they are whole, or stay what they are."""
+    return F.when(F.abs(x) < F.lit(2.0**53), fn(x).cast("double")).otherwise(x)
+
+
 RANGE_FUNCTIONS = {"rate", "irate", "increase", "delta", "idelta", "deriv", "predict_linear", "quantile_over_time", "mad_over_time", "avg_over_time", "min_over_time", "max_over_time", "sum_over_time", "count_over_time", "last_over_time", "present_over_time", "stddev_over_time", "stdvar_over_time", "changes", "resets", "double_exponential_smoothing", "holt_winters", "absent_over_time"}
 SIMPLE = {n: getattr(F, n) for n in ("abs", "exp", "sin", "cos", "tan", "asin", "acos", "atan", "sinh", "cosh", "tanh", "asinh", "acosh", "atanh")} | {
-    "ceil": lambda x: F.ceil(x).cast("double"), "floor": lambda x: F.floor(x).cast("double"), "sqrt": F.sqrt, "sgn": F.signum, "deg": F.degrees, "rad": F.radians,
+    "ceil": lambda x: _whole(F.ceil, x), "floor": lambda x: _whole(F.floor, x), "sqrt": F.sqrt, "sgn": F.signum, "deg": F.degrees, "rad": F.radians,
     "ln": lambda x: F.when(x == 0, F.lit(float("-inf"))).otherwise(F.ln(x)), "log2": lambda x: F.when(x == 0, F.lit(float("-inf"))).otherwise(F.log2(x)), "log10": lambda x: F.when(x == 0, F.lit(float("-inf"))).otherwise(F.log10(x)),
 }
 _time = lambda x: F.timestamp_seconds(x)
@@ -56,9 +65,10 @@ def match(labels: Column, name: str, op: str, value: str) -> Column:
 
 
 class Engine:
-    """Evaluates queries over samples (metric_name, labels, ts_ns, value)."""
+    """Evaluates queries over samples (metric_name, labels, ts_ns, value), a table or a Scan; a column lkey, as in blocks
+    of write_samples, is used as it is."""
 
-    def __init__(self, samples: DataFrame, lookback: int = LOOKBACK):
+    def __init__(self, samples: DataFrame | Scan, lookback: int = LOOKBACK):
         self.samples, self.lookback = samples, lookback
         self.spark: SparkSession = samples.sparkSession
 
@@ -100,17 +110,22 @@ class Engine:
             return self._binary(node, g)
         raise ParseError("a text is no query")
 
-    def _series(self, s: Selector, first: int, last: int) -> DataFrame:
-        """Samples of a selector in [first, last], one per series and time (the largest of equal times)."""
-        df = self.samples.where(F.col("ts_ns").between(first, last))
+    def _series(self, s: Selector, first: int, last: int, by_time: int = 0) -> DataFrame:
+        """(lkey, ts_ns, value): samples of a selector in [first, last], one per series and time (the largest of equal
+        times); dealt out by series, or by series and spans of by_time ns where no step looks at more."""
+        df = between(self.samples, first, last)
         if s.name:
             df = df.where(F.col("metric_name") == s.name)
         for name, op, v in s.matchers:
             on = F.create_map(F.lit("__name__"), F.col("metric_name")) if name == "__name__" else F.col("labels")
             df = df.where(match(on, name, op, v))
-        df = df.withColumn("lkey", label_key(F.col("labels")))
-        key = ["lkey"] if s.name else ["metric_name", "lkey"]
-        return df.groupBy(*key, "ts_ns").agg(F.max("value").alias("value"), F.any_value("labels").alias("labels"))
+        if not s.name:
+            key = label_key(F.map_concat(drop(F.col("labels"), []), F.create_map(F.lit("__name__"), F.col("metric_name"))))
+        else:
+            key = F.col("lkey") if "lkey" in df.columns else label_key(F.col("labels"))
+        df = df.select(key.alias("lkey"), "ts_ns", "value")
+        spans = [_floor_div(F.col("ts_ns"), by_time)] if by_time else []
+        return df.repartition("lkey", *spans).groupBy("lkey", *[x.alias("_span") for x in spans], "ts_ns").agg(F.max("value").alias("value")).drop("_span")
 
     def _instant(self, s: Selector, g: Grid) -> DataFrame:
         t = F.col("ts_ns") + s.offset
@@ -119,7 +134,7 @@ class Engine:
         last = F.least(F.coalesce(nxt - 1, t + self.lookback), t + self.lookback)
         df = df.withColumn("low", self._up(t, g)).withColumn("high", self._down(last, g))
         df = df.where("low <= high").withColumn("k", F.explode(F.sequence("low", "high")))
-        return df.select((F.lit(g.start) + F.col("k") * g.step).alias("step_ts"), "labels", "lkey", "value")
+        return df.select((F.lit(g.start) + F.col("k") * g.step).alias("step_ts"), read_key(F.col("lkey")).alias("labels"), "lkey", "value")
 
     @staticmethod
     def _up(t: Column, g: Grid) -> Column:
@@ -131,12 +146,13 @@ class Engine:
     def _down(t: Column, g: Grid) -> Column:
         return F.least(_floor_div(t - g.start, g.step), F.lit(g.n - 1).cast("long"))
 
-    def _windowed(self, r: Range, g: Grid) -> DataFrame:
-        """(step_ts, labels, lkey, ts_ns, value, d, chg, rst, dt): samples in the closed window of each step."""
+    def _windowed(self, r: Range, g: Grid, changes: bool) -> DataFrame:
+        """(lkey, ts_ns, value, low, high): samples with the first and last step whose closed window holds them; with
+        changes also d (growth, a reset starts anew), chg, rst and dt against the sample before."""
         inner = r.inner
         if isinstance(inner, Selector) and r.step is None:
             off = r.offset + inner.offset
-            df = self._series(inner, g.start - off - r.range, g.end - 1 - off)
+            df = self._series(inner, g.start - off - r.range, g.end - 1 - off, 0 if changes else max(r.range, g.step))
             steps_exclusive = 0
         else:
             step = r.step or SUB_STEP
@@ -147,58 +163,89 @@ class Engine:
                 raise ParseError("the step of a range query must be a multiple of a sub-query's step")
             first = g.start - off - r.range + step
             sub = Grid(first, g.start + (g.n - 1) * g.step - off + 1, step)
-            df = self._vector(inner, sub).withColumnRenamed("step_ts", "ts_ns")
+            df = self._vector(inner, sub).select("lkey", F.col("step_ts").alias("ts_ns"), "value")
             steps_exclusive = 1
-        w = Window.partitionBy("lkey").orderBy("ts_ns")
-        prev, pt = F.lag("value").over(w), F.lag("ts_ns").over(w)
-        df = df.withColumn("d", F.when(prev.isNull(), 0.0).when(F.col("value") < prev, F.col("value")).otherwise(F.col("value") - prev))
-        df = df.withColumn("chg", F.when(prev.isNotNull() & (prev != F.col("value")), 1.0).otherwise(0.0)).withColumn("rst", F.when(prev.isNotNull() & (F.col("value") < prev), 1.0).otherwise(0.0)).withColumn("dt", F.col("ts_ns") - pt)
+        if changes:
+            w = Window.partitionBy("lkey").orderBy("ts_ns")
+            v, prev, pt = F.col("value"), F.lag("value").over(w), F.lag("ts_ns").over(w)
+            df = df.select("lkey", "ts_ns", "value", prev.alias("prev"), (F.col("ts_ns") - pt).alias("dt"))
+            p = F.col("prev")
+            df = df.withColumn("d", F.when(p.isNull(), 0.0).when(v < p, v).otherwise(v - p))
+            df = df.withColumn("chg", F.when(p.isNotNull() & (p != v), 1.0).otherwise(0.0)).withColumn("rst", F.when(p.isNotNull() & (v < p), 1.0).otherwise(0.0))
         t = F.col("ts_ns") + off
-        df = df.withColumn("low", self._up(t, g)).withColumn("high", self._down(t + r.range - steps_exclusive, g))
-        df = df.where("low <= high").withColumn("k", F.explode(F.sequence("low", "high")))
-        return df.withColumn("step_ts", F.lit(g.start) + F.col("k") * g.step).drop("low", "high", "k")
+        return df.withColumn("low", self._up(t, g)).withColumn("high", self._down(t + r.range - steps_exclusive, g)).where("low <= high")
+
+    @staticmethod
+    def _spread(df: DataFrame, g: Grid) -> DataFrame:
+        """Rows at each of their steps."""
+        k = F.explode(F.sequence("low", "high"))
+        return df.withColumn("k", k).withColumn("step_ts", F.lit(g.start) + F.col("k") * g.step).drop("low", "high", "k")
 
     def _range_call(self, c: Call, g: Grid) -> DataFrame:
         r = next(a for a in c.args if isinstance(a, Range))
         nums = [a.value for a in c.args if isinstance(a, Number)]
-        df = self._windowed(r, g)
-        if c.name == "absent_over_time":
-            return self._absent(df, r.inner, g)
+        name = c.name
+        changes = name in ("rate", "increase", "irate", "idelta", "changes", "resets")
+        df = self._windowed(r, g, changes)
+        if name == "absent_over_time":
+            return self._absent(self._spread(df.select("low", "high").distinct(), g), r.inner, g)
         v, t, n = F.col("value"), F.col("ts_ns"), F.count(F.lit(1))
-        span = (F.max(t) - F.min(t)) / 1e9
-        grown = F.sum("d") - F.min_by("d", "ts_ns")
-        ends = F.max_by("value", "ts_ns") - F.min_by("value", "ts_ns")
-        two = lambda x: F.when(n >= 2, x)
-        x = (t - F.col("step_ts")) / 1e9
+        key = ["step_ts", "lkey"]
+        # states, how to fold samples into one and how to fold those of several rows, and the value made of them
+        first = lambda x: (F.min_by(x, "ts_ns"), F.min_by(f"first_{x}", "t0"))
+        last = lambda x: (F.max_by(x, "ts_ns"), F.max_by(f"last_{x}", "t1"))
+        clean = F.nanvl(v, F.lit(None))
+        states = {
+            "n": (n, F.sum("n")), "t0": (F.min(t), F.min("t0")), "t1": (F.max(t), F.max("t1")), "sum_value": (F.sum(v), F.sum("sum_value")), "least": (F.min(clean), F.min("least")), "most": (F.max(clean), F.max("most")),
+            **{f"sum_{x}": (F.sum(x), F.sum(f"sum_{x}")) for x in ("d", "chg", "rst")}, **{f"first_{x}": first(x) for x in ("value", "d", "chg", "rst")}, **{f"last_{x}": last(x) for x in ("value", "d", "dt")},
+        }
+        col, span = F.col, (F.col("t1") - F.col("t0")) / 1e9
+        two = lambda x: F.when(F.col("n") >= 2, x)
+        grown, ends = col("sum_d") - col("first_d"), col("last_value") - col("first_value")
         folds = {
-            "rate": lambda: two(F.try_divide(grown, span)), "increase": lambda: two(grown), "delta": lambda: two(ends), "deriv": lambda: two(F.try_divide(ends, span)),
-            "irate": lambda: two(F.try_divide(F.max_by("d", "ts_ns"), F.max_by("dt", "ts_ns") / 1e9)), "idelta": lambda: two(F.max_by("d", "ts_ns")),
-            "quantile_over_time": lambda: F.percentile(v, nums[0]) if 0 <= nums[0] <= 1 else F.lit(None).cast("double"),
-            "avg_over_time": lambda: F.avg(v), "min_over_time": lambda: F.min(F.nanvl(v, F.lit(None))), "max_over_time": lambda: F.max(F.nanvl(v, F.lit(None))), "sum_over_time": lambda: F.sum(v), "count_over_time": lambda: n.cast("double"),
-            "last_over_time": lambda: F.max_by("value", "ts_ns"), "present_over_time": lambda: F.max(F.lit(1.0)), "stddev_over_time": lambda: F.stddev_pop(v), "stdvar_over_time": lambda: F.var_pop(v),
-            "changes": lambda: F.sum("chg") - F.min_by("chg", "ts_ns"), "resets": lambda: F.sum("rst") - F.min_by("rst", "ts_ns"),
-            "predict_linear": lambda: two(F.regr_intercept(v, x) + F.regr_slope(v, x) * (nums[0] if nums else 0.0)),
+            "rate": (["n", "t0", "t1", "sum_d", "first_d"], two(F.try_divide(grown, span))), "increase": (["n", "t0", "sum_d", "first_d"], two(grown)),
+            "delta": (["n", "t0", "t1", "first_value", "last_value"], two(ends)), "deriv": (["n", "t0", "t1", "first_value", "last_value"], two(F.try_divide(ends, span))),
+            "irate": (["n", "t1", "last_d", "last_dt"], two(F.try_divide(col("last_d"), col("last_dt") / 1e9))), "idelta": (["n", "t1", "last_d"], two(col("last_d"))),
+            "avg_over_time": (["n", "sum_value"], col("sum_value") / col("n")), "min_over_time": (["least"], col("least")), "max_over_time": (["most"], col("most")), "sum_over_time": (["sum_value"], col("sum_value")),
+            "count_over_time": (["n"], col("n").cast("double")), "present_over_time": (["n"], F.lit(1.0)), "last_over_time": (["t1", "last_value"], col("last_value")),
+            "changes": (["t0", "sum_chg", "first_chg"], col("sum_chg") - col("first_chg")), "resets": (["t0", "sum_rst", "first_rst"], col("sum_rst") - col("first_rst")),
         }
-        key = ["step_ts", "lkey"]
-        if c.name == "mad_over_time":
+        if name in folds:
+            used, value = folds[name]
+            cells = df.groupBy("lkey", "low", "high").agg(*[states[x][0].alias(x) for x in used])
+            out = self._spread(cells, g).groupBy(*key).agg(*[states[x][1].alias(x) for x in used]).withColumn("value", value)
+            return self._finished(out)
+        df = self._spread(df, g)
+        x = (t - F.col("step_ts")) / 1e9
+        if name == "mad_over_time":
             med = df.groupBy(*key).agg(F.percentile("value", 0.5).alias("m"))
-            out = df.join(med, key).groupBy(*key).agg(F.percentile(F.abs(v - F.col("m")), 0.5).alias("value"), F.any_value("labels").alias("labels"))
-        elif c.name in ("double_exponential_smoothing", "holt_winters"):
+            out = df.join(med, key).groupBy(*key).agg(F.percentile(F.abs(v - F.col("m")), 0.5).alias("value"))
+        elif name in ("double_exponential_smoothing", "holt_winters"):
             sf, tf = [min(1.0, max(0.0, a)) for a in (nums + [0.1, 0.3][len(nums) :])[:2]]
             state = lambda s, b: F.struct(s.cast("double").alias("s"), b.cast("double").alias("b"))
             rows = F.array_sort(F.collect_list(F.struct("ts_ns", "value")))  # the samples of one window
-            out = df.groupBy(*key).agg(rows.alias("a"), F.any_value("labels").alias("labels")).where(F.size("a") >= 2)
+            out = df.groupBy(*key).agg(rows.alias("a")).where(F.size("a") >= 2)
 
             def fold(acc, p):
                 s = sf * p["value"] + (1 - sf) * (acc["s"] + acc["b"])
                 return state(s, tf * (s - acc["s"]) + (1 - tf) * acc["b"])
 
-            first, second = (F.get("a", F.lit(i))["value"] for i in (0, 1))
-            begin = state(first, second - first)
-            out = out.withColumn("value", F.aggregate(F.slice("a", F.lit(2), F.size("a")), begin, fold, lambda s: s["s"]))
+            one, second = (F.get("a", F.lit(i))["value"] for i in (0, 1))
+            out = out.withColumn("value", F.aggregate(F.slice("a", F.lit(2), F.size("a")), state(one, second - one), fold, lambda s: s["s"]))
         else:
-            out = df.groupBy(*key).agg(folds[c.name]().alias("value"), F.any_value("labels").alias("labels"))
-        return out.where(F.col("value").isNotNull() & ~F.isnan("value")).select("step_ts", "labels", "lkey", "value")
+            # exact quantiles hold the samples of a window in one buffer
+            spread = {
+                "quantile_over_time": lambda: F.percentile(v, nums[0]) if 0 <= nums[0] <= 1 else F.lit(None).cast("double"), "stddev_over_time": lambda: F.stddev_pop(v), "stdvar_over_time": lambda: F.var_pop(v),
+                "predict_linear": lambda: F.when(n >= 2, F.regr_intercept(v, x) + F.regr_slope(v, x) * (nums[0] if nums else 0.0)),
+            }
+            out = df.groupBy(*key).agg(spread[name]().alias("value"))
+        return self._finished(out)
+
+    @staticmethod
+    def _finished(out: DataFrame) -> DataFrame:
+        """A vector of rows (step_ts, lkey, value) without metric names, nulls and NaN."""
+        out = out.where(F.col("value").isNotNull() & ~F.isnan("value"))
+        return out.select("step_ts", drop(read_key(F.col("lkey")), []).alias("labels"), "lkey", "value")
 
     def _absent(self, df: DataFrame, inner, g: Grid) -> DataFrame:
         have = df.select("step_ts").distinct()
@@ -276,8 +323,8 @@ class Engine:
     def _classic_quantile(self, phi: float, v: DataFrame) -> DataFrame:
         """Quantile of cumulative buckets by le: linear within a bucket, from 0 in the first where its bound is above 0."""
         v = v.where(F.map_contains_key("labels", F.lit("le"))).withColumn("le", F.expr("try_cast(replace(labels['le'], '+Inf', 'Infinity') as double)")).where("le is not null")
-        v = v.withColumn("labels", drop(F.col("labels"), ["le"])).withColumn("lkey", label_key(F.col("labels")))
-        b = v.groupBy("step_ts", "lkey").agg(F.any_value("labels").alias("labels"), F.array_sort(F.collect_list(F.struct("le", "value"))).alias("b"))
+        v = v.select("step_ts", label_key(drop(F.col("labels"), ["le"])).alias("lkey"), "le", "value")
+        b = v.groupBy("step_ts", "lkey").agg(F.array_sort(F.collect_list(F.struct("le", "value"))).alias("b")).withColumn("labels", read_key(F.col("lkey")))
         b = b.where((F.size("b") >= 2) & (F.element_at("b", -1)["value"] > 0)).withColumn("rank", F.element_at("b", -1)["value"] * phi)
         at = F.array_position(F.transform("b", lambda x: x["value"] >= F.col("rank")), True).cast("int")
         b = b.withColumn("i", F.when(at == 0, F.size("b")).otherwise(at))
@@ -290,23 +337,23 @@ class Engine:
     def _aggregate(self, a: Aggregate, g: Grid) -> DataFrame:
         v = self._vector(a.inner, g)
         labels = keep(F.col("labels"), a.by) if a.by is not None else drop(F.col("labels"), a.without) if a.without is not None else empty_labels()
-        v = v.withColumn("g", labels).withColumn("gkey", label_key(F.col("g")))
+        v = v.withColumn("gkey", label_key(labels))
         x, n = F.col("value"), F.count(F.lit(1))
         if a.op in ("topk", "bottomk"):
             w = Window.partitionBy("step_ts", "gkey").orderBy(x.desc() if a.op == "topk" else x, "lkey")
             return v.withColumn("r", F.row_number().over(w)).where(F.col("r") <= int(a.param.value)).select("step_ts", "labels", "lkey", "value")
         if a.op == "count_values":
             text = F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
-            v = v.withColumn("t", text).groupBy("step_ts", "gkey", "t").agg(n.cast("double").alias("value"), F.any_value("g").alias("g"))
-            v = v.withColumn("labels", with_label(F.col("g"), a.param.value, F.col("t")))
+            v = v.withColumn("t", text).groupBy("step_ts", "gkey", "t").agg(n.cast("double").alias("value"))
+            v = v.withColumn("labels", with_label(read_key(F.col("gkey")), a.param.value, F.col("t")))
             return v.select("step_ts", "labels", label_key(F.col("labels")).alias("lkey"), "value")
         clean = F.nanvl(x, F.lit(None))
         fold = {"sum": F.sum(x), "avg": F.avg(x), "min": F.min(clean), "max": F.max(clean), "count": n.cast("double"), "group": F.max(F.lit(1.0)), "stddev": F.when(n >= 2, F.stddev_pop(x)), "stdvar": F.when(n >= 2, F.var_pop(x))}
         agg = F.percentile(x, float(a.param.value)) if a.op == "quantile" else fold[a.op]
-        out = v.groupBy("step_ts", "gkey").agg(agg.alias("value"), F.any_value("g").alias("labels")).where(F.col("value").isNotNull())
+        out = v.groupBy("step_ts", "gkey").agg(agg.alias("value")).where(F.col("value").isNotNull())
         if a.op == "min":
             out = out.where(F.abs("value") < float("inf"))
-        return out.select("step_ts", "labels", F.col("gkey").alias("lkey"), "value")
+        return out.select("step_ts", read_key(F.col("gkey")).alias("labels"), F.col("gkey").alias("lkey"), "value")
 
     def _is_scalar(self, node) -> bool:
         if isinstance(node, Call):

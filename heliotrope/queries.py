@@ -202,7 +202,7 @@ def log_fields(spark, sf_dir: str) -> DataFrame:
 
 
 def correlate(spark, sf_dir: str) -> DataFrame:
-    df = event_logs(spark, sf_dir).withColumn("service_name", F.element_at("resource", F.lit("service.name")))
+    df = event_logs(spark, sf_dir).all().withColumn("service_name", F.element_at("resource", F.lit("service.name")))
     return signals.correlate(df, {"service_name": "svc-2"}, START + 15 * DAY, 2 * HOUR).select("ts_ns", F.round("score", 6).alias("score"))
 
 
@@ -217,7 +217,7 @@ def live_metrics(spark, sf_dir: str) -> DataFrame:
 
 def _live(spark, sf_dir: str):
     steps = [live.Extract(r"user (?<who>\d+) (?<what>\w+) took (?<ms>[\d.]+)ms", keep=False), live.Cast("ms", "float"), live.Metric("seen_total", dimensions=("what", "absent")), live.Metric("took_ms", "ms", ("what",), "ms > 100"), live.Mask(r"user \d+", "user *"), live.Route("what = click and ms < 10"), live.Route("what in (view, signup)", "archive")]
-    return live.run(event_logs(spark, sf_dir), [live.Pipeline("quiet", "severity_number < 17", steps)])
+    return live.run(event_logs(spark, sf_dir).all(), [live.Pipeline("quiet", "severity_number < 17", steps)])
 
 
 QUERIES |= {"logs_volume": log_volume, "logs_field_values": log_field_values, "logs_fields": log_fields, "correlate_score": correlate, "live_pipeline": live_pipeline, "live_metrics": live_metrics}

@@ -6,6 +6,9 @@ trace_id, span_id. spans: trace_id, span_id, name, kind, start_ns, end_ns, statu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +20,51 @@ def ntz_ns(c: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c}) * 1000")
 
 
-def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+class Scan:
+    """Rows of a signal made from a raw table, whose own time column is bounded before anything is computed, so that the
+    bounds reach the files' statistics."""
+
+    def __init__(self, raw: DataFrame, make: Callable[[DataFrame], DataFrame], column: str, time: str = "ts_ns"):
+        self.raw, self.make, self.column, self.time = raw, make, column, time
+        self.sparkSession = raw.sparkSession
+
+    def all(self) -> DataFrame:
+        return self.make(self.raw)
+
+    def between(self, first: int, last: int) -> DataFrame:
+        """Rows with first <= time <= last (ns)."""
+        raw = self.raw
+        for us, op in ((-(-first // 1000), ">="), (last // 1000, "<=")):
+            if 0 <= us < 253402300800 * 10**6:  # until the year 9999
+                at = datetime(1970, 1, 1) + timedelta(microseconds=us)
+                raw = raw.where(F.expr(f"{self.column} {op} TIMESTAMP_NTZ'{at.isoformat(sep=' ')}'"))
+        return self.make(raw).where(F.col(self.time).between(first, last))
+
+
+def between(rows: DataFrame | Scan, first: int, last: int, time: str = "ts_ns") -> DataFrame:
+    return rows.between(first, last) if isinstance(rows, Scan) else rows.where(F.col(time).between(first, last))
+
+
+def all_rows(rows: DataFrame | Scan) -> DataFrame:
+    return rows.all() if isinstance(rows, Scan) else rows
+
+
+def event_samples(spark: SparkSession, sf_dir: str) -> Scan:
     """events as a gauge event_value{event_type, shard}."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return Scan(spark.read.parquet(f"{sf_dir}/events.parquet"), _samples, "ts")
+
+
+def _samples(e: DataFrame) -> DataFrame:
     labels = F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("shard"), F.concat(F.lit("s"), (F.col("user_id") % 4).cast("string")))
     return e.select(F.lit("event_value").alias("metric_name"), labels.alias("labels"), ntz_ns("ts").alias("ts_ns"), F.col("value"))
 
 
-def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_logs(spark: SparkSession, sf_dir: str) -> Scan:
     """events as logs: errors are ERROR, purchases WARN, others INFO."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return Scan(spark.read.parquet(f"{sf_dir}/events.parquet"), _logs, "ts")
+
+
+def _logs(e: DataFrame) -> DataFrame:
     sev = F.when(F.col("event_type") == "error", 17).when(F.col("event_type") == "purchase", 13).otherwise(9)
     body = F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" "), F.col("event_type"), F.lit(" took "), F.col("value").cast("string"), F.lit("ms"))
     attrs = F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("user_id"), F.col("user_id").cast("string"), F.lit("duration_ms"), F.col("value").cast("string"))
@@ -79,6 +117,12 @@ def read_otlp_metrics(df: DataFrame, col: str = "value") -> DataFrame:
     return p.select(F.col("name").alias("metric_name"), labels.alias("labels"), F.col("p.timeUnixNano").cast("long").alias("ts_ns"), F.coalesce("p.asDouble", F.col("p.asInt").cast("double"), F.lit(0.0)).alias("value"))
 
 
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of write_samples; their series keys are stored, and predicates on day, name and time prune files and row
+    groups."""
+    return spark.read.parquet(path)
+
+
 def write_samples(samples: DataFrame, path: str) -> None:
     """Blocks by day, sorted by metric, series and time, so that row groups prune by name and time."""
     from ..functions.labels import label_key
