@@ -2,6 +2,8 @@
 
 A record takes the first pipeline whose condition it meets; every stage is a column expression, so the same pipeline runs
 on tables and streams. Extracted fields serve later stages and metrics and are not kept; masks change the record itself.
+All pipelines are one pass over the records: a stage changes the columns of its own pipeline's records, routes set columns
+rather than part the table, and the points of all metrics of a record are one array.
 """
 
 from __future__ import annotations
@@ -154,12 +156,15 @@ class Mask:
 
 @dataclass
 class Metric:
-    """A point for each record: value from a field or constant:n, labels from the dimensions that are there."""
+    """A point for each record: value from a field or constant:n, labels from the dimensions that are there. kind is gauge,
+    counter or histogram; a histogram is one observation, which counts 1 in the first of its bounds that holds it."""
 
     name: str
     value: str = "constant:1"
     dimensions: tuple[str, ...] = ()
     when: str | None = None
+    kind: str = "gauge"
+    bounds: tuple[float, ...] = ()
 
 
 @dataclass
@@ -182,63 +187,99 @@ def _empty() -> Column:
 
 
 def _put(name: str, value: Column) -> Column:
-    rest = F.map_filter("fields", lambda k, v: k != name)
-    return F.when(value.isNull(), F.col("fields")).otherwise(F.map_concat(rest, F.create_map(F.lit(name), F.coalesce(value, F.lit("")))))
+    """fields with name set to a value that is not null."""
+    return F.map_concat(F.map_filter("fields", lambda k, v: k != name), F.create_map(F.lit(name), value))
+
+
+POINT = "struct<metric_name:string,labels:map<string,string>,value:double,kind:string,counts:array<bigint>,bounds:array<double>>"
 
 
 def run(logs: DataFrame, pipelines: list[Pipeline]) -> tuple[DataFrame, DataFrame | None]:
-    """(records, points): records without fields and with `pipeline` and `destination`; points of all Metric steps."""
-    names, base = logs.columns, logs.withColumn("fields", _empty()).withColumn("pipeline", F.lit(None).cast("string"))
+    """(records, points): records without fields and with `pipeline` and `destination`; points (metric_name, labels, ts_ns,
+    value, kind, counts, bounds) of all Metric steps, None if there are none."""
+    names = logs.columns
+    df = logs.withColumn("fields", _empty()).withColumn("pipeline", F.lit(None).cast("string"))
     for p in reversed(pipelines):
-        base = base.withColumn("pipeline", F.when(condition(p.when), p.name).otherwise(F.col("pipeline")))
-    base = base.withColumn("destination", F.lit(None).cast("string"))
-    outs, points = [base.where("pipeline is null")], []
+        df = df.withColumn("pipeline", F.when(condition(p.when), p.name).otherwise(F.col("pipeline")))
+    df = df.withColumn("destination", F.lit(None).cast("string")).withColumn("_gone", F.lit(False)).withColumn("_points", F.array().cast(f"array<{POINT}>"))
     for p in pipelines:
-        df = base.where(F.col("pipeline") == p.name)
         for s in p.steps:
-            df = _step(df, s, points, outs)
-        outs.append(df)
-    out = outs[0].select(*names, "pipeline", "destination")
-    for o in outs[1:]:
-        out = out.unionByName(o.select(*names, "pipeline", "destination"))
-    metric = None
-    for m in points:
-        metric = m if metric is None else metric.unionByName(m)
-    return out, metric
-
-
-def _step(df: DataFrame, s, points: list, outs: list) -> DataFrame:
+            # records that this pipeline still has
+            mine = F.coalesce(F.col("pipeline") == p.name, F.lit(False)) & ~F.col("_gone") & F.col("destination").isNull()
+            df = _step(df, s, mine)
+    out = df.where(~F.col("_gone")).select(*names, "pipeline", "destination")
+    if not any(isinstance(s, Metric) for p in pipelines for s in p.steps):
+        return out, None
+    points = df.select("ts_ns", F.explode("_points").alias("p")).select("p.metric_name", "p.labels", "ts_ns", "p.value", "p.kind", "p.counts", "p.bounds")
+    return out, points
+
+
+def _step(df: DataFrame, s, mine: Column) -> DataFrame:
+    set_ = lambda name, cond, new: df.withColumn(name, F.when(cond, new).otherwise(F.col(name)))
     if isinstance(s, Extract):
         groups = re.compile(re.sub(r"\(\?<(\w+)>", r"(?P<\1>", s.regex)).groupindex
-        plain, src = re.sub(r"\(\?P?<(\w+)>", "(", s.regex), value_of(s.source)
-        hit = F.coalesce(src.rlike(plain), F.lit(False))
-        df = df if s.keep else df.where(hit)
-        for name, i in groups.items():
-            df = df.withColumn("fields", _put(name, F.when(F.coalesce(value_of(s.source).rlike(plain), F.lit(False)), F.regexp_extract(value_of(s.source), plain, i))))
-        return df
+        plain = re.sub(r"\(\?P?<(\w+)>", "(", s.regex)
+        src, hit = value_of(s.source), F.coalesce(value_of(s.source).rlike(plain), F.lit(False))
+        df = df.withColumn("_mine", mine).withColumn("_hit", F.col("_mine") & hit)
+        if groups:
+            new = F.create_map(*[x for name, i in groups.items() for x in (F.lit(name), F.regexp_extract(src, plain, i))])
+            rest = F.map_filter("fields", lambda k, v: ~k.isin(list(groups)))
+            df = df.withColumn("fields", F.when(F.col("_hit"), F.map_concat(rest, new)).otherwise(F.col("fields")))
+        if not s.keep:
+            df = df.withColumn("_gone", F.col("_gone") | (F.col("_mine") & ~F.col("_hit")))
+        return df.drop("_mine", "_hit")
     if isinstance(s, AddFields):
-        for k, v in s.fields.items():
-            df = df.withColumn("fields", _put(k, F.lit(v)))
-        return df
+        gone = list(s.fields)
+        new = F.create_map(*[F.lit(x) for kv in s.fields.items() for x in kv])
+        return set_("fields", mine, F.map_concat(F.map_filter("fields", lambda k, v: ~k.isin(gone)), new)) if gone else df
     if isinstance(s, Cast):
         old = F.element_at("fields", F.lit(s.name))
         new = old.try_cast("double").cast("string") if s.to == "float" else old.try_cast("double").try_cast("long").cast("string")
-        return df.withColumn("fields", _put(s.name, F.coalesce(new, old)))
+        return set_("fields", mine & new.isNotNull(), _put(s.name, F.coalesce(new, F.lit(""))))
     if isinstance(s, Mask):
-        for c in ("body", "attributes", "resource"):
-            if c in s.on:
-                df = df.withColumn(c, F.regexp_replace(c, s.regex, s.replacement) if c == "body" else F.transform_values(c, lambda k, v: F.regexp_replace(v, F.lit(s.regex), F.lit(s.replacement))))
-        return df.withColumn("fields", F.transform_values("fields", lambda k, v: F.regexp_replace(v, F.lit(s.regex), F.lit(s.replacement))))
+        masked = lambda v: F.regexp_replace(v, F.lit(s.regex), F.lit(s.replacement))
+        df = df.withColumn("_mine", mine)
+        for c in (*[c for c in ("body", "attributes", "resource") if c in s.on], "fields"):
+            new = masked(F.col(c)) if c == "body" else F.transform_values(c, lambda k, v: masked(v))
+            df = df.withColumn(c, F.when(F.col("_mine"), new).otherwise(F.col(c)))
+        return df.drop("_mine")
     if isinstance(s, Metric):
         value = F.lit(float(s.value[9:])) if s.value.startswith("constant:") else value_of(s.value).try_cast("double")
-        pairs = F.filter(F.array(*[F.struct(F.lit(d).alias("k"), value_of(d).alias("v")) for d in s.dimensions]), lambda p: p["v"].isNotNull()) if s.dimensions else None
-        labels = F.map_from_entries(pairs) if pairs is not None else _empty()
-        src = df.where(condition(s.when)) if s.when else df
-        points.append(src.select(F.lit(s.name).alias("metric_name"), labels.alias("labels"), "ts_ns", value.alias("value")).where("value is not null"))
-        return df
+        labels = _empty()
+        if s.dimensions:
+            pairs = F.array(*[F.struct(F.lit(d).alias("k"), value_of(d).alias("v")) for d in s.dimensions])
+            labels = F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
+        counts, bounds = F.lit(None).cast("array<bigint>"), F.lit(None).cast("array<double>")
+        if s.kind == "histogram":
+            edges = [*sorted(s.bounds), float("inf")]
+            counts = F.array(*[((value <= e) & (value > (edges[i - 1] if i else float("-inf")))).cast("bigint") for i, e in enumerate(edges)])
+            bounds = F.array(*[F.lit(float(e)) for e in edges[:-1]]).cast("array<double>")
+        elif s.kind not in ("gauge", "counter"):
+            raise ValueError(f"unknown kind {s.kind!r}")
+        point = F.struct(F.lit(s.name).alias("metric_name"), labels.alias("labels"), value.alias("value"), F.lit(s.kind).alias("kind"), counts.alias("counts"), bounds.alias("bounds")).cast(POINT)
+        when = mine & condition(s.when) if s.when else mine
+        return set_("_points", when & value.isNotNull(), F.concat(F.col("_points"), F.array(point)))
     if isinstance(s, Route):
-        cond = condition(s.when)
+        df = df.withColumn("_hit", mine & condition(s.when))
         if s.to:
-            outs.append(df.where(cond).withColumn("destination", F.lit(s.to)))
-        return df.where(~cond)
+            df = df.withColumn("destination", F.when(F.col("_hit"), s.to).otherwise(F.col("destination")))
+        else:
+            df = df.withColumn("_gone", F.col("_gone") | F.col("_hit"))
+        return df.drop("_hit")
     raise TypeError(f"unknown step {s!r}")
+
+
+def render(template: str, labels: Column) -> Column:
+    """A template with {{ labels.k }} or {{ k }} as the label's value, or nothing where it is absent."""
+    parts, end = [], 0
+    for m in re.finditer(r"\{\{\s*(?:labels\.)?([\w.]+)\s*\}\}", template):
+        parts += [F.lit(template[end : m.start()]), F.coalesce(F.element_at(labels, F.lit(m[1])), F.lit(""))]
+        end = m.end()
+    return F.concat(*parts, F.lit(template[end:]))
+
+
+def prepared(records: DataFrame) -> DataFrame:
+    """Records whose time and severity are there: a missing or zero time is the present one, a missing severity INFO."""
+    now = F.unix_micros(F.current_timestamp()) * 1000
+    number = F.coalesce("severity_number", F.lit(9))
+    return records.withColumn("ts_ns", F.when(F.coalesce("ts_ns", F.lit(0)) > 0, F.col("ts_ns")).otherwise(now)).withColumn("severity_number", number).withColumn("severity_text", F.coalesce("severity_text", F.lit("INFO")))

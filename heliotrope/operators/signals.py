@@ -72,18 +72,49 @@ def log_field_values(logs: DataFrame, field: str, limit: int = 100) -> DataFrame
 
 
 # -- metrics ------------------------------------------------------------------------------------------------------
-def downsample(samples: DataFrame, metric: str, op: str, start: int, end: int, step: int, phi: float = 0.5) -> DataFrame:
-    """(bucket_ns, labels, lkey, value) per series and bucket [t, t + step); op as in the piece of a range query that a
-    bare selector takes: avg, sum, min, max, count, stddev, stdvar, rate, increase, delta, last, quantile."""
+def downsample(samples: DataFrame | Scan, metric: str, op: str, start: int, end: int, step: int, param: float | None = None) -> DataFrame:
+    """(bucket_ns, labels, lkey, value) per series and bucket [t, t + step): avg, sum, min, max, count, stddev, stdvar, rate
+    and increase (rate without, increase with a reset), delta, irate (of the last two samples), last, quantile (param),
+    and of the last sample abs, ceil, floor, round (param: to a multiple), clamp_min, clamp_max (param). With the columns
+    of native histograms histogram_quantile (param) of the last one."""
     v, ts, n = F.col("value"), F.col("ts_ns"), F.count(F.lit(1))
     first, last = F.min_by("value", "ts_ns"), F.max_by("value", "ts_ns")
     span = (F.max(ts) - F.min(ts)) / 1e9
     two = lambda x: F.when(n >= 2, x)
-    ops = {"avg": F.avg(v), "sum": F.sum(v), "min": F.min(v), "max": F.max(v), "count": n.cast("double"), "stddev": two(F.stddev_pop(v)), "stdvar": two(F.var_pop(v)), "rate": two(F.try_divide(last - first, span)), "increase": two(F.when(last < first, last).otherwise(last - first)), "delta": two(last - first), "last": last, "quantile": F.percentile(v, phi)}
+    whole = lambda fn: F.when(F.abs(last) < F.lit(2.0**53), fn(last).cast("double")).otherwise(last)
+    away = lambda x: F.signum(x) * F.floor(F.abs(x) + 0.5)
+    ops = {
+        "avg": lambda: F.avg(v), "sum": lambda: F.sum(v), "min": lambda: F.min(v), "max": lambda: F.max(v), "count": lambda: n.cast("double"), "stddev": lambda: two(F.stddev_pop(v)), "stdvar": lambda: two(F.var_pop(v)),
+        "rate": lambda: two(F.try_divide(last - first, span)), "increase": lambda: two(F.when(last < first, last).otherwise(last - first)), "delta": lambda: two(last - first), "last": lambda: last,
+        "irate": lambda: two(F.try_divide(F.max_by("d", "ts_ns"), F.max_by("dt", "ts_ns") / 1e9)), "quantile": lambda: F.percentile(v, 0.5 if param is None else param),
+        "abs": lambda: F.abs(last), "ceil": lambda: whole(F.ceil), "floor": lambda: whole(F.floor), "round": lambda: away(last / param) * param if param else away(last),
+        "clamp_min": lambda: F.greatest(last, F.lit(float("-inf") if param is None else float(param))), "clamp_max": lambda: F.least(last, F.lit(float("inf") if param is None else float(param))),
+        "histogram_quantile": lambda: F.max_by(_histogram_quantile(0.5 if param is None else param), "ts_ns"),
+    }
     df = between(samples, start, end - 1).where(F.col("metric_name") == metric)
     df = df.withColumn("lkey", F.col("lkey") if "lkey" in df.columns else label_key(F.col("labels")))
-    bucket = (ts - F.pmod(ts - start, F.lit(step))).alias("bucket_ns")
-    return df.groupBy("lkey", bucket).agg(ops[op].alias("value")).where("value is not null").select("bucket_ns", read_key(F.col("lkey")).alias("labels"), "lkey", "value")
+    df = df.withColumn("bucket_ns", ts - F.pmod(ts - start, F.lit(step)))
+    if op == "irate":
+        w = Window.partitionBy("lkey", "bucket_ns").orderBy("ts_ns")
+        prev = F.lag("value").over(w)
+        df = df.withColumn("d", F.when(v < prev, v).otherwise(v - prev)).withColumn("dt", ts - F.lag("ts_ns").over(w))
+    return df.groupBy("lkey", "bucket_ns").agg(ops[op]().alias("value")).where("value is not null").select("bucket_ns", read_key(F.col("lkey")).alias("labels"), "lkey", "value")
+
+
+def _histogram_quantile(q: float):
+    """Of counts by bounds: linear within a bucket, from 0 in the first; beyond the last bound up to its double."""
+    counts, bounds = F.col("counts"), F.col("bounds")
+    total = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c)
+    lo = lambda i: F.when(i > 0, F.get(bounds, i - 1)).otherwise(F.lit(0.0))
+    cells = F.transform(counts, lambda c, i: F.struct(lo(i).alias("lo"), F.coalesce(F.get(bounds, i), 2 * lo(i)).alias("hi"), c.cast("double").alias("c")))
+    begin = F.struct(F.lit(0.0).alias("upto"), F.lit(None).cast("double").alias("v"))
+
+    def step(acc, b):
+        after = acc["upto"] + b["c"]
+        v = b["lo"] + (b["hi"] - b["lo"]) * F.coalesce(F.try_divide(total * q - acc["upto"], b["c"]), F.lit(0.0))
+        return F.struct(after.alias("upto"), F.when(acc["v"].isNull() & (after >= total * q), v).otherwise(acc["v"]).alias("v"))
+
+    return F.when(total > 0, F.aggregate(cells, begin, step, lambda acc: acc["v"])).otherwise(0.0)
 
 
 def limit_series(samples: DataFrame, limit: int) -> DataFrame:

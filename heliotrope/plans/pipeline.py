@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import Scan, all_rows, between
@@ -113,9 +113,14 @@ class Pipelines:
         cells = df.groupBy(*groups, (ts - F.pmod(ts, F.lit(interval))).alias("bucket_ns")).agg(*aggs)
         names = [f"_k{i}" for i in range(len(keys))]
         # a full grid of the groups and buckets seen: aggregates of aggregates, far fewer than rows
-        buckets = cells.select("bucket_ns").distinct()
-        kinds = cells.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)]).distinct() if keys else None
-        grid = buckets if kinds is None else kinds.join(buckets.groupBy().agg(F.collect_set("bucket_ns").alias("b")), F.lit(True)).select(*names, F.explode("b").alias("bucket_ns"))
+        seen = cells.select("bucket_ns").distinct()
+        if keys:
+            lo, hi = (cells.agg(f("bucket_ns")).scalar() for f in (F.min, F.max))
+            kinds = cells.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)]).distinct()
+            every = F.when(lo.isNotNull(), F.sequence(F.coalesce(lo, F.lit(0)), F.coalesce(hi, F.lit(0)), F.lit(interval)))
+            grid = kinds.select(*names, F.explode(every).alias("bucket_ns")).join(seen, "bucket_ns", "left_semi").select(*names, "bucket_ns")
+        else:
+            grid = seen
         own = cells.toDF(*[f"_o{i}" for i in range(len(cells.columns))])
         at = dict(zip(cells.columns, own.columns))
         on = F.col("bucket_ns") == F.col(at["bucket_ns"])
@@ -127,15 +132,45 @@ class Pipelines:
     def _correlate(self, df: DataFrame, rest: str) -> DataFrame:
         words = rest.split()
         window = duration(next((w.split("=")[1] for w in words if w.startswith("window=")), "5m"))
-        row = df.withColumn("_row", F.monotonically_increasing_id())
         if words[:1] == ["traces"]:
-            per = all_rows(self.spans).groupBy("trace_id").agg(F.sort_array(F.collect_set("service")).alias("correlated_trace_services"), F.count(F.lit(1)).alias("correlated_span_count"), F.max((F.col("end_ns") - F.col("start_ns")) / 1e6).alias("correlated_trace_duration_ms"))
-            return df.join(per, "trace_id", "left")
+            return self._near_traces(df, window)
         if words[:1] != ["logs"]:
             raise PipelineError("correlate takes traces or logs")
-        # an interval join by buckets as wide as the window: a row meets its own bucket and both neighbours
-        logs = all_rows(self.logs).select(F.element_at("resource", F.lit("service.name")).alias("_s"), F.col("ts_ns").alias("_t"), F.col("severity_number").alias("_n")).withColumn("_b", F.floor(F.col("_t") / F.lit(window)))
-        left = row.withColumn("_b", F.explode(F.expr(f"transform(sequence(-1, 1), d -> floor(timestamp_ns / {window}) + d)")))
-        j = left.join(logs, (F.col("service") == F.col("_s")) & (left["_b"] == logs["_b"]) & (F.abs(F.col("timestamp_ns") - F.col("_t")) <= window))
-        got = j.groupBy("_row").agg(F.count(F.lit(1)).alias("c"), F.max("_n").alias("m"))
-        return row.join(got, "_row", "left").withColumn("correlated_log_count", F.coalesce("c", F.lit(0))).withColumnRenamed("m", "correlated_max_severity_number").drop("_row", "c")
+        logs = all_rows(self.logs).select(F.element_at("resource", F.lit("service.name")).alias("service"), F.col("ts_ns").alias("timestamp_ns"), F.col("severity_number").alias("_n"), F.lit(1).alias("_log"))
+        near = lambda f, c: f(c).over(_around(window))
+        out = _beside(df, logs, window).withColumn("correlated_log_count", near(F.count, "_log")).withColumn("correlated_max_severity_number", near(F.max, "_n"))
+        return out.where("_log is null").select(*df.columns, "correlated_log_count", "correlated_max_severity_number")
+
+    def _near_traces(self, df: DataFrame, window: int) -> DataFrame:
+        """Services, number of spans and longest span of each row's trace; a row whose trace has no span gets those of the
+        spans of its service that start within the window."""
+        cols = ["correlated_trace_services", "correlated_span_count", "correlated_trace_duration_ms"]
+        took = (F.col("end_ns") - F.col("start_ns")) / 1e6
+        spans = all_rows(self.spans)
+        per = spans.groupBy("trace_id").agg(F.sort_array(F.collect_set("service")).alias(cols[0]), F.count(F.lit(1)).alias(cols[1]), F.max(took).alias(cols[2]))
+        met = df.join(per, "trace_id", "left").select(*df.columns, *cols)
+        alone = met.where(F.col(cols[1]).isNull()).drop(*cols)
+        other = spans.select("service", F.col("start_ns").alias("timestamp_ns"), took.alias("_ms"), F.lit(1).alias("_log"))
+        w = _around(window)
+        near = _beside(alone, other, window).withColumn("_c", F.count("_log").over(w)).withColumn("_d", F.max("_ms").over(w)).where("_log is null")
+        some = F.col("_c") > 0
+        near = near.select(*df.columns, F.when(some, F.array("service")).alias(cols[0]), F.when(some, F.col("_c")).alias(cols[1]), F.col("_d").alias(cols[2]))
+        return met.where(F.col(cols[1]).isNotNull()).unionByName(near)
+
+
+#: Windows in a slice of a service's time line, so that no service is one task; rows near an edge are in two slices.
+SLICE = 64
+
+
+def _beside(rows: DataFrame, others: DataFrame, window: int) -> DataFrame:
+    """rows and others (service, timestamp_ns, ...; their _log is set) in one table, others in each slice (_s) that a row
+    within the window of them may be in. No pairs are made: counts are ranges of a sorted slice."""
+    size = window * SLICE
+    slice_of = lambda t: F.call_function("div", t - F.pmod(t, F.lit(size)), F.lit(size))
+    t = F.col("timestamp_ns")
+    there = others.withColumn("_s", F.explode(F.array_distinct(F.array(slice_of(t - window), slice_of(t + window)))))
+    return rows.withColumn("_s", slice_of(t)).unionByName(there, allowMissingColumns=True)
+
+
+def _around(window: int):
+    return Window.partitionBy("service", "_s").orderBy("timestamp_ns").rangeBetween(-window, window)

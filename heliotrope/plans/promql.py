@@ -64,12 +64,111 @@ def match(labels: Column, name: str, op: str, value: str) -> Column:
     return {"=": got == value, "!=": got != value, "=~": got.rlike(value), "!~": ~got.rlike(value)}[op]
 
 
+def with_changes(df: DataFrame) -> DataFrame:
+    """(lkey, ts_ns, value) with what changed against the series' sample before: d (growth, a reset starts anew), chg, rst, dt."""
+    w = Window.partitionBy("lkey").orderBy("ts_ns")
+    v, p = F.col("value"), F.col("prev")
+    df = df.select("lkey", "ts_ns", "value", F.lag("value").over(w).alias("prev"), (F.col("ts_ns") - F.lag("ts_ns").over(w)).alias("dt"))
+    df = df.withColumn("d", F.when(p.isNull(), 0.0).when(v < p, v).otherwise(v - p))
+    return df.withColumn("chg", F.when(p.isNotNull() & (p != v), 1.0).otherwise(0.0)).withColumn("rst", F.when(p.isNotNull() & (v < p), 1.0).otherwise(0.0))
+
+
+def spread(df: DataFrame, g: Grid) -> DataFrame:
+    """Rows at each of their steps low to high."""
+    k = F.explode(F.sequence("low", "high"))
+    return df.withColumn("k", k).withColumn("step_ts", F.lit(g.start) + F.col("k") * g.step).drop("low", "high", "k")
+
+
+def folded(df: DataFrame, g: Grid, used: list[str]) -> DataFrame:
+    """(step_ts, lkey) with the states used, of samples (lkey, ts_ns, value, ..., low, high): those of a series and of the
+    same steps become one row first, which is then spread over its steps and combined with others."""
+    clean = F.nanvl(F.col("value"), F.lit(None))
+    # each state: how samples are folded into it, and how states are
+    states = {
+        "n": (F.count(F.lit(1)), F.sum("n")), "t0": (F.min("ts_ns"), F.min("t0")), "t1": (F.max("ts_ns"), F.max("t1")),
+        "least": (F.min(clean), F.min("least")), "most": (F.max(clean), F.max("most")),
+        **{f"sum_{x}": (F.sum(x), F.sum(f"sum_{x}")) for x in ("value", "d", "chg", "rst")},
+        **{f"first_{x}": (F.min_by(x, "ts_ns"), F.min_by(f"first_{x}", "t0")) for x in ("value", "d", "chg", "rst")},
+        **{f"last_{x}": (F.max_by(x, "ts_ns"), F.max_by(f"last_{x}", "t1")) for x in ("value", "d", "dt")},
+    }
+    cells = df.groupBy("lkey", "low", "high").agg(*[states[x][0].alias(x) for x in used])
+    return spread(cells, g).groupBy("step_ts", "lkey").agg(*[states[x][1].alias(x) for x in used])
+
+
+def up(t: Column, g: Grid) -> Column:
+    """The first step at or after t, in whole numbers."""
+    return F.greatest(-_floor_div(-(t - g.start), g.step), F.lit(0).cast("long"))
+
+
+def down(t: Column, g: Grid) -> Column:
+    """The last step at or before t."""
+    return F.least(_floor_div(t - g.start, g.step), F.lit(g.n - 1).cast("long"))
+
+
+# -- native histograms: a column h of count, sum, bounds and counts (one more, beyond the last bound) ---------------------
+def _buckets() -> Column:
+    """The buckets below the last bound: from lo (0 for the first) to hi, with c observations."""
+    h = F.col("h")
+    lo = lambda i: F.when(i > 0, F.get(h["bounds"], i - 1)).otherwise(F.lit(0.0))
+    return F.transform(h["bounds"], lambda b, i: F.struct(lo(i).alias("lo"), b.alias("hi"), F.coalesce(F.get(h["counts"], i), F.lit(0)).cast("double").alias("c")))
+
+
+def _total(of) -> Column:
+    return F.aggregate(_buckets(), F.lit(0.0), lambda acc, b: acc + of(b))
+
+
+def _variance() -> Column:
+    """Of the middles of finite buckets, by their counts; NaN without any."""
+    fine = lambda b, x: F.when((b["c"] > 0) & (F.abs(b["hi"]) < float("inf")), b["c"] * x).otherwise(0.0)
+    middle = lambda b: (b["lo"] + b["hi"]) / 2
+    n = _total(lambda b: fine(b, F.lit(1.0)))
+    mean = F.try_divide(_total(lambda b: fine(b, middle(b))), n)
+    return F.coalesce(F.try_divide(_total(lambda b: fine(b, F.pow(middle(b) - mean, F.lit(2.0)))), n), F.lit(NAN))
+
+
+def _fraction(low: float, high: float) -> Column:
+    """The share of observations in [low, high), linear within buckets."""
+    count = F.col("h")["count"].cast("double")
+
+    def below(v: float) -> Column:
+        inside = lambda b: F.coalesce(F.try_divide(F.lit(v) - b["lo"], b["hi"] - b["lo"]), F.lit(0.0)) * b["c"]
+        part = _total(lambda b: F.when(F.lit(v) <= b["lo"], 0.0).when(F.lit(v) >= b["hi"], b["c"]).otherwise(inside(b)))
+        return F.least(part, count)
+
+    return F.when(count > 0, F.greatest(below(high) - below(low), F.lit(0.0)) / count).otherwise(F.lit(NAN))
+
+
+def _quantile(q: float) -> Column:
+    """Linear within the first bucket that reaches the rank; the last bound beyond it."""
+    count, bounds = F.col("h")["count"].cast("double"), F.col("h")["bounds"]
+    if not 0 <= q <= 1:
+        return F.lit(NAN)
+    rank = count * q
+    begin = F.struct(F.lit(0.0).alias("upto"), F.lit(None).cast("double").alias("v"))
+
+    def step(acc, b):
+        after = acc["upto"] + b["c"]
+        v = F.when(b["c"] <= 0, b["hi"]).otherwise(b["lo"] + (b["hi"] - b["lo"]) * F.try_divide(rank - acc["upto"], b["c"]))
+        return F.struct(after.alias("upto"), F.when(acc["v"].isNull() & (after >= rank), v).otherwise(acc["v"]).alias("v"))
+
+    found = F.aggregate(_buckets(), begin, step, lambda acc: acc["v"])
+    return F.when(count > 0, F.coalesce(found, F.get(bounds, F.size(bounds) - 1), F.lit(float("inf")))).otherwise(F.lit(NAN))
+
+
+HISTOGRAM = {
+    "histogram_count": lambda: F.col("h")["count"].cast("double"), "histogram_sum": lambda: F.col("h")["sum"], "histogram_avg": lambda: F.coalesce(F.try_divide(F.col("h")["sum"], F.col("h")["count"]), F.lit(NAN)),
+    "histogram_stdvar": _variance, "histogram_stddev": lambda: F.sqrt(_variance()), "histogram_fraction": _fraction, "histogram_quantile": _quantile,
+}
+
+
 class Engine:
     """Evaluates queries over samples (metric_name, labels, ts_ns, value), a table or a Scan; a column lkey, as in blocks
     of write_samples, is used as it is."""
 
-    def __init__(self, samples: DataFrame | Scan, lookback: int = LOOKBACK):
-        self.samples, self.lookback = samples, lookback
+    def __init__(self, samples: DataFrame | Scan, lookback: int = LOOKBACK, histograms: DataFrame | Scan | None = None, native: tuple[str, ...] = ()):
+        """histograms (metric_name, labels, ts_ns, count, sum, bounds, counts) serve the histogram_ functions;
+        histogram_quantile takes the metrics named in native from there, others from buckets by le."""
+        self.samples, self.lookback, self.histograms, self.native = samples, lookback, histograms, native
         self.spark: SparkSession = samples.sparkSession
 
     # -- entry points -------------------------------------------------------------------------------------------
@@ -132,19 +231,17 @@ class Engine:
         df = self._series(s, g.start - s.offset - self.lookback, g.end - 1 - s.offset)
         nxt = F.lead("ts_ns").over(Window.partitionBy("lkey").orderBy("ts_ns")) + s.offset
         last = F.least(F.coalesce(nxt - 1, t + self.lookback), t + self.lookback)
-        df = df.withColumn("low", self._up(t, g)).withColumn("high", self._down(last, g))
+        df = df.withColumn("low", up(t, g)).withColumn("high", down(last, g))
         df = df.where("low <= high").withColumn("k", F.explode(F.sequence("low", "high")))
         return df.select((F.lit(g.start) + F.col("k") * g.step).alias("step_ts"), read_key(F.col("lkey")).alias("labels"), "lkey", "value")
 
-    @staticmethod
-    def _up(t: Column, g: Grid) -> Column:
-        """The first step at or after t, in whole numbers."""
-        d = t - g.start
-        return F.greatest(-_floor_div(-d, g.step), F.lit(0).cast("long"))
-
-    @staticmethod
-    def _down(t: Column, g: Grid) -> Column:
-        return F.least(_floor_div(t - g.start, g.step), F.lit(g.n - 1).cast("long"))
+    def _histograms(self, s: Selector, g: Grid) -> DataFrame:
+        """(step_ts, labels, lkey, h): the last histogram of each series at each step."""
+        own = Engine(self.histograms, self.lookback)
+        h = F.struct(*[F.col(c) for c in ("count", "sum", "bounds", "counts")])
+        df = between(own.samples, g.start - s.offset - self.lookback, g.end - 1 - s.offset)
+        own.samples = df.select("metric_name", "labels", "ts_ns", h.alias("value"))
+        return own._instant(s, g).withColumnRenamed("value", "h")
 
     def _windowed(self, r: Range, g: Grid, changes: bool) -> DataFrame:
         """(lkey, ts_ns, value, low, high): samples with the first and last step whose closed window holds them; with
@@ -166,20 +263,9 @@ class Engine:
             df = self._vector(inner, sub).select("lkey", F.col("step_ts").alias("ts_ns"), "value")
             steps_exclusive = 1
         if changes:
-            w = Window.partitionBy("lkey").orderBy("ts_ns")
-            v, prev, pt = F.col("value"), F.lag("value").over(w), F.lag("ts_ns").over(w)
-            df = df.select("lkey", "ts_ns", "value", prev.alias("prev"), (F.col("ts_ns") - pt).alias("dt"))
-            p = F.col("prev")
-            df = df.withColumn("d", F.when(p.isNull(), 0.0).when(v < p, v).otherwise(v - p))
-            df = df.withColumn("chg", F.when(p.isNotNull() & (p != v), 1.0).otherwise(0.0)).withColumn("rst", F.when(p.isNotNull() & (v < p), 1.0).otherwise(0.0))
+            df = with_changes(df)
         t = F.col("ts_ns") + off
-        return df.withColumn("low", self._up(t, g)).withColumn("high", self._down(t + r.range - steps_exclusive, g)).where("low <= high")
-
-    @staticmethod
-    def _spread(df: DataFrame, g: Grid) -> DataFrame:
-        """Rows at each of their steps."""
-        k = F.explode(F.sequence("low", "high"))
-        return df.withColumn("k", k).withColumn("step_ts", F.lit(g.start) + F.col("k") * g.step).drop("low", "high", "k")
+        return df.withColumn("low", up(t, g)).withColumn("high", down(t + r.range - steps_exclusive, g)).where("low <= high")
 
     def _range_call(self, c: Call, g: Grid) -> DataFrame:
         r = next(a for a in c.args if isinstance(a, Range))
@@ -188,17 +274,9 @@ class Engine:
         changes = name in ("rate", "increase", "irate", "idelta", "changes", "resets")
         df = self._windowed(r, g, changes)
         if name == "absent_over_time":
-            return self._absent(self._spread(df.select("low", "high").distinct(), g), r.inner, g)
+            return self._absent(spread(df.select("low", "high").distinct(), g), r.inner, g)
         v, t, n = F.col("value"), F.col("ts_ns"), F.count(F.lit(1))
         key = ["step_ts", "lkey"]
-        # states, how to fold samples into one and how to fold those of several rows, and the value made of them
-        first = lambda x: (F.min_by(x, "ts_ns"), F.min_by(f"first_{x}", "t0"))
-        last = lambda x: (F.max_by(x, "ts_ns"), F.max_by(f"last_{x}", "t1"))
-        clean = F.nanvl(v, F.lit(None))
-        states = {
-            "n": (n, F.sum("n")), "t0": (F.min(t), F.min("t0")), "t1": (F.max(t), F.max("t1")), "sum_value": (F.sum(v), F.sum("sum_value")), "least": (F.min(clean), F.min("least")), "most": (F.max(clean), F.max("most")),
-            **{f"sum_{x}": (F.sum(x), F.sum(f"sum_{x}")) for x in ("d", "chg", "rst")}, **{f"first_{x}": first(x) for x in ("value", "d", "chg", "rst")}, **{f"last_{x}": last(x) for x in ("value", "d", "dt")},
-        }
         col, span = F.col, (F.col("t1") - F.col("t0")) / 1e9
         two = lambda x: F.when(F.col("n") >= 2, x)
         grown, ends = col("sum_d") - col("first_d"), col("last_value") - col("first_value")
@@ -212,10 +290,8 @@ class Engine:
         }
         if name in folds:
             used, value = folds[name]
-            cells = df.groupBy("lkey", "low", "high").agg(*[states[x][0].alias(x) for x in used])
-            out = self._spread(cells, g).groupBy(*key).agg(*[states[x][1].alias(x) for x in used]).withColumn("value", value)
-            return self._finished(out)
-        df = self._spread(df, g)
+            return self._finished(folded(df, g, used).withColumn("value", value))
+        df = spread(df, g)
         x = (t - F.col("step_ts")) / 1e9
         if name == "mad_over_time":
             med = df.groupBy(*key).agg(F.percentile("value", 0.5).alias("m"))
@@ -234,11 +310,11 @@ class Engine:
             out = out.withColumn("value", F.aggregate(F.slice("a", F.lit(2), F.size("a")), state(one, second - one), fold, lambda s: s["s"]))
         else:
             # exact quantiles hold the samples of a window in one buffer
-            spread = {
+            loose = {
                 "quantile_over_time": lambda: F.percentile(v, nums[0]) if 0 <= nums[0] <= 1 else F.lit(None).cast("double"), "stddev_over_time": lambda: F.stddev_pop(v), "stdvar_over_time": lambda: F.var_pop(v),
                 "predict_linear": lambda: F.when(n >= 2, F.regr_intercept(v, x) + F.regr_slope(v, x) * (nums[0] if nums else 0.0)),
             }
-            out = df.groupBy(*key).agg(spread[name]().alias("value"))
+            out = df.groupBy(*key).agg(loose[name]().alias("value"))
         return self._finished(out)
 
     @staticmethod
@@ -306,6 +382,13 @@ class Engine:
         if name == "label_del":
             gone = [a.value for a in args[1:] if isinstance(a, Text)]
             return self._relabel(args[0], g, lambda m: F.map_filter(m, lambda k, v: ~k.isin(gone)))
+        if name.startswith("histogram_") and name != "histogram_quantile" or name == "histogram_quantile" and isinstance(args[1], Selector) and args[1].name in self.native:
+            nums = [a.value for a in args if isinstance(a, Number)]
+            if name not in HISTOGRAM or not isinstance(args[-1], Selector) or self.histograms is None or len(nums) != {"histogram_fraction": 2, "histogram_quantile": 1}.get(name, 0):
+                raise ParseError(f"{name} takes its numbers and a selector of histograms")
+            out = self._histograms(args[-1], g).withColumn("value", HISTOGRAM[name](*nums))
+            out = out.where(~F.isnan("value")) if name == "histogram_quantile" else out
+            return out.select("step_ts", "labels", "lkey", "value")
         if name == "histogram_quantile":
             return self._classic_quantile(args[0].value, self._vector(args[1], g))
         raise ParseError(f"unknown function {name}")

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import live, rules, signals
+from .plans import windows
 from .plans.pipeline import Pipelines
 from .plans.promql import Engine
-from .sources.tables import event_logs, event_samples, order_spans
+from .sources.tables import event_histograms, event_logs, event_samples, order_spans
 
 DAY, HOUR = 86400 * 10**9, 3600 * 10**9
 #: 2024-01-01 to 2024-01-31, in steps of six hours.
@@ -98,8 +99,16 @@ _promql("absent_over_time", 'absent_over_time(event_value{event_type="error",sha
 _promql("subquery", "max_over_time(sum by (event_type) (event_value)[12h:6h])", f"{_last(6 * HOUR)}, g AS (SELECT t, event_type, sum(v) AS v FROM i GROUP BY ALL) SELECT st.t AS step_ts, event_type, round(max(v), 6) AS value FROM st JOIN g ON g.t > st.t - {12 * HOUR} AND g.t <= st.t GROUP BY ALL", ("event_type",))
 _promql("scalar_share", "event_value / scalar(sum(event_value))", f"{_last(6 * HOUR)}, g AS (SELECT t, sum(v) AS g FROM i GROUP BY ALL) SELECT t AS step_ts, event_type, shard, round(v / g, 6) AS value FROM i JOIN g USING (t)")
 _promql("date_functions", "hour() + day_of_week() * 100 + days_in_month() * 10000 + event_value * 0", f"{_last(6 * HOUR)} SELECT t AS step_ts, event_type, shard, (hour(make_timestamp(t // 1000)) + dayofweek(make_timestamp(t // 1000)) * 100 + 310000)::DOUBLE AS value FROM i")
-_promql("histogram_quantile", 'histogram_quantile(0.5, label_replace(sum by (shard) (event_value), "le", "100", "shard", "s0") or label_replace(sum by (shard) (event_value) * 3, "le", "+Inf", "shard", "s0"))', f"""{_last(6 * HOUR)}, g AS (SELECT t, sum(v) AS v FROM i WHERE shard = 's0' GROUP BY ALL)
-SELECT t AS step_ts, 's0' AS shard, 100.0::DOUBLE AS value FROM g""", ("shard",))
+#: Four cumulative buckets of each shard's values: those up to 20, 60 and 150, and all.
+_LE = {"20": 20, "60": 60, "150": 150, "+Inf": None}
+_BUCKETS = " or ".join(f'label_replace(count by (shard) (event_value{"" if b is None else f" <= {b}"}), "le", "{le}", "shard", ".*")' for le, b in _LE.items())
+for _q in (0.05, 0.5, 0.9):
+    _promql(f"histogram_quantile_{round(100 * _q)}", f"histogram_quantile({_q}, {_BUCKETS})", f"""{_last(6 * HOUR)},
+c AS (SELECT t, shard, nullif(count(*) FILTER (v <= 20), 0) AS a, nullif(count(*) FILTER (v <= 60), 0) AS b, nullif(count(*) FILTER (v <= 150), 0) AS c, count(*) AS n FROM i GROUP BY ALL),
+l AS (SELECT t, shard, n, {_q} * n AS r, list_filter([{{'le': 20.0::DOUBLE, 'v': a}}, {{'le': 60.0::DOUBLE, 'v': b}}, {{'le': 150.0::DOUBLE, 'v': c}}, {{'le': 'inf'::DOUBLE, 'v': n}}], lambda x: x.v IS NOT NULL) AS x FROM c),
+p AS (SELECT *, list_position(list_transform(x, lambda y: y.v >= r), true) AS i FROM l WHERE len(x) >= 2),
+q AS (SELECT t, shard, r, x[i].le AS hi, x[i].v AS hv, CASE WHEN i > 1 THEN x[i - 1].le ELSE 0 END AS lo, CASE WHEN i > 1 THEN x[i - 1].v ELSE 0 END AS lv FROM p)
+SELECT t AS step_ts, shard, round(CASE WHEN isinf(hi) THEN lo ELSE lo + (hi - lo) * (r - lv) / (hv - lv) END, 6) AS value FROM q""", ("shard",))
 
 
 def holt_winters(spark, sf_dir: str) -> DataFrame:
@@ -107,6 +116,12 @@ def holt_winters(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES["promql_holt_winters"] = holt_winters
+#: The fold over the values of a window in order of time, as a recursion over their places.
+ORACLE["promql_holt_winters"] = f"""WITH RECURSIVE {_SAMPLES}, {_STEPS},
+w AS (SELECT t, event_type, shard, list(v ORDER BY ts) AS a FROM st JOIN s ON ts BETWEEN t - {24 * HOUR} AND t GROUP BY ALL HAVING count(*) >= 2),
+f AS (SELECT t, event_type, shard, a, 1 AS i, a[1] AS s, a[2] - a[1] AS b FROM w
+  UNION ALL SELECT t, event_type, shard, a, i + 1, 0.5 * a[i + 1] + 0.5 * (s + b), 0.1 * ((0.5 * a[i + 1] + 0.5 * (s + b)) - s) + 0.9 * b FROM f WHERE i < len(a))
+SELECT t AS step_ts, event_type, shard, round(s, 6) AS value FROM f WHERE i = len(a)"""
 
 
 # -- samples ------------------------------------------------------------------------------------------------------
@@ -143,7 +158,7 @@ def recording_rule(spark, sf_dir: str) -> DataFrame:
 
 def alert_states(spark, sf_dir: str) -> DataFrame:
     v = Engine(event_samples(spark, sf_dir), 6 * HOUR).query_range("avg by (event_type) (event_value)", START, END, STEP)
-    df = rules.alert_states(v, ">", 250.0, 2 * STEP)
+    df = rules.alert_states(v, ">", 60.0, 2 * STEP)
     return df.select("step_ts", F.element_at("labels", F.lit("event_type")).alias("event_type"), "state")
 
 
@@ -160,7 +175,7 @@ ORACLE |= {
     "discovery_label_names": "SELECT unnest(['event_type', 'shard']) AS name",
     "series_limit": "WITH s AS (SELECT event_type, 's' || (user_id % 4) AS shard, min(ts) AS f, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, shard, n FROM s QUALIFY row_number() OVER (ORDER BY f, event_type, shard) <= 7",
     "recording_rule": f"{_MEANS} SELECT 'event:mean' AS metric_name, t AS ts_ns, event_type, 'r1' AS rule, round(v, 6) AS value FROM a",
-    "alert_states": f"""{_MEANS}, o AS (SELECT *, v > 250 AS o FROM a), l AS (SELECT *, coalesce(lag(o) OVER (PARTITION BY event_type ORDER BY t), false) AS was, lag(t) OVER (PARTITION BY event_type ORDER BY t) AS prior FROM o),
+    "alert_states": f"""{_MEANS}, o AS (SELECT *, v > 60 AS o FROM a), l AS (SELECT *, coalesce(lag(o) OVER (PARTITION BY event_type ORDER BY t), false) AS was, lag(t) OVER (PARTITION BY event_type ORDER BY t) AS prior FROM o),
 r AS (SELECT *, sum((o <> was)::INT) OVER (PARTITION BY event_type ORDER BY t) AS run FROM l), f AS (SELECT *, min(t) OVER (PARTITION BY event_type, run) AS since FROM r),
 p AS (SELECT *, lag(since) OVER (PARTITION BY event_type ORDER BY t) AS ws FROM f)
 SELECT t AS step_ts, event_type, CASE WHEN o AND t - since >= {2 * STEP} THEN 'firing' WHEN o THEN 'pending' ELSE 'resolved' END AS state FROM p WHERE o OR (was AND prior - ws >= {2 * STEP})""",
@@ -169,6 +184,73 @@ d AS (SELECT event_type, last, median, list_sort(list_transform(a, lambda x: abs
 SELECT event_type, round(last, 6) AS last, round(median, 6) AS median, round(mad, 6) AS mad, abs(last - median) > greatest(mad, 1e-9, abs(median) * 0.001) AS fires FROM d""",
 }
 
+# -- range plans and native histograms -------------------------------------------------------------------------------
+def _plan(name: str, sql: str, labels: tuple = _BOTH, **how) -> None:
+    def run(spark, sf_dir: str) -> DataFrame:
+        return _flat(windows.run(event_samples(spark, sf_dir), windows.Plan("event_value", start=START, end=END, step=STEP, **how)), *labels)
+
+    QUERIES[f"plan_{name}"], ORACLE[f"plan_{name}"] = run, sql
+
+
+#: Samples as they are, and the windows [t - range, t + step) of a plan with the growth in each.
+_RAW = "s AS (SELECT event_type, 's' || (user_id % 4) AS shard, epoch_us(ts) * 1000 AS ts, value AS v FROM events)"
+_PLAN = f"""WITH {_RAW}, {_STEPS},
+w AS (SELECT t, event_type, shard, ts, v, lag(v) OVER p AS pv, lag(ts) OVER p AS pts FROM st JOIN s ON ts >= t - {24 * HOUR} AND ts < t + {STEP}
+      WINDOW p AS (PARTITION BY t, event_type, shard ORDER BY ts)),
+a AS (SELECT t, event_type, shard, count(*) AS n, (max(ts) - min(ts)) / 1e9 AS span, sum(CASE WHEN pv IS NULL THEN 0 WHEN v < pv THEN v ELSE v - pv END) AS g,
+  max_by(v, ts) - min_by(v, ts) AS ends, max_by(CASE WHEN v < pv THEN v ELSE v - pv END, ts) AS d, max_by(ts - pts, ts) / 1e9 AS dt FROM w GROUP BY ALL),
+r AS (SELECT *, g / span * (span + 2 * greatest(least(({24 * 3600} - span) / 2, span * 0.1), 0)) / span AS rate FROM a WHERE n > 1 AND span > 0)"""
+_plan("rate", f"{_PLAN} SELECT t AS step_ts, event_type, shard, round(rate, 6) AS value FROM r", op="rate", range=24 * HOUR)
+_plan("increase", f"{_PLAN} SELECT t AS step_ts, event_type, shard, round(rate * {24 * 3600}, 6) AS value FROM r", op="increase", range=24 * HOUR)
+_plan("delta", f"{_PLAN} SELECT t AS step_ts, event_type, shard, round(ends, 6) AS value FROM a", op="delta", range=24 * HOUR)
+_plan("irate", f"{_PLAN} SELECT t AS step_ts, event_type, shard, round(d / dt, 6) AS value FROM a WHERE n > 1 AND dt > 0", op="irate", range=24 * HOUR)
+_plan("group_by", f"{_PLAN} SELECT t AS step_ts, event_type, round(sum(rate), 6) AS value FROM r GROUP BY ALL", ("event_type",), op="rate", range=24 * HOUR, by=["event_type"])
+_plan("group_without", f"{_PLAN} SELECT t AS step_ts, shard, 'event_value' AS __name__, round(sum(ends), 6) AS value FROM a GROUP BY ALL", ("shard", "__name__"), op="delta", range=24 * HOUR, without=["event_type"])
+_plan("topk", f"{_PLAN}, k AS (SELECT event_type, shard FROM (SELECT event_type, shard, max_by(rate, t) AS last FROM r GROUP BY ALL) ORDER BY last DESC, event_type, shard LIMIT 3) SELECT t AS step_ts, event_type, shard, round(rate, 6) AS value FROM r SEMI JOIN k USING (event_type, shard)", op="rate", range=24 * HOUR, k=3)
+_plan("relabel", f"{_PLAN} SELECT t AS step_ts, event_type, shard, replace(event_type, 'r', 'R') AS x, round(ends, 6) AS value FROM a WHERE event_type IN ('purchase', 'view', 'signup')", (*_BOTH, "x"), op="delta", range=24 * HOUR, relabel=("x", "R", "event_type", "r"), matchers=[("event_type", "=~", "^(purchase|view|signup)$")])
+_CELLS = f"WITH {_RAW}, c AS (SELECT *, ts - (ts - {START}) % {STEP} AS t FROM s WHERE ts >= {START} AND ts < {END}), d AS (SELECT *, lag(v) OVER p AS pv, lag(ts) OVER p AS pts FROM c WINDOW p AS (PARTITION BY t, event_type, shard ORDER BY ts))"
+for _n, _o, _x, _q in (
+    ("bucket_irate", "irate", "CASE WHEN count(*) > 1 THEN max_by(CASE WHEN v < pv THEN v ELSE v - pv END, ts) / (max_by(ts - pts, ts) / 1e9) END", None), ("bucket_rate", "rate", "CASE WHEN count(*) > 1 THEN (max_by(v, ts) - min_by(v, ts)) / ((max(ts) - min(ts)) / 1e9) END", None),
+    ("bucket_increase", "increase", "CASE WHEN count(*) > 1 THEN CASE WHEN max_by(v, ts) < min_by(v, ts) THEN max_by(v, ts) ELSE max_by(v, ts) - min_by(v, ts) END END", None), ("bucket_delta", "delta", "CASE WHEN count(*) > 1 THEN max_by(v, ts) - min_by(v, ts) END", None),
+    ("bucket_sum", "sum", "sum(v)", None), ("bucket_min", "min", "min(v)", None), ("bucket_floor", "floor", "floor(max_by(v, ts))", None), ("bucket_ceil", "ceil", "ceil(max_by(v, ts))", None), ("bucket_round", "round", "round(max_by(v, ts) / 5) * 5", 5.0),
+    ("bucket_clamp_min", "clamp_min", "greatest(max_by(v, ts), 50)", 50.0), ("bucket_clamp_max", "clamp_max", "least(max_by(v, ts), 50)", 50.0),
+):
+    _plan(_n, f"{_CELLS} SELECT t AS step_ts, event_type, shard, round(({_x})::DOUBLE, 6) AS value FROM d GROUP BY ALL HAVING value IS NOT NULL", op=_o, param=_q)
+
+
+def plan_totals(spark, sf_dir: str) -> DataFrame:
+    return windows.totals(event_samples(spark, sf_dir), "event_value", START, END)
+
+
+QUERIES["plan_totals"] = plan_totals
+ORACLE["plan_totals"] = f"WITH {_RAW} SELECT count(*) AS points, count(DISTINCT event_type || '/' || shard) AS series FROM s WHERE ts BETWEEN {START} AND {END}"
+
+#: Histograms of days at each step, and their buckets below the last bound.
+_HIST = f"""WITH {_STEPS}, e AS (SELECT event_type, epoch_us(ts) * 1000 AS ts, value AS v FROM events),
+h AS (SELECT event_type, ts - ts % {DAY} AS ts, count(*) AS n, sum(v) AS total, [count(*) FILTER (v <= 20), count(*) FILTER (v > 20 AND v <= 60), count(*) FILTER (v > 60 AND v <= 150)] AS c FROM e GROUP BY ALL),
+i AS (SELECT t, event_type, max_by(n, ts) AS n, max_by(total, ts) AS total, max_by(c, ts) AS c FROM st JOIN h ON ts BETWEEN t - {6 * HOUR} AND t GROUP BY ALL),
+m AS (SELECT *, (c[1] * 10 + c[2] * 40 + c[3] * 105) / (c[1] + c[2] + c[3]) AS mu FROM i),
+x AS (SELECT *, (c[1] * (10 - mu) ** 2 + c[2] * (40 - mu) ** 2 + c[3] * (105 - mu) ** 2) / (c[1] + c[2] + c[3]) AS var, 0.5 * n AS r FROM m)"""
+
+
+def _hist(name: str, query: str, value: str) -> None:
+    def run(spark, sf_dir: str) -> DataFrame:
+        engine = Engine(event_samples(spark, sf_dir), 6 * HOUR, event_histograms(spark, sf_dir), ("event_hist",))
+        return _flat(engine.query_range(query, START, END, STEP), "event_type")
+
+    QUERIES[f"promql_native_{name}"] = run
+    ORACLE[f"promql_native_{name}"] = f"{_HIST} SELECT t AS step_ts, event_type, round(({value})::DOUBLE, 6) AS value FROM x"
+
+
+_hist("count", "histogram_count(event_hist)", "n")
+_hist("sum", "histogram_sum(event_hist)", "total")
+_hist("avg", "histogram_avg(event_hist)", "total / n")
+_hist("stdvar", "histogram_stdvar(event_hist)", "CASE WHEN c[1] + c[2] + c[3] > 0 THEN var ELSE 'nan' END")
+_hist("stddev", "histogram_stddev(event_hist)", "CASE WHEN c[1] + c[2] + c[3] > 0 THEN sqrt(var) ELSE 'nan' END")
+_hist("fraction", "histogram_fraction(10, 100, event_hist)", "(c[1] / 2 + c[2] + c[3] * 40 / 90) / n")
+_hist("quantile", "histogram_quantile(0.5, event_hist)", "CASE WHEN c[1] >= r THEN 20 * r / c[1] WHEN c[1] + c[2] >= r THEN 20 + 40 * (r - c[1]) / c[2] WHEN c[1] + c[2] + c[3] >= r THEN 60 + 90 * (r - c[1] - c[2]) / c[3] ELSE 150 END")
+
+
 # -- logs ---------------------------------------------------------------------------------------------------------
 _LOGS = """WITH l AS (SELECT event_id, epoch_us(ts) * 1000 AS ts_ns, user_id, event_type, value, 'svc-' || (user_id % 5) AS service,
 CASE event_type WHEN 'error' THEN 17 WHEN 'purchase' THEN 13 ELSE 9 END AS sev, 'user ' || user_id || ' ' || event_type || ' took ' || value || 'ms' AS body FROM events)"""
@@ -275,4 +357,10 @@ _piped("log_stats", 'fetch logs | filter severity>=WARN | parse "took ([0-9.]+)m
 _piped("log_buckets", "fetch logs | filter event_type=error | stats count() as n, sum(duration_ms) as total by service interval=1d", f"{_LOGS}, c AS (SELECT service, ts_ns - ts_ns % {DAY} AS b, count(*) AS n, sum(value) AS total FROM l WHERE event_type = 'error' GROUP BY ALL), g AS (SELECT * FROM (SELECT DISTINCT service FROM c), (SELECT DISTINCT b FROM c)) SELECT service, b AS bucket_ns, coalesce(n, 0) AS n, round(coalesce(total, 0), 6) AS total FROM g LEFT JOIN c USING (service, b)", _rounded("total"))
 _piped("span_stats", "fetch traces | filter kind=2 duration_ms>100 | stats count() as n, p50(duration_ms) as p50 by service, status", f"{_SPANS} SELECT service, CASE status WHEN 2 THEN 'ERROR' ELSE 'UNSET' END AS status, count(*) AS n, round(quantile_cont(took / 1e6, 0.5), 6) AS p50 FROM sp WHERE kind = 2 AND took / 1e6 > 100 GROUP BY ALL", _rounded("p50"))
 _piped("metric_stats", "fetch metrics | filter event_type!=view | stats count() as n, min(value) as low by event_type, shard", "SELECT event_type, 's' || (user_id % 4) AS shard, count(*) AS n, min(value) AS low FROM events WHERE event_type <> 'view' GROUP BY ALL")
+_piped("correlate_traces", "fetch logs | filter event_type=error | correlate traces window=6h | stats count() as n, sum(correlated_span_count) as spans, max(correlated_trace_duration_ms) as longest by service", f"""{_LOGS}, {_SPANS.removeprefix("WITH ")},
+p AS (SELECT trace_id, count(*) AS c, max(took / 1e6) AS d FROM sp GROUP BY ALL), e AS (SELECT *, lpad(to_hex(event_id % 1000), 32, '0') AS trace_id FROM l WHERE event_type = 'error'),
+j AS (SELECT e.event_id, e.service, e.ts_ns, p.c, p.d FROM e LEFT JOIN p USING (trace_id)),
+k AS (SELECT event_id, j.service, count(start_ns) AS c, max(took / 1e6) AS d FROM j LEFT JOIN sp ON j.service = sp.service AND abs(start_ns - ts_ns) <= {6 * HOUR} WHERE j.c IS NULL GROUP BY ALL),
+a AS (SELECT service, c, d FROM j WHERE c IS NOT NULL UNION ALL SELECT service, nullif(c, 0), d FROM k)
+SELECT service, count(*) AS n, coalesce(sum(c), 0)::DOUBLE AS spans, max(d) AS longest FROM a GROUP BY ALL""", _rounded("longest"))
 _piped("correlate_logs", "fetch logs | filter event_type=purchase | correlate logs window=1h | stats count() as n, sum(correlated_log_count) as near, max(correlated_max_severity_number) as worst by service", f"{_LOGS}, j AS (SELECT a.event_id, a.service, count(*) AS c, max(b.sev) AS m FROM l a JOIN l b ON a.service = b.service AND abs(a.ts_ns - b.ts_ns) <= {HOUR} WHERE a.event_type = 'purchase' GROUP BY ALL) SELECT service, count(*) AS n, sum(c)::DOUBLE AS near, max(m)::DOUBLE AS worst FROM j GROUP BY ALL")

@@ -59,6 +59,16 @@ def _samples(e: DataFrame) -> DataFrame:
     return e.select(F.lit("event_value").alias("metric_name"), labels.alias("labels"), ntz_ns("ts").alias("ts_ns"), F.col("value"))
 
 
+def event_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_hist{event_type}: a histogram of each day's values, at the day's begin."""
+    e = _samples(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    day, v, edges = 86400 * 10**9, F.col("value"), (20.0, 60.0, 150.0)
+    n = lambda lo, hi: F.count_if((v > lo) & (v <= hi))
+    counts = F.array(*[n(lo, hi) for lo, hi in zip((float("-inf"), *edges), (*edges, float("inf")))])
+    out = e.groupBy(F.element_at("labels", F.lit("event_type")).alias("event_type"), (F.col("ts_ns") - F.pmod("ts_ns", F.lit(day))).alias("ts_ns")).agg(F.count(F.lit(1)).alias("count"), F.sum("value").alias("sum"), counts.alias("counts"))
+    return out.select(F.lit("event_hist").alias("metric_name"), F.create_map(F.lit("event_type"), "event_type").alias("labels"), "ts_ns", F.col("sum").alias("value"), "count", "sum", F.array(*map(F.lit, edges)).alias("bounds"), "counts")
+
+
 def event_logs(spark: SparkSession, sf_dir: str) -> Scan:
     """events as logs: errors are ERROR, purchases WARN, others INFO."""
     return Scan(spark.read.parquet(f"{sf_dir}/events.parquet"), _logs, "ts")
