@@ -115,3 +115,120 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+# -- engine -------------------------------------------------------------------------------------------------------
+def test_several_metrics_keep_apart(spark):
+    rows = [(m, {"job": "x"}, t * S, float(k * t)) for m, k in (("a", 1), ("b", 5)) for t in range(0, 301, 15)]
+    e = Engine(spark.createDataFrame(rows, "metric_name string, labels map<string,string>, ts_ns long, value double"))
+    one = lambda q: sorted(r.value for r in e.query_instant(q, 300 * S).collect())
+    assert one('count({__name__=~"a|b"})') == [2.0]
+    assert one('rate({__name__=~"a|b"}[5m])') == pytest.approx([1.0, 5.0])
+    got = e.query_instant('{__name__=~"a|b"}', 300 * S).collect()
+    assert sorted(r.labels["__name__"] for r in got) == ["a", "b"]
+    assert all(r.labels == {"job": "x"} for r in e.query_instant('rate({__name__=~"a|b"}[5m])', 300 * S).collect())
+
+
+@pytest.mark.parametrize(("query", "want"), [("ceil(x / 0)", [math.inf]), ("floor(x * 1e300)", [1.5e300]), ("ceil(x)", [2.0]), ("floor(-x)", [-2.0]), ("ceil(x - x) / 0", []), ("floor((x - x) / 0)", [])])
+def test_whole_numbers(spark, query, want):
+    e = Engine(spark.createDataFrame([("x", {"a": "b"}, 0, 1.5)], "metric_name string, labels map<string,string>, ts_ns long, value double"))
+    assert [r.value for r in e.query_instant(query, 0).collect() if not math.isnan(r.value)] == want
+
+
+def _plan_text(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_push_time_and_fold(spark, sf):
+    """The range of a query reaches the files, and its aggregates are hash aggregates over narrow rows."""
+    from heliotrope.sources.tables import event_logs, event_samples
+
+    plan = _plan_text(Engine(event_samples(spark, sf)).query_range("sum by (event_type) (rate(event_value[24h]))", queries.START, queries.END, queries.STEP))
+    assert "GreaterThanOrEqual(ts,2023-12-31" in plan and "LessThanOrEqual(ts,2024-01-" in plan
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and "BroadcastNestedLoopJoin" not in plan
+    from heliotrope.operators import signals
+
+    plan = _plan_text(signals.search_logs(event_logs(spark, sf), "signup", queries.START, queries.END, 10))
+    assert "GreaterThanOrEqual(ts,2024-01-01" in plan and "TakeOrderedAndProject" in plan
+    plan = _plan_text(queries.QUERIES["pipeline_log_buckets"](spark, sf))
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    plan = _plan_text(queries.QUERIES["pipeline_correlate_logs"](spark, sf))
+    assert "Join" not in plan
+    plan = _plan_text(queries.QUERIES["live_metrics"](spark, sf))
+    assert plan.count("FileScan") == 1
+
+
+def test_blocks_are_pruned(spark, sf, tmp_path, monkeypatch):
+    """Samples written as blocks give the same answers, read with their stored keys, and days and names prune."""
+    from heliotrope.sources import tables
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+
+    path, q = str(tmp_path / "blocks"), "sum by (shard) (increase(event_value[24h]))"
+    tables.write_samples(tables.event_samples(spark, sf).all(), path)
+    day = 5 * queries.DAY
+    ask = lambda src: {(r.step_ts, r.lkey): round(r.value, 6) for r in Engine(src).query_range(q, queries.START + day, queries.START + day + queries.DAY, queries.STEP).collect()}
+    blocks = tables.read_samples(spark, path)
+    assert ask(blocks) == ask(tables.event_samples(spark, sf)) != {}
+    plan = _plan_text(Engine(blocks).query_range(q, queries.START + day, queries.START + day + queries.DAY, queries.STEP))
+    scan = next(x for x in plan.split("\n") if "FileScan" in x)
+    assert "EqualTo(metric_name,event_value)" in scan and "day" in scan.split("PartitionFilters:")[1].split("PushedFilters")[0] and "labels" not in scan.split("ReadSchema")[1]
+
+
+def test_range_plans(spark):
+    from heliotrope.plans import windows
+
+    rows = [("m", {"a": "x y x"}, t * S, float(t)) for t in range(0, 100, 10)] + [("one", {"a": "b"}, 5 * S, 3.0)]
+    df = spark.createDataFrame(rows, "metric_name string, labels map<string,string>, ts_ns long, value double")
+    run = lambda **k: windows.run(df, windows.Plan(**({"metric": "m", "op": "rate", "start": 0, "end": 100 * S, "step": 50 * S} | k))).orderBy("step_ts").collect()
+    # [0 - 100, 50): five samples over 40 s in a window of 100 s, so a tenth of 40 s is added on either side
+    assert [r.value for r in run(range=100 * S)] == pytest.approx([1.0 * 48 / 40, 1.0 * (90 + 2 * 5) / 90])
+    assert [r.value for r in run(range=100 * S, op="increase")] == pytest.approx([120.0, 1.0 * 100 / 90 * 100])
+    assert run(range=100 * S, relabel=("b", "Z", "a", "x"))[0].labels == {"__name__": "m", "a": "x y x", "b": "Z y x"}
+    assert run(metric="one", range=10 * S, op="rate") == [] and [r.value for r in run(metric="one", range=10 * S, op="delta")] == [0.0]
+    assert [r.value for r in run(op="abs")] == [40.0, 90.0]
+    for bad in ({"op": "avg", "range": S}, {"step": 0}, {"metric": ""}, {"end": 0}, {"end": 31 * 86400 * S}, {"op": "quantile", "param": 1.5}):
+        with pytest.raises(ValueError):
+            run(**bad)
+    assert windows.totals(df, "m", 0, 50 * S).first()[:] == (6, 1)
+
+
+def test_native_histograms(spark):
+    """Empty ones, ranks in the first, an empty and the last bucket, ranges beyond the bounds."""
+    h = [("h", {"s": "a"}, 0, 10, 50.0, [1.0, 5.0, 10.0], [4, 0, 4, 2]), ("h", {"s": "none"}, 0, 0, 0.0, [1.0], [0, 0])]
+    hist = spark.createDataFrame(h, "metric_name string, labels map<string,string>, ts_ns long, count long, sum double, bounds array<double>, counts array<long>")
+    none = spark.createDataFrame([], "metric_name string, labels map<string,string>, ts_ns long, value double")
+    e = Engine(none, histograms=hist, native=("h",))
+    one = lambda q, s="a": next((r.value for r in e.query_instant(q, 0).collect() if r.labels["s"] == s), None)
+    assert one("histogram_quantile(0.2, h)") == pytest.approx(0.5) and one("histogram_quantile(0.6, h)") == pytest.approx(7.5) and one("histogram_quantile(0.95, h)") == 10.0 and one("histogram_quantile(0, h)") == 0.0
+    assert one("histogram_quantile(0.5, h)", "none") is None and one("histogram_quantile(2, h)") is None
+    assert math.isnan(one("histogram_avg(h)", "none")) and one("histogram_avg(h)") == 5.0 and one("histogram_count(h)") == 10.0 and one("histogram_sum(h)") == 50.0
+    mean = (4 * 0.5 + 4 * 7.5) / 8
+    assert one("histogram_stdvar(h)") == pytest.approx((4 * (0.5 - mean) ** 2 + 4 * (7.5 - mean) ** 2) / 8) and math.isnan(one("histogram_stddev(h)", "none"))
+    assert one("histogram_fraction(0.5, 7.5, h)") == pytest.approx(0.4) and one("histogram_fraction(-5, 100, h)") == pytest.approx(0.8) and math.isnan(one("histogram_fraction(0, 1, h)", "none"))
+    with pytest.raises(promql_parser.ParseError):
+        e.query_instant("histogram_fraction(1, h)", 0)
+
+
+def test_live_steps(spark):
+    """Fields that are added, histogram points, records that a pipeline drops or sends away, templates, and bare records."""
+    logs = spark.createDataFrame([(1, 17, "ERROR", "a=5", {"k": "v"}, {"service.name": "s"}), (2, 9, "INFO", "b", {}, {}), (0, None, None, "a=50", {}, {})], "ts_ns long, severity_number int, severity_text string, body string, attributes map<string,string>, resource map<string,string>")
+    steps = [live.Extract(r"a=(?<n>\d+)"), live.AddFields({"team": "t"}), live.Metric("h", "n", ("team",), kind="histogram", bounds=(10.0, 100.0)), live.Metric("c", kind="counter"), live.Route("n > 10", "big"), live.Metric("left")]
+    out, points = live.run(live.prepared(logs), [live.Pipeline("p", "body != zzz", steps)])
+    assert sorted((r.body, r.destination) for r in out.collect()) == [("a=5", None), ("a=50", "big"), ("b", None)]
+    got = sorted((r.metric_name, r.value, r.kind, r.counts, dict(r.labels)) for r in points.collect())
+    assert got == [("c", 1.0, "counter", None, {})] * 3 + [("h", 5.0, "histogram", [1, 0, 0], {"team": "t"}), ("h", 50.0, "histogram", [0, 1, 0], {"team": "t"})] + [("left", 1.0, "gauge", None, {})] * 2
+    row = live.prepared(logs).orderBy("body").collect()[1]
+    assert row.ts_ns > 10**18 and row.severity_number == 9 and row.severity_text == "INFO"
+    text = logs.select(live.render("{{ labels.k }}-{{k}}-{{ no }}!", F.col("attributes")).alias("t")).first().t
+    assert text == "v-v-!"
+
+
+def test_limits_are_refused_not_cut(spark, sf):
+    from heliotrope.operators import signals
+    from heliotrope.sources.tables import event_logs, event_samples
+
+    with pytest.raises(ValueError):
+        signals.search_logs(event_logs(spark, sf), "x", 0, 1, limit=10_001)
+    with pytest.raises(ValueError):
+        signals.label_values(event_samples(spark, sf), "shard", limit=101)
