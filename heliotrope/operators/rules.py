@@ -88,3 +88,29 @@ def inhibited(alerts: DataFrame, source: dict[str, str], target: dict[str, str],
     src = alerts.where((F.col("state") == "firing") & matches(F.col("labels"), source)).select("step_ts", key.alias("_k"), F.lit(True).alias("_hit")).distinct()
     marked = alerts.withColumn("_k", key).join(src, ["step_ts", "_k"], "left")
     return marked.withColumn("inhibited", matches(F.col("labels"), target) & ~matches(F.col("labels"), source) & F.coalesce("_hit", F.lit(False))).drop("_k", "_hit")
+
+
+# -- judging alerts -------------------------------------------------------------------------------------------------
+def noise_scores(transitions: DataFrame) -> DataFrame:
+    """(lkey, fired, score): of an alert's firings the share that nobody acknowledged times the share that resolved."""
+    n = lambda state: F.count_if(F.col("state") == state)
+    per = transitions.groupBy("lkey").agg(n("firing").alias("fired"), n("acknowledged").alias("acked"), n("resolved").alias("cleared"))
+    fired = F.col("fired")
+    share = (fired - F.least("acked", fired)) / fired * F.least("cleared", fired) / fired
+    return per.select("lkey", "fired", F.when(fired > 0, share).otherwise(0.0).alias("score"))
+
+
+def evidence(points: DataFrame, most: int = 240) -> DataFrame:
+    """Of each series' points (lkey, step_ts, value) at most `most`: all, or the first, the last, and the least and greatest
+    of equally many points each. Values that are not finite are left out."""
+    most = min(4096, max(2, most))
+    buckets = max(1, (most - 2) // 2)
+    df = points.where(F.abs("value") < float("inf"))
+    w = Window.partitionBy("lkey")
+    df = df.withColumn("i", F.row_number().over(w.orderBy("step_ts"))).withColumn("n", F.count(F.lit(1)).over(w))
+    few = df.where(F.col("n") <= most).select("lkey", "step_ts", "value")
+    cell = F.call_function("div", F.col("i") * buckets + F.col("n") - 1, F.col("n")) - 1
+    at, by = F.struct("step_ts", "value"), F.struct("value", "step_ts")
+    many = df.where(F.col("n") > most).groupBy("lkey", cell.alias("cell")).agg(F.array(F.min_by(at, by), F.max_by(at, by), F.min(at), F.max(at)).alias("p"), F.min("i").alias("lo"), F.max("i").alias("hi"), F.max("n").alias("n"))
+    ends = F.filter("p", lambda x, i: (i < 2) | ((i == 2) & (F.col("lo") == 1)) | ((i == 3) & (F.col("hi") == F.col("n"))))
+    return few.union(many.select("lkey", F.explode(ends).alias("x")).select("lkey", "x.step_ts", "x.value").distinct())

@@ -150,29 +150,41 @@ def red_metrics(spans: DataFrame) -> DataFrame:
     return spans.where("kind = 2").select(labels.alias("labels"), F.col("end_ns").alias("ts_ns"), F.explode(points).alias("p")).select("p.metric_name", "labels", "ts_ns", "p.value")
 
 
-def tail_sample(spans: DataFrame, ratio: float, slow_ms: float | None = None) -> DataFrame:
-    """Whole traces: those with an error, those with a server span of slow_ms or more, and a share `ratio` of the rest by a
-    hash of the trace id. The decision is one combinable aggregate a trace, joined back; no trace is gathered."""
-    if ratio >= 1:
+def tail_sample(spans: DataFrame, ratio: float, slow_ms: float | None = None, errors: bool = True, services: dict[str, tuple[float, float | None, bool]] | None = None) -> DataFrame:
+    """Whole traces: those with an error (if errors), those with a server span of slow_ms or more, and a share `ratio` of the
+    rest by a hash of the trace id. services has (ratio, slow_ms, errors) for traces whose first span is of that service.
+    The decision is one combinable aggregate a trace, joined back; no trace is gathered."""
+    if ratio >= 1 and not services:
         return spans
-    slow = (F.col("kind") == 2) & ((F.col("end_ns") - F.col("start_ns")) / 1e6 >= slow_ms) if slow_ms is not None else F.lit(False)
-    kept = spans.groupBy("trace_id").agg(F.max((F.col("status") == 2) | slow).alias("must"))
-    drawn = F.conv(F.substring(F.md5("trace_id"), 1, 8), 16, 10).cast("long") % 10_000 < int(ratio * 10_000)
-    return spans.join(kept.where(F.col("must") | drawn).select("trace_id"), "trace_id", "left_semi")
+    took = F.when(F.col("kind") == 2, (F.col("end_ns") - F.col("start_ns")) / 1e6)
+    per = spans.groupBy("trace_id").agg(F.max(F.col("status") == 2).alias("bad"), F.max(took).alias("slowest"), F.min_by(F.coalesce("service", F.lit("")), F.struct("start_ns", "span_id")).alias("service"))
+    drawn = F.conv(F.substring(F.md5("trace_id"), 1, 8), 16, 10).cast("long") % 10_000
+
+    def kept(ratio: float, slow_ms: float | None, errors: bool):
+        slow = F.coalesce(F.col("slowest") >= slow_ms, F.lit(False)) if slow_ms is not None else F.lit(False)
+        return (F.col("bad") & F.lit(errors)) | slow | (drawn < int(min(1.0, max(0.0, ratio)) * 10_000))
+
+    keep = kept(ratio, slow_ms, errors)
+    for name, policy in (services or {}).items():
+        keep = F.when(F.col("service") == name, kept(*policy)).otherwise(keep)
+    return spans.join(per.where(keep).select("trace_id"), "trace_id", "left_semi")
 
 
 # -- across signals -----------------------------------------------------------------------------------------------
 #: How much each dimension that an anchor and an event share tells, strongest first.
-DIMENSIONS = (("trace_id", 100), ("k8s_pod_uid", 80), ("service_name", 40), ("k8s_namespace", 20))
+DIMENSIONS = ((("trace_id",), 100), (("k8s_pod_uid",), 80), (("k8s_pod_name", "k8s_namespace"), 60), (("service_name",), 40), (("k8s_namespace",), 20))
 
 
 def correlate(events: DataFrame, anchor: dict[str, str], ts: int, window: int, limit: int = 100) -> DataFrame:
-    """Events (ts_ns and columns named as dimensions) within the window that share the anchor's strongest dimension, with a
-    score of its weight and their nearness."""
-    have = [(n, w) for n, w in DIMENSIONS if anchor.get(n) and n in events.columns]
+    """Events (logs or samples: ts_ns and columns named as dimensions) within the window that share the anchor's strongest
+    dimension, with a score of its weight and their nearness."""
+    have = [(names, w) for names, w in DIMENSIONS if all(anchor.get(n) and n in events.columns for n in names)]
     if not have or window <= 0:
         return events.limit(0).withColumn("score", F.lit(0.0))
-    name, weight = have[0]
+    names, weight = have[0]
+    same = F.lit(True)
+    for n in names:
+        same = same & (F.col(n) == anchor[n])
     gap = F.abs(F.col("ts_ns") - ts)
     score = F.lit(weight * 1000.0) + F.lit(100.0) * F.greatest(F.lit(window) - gap, F.lit(0)) / F.lit(window)
-    return events.where((F.col(name) == anchor[name]) & (gap <= window)).withColumn("score", score).orderBy(F.col("score").desc(), "ts_ns").limit(limit)
+    return events.where(same & (gap <= window)).withColumn("score", score).orderBy(F.col("score").desc(), "ts_ns").limit(limit)

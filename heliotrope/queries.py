@@ -6,7 +6,7 @@ whole tables. Sums are rounded to 6 places on both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .operators import live, rules, signals
@@ -251,6 +251,32 @@ _hist("fraction", "histogram_fraction(10, 100, event_hist)", "(c[1] / 2 + c[2] +
 _hist("quantile", "histogram_quantile(0.5, event_hist)", "CASE WHEN c[1] >= r THEN 20 * r / c[1] WHEN c[1] + c[2] >= r THEN 20 + 40 * (r - c[1]) / c[2] WHEN c[1] + c[2] + c[3] >= r THEN 60 + 90 * (r - c[1] - c[2]) / c[3] ELSE 150 END")
 
 
+def noise_scores(spark, sf_dir: str) -> DataFrame:
+    """Of the alerts of event types above 60 at once, none of which anyone acknowledges."""
+    v = Engine(event_samples(spark, sf_dir), 6 * HOUR).query_range("avg by (event_type) (event_value)", START, END, STEP)
+    states = rules.alert_states(v, ">", 60.0, STEP)
+    w = Window.partitionBy("lkey").orderBy("step_ts")
+    firings = states.withColumn("before", F.lag("state").over(w)).where("state = 'resolved' or (state = 'firing' and before is distinct from 'firing')")
+    return rules.noise_scores(firings).select(F.get_json_object("lkey", "$.event_type").alias("event_type"), "fired", F.round("score", 6).alias("score"))
+
+
+def alert_evidence(spark, sf_dir: str) -> DataFrame:
+    v = Engine(event_samples(spark, sf_dir), 6 * HOUR).query_range("avg by (event_type) (event_value)", START, END, STEP)
+    return rules.evidence(v, 20).select(F.get_json_object("lkey", "$.event_type").alias("event_type"), "step_ts", F.round("value", 6).alias("value"))
+
+
+QUERIES |= {"alert_noise_scores": noise_scores, "alert_evidence": alert_evidence}
+ORACLE |= {
+    "alert_noise_scores": f"""WITH a AS ({ORACLE["alert_states"].replace(str(2 * STEP), str(STEP))}), f AS (SELECT *, lag(state) OVER (PARTITION BY event_type ORDER BY step_ts) AS before FROM a),
+n AS (SELECT event_type, count(*) FILTER (state = 'firing' AND before IS DISTINCT FROM 'firing') AS fired, count(*) FILTER (state = 'resolved') AS cleared FROM f WHERE state = 'resolved' OR (state = 'firing' AND before IS DISTINCT FROM 'firing') GROUP BY ALL)
+SELECT event_type, fired, round(least(cleared, fired) / fired, 6) AS score FROM n""",
+    "alert_evidence": f"""{_MEANS}, o AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM a WINDOW w AS (PARTITION BY event_type ORDER BY t)),
+b AS (SELECT o.*, r.b FROM o JOIN range(9) r(b) ON i >= r.b * n // 9 AND i < (r.b + 1) * n // 9 WHERE n > 20),
+k AS (SELECT event_type, t, v FROM o WHERE n <= 20 OR i = 0 OR i = n - 1
+  UNION SELECT event_type, t, v FROM b QUALIFY row_number() OVER (PARTITION BY event_type, b ORDER BY v, t) = 1 OR row_number() OVER (PARTITION BY event_type, b ORDER BY v DESC, t DESC) = 1)
+SELECT event_type, t AS step_ts, round(v, 6) AS value FROM k""",
+}
+
 # -- logs ---------------------------------------------------------------------------------------------------------
 _LOGS = """WITH l AS (SELECT event_id, epoch_us(ts) * 1000 AS ts_ns, user_id, event_type, value, 'svc-' || (user_id % 5) AS service,
 CASE event_type WHEN 'error' THEN 17 WHEN 'purchase' THEN 13 ELSE 9 END AS sev, 'user ' || user_id || ' ' || event_type || ' took ' || value || 'ms' AS body FROM events)"""
@@ -332,6 +358,17 @@ def tail_sampling(spark, sf_dir: str) -> DataFrame:
     return signals.tail_sample(order_spans(spark, sf_dir), 0.2, 4900.0).groupBy("service").agg(F.count(F.lit(1)).alias("spans"), F.countDistinct("trace_id").alias("traces"))
 
 
+def service_sampling(spark, sf_dir: str) -> DataFrame:
+    kept = signals.tail_sample(order_spans(spark, sf_dir), 0.2, 4900.0, services={"svc-1": (0.0, None, False), "svc-2": (0.5, 4000.0, True)})
+    return kept.groupBy("service").agg(F.count(F.lit(1)).alias("spans"), F.countDistinct("trace_id").alias("traces"))
+
+
+QUERIES["spans_service_sampling"] = service_sampling
+ORACLE["spans_service_sampling"] = f"""{_SPANS}, p AS (SELECT trace_id, bool_or(status = 2) AS bad, max(took / 1e6) FILTER (kind = 2) AS slow, arg_min(service, (start_ns, span_id)) AS s, ('0x' || substr(md5(trace_id), 1, 8))::BIGINT % 10000 AS h FROM sp GROUP BY ALL),
+k AS (SELECT trace_id FROM p WHERE CASE s WHEN 'svc-1' THEN false WHEN 'svc-2' THEN bad OR slow >= 4000 OR h < 5000 ELSE bad OR slow >= 4900 OR h < 2000 END)
+SELECT service, count(*) AS spans, count(DISTINCT trace_id) AS traces FROM sp SEMI JOIN k USING (trace_id) GROUP BY ALL"""
+
+
 QUERIES |= {"spans_red_metrics": span_red, "spans_search": span_search, "spans_tail_sampling": tail_sampling}
 ORACLE |= {
     "spans_red_metrics": f"{_SPANS}, p AS (SELECT name, service, unnest([{{'m': 'span_requests_total', 'v': 1.0::DOUBLE}}, {{'m': 'span_errors_total', 'v': (status = 2)::INT::DOUBLE}}, {{'m': 'span_duration_ms', 'v': took / 1e6}}]) AS p FROM sp WHERE kind = 2) SELECT p.m AS metric_name, service, name AS operation, count(*) AS n, round(sum(p.v), 3) AS total FROM p GROUP BY ALL",
