@@ -170,6 +170,11 @@ def tail_sample(spans: DataFrame, ratio: float, slow_ms: float | None = None, er
     return spans.join(per.where(keep).select("trace_id"), "trace_id", "left_semi")
 
 
+def ingested(spans: DataFrame, ratio: float, **policy) -> tuple[DataFrame, DataFrame]:
+    """(points, kept spans): metrics are of all spans, before any is sampled away."""
+    return red_metrics(spans), tail_sample(spans, ratio, **policy)
+
+
 # -- across signals -----------------------------------------------------------------------------------------------
 #: How much each dimension that an anchor and an event share tells, strongest first.
 DIMENSIONS = ((("trace_id",), 100), (("k8s_pod_uid",), 80), (("k8s_pod_name", "k8s_namespace"), 60), (("service_name",), 40), (("k8s_namespace",), 20))

@@ -11,6 +11,8 @@ before come from a lag window, where a function asks for them. A selector of sev
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ from .promql_parser import Aggregate, Binary, Call, Number, ParseError, Range, S
 
 LOOKBACK = 300 * 10**9
 SUB_STEP = 60 * 10**9
+#: Inner grids that a range query over a sub-query may need, one for each place at which its windows begin.
+MOST_GRIDS = 64
 
 
 @dataclass(frozen=True)
@@ -254,10 +258,8 @@ class Engine:
         else:
             step = r.step or SUB_STEP
             off = r.offset
-            # inner steps begin one step after each window's start; windows of different steps need their own inner grid
-            # unless the outer step is a multiple of the inner one, in which case one grid serves all
-            if g.n > 1 and g.step % step:
-                raise ParseError("the step of a range query must be a multiple of a sub-query's step")
+            # inner steps begin one step after each window's start; one grid serves all windows, as the outer step is a
+            # multiple of the inner one (see _range_call)
             first = g.start - off - r.range + step
             sub = Grid(first, g.start + (g.n - 1) * g.step - off + 1, step)
             df = self._vector(inner, sub).select("lkey", F.col("step_ts").alias("ts_ns"), "value")
@@ -271,6 +273,14 @@ class Engine:
         r = next(a for a in c.args if isinstance(a, Range))
         nums = [a.value for a in c.args if isinstance(a, Number)]
         name = c.name
+        inner_step = 0 if isinstance(r.inner, Selector) and r.step is None else r.step or SUB_STEP
+        apart = inner_step // gcd(inner_step, g.step) if inner_step and g.n > 1 else 1
+        if apart > 1:
+            # windows that begin at different places of the inner step have inner grids of their own
+            if apart > MOST_GRIDS:
+                raise ParseError(f"the steps of a range query and a sub-query need {apart} inner grids, more than {MOST_GRIDS}")
+            parts = [self._range_call(c, Grid(g.start + i * g.step, g.end, g.step * apart)) for i in range(min(apart, g.n))]
+            return reduce(DataFrame.union, parts)
         changes = name in ("rate", "increase", "irate", "idelta", "changes", "resets")
         df = self._windowed(r, g, changes)
         if name == "absent_over_time":

@@ -144,7 +144,26 @@ def clause(text: str, t: Target) -> Column:
     return F.coalesce(~same, F.lit(True)) if op == "!=" else same
 
 
+_SELECTOR = re.compile(r'\s*([\w.]+)\s*(!=|=~|!~|=)\s*"((?:[^"\\]|\\.)*)"\s*')
+
+
+def selector(text: str, t: Target) -> Column:
+    """A selector {name="value", ...} of logs: all matchers hold; expressions match whole values, absent fields are empty."""
+    body, at, out = text.strip()[1:-1], 0, F.lit(True)
+    while body[at:].strip():
+        m = _SELECTOR.match(body, at)
+        if not m or (m.end() < len(body) and body[m.end()] != ","):
+            raise SearchError(f"bad selector {text!r}")
+        got, value = F.coalesce(t.field(m[1]), F.lit("")), re.sub(r"\\(.)", r"\1", m[3])
+        same = got == value if m[2] in ("=", "!=") else got.rlike(f"^(?:{value})$")
+        out = out & (~same if m[2][0] == "!" else same)
+        at = m.end() + 1
+    return out
+
+
 def compile_search(query: str, t: Target, lenient: bool = True) -> Column:
+    if re.fullmatch(r"\s*\{.*\}\s*", query, re.S):
+        return selector(query, t)
     try:
         node = parse(query)
     except SearchError:

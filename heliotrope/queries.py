@@ -97,6 +97,9 @@ _promql("label_replace", 'label_replace(event_value, "part", "p$1", "shard", "s(
 _promql("label_join", 'label_join(event_value, "both", "-", "event_type", "shard")', f"{_last(6 * HOUR)} SELECT t AS step_ts, event_type || '-' || shard AS \"both\", round(v, 6) AS value FROM i", ("both",))
 _promql("absent_over_time", 'absent_over_time(event_value{event_type="error",shard="s3"}[1h])', f"WITH {_SAMPLES}, {_STEPS} SELECT t AS step_ts, 'error' AS event_type, 's3' AS shard, 1.0::DOUBLE AS value FROM st WHERE NOT EXISTS (SELECT 1 FROM s WHERE event_type = 'error' AND shard = 's3' AND ts BETWEEN t - {HOUR} AND t)")
 _promql("subquery", "max_over_time(sum by (event_type) (event_value)[12h:6h])", f"{_last(6 * HOUR)}, g AS (SELECT t, event_type, sum(v) AS v FROM i GROUP BY ALL) SELECT st.t AS step_ts, event_type, round(max(v), 6) AS value FROM st JOIN g ON g.t > st.t - {12 * HOUR} AND g.t <= st.t GROUP BY ALL", ("event_type",))
+_promql("subquery_apart", "max_over_time(sum by (event_type) (event_value)[13h:4h])", f"""WITH {_SAMPLES}, {_STEPS}, x AS (SELECT t, t - {13 * HOUR} + k * {4 * HOUR} AS u FROM st, range(1, 4) r(k)),
+i AS (SELECT t, u, event_type, shard, max_by(v, ts) AS v FROM x JOIN s ON ts BETWEEN u - {6 * HOUR} AND u GROUP BY ALL), g AS (SELECT t, u, event_type, sum(v) AS v FROM i GROUP BY ALL)
+SELECT t AS step_ts, event_type, round(max(v), 6) AS value FROM g GROUP BY ALL""", ("event_type",))
 _promql("scalar_share", "event_value / scalar(sum(event_value))", f"{_last(6 * HOUR)}, g AS (SELECT t, sum(v) AS g FROM i GROUP BY ALL) SELECT t AS step_ts, event_type, shard, round(v / g, 6) AS value FROM i JOIN g USING (t)")
 _promql("date_functions", "hour() + day_of_week() * 100 + days_in_month() * 10000 + event_value * 0", f"{_last(6 * HOUR)} SELECT t AS step_ts, event_type, shard, (hour(make_timestamp(t // 1000)) + dayofweek(make_timestamp(t // 1000)) * 100 + 310000)::DOUBLE AS value FROM i")
 #: Four cumulative buckets of each shard's values: those up to 20, 60 and 150, and all.
@@ -218,6 +221,17 @@ for _n, _o, _x, _q in (
     _plan(_n, f"{_CELLS} SELECT t AS step_ts, event_type, shard, round(({_x})::DOUBLE, 6) AS value FROM d GROUP BY ALL HAVING value IS NOT NULL", op=_o, param=_q)
 
 
+def plan_histogram_quantile(spark, sf_dir: str) -> DataFrame:
+    plan = windows.Plan("event_hist", "histogram_quantile", START, END, DAY, param=0.9)
+    return _flat(windows.run(event_histograms(spark, sf_dir), plan), "event_type")
+
+
+QUERIES["plan_histogram_quantile"] = plan_histogram_quantile
+ORACLE["plan_histogram_quantile"] = f"""WITH e AS (SELECT event_type, epoch_us(ts) * 1000 - epoch_us(ts) * 1000 % {DAY} AS t, value AS v FROM events),
+h AS (SELECT t, event_type, count(*) FILTER (v <= 20) AS a, count(*) FILTER (v > 20 AND v <= 60) AS b, count(*) FILTER (v > 60 AND v <= 150) AS c, count(*) FILTER (v > 150) AS d, 0.9 * count(*) AS r FROM e WHERE t >= {START} AND t < {END} GROUP BY ALL)
+SELECT t AS step_ts, event_type, round(CASE WHEN a >= r THEN 20 * r / a WHEN a + b >= r THEN 20 + 40 * (r - a) / b WHEN a + b + c >= r THEN 60 + 90 * (r - a - b) / c ELSE 150 + 150 * (r - a - b - c) / d END, 6) AS value FROM h"""
+
+
 def plan_totals(spark, sf_dir: str) -> DataFrame:
     return windows.totals(event_samples(spark, sf_dir), "event_value", START, END)
 
@@ -294,6 +308,7 @@ def _search(name: str, query: str, where: str) -> None:
 _search("term", "SIGNUP", "event_type = 'signup'")
 _search("tree", '(severity>=WARN OR event_type=click) AND NOT service:svc-1 user_id:[10..90]', "(sev >= 13 OR event_type = 'click') AND service <> 'svc-1' AND user_id BETWEEN 10 AND 90")
 _search("regex_and_negation", 'body=~"user 1[0-9] " -purchase duration_ms>100', "regexp_matches(body, 'user 1[0-9] ') AND event_type <> 'purchase' AND value > 100")
+_search("selector", '{event_type=~"click|err.*", user_id!="7", service="svc-2"}', "(event_type = 'click' OR event_type LIKE 'err%') AND user_id <> 7 AND service = 'svc-2'")
 _search("wildcard", "event_type=p*e duration_ms<50 nothing!=x", "event_type = 'purchase' AND value < 50")
 
 

@@ -232,3 +232,63 @@ def test_limits_are_refused_not_cut(spark, sf):
         signals.search_logs(event_logs(spark, sf), "x", 0, 1, limit=10_001)
     with pytest.raises(ValueError):
         signals.label_values(event_samples(spark, sf), "shard", limit=101)
+
+
+@pytest.fixture(scope="module")
+def fleet(spark):
+    """Counters of two services, one that grows in bursts, and gauges of three cores."""
+    rows = [("requests", {"service": s}, i * 15 * S, float(i * k)) for s, k in (("api", 1), ("web", 3)) for i in range(481)]
+    rows += [("bursty", {"service": "api"}, i * 15 * S, 1000.0 * (i // 20)) for i in range(481)]
+    rows += [("cpu", {"service": s, "core": c}, i * 15 * S, k + 0.1 * (i % 10)) for s, c, k in (("api", "0", 1.0), ("api", "1", 2.0), ("web", "0", 3.0)) for i in range(481)]
+    return Engine(spark.createDataFrame(rows, "metric_name string, labels map<string,string>, ts_ns long, value double"))
+
+
+CORES = {("api", "0"), ("api", "1"), ("web", "0")}
+
+
+@pytest.mark.parametrize(
+    ("query", "want"),
+    [(f"rate(requests[{r}])", {"api": 1 / 15, "web": 3 / 15}) for r in ("1m", "5m", "30m", "1h")]
+    + [
+        ("rate(bursty[5m])", {"api": 1000 / 300}), ("rate(bursty[1h])", {"api": 12000 / 3600}), ("idelta(requests[10m])", {"api": 1.0, "web": 3.0}), ("max_over_time(requests[5m])", {"api": 480.0, "web": 1440.0}),
+        ("min_over_time(requests[5m])", {"api": 460.0, "web": 1380.0}), ("clamp_min(rate(requests[5m]), 0.1)", {"api": 0.1, "web": 0.2}), ("topk(1, requests)", {"web": 1440.0}), ("bottomk(1, requests)", {"api": 480.0}),
+        ('requests{service="api"}', {"api": 480.0}), ('requests{service!="api"}', {"web": 1440.0}), ('requests{service=~"api|web"}', {"api": 480.0, "web": 1440.0}), ('requests{service!~"a.*"}', {"web": 1440.0}),
+        ('cpu{core="0"} * on(service) cpu{core="1"}', {"api": 2.0}), ("sum(requests) > bool 0", {None: 1.0}), ("sum(rate(requests{service=\"web\"}[5m])) / sum(rate(requests[5m]))", {None: 0.75}), ("abs(-sum(requests))", {None: 1920.0}),
+        ("sum(requests) * 2 + 1", {None: 3841.0}), ("sum(requests) % 480", {None: 0.0}), ("sum(requests) ^ 0", {None: 1.0}), ("sum(requests) < bool 1000", {None: 0.0}), ("sum(requests) == bool 1920", {None: 1.0}),
+        ("count(cpu)", {None: 3.0}), ("stddev by (service) (cpu)", {"api": 0.5}), ("stdvar without (core) (cpu)", {"api": 0.25}), ("max by (service) (cpu)", {"api": 2.0, "web": 3.0}), ("avg without (core) (cpu)", {"api": 1.5, "web": 3.0}),
+        ("max_over_time(requests[10m:7m])", {"api": 468.0, "web": 1404.0}),
+    ],
+)
+def test_fleet(fleet, query, want):
+    got = {r.labels.get("service"): r.value for r in fleet.query_instant(query, 7200 * S).collect()}
+    assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("query", [f"{f}_over_time(cpu[10m])" for f in ("avg", "min", "max", "sum", "count", "last", "present", "stddev", "stdvar", "mad")] + ["quantile_over_time(0.5, cpu[10m])"] + [f"{f}(cpu)" for f in ("abs", "ceil", "floor", "sqrt", "exp", "ln", "log2", "log10", "sgn", "round", "sin", "cos", "tan", "atan", "sinh", "cosh", "tanh", "asinh", "deg", "rad")])
+def test_fleet_keeps_series(fleet, query):
+    got = fleet.query_instant(query, 7200 * S).collect()
+    assert {(r.labels["service"], r.labels["core"]) for r in got} == CORES and all(math.isfinite(r.value) for r in got)
+
+
+def test_results(spark, sf, tmp_path):
+    import json
+
+    from heliotrope.sources import results, tables
+
+    v = spark.createDataFrame([(2 * S, '{"a":"b"}', 2.0), (S, '{"a":"b"}', math.inf), (S, "{}", 1.5)], "step_ts long, lkey string, value double")
+    lines = sorted(r.value for r in results.envelope_lines(v).collect())
+    assert [json.loads(x) for x in lines] == [{"metric": {"a": "b"}, "values": [[1.0, "+Inf"], [2.0, "2.0"]]}, {"metric": {}, "values": [[1.0, "1.5"]]}]
+    assert {r.target: [tuple(p) for p in r.datapoints] for r in results.simple_json(v).collect()} == {"{}": [(1.5, 1000)], '{"a":"b"}': [(math.inf, 1000), (2.0, 2000)]}
+    path = str(tmp_path / "blocks")
+    samples = tables.event_samples(spark, sf).all()
+    tables.write_samples(samples, path)
+    days = results.storage(spark, path).collect()
+    assert sum(r.rows for r in days) == samples.count() and all(r.files > 0 and r.bytes > 0 for r in days)
+
+
+def test_selectors_of_logs(spark):
+    df = spark.createDataFrame([("m", "ERROR", 17, {"k": 'a"b'}, {"service.name": "s"}, None, None)], "body string, severity_text string, severity_number int, attributes map<string,string>, resource map<string,string>, trace_id string, span_id string")
+    hit = lambda q: df.where(search.compile_search(q, search.log_target())).count() == 1
+    assert hit('{k="a\\"b", service=~"s|t"}') and not hit('{service=~"x"}') and hit('{gone=""}') and hit("{}") and not hit('{service!~"s"}')
+    with pytest.raises(search.SearchError):
+        hit('{k=5}')
