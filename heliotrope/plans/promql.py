@@ -70,7 +70,7 @@ def match(labels: Column, name: str, op: str, value: str) -> Column:
 
 def with_changes(df: DataFrame) -> DataFrame:
     """(lkey, ts_ns, value) with what changed against the series' sample before: d (growth, a reset starts anew), chg, rst, dt."""
-    w = Window.partitionBy("lkey").orderBy("ts_ns")
+    w = Window.partitionBy("lkey").orderBy("ts_ns", "value")
     v, p = F.col("value"), F.col("prev")
     df = df.select("lkey", "ts_ns", "value", F.lag("value").over(w).alias("prev"), (F.col("ts_ns") - F.lag("ts_ns").over(w)).alias("dt"))
     df = df.withColumn("d", F.when(p.isNull(), 0.0).when(v < p, v).otherwise(v - p))
@@ -227,13 +227,18 @@ class Engine:
         else:
             key = F.col("lkey") if "lkey" in df.columns else label_key(F.col("labels"))
         df = df.select(key.alias("lkey"), "ts_ns", "value")
-        spans = [_floor_div(F.col("ts_ns"), by_time)] if by_time else []
-        return df.repartition("lkey", *spans).groupBy("lkey", *[x.alias("_span") for x in spans], "ts_ns").agg(F.max("value").alias("value")).drop("_span")
+        parts = ["lkey"]
+        if by_time:
+            df, parts = df.withColumn("_span", _floor_div(F.col("ts_ns"), by_time)), ["lkey", "_span"]
+        # of equal times the last in order of value stays, by a sort that the windows over changes need anyway
+        w = Window.partitionBy(*parts).orderBy("ts_ns", "value")
+        df = df.repartition(*parts).withColumn("_next", F.lead("ts_ns").over(w))
+        return df.where("_next is null or _next > ts_ns").select("lkey", "ts_ns", "value")
 
     def _instant(self, s: Selector, g: Grid) -> DataFrame:
         t = F.col("ts_ns") + s.offset
         df = self._series(s, g.start - s.offset - self.lookback, g.end - 1 - s.offset)
-        nxt = F.lead("ts_ns").over(Window.partitionBy("lkey").orderBy("ts_ns")) + s.offset
+        nxt = F.lead("ts_ns").over(Window.partitionBy("lkey").orderBy("ts_ns", "value")) + s.offset
         last = F.least(F.coalesce(nxt - 1, t + self.lookback), t + self.lookback)
         df = df.withColumn("low", up(t, g)).withColumn("high", down(last, g))
         df = df.where("low <= high").withColumn("k", F.explode(F.sequence("low", "high")))
