@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +19,12 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 
 
-def narrow_batches(spark: SparkSession) -> None:
-    """From now on batches of the session have at most BATCH_BYTES (one row may be longer); a smaller setting stays."""
+def narrow_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """From now on batches of the session have at most size bytes (one row may be longer); a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = int(spark.conf.get(key).removesuffix("b"))
-    if now <= 0 or now > BATCH_BYTES:
-        spark.conf.set(key, f"{BATCH_BYTES}b")
+    if now <= 0 or now > size:
+        spark.conf.set(key, f"{size}b")
 
 
 @functools.cache
@@ -85,9 +87,25 @@ def work_dir(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables of written() that are made inside go at its end; what was computed from them must have been written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder: lineage ends here and survives a lost executor."""
     path = work_dir(df.sparkSession, tag)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._heliotrope_path = path

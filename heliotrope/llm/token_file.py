@@ -272,7 +272,7 @@ def write(df: DataFrame, folder: str, tokenizer_file: str, id_col: str = "doc_id
         data = f.read()
     Encoder(data)
     spark = df.sparkSession
-    narrow_batches(spark)
+    narrow_batches(spark, 16 << 20)  # a call for new words costs the same for few and many
     held = spark.sparkContext.broadcast(data)  # the vocabulary's size
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
     rows = rows.repartitionByRange(shuffle_partitions(spark), "id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")

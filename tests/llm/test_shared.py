@@ -38,3 +38,15 @@ def test_bounded(spark):
     with pytest.raises(ValueError):
         _shared.bounded(spark.sql("select array(1) as a"), 10, 10)
     assert _shared.freed(df, "A", "c").columns == ["a_", "b"]
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    with _shared.scratch(spark):
+        made = _shared.written(spark.range(3), "test-scratch")
+        with _shared.scratch(spark):
+            inner = _shared.written(made, "test-inner")
+        assert made.count() == 3
+        with pytest.raises(Exception, match="(?i)exist"):
+            inner.count()
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.parquet(made._heliotrope_path)
