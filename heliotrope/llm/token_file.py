@@ -72,7 +72,10 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             h = max(x for x in wide if x < k)
             x = wide[h]
             wide[k] = np.maximum(x[: n - k + 1], x[k - h : k - h + n - k + 1])
-        choice[: n - k + 1][wide[k] <= BITS[s]] = s
+        fits = np.flatnonzero(wide[k] <= BITS[s])
+        if not len(fits):
+            break  # more values of fewer bits fit nowhere either
+        choice[fits] = s
     step, at, i = COUNT[choice].tolist(), [], 0
     while i < n:
         at.append(i)
@@ -148,15 +151,15 @@ class _Table(dict):
     def __init__(self, *empty: str):
         """empty: texts without ids, known from the beginning."""
         super().__init__(zip(empty, range(len(empty))))
-        self.fresh: list[str] = []
+        self.fresh: list = []
         self.ids, self.at = np.zeros(0, dtype=np.int32), np.zeros(1 + len(empty), dtype=np.int64)
 
-    def __missing__(self, text: str) -> int:
+    def __missing__(self, text: str | bytes) -> int:
         self[text] = n = len(self)
         self.fresh.append(text)
         return n
 
-    def numbers(self, texts: list[str]) -> np.ndarray:
+    def numbers(self, texts: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, texts), dtype=np.int64, count=len(texts))
 
     def learn(self, ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -175,7 +178,7 @@ _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+| ").f
 class Encoder:
     """Ids of whole texts as the library gives them without special tokens added.
 
-    Words between ASCII white space are numbered by a table. New plain words are cut into the pieces that the
+    Words between ASCII white space, as bytes, are numbered by a table. New plain words are cut into the pieces that the
     tokenizer's pattern makes; the library encodes new pieces, many in one call: its end-of-word ids part them. Other
     new words are encoded one by one. Models that are not of this shape are refused."""
 
@@ -206,7 +209,7 @@ class Encoder:
         self.pieces.learn(ids, np.diff(last, prepend=-1))
 
     def _learn(self) -> None:
-        new = self.words.fresh
+        new = [w.decode() for w in self.words.fresh]
         plain = list(map(bool, map(_PLAIN.fullmatch, new)))
         line = " ".join(new)
         if any(a in line for a in self.added):
@@ -238,7 +241,7 @@ class Encoder:
         while i < len(texts):
             words, counts, chars = [], [], 0
             while i < len(texts) and (not counts or chars + len(texts[i] or "") <= CHUNK_CHARS):
-                mine = _ascii_split(texts[i] or "")
+                mine = (texts[i] or "").encode().split()  # of bytes: at ASCII white space only
                 words += mine
                 counts.append(len(mine))
                 chars += len(texts[i] or "") + 1
@@ -253,13 +256,6 @@ class Encoder:
             yield from np.split(ids, ends[:-1])
 
 
-def _ascii_split(text: str) -> list[str]:
-    for c in "\t\n\r\x0b\x0c":
-        if c in text:
-            text = text.replace(c, " ")
-    return [w for w in text.split(" ") if w]
-
-
 _encoders: dict[str, Encoder] = {}
 
 
