@@ -21,8 +21,14 @@ class ConditionError(ValueError):
     pass
 
 
-def value_of(name: str) -> Column:
-    """A field by name: body, severity, service, attributes.k, resource.k, else an extracted field or attribute."""
+def _own(name: str) -> str:
+    """The column of an extracted field."""
+    return f"_field_{name}"
+
+
+def value_of(name: str, fields: set[str] | None = None) -> Column:
+    """A field by name: body, severity, service, attributes.k, resource.k, else an extracted field or attribute. Extracted
+    fields are columns, those named in fields, or entries of a map `fields`."""
     name = re.sub(r'^(attributes|resource)\["?([^"\]]+)"?\]$', r"\1.\2", name)
     at = lambda m, k: F.element_at(m, F.lit(k))
     if name in ("body", "severity_text"):
@@ -37,10 +43,11 @@ def value_of(name: str) -> Column:
         return at("attributes", name[11:])
     if name.startswith("resource."):
         return at("resource", name[9:])
-    return F.coalesce(at("fields", name), at("attributes", name), at("resource", name))
+    own = [at("fields", name)] if fields is None else [F.col(f"`{_own(name)}`")] if name in fields else []
+    return F.coalesce(*own, at("attributes", name), at("resource", name))
 
 
-def condition(text: str) -> Column:
+def condition(text: str, fields: set[str] | None = None) -> Column:
     """A condition as a Column. OR binds tighter than AND; an absent field meets != alone."""
     toks, i = [], 0
     while i < len(text.rstrip()):
@@ -91,7 +98,7 @@ def condition(text: str) -> Column:
         return F.coalesce(compare(), F.lit(False))
 
     def compare() -> Column:
-        got = value_of(literal())
+        got = value_of(literal(), fields)
         n = got.try_cast("double")
         for op, fn in ((">=", lambda x: n >= x), ("<=", lambda x: n <= x), (">", lambda x: n > x), ("<", lambda x: n < x)):
             if take(op):
@@ -186,68 +193,72 @@ def _empty() -> Column:
     return F.from_json(F.lit("{}"), "map<string,string>")
 
 
-def _put(name: str, value: Column) -> Column:
-    """fields with name set to a value that is not null."""
-    return F.map_concat(F.map_filter("fields", lambda k, v: k != name), F.create_map(F.lit(name), value))
-
-
-POINT = "struct<metric_name:string,labels:map<string,string>,value:double,kind:string,counts:array<bigint>,bounds:array<double>>"
-
-
 def run(logs: DataFrame, pipelines: list[Pipeline]) -> tuple[DataFrame, DataFrame | None]:
     """(records, points): records without fields and with `pipeline` and `destination`; points (metric_name, labels, ts_ns,
     value, kind, counts, bounds) of all Metric steps, None if there are none."""
     names = logs.columns
-    df = logs.withColumn("fields", _empty()).withColumn("pipeline", F.lit(None).cast("string"))
+    df, fields = logs.withColumn("pipeline", F.lit(None).cast("string")), set()
     for p in reversed(pipelines):
-        df = df.withColumn("pipeline", F.when(condition(p.when), p.name).otherwise(F.col("pipeline")))
-    df = df.withColumn("destination", F.lit(None).cast("string")).withColumn("_gone", F.lit(False)).withColumn("_points", F.array().cast(f"array<{POINT}>"))
+        df = df.withColumn("pipeline", F.when(condition(p.when, fields), p.name).otherwise(F.col("pipeline")))
+    df = df.withColumn("destination", F.lit(None).cast("string")).withColumn("_gone", F.lit(False))
     for p in pipelines:
         for s in p.steps:
             # records that this pipeline still has
             mine = F.coalesce(F.col("pipeline") == p.name, F.lit(False)) & ~F.col("_gone") & F.col("destination").isNull()
-            df = _step(df, s, mine)
+            df = _step(df, s, mine, fields)
     out = df.where(~F.col("_gone")).select(*names, "pipeline", "destination")
-    if not any(isinstance(s, Metric) for p in pipelines for s in p.steps):
+    made = [c for c in df.columns if c.startswith("_point_")]
+    if not made:
         return out, None
-    points = df.select("ts_ns", F.explode("_points").alias("p")).select("p.metric_name", "p.labels", "ts_ns", "p.value", "p.kind", "p.counts", "p.bounds")
+    points = df.select("ts_ns", F.explode(F.array(*made)).alias("p")).where("p is not null").select("p.metric_name", "p.labels", "ts_ns", "p.value", "p.kind", "p.counts", "p.bounds")
     return out, points
 
 
-def _step(df: DataFrame, s, mine: Column) -> DataFrame:
-    set_ = lambda name, cond, new: df.withColumn(name, F.when(cond, new).otherwise(F.col(name)))
+def _step(df: DataFrame, s, mine: Column, fields: set[str]) -> DataFrame:
+    """df after a step over the records that are mine; fields: the extracted fields so far, which are columns."""
+    set_ = lambda df, name, cond, new: df.withColumn(name, F.when(cond, new).otherwise(F.col(f"`{name}`")))
+
+    def put(df: DataFrame, name: str, cond: Column, new: Column) -> DataFrame:
+        if name not in fields:
+            fields.add(name)
+            return df.withColumn(_own(name), F.when(cond, new))
+        return set_(df, _own(name), cond, new)
+
     if isinstance(s, Extract):
         groups = re.compile(re.sub(r"\(\?<(\w+)>", r"(?P<\1>", s.regex)).groupindex
         plain = re.sub(r"\(\?P?<(\w+)>", "(", s.regex)
-        src, hit = value_of(s.source), F.coalesce(value_of(s.source).rlike(plain), F.lit(False))
-        df = df.withColumn("_mine", mine).withColumn("_hit", F.col("_mine") & hit)
-        if groups:
-            new = F.create_map(*[x for name, i in groups.items() for x in (F.lit(name), F.regexp_extract(src, plain, i))])
-            rest = F.map_filter("fields", lambda k, v: ~k.isin(list(groups)))
-            df = df.withColumn("fields", F.when(F.col("_hit"), F.map_concat(rest, new)).otherwise(F.col("fields")))
+        src = value_of(s.source, fields)
+        df = df.withColumn("_mine", mine).withColumn("_src", src).withColumn("_hit", F.col("_mine") & F.coalesce(F.col("_src").rlike(plain), F.lit(False)))
+        for name, i in groups.items():
+            df = put(df, name, F.col("_hit"), F.regexp_extract("_src", plain, i))
         if not s.keep:
             df = df.withColumn("_gone", F.col("_gone") | (F.col("_mine") & ~F.col("_hit")))
-        return df.drop("_mine", "_hit")
+        return df.drop("_mine", "_src", "_hit")
     if isinstance(s, AddFields):
-        gone = list(s.fields)
-        new = F.create_map(*[F.lit(x) for kv in s.fields.items() for x in kv])
-        return set_("fields", mine, F.map_concat(F.map_filter("fields", lambda k, v: ~k.isin(gone)), new)) if gone else df
+        df = df.withColumn("_mine", mine)
+        for name, v in s.fields.items():
+            df = put(df, name, F.col("_mine"), F.lit(v))
+        return df.drop("_mine")
     if isinstance(s, Cast):
-        old = F.element_at("fields", F.lit(s.name))
+        if s.name not in fields:
+            return df
+        old = F.col(f"`{_own(s.name)}`")
         new = old.try_cast("double").cast("string") if s.to == "float" else old.try_cast("double").try_cast("long").cast("string")
-        return set_("fields", mine & new.isNotNull(), _put(s.name, F.coalesce(new, F.lit(""))))
+        return put(df, s.name, mine, F.coalesce(new, old))
     if isinstance(s, Mask):
         masked = lambda v: F.regexp_replace(v, F.lit(s.regex), F.lit(s.replacement))
         df = df.withColumn("_mine", mine)
-        for c in (*[c for c in ("body", "attributes", "resource") if c in s.on], "fields"):
-            new = masked(F.col(c)) if c == "body" else F.transform_values(c, lambda k, v: masked(v))
-            df = df.withColumn(c, F.when(F.col("_mine"), new).otherwise(F.col(c)))
+        for c in ("body", "attributes", "resource"):
+            if c in s.on:
+                df = set_(df, c, F.col("_mine"), masked(F.col(c)) if c == "body" else F.transform_values(c, lambda k, v: masked(v)))
+        for name in sorted(fields):
+            df = put(df, name, F.col("_mine"), masked(F.col(f"`{_own(name)}`")))
         return df.drop("_mine")
     if isinstance(s, Metric):
-        value = F.lit(float(s.value[9:])) if s.value.startswith("constant:") else value_of(s.value).try_cast("double")
+        value = F.lit(float(s.value[9:])) if s.value.startswith("constant:") else value_of(s.value, fields).try_cast("double")
         labels = _empty()
         if s.dimensions:
-            pairs = F.array(*[F.struct(F.lit(d).alias("k"), value_of(d).alias("v")) for d in s.dimensions])
+            pairs = F.array(*[F.struct(F.lit(d).alias("k"), value_of(d, fields).alias("v")) for d in s.dimensions])
             labels = F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
         counts, bounds = F.lit(None).cast("array<bigint>"), F.lit(None).cast("array<double>")
         if s.kind == "histogram":
@@ -256,11 +267,11 @@ def _step(df: DataFrame, s, mine: Column) -> DataFrame:
             bounds = F.array(*[F.lit(float(e)) for e in edges[:-1]]).cast("array<double>")
         elif s.kind not in ("gauge", "counter"):
             raise ValueError(f"unknown kind {s.kind!r}")
-        point = F.struct(F.lit(s.name).alias("metric_name"), labels.alias("labels"), value.alias("value"), F.lit(s.kind).alias("kind"), counts.alias("counts"), bounds.alias("bounds")).cast(POINT)
-        when = mine & condition(s.when) if s.when else mine
-        return set_("_points", when & value.isNotNull(), F.concat(F.col("_points"), F.array(point)))
+        point = F.struct(F.lit(s.name).alias("metric_name"), labels.alias("labels"), value.alias("value"), F.lit(s.kind).alias("kind"), counts.alias("counts"), bounds.alias("bounds"))
+        when = mine & condition(s.when, fields) if s.when else mine
+        return df.withColumn(f"_point_{sum(c.startswith('_point_') for c in df.columns)}", F.when(when & value.isNotNull(), point))
     if isinstance(s, Route):
-        df = df.withColumn("_hit", mine & condition(s.when))
+        df = df.withColumn("_hit", mine & condition(s.when, fields))
         if s.to:
             df = df.withColumn("destination", F.when(F.col("_hit"), s.to).otherwise(F.col("destination")))
         else:
