@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._shared import dropped, freed, join_checked, lean, narrow_batches, written
+from ._shared import dropped, freed, join_checked, lean, narrow_batches, shuffle_partitions, written
 
 #: Fingerprints that a bucket may have and be verified by pairs.
 BUCKET = 512
@@ -226,9 +226,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k
 # -- near copies by the share of common shingles ----------------------------------------------------------------------
 #: Texts compared at a time within a group of candidates, and those of one shingle that are listed in one row.
 GROUP, LISTED = 512, 4096
+#: Texts of a shingle that are looked at by pairs when it is first read.
+PAIRED = 32
 #: Texts, about, whose shingles are counted to put frequent ones last, how often one must be met there, and how many are
 #: told apart. They set the order of shingles only: the links are the same in any order.
 SAMPLE, OFTEN, ORDERED = 10_000, 5, 1 << 17
+#: Texts, and bytes of their parities, that are compared at a time by parities.
+PARITIES, PARITY_BYTES = 4096, 8 << 20
 #: Counters of a shingle set's outline.
 BINS = 256
 
@@ -296,6 +300,137 @@ def outline(s: np.ndarray) -> bytes:
     return c.astype(np.uint8).tobytes() if c.max() < 256 else b""
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Whether bins of the set hold an odd number of shingles: a bit for each of at least as many bins as shingles (a power
+    of two, 64 or more). Two sets differ in at least as many shingles as bins; half of the bits give those of half the bins."""
+    m = max(64, 1 << max(0, len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _near_parities(nodes: np.ndarray, n: np.ndarray, odd: list[bytes], comp: np.ndarray, side: np.ndarray | None, similarity: float) -> tuple[list[int], list[int], bool]:
+    """Pairs of texts (places) that are not linked yet and may have the share, by their numbers of shingles and parities; of
+    many pairs a spanning forest, and True. side: only pairs of texts of different sides."""
+    a, b, forest, total, label = [], [], ([], []), 0, np.arange(len(nodes))
+    sizes = np.array([len(o) for o in odd])
+    of = {m: np.flatnonzero(sizes == m) for m in np.unique(sizes).tolist()}
+    bits = {m: np.frombuffer(b"".join([odd[k] for k in v.tolist()]), dtype=np.uint64).reshape(len(v), -1) for m, v in of.items()}
+    for m in of:
+        # sets that have the share have as many bins, or one of them twice as many
+        who, rows = of[m], bits[m]
+        if 2 * m in of:
+            wide = bits[2 * m]
+            who, rows = np.concatenate([who, of[2 * m]]), np.concatenate([rows, wide[:, : m // 8] ^ wide[:, m // 8 :]])
+        for k, i in enumerate(of[m].tolist()):
+            j, x = who[k + 1 :], rows[k + 1 :]
+            fits = (np.minimum(n[j], n[i]) >= similarity * np.maximum(n[j], n[i]) - 1e-6) & (comp[j] != comp[i])
+            if side is not None:
+                fits &= side[j] != side[i]
+            j, x = j[fits], x[fits]
+            j = j[np.bitwise_count(x ^ rows[k]).sum(axis=1, dtype=np.int64) * (1 + similarity) <= (n[j] + n[i]) * (1 - similarity) + 1e-6]
+            if not len(j):
+                continue
+            total += len(j)
+            if total <= 4 * len(nodes):
+                a += [i] * len(j)
+                b += j.tolist()
+            others, at = np.unique(label[j], return_index=True)
+            new = others != label[i]
+            if new.any():
+                forest[0].extend([i] * int(new.sum()))
+                forest[1].extend(j[at[new]].tolist())
+                label[np.isin(label, others[new])] = label[i]
+    return (*forest, True) if total > 4 * len(nodes) else (a, b, False)
+
+
+def _by_parities(groups: DataFrame, first: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a group's texts (node, component) that `first` does not link and that may have the share by their
+    parities; dense: of many pairs a spanning forest. Only parities, about an eighth of a byte a shingle, go to each block."""
+    texts = written(join_checked(nodes.select("node", "n", "odd"), groups, "node", "inner"), "parities")
+    size = texts.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / PARITIES, F.sum(F.octet_length("odd")) / PARITY_BYTES)).cast("int").alias("blocks"))
+    dealt = texts.join(size, "component").join(first.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("component", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "n", "odd", "comp")
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, side = pdf.node.to_numpy(), pdf.block.to_numpy()
+        i, j, many = _near_parities(nodes, pdf.n.to_numpy(), pdf.odd.tolist(), pdf.comp.to_numpy(), side if pdf.lo.iat[0] != pdf.hi.iat[0] else None, similarity)
+        a, b = nodes[np.array(i, dtype=np.int64)], nodes[np.array(j, dtype=np.int64)]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "dense": np.full(len(a), many)})
+
+    out = written(dealt.groupBy("component", "lo", "hi").applyInPandas(near, "a long, b long, dense boolean"), "near")
+    dropped(texts)
+    return out
+
+
+def _shared(index: DataFrame, similarity: float) -> DataFrame:
+    """Rows (h, node, n, pos, comp) of shingles with several texts, read once in order of shingle and text. As pairs (a, b):
+    a shingle's least text with each that it may have the share with, if this is the first shingle in common, and is not
+    linked with. Not as pairs: the texts (a) of shingles where such a pair of other texts is left. Memory: LISTED rows
+    beside a batch."""
+    names = ["h", "node", "n", "pos", "comp"]
+
+    def may(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        rest = np.minimum(x[..., 2] - x[..., 3], y[..., 2] - y[..., 3])
+        return (rest * (1 + similarity) >= similarity * (x[..., 2] + y[..., 2]) - 1e-6) & (x[..., 4] != y[..., 4])
+
+    def frame(pair: bool, h, a, b, n, pos) -> pd.DataFrame:
+        return pd.DataFrame({"pair": np.full(len(a), pair), "h": h, "a": a, "b": b, "n": n, "pos": pos})
+
+    def stars(hub: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+        ok = may(hub, x)
+        none = np.zeros(int(ok.sum()), dtype=np.int64)
+        return frame(True, none, np.broadcast_to(hub, x.shape)[ok, 1], x[ok, 1], none, none)
+
+    def members(x: np.ndarray) -> pd.DataFrame:
+        return frame(False, x[:, 0], x[:, 1], np.zeros(len(x), dtype=np.int64), x[:, 2], x[:, 3])
+
+    def whole(x: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Of whole shingles."""
+        new = np.concatenate([[True], x[1:, 0] != x[:-1, 0]])
+        c = np.diff(np.append(np.flatnonzero(new), len(x)))
+        several = np.repeat(c > 1, c)
+        x, new, c = x[several], new[several], c[c > 1]
+        if not len(x):
+            return
+        yield stars(x[np.repeat(np.flatnonzero(new), c)], x)
+        group, left = np.cumsum(new) - 1, c > PAIRED
+        for d in range(1, int(c[~left].max(initial=0)) - 1):
+            i = np.flatnonzero((group[:-d] == group[d:]) & ~new[:-d] & ~left[group[:-d]])
+            left[group[i[may(x[i], x[i + d])]]] = True
+        yield members(x[left[group]])
+
+    @lean
+    def scan(batches):
+        tail, hub = np.zeros((0, 5), dtype=np.int64), None  # the shingle that the last batch ended in; its least text, if the others are given out
+        for b in batches:
+            x = np.concatenate([tail, b[names].to_numpy(dtype=np.int64)])
+            if not len(x):
+                continue
+            if hub is not None:
+                more = np.searchsorted(x[:, 0], hub[0], side="right")
+                yield stars(hub, x[:more])
+                yield members(x[:more])
+                x = x[more:]
+                if not len(x):
+                    continue
+                hub = None
+            at = np.searchsorted(x[:, 0], x[-1, 0])
+            if at:
+                yield from whole(x[:at])
+            tail = x[at:]
+            if len(tail) > LISTED:
+                hub = tail[0]
+                yield stars(hub, tail)
+                yield members(tail)
+                tail = tail[:0]
+        if len(tail):
+            yield from whole(tail)
+
+    dealt = index.select(names).repartition(shuffle_partitions(index.sparkSession), "h").sortWithinPartitions("h", "node")
+    return dealt.mapInPandas(scan, "pair boolean, h long, a long, b long, n long, pos long")
+
+
 def may_share(a: pd.Series, b: pd.Series, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
     """Whether sets of n and m shingles with these outlines can have the share: the sum of the smaller counts is at
     least the number that they have in common."""
@@ -334,9 +469,10 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
 
     Equal texts are one node. Candidates share a shingle of their prefixes (see shingle_prefix), so that no pair with
     the share is lost; outlines rule out most of those that lack it, and the sets themselves decide. First each shingle's
-    texts are compared with the least of them. Then those pairs that are not linked by that, and that length and place of
-    the shingle allow, are compared one by one; a shingle with many such pairs beside its texts, or with more than LISTED
-    texts, gives a spanning forest, and a group so made is compared together, in blocks."""
+    texts are compared with the least of them, where length and place of the shingle allow the share (see _shared). Then
+    those pairs that are not linked by that, and that length and place allow, are compared one by one; a shingle with many such pairs beside its texts, or with more than LISTED
+    texts, gives a spanning forest, and a group so made is compared together, in blocks: by parities, which leave few pairs,
+    and where they leave many by the sets."""
     spark = df.sparkSession
     narrow_batches(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -358,21 +494,17 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     order = np.argsort(shingle)
     held = spark.sparkContext.broadcast((shingle[order], times[order]))  # bounded by ORDERED
 
-    @F.pandas_udf("n long, sig array<long>, outline binary")
+    @F.pandas_udf("n long, sig array<long>, outline binary, odd binary")
     @lean
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = [shingle_set(x, k) for x in batch]
             sig = [shingle_prefix(s, *held.value, similarity) for s in got]
-            yield pd.DataFrame({"n": np.array([len(s) for s in got], dtype=np.int64), "sig": sig, "outline": [outline(s) for s in got]})
+            yield pd.DataFrame({"n": np.array([len(s) for s in got], dtype=np.int64), "sig": sig, "outline": [outline(s) for s in got], "odd": [parity(s) for s in got]})
 
-    nodes = written(texts.withColumn("p", signed("text")).select("node", "own", "key", "p.n", "p.sig", "p.outline"), "nodes")
+    nodes = written(texts.withColumn("p", signed("text")).select("node", "own", "key", "p.n", "p.sig", "p.outline", "p.odd"), "nodes")
     index = nodes.select("node", "n", F.posexplode("sig").alias("pos", "h"))
-    # shingles with several texts, the least of which is the hub
-    hubs = index.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub < far").select("h", "hub")
-    hubs = written(hubs, "hubs")
-    members = written(join_checked(index, hubs, "h", "inner"), "members")
-    dropped(hubs)
+    shared = written(_shared(index.withColumn("comp", F.col("node")), similarity), "shared")
 
     @F.pandas_udf("boolean")
     @lean
@@ -411,13 +543,14 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
         return out
 
     # 1: each text against the least of each of its shingles
-    tried = written(members.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "tried")
+    tried = written(shared.where("pair").select("a", "b").distinct(), "tried")
     stars = linked(tried, "stars")
     first = components(stars)
     # 2: what these links leave open
-    comp = members.join(first, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    comp = written(comp, "open")
-    several = comp.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c")).where("x < y").select("h", "c")
+    comp = join_checked(shared.where("not pair").select("h", F.col("a").alias("node"), "n", "pos"), first, "node", "left")
+    comp = written(comp.withColumn("comp", F.coalesce("component", "node")).drop("component"), "open")
+    dropped(shared)
+    several = comp.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c"), F.min("node").alias("hub")).where("x < y").select("h", "c", "hub")
     several = comp.join(several, "h")
     listed = several.where(F.col("c") <= LISTED).groupBy("h").agg(*[F.collect_list(c).alias(c) for c in ("node", "n", "pos", "comp")])
 
@@ -435,9 +568,13 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     pairs = listed.select("node", "n", "pos", "comp").mapInPandas(close, "a long, b long, dense boolean")
     crowded = several.where((F.col("c") > LISTED) & (F.col("hub") != F.col("node"))).select(F.col("hub").alias("a"), F.col("node").alias("b"), F.lit(True))
     pairs = written(pairs.union(crowded).distinct(), "pairs")
-    dropped(members)
-    found = linked(pairs.where("not dense").select("a", "b").join(tried, ["a", "b"], "left_anti"), "sparse")
-    groups = components(pairs.where("dense"))
+    dropped(comp)
+    sparse, groups = pairs.where("not dense").select("a", "b"), components(pairs.where("dense"))
+    if not groups.isEmpty():
+        # most texts of such a group share a few shingles only; parities leave those that may have the share
+        near = _by_parities(groups, first, nodes, similarity)
+        sparse, groups = sparse.union(near.where("not dense").select("a", "b")).distinct(), components(near.where("dense"))
+    found = linked(sparse.join(tried, ["a", "b"], "left_anti"), "sparse")
     links = stars.union(found)
     if not groups.isEmpty():
         links = links.union(_together(groups, first, shingles_of(groups.select("node"), "dense"), similarity))

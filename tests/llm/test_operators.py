@@ -549,6 +549,80 @@ def test_near_texts_dense(spark, monkeypatch, group, listed):
     assert got == want and 1 < len(set(want.values())) < 60
 
 
+def test_near_texts_tries_only_what_length_allows(spark, monkeypatch):
+    """Texts of far lengths that share a passage are no candidates: their outlines and sets are never joined."""
+    rows, sizes, real = [], {}, simhash.written
+    for p in range(10):
+        passage = [f"p{p}-{i}" for i in range(36)]
+        rows += [(4 * p + k, " ".join(passage + [f"t{p}-{k}-{i}" for i in range(n)])) for k, n in enumerate((4, 50, 160, 400))]
+
+    def counted(df, tag):
+        out = real(df, tag)
+        sizes[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    got = {r.id: r.component_id for r in simhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d for d, _ in rows} and sizes["tried"] == 0
+
+
+def test_long_texts_with_common_shingles_are_ruled_out_by_parities(spark, monkeypatch):
+    """Texts joined by common shingles only: their sets are not sent to blocks of all others, and near ones are linked."""
+    rnd, rows, sizes, real = random.Random(5), [], {}, simhash.written
+    common = [" ".join(f"c{i}-{j}" for j in range(5)) for i in range(40)]
+    for d in range(80):
+        rows.append((d, " ".join(x for i in range(60) for x in (rnd.choice(common), f"own{d}-{i}"))))
+    rows += [(100 + d, t.replace(f"own{d}-3 ", "")) for d, t in rows[:20]]
+    s = {d: simhash.shingle_set(t, 5) for d, t in rows}
+    want = linked(s, [(a, b) for a in s for b in s if a < b and simhash.jaccard(s[a], s[b]) >= 0.8])
+
+    def counted(df, tag):
+        out = real(df, tag)
+        sizes[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    monkeypatch.setattr(simhash, "LISTED", 3)
+    monkeypatch.setattr(simhash, "OFTEN", 1000)
+    got = {r.id: r.component_id for r in simhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 10 < sum(want[d] != d for d in want) and sizes["near"] <= 100 and not sizes.get("dense")
+
+
+def test_parities_lose_no_pair():
+    rng = np.random.default_rng(6)
+    some = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    for n in (1, 3, 60, 70, 1000, 5000):
+        x = np.unique(some(n))
+        sets = [x, *[np.unique(np.concatenate([x[: int(n * f)], some(k)])) for f, k in ((0.95, n // 20), (1, n // 5), (0.82, 0), (0.5, n // 2))], np.unique(some(n)), np.unique(some(2 * n))]
+        of, odd = np.array([len(s) for s in sets]), [simhash.parity(s) for s in sets]
+        want = {(i, j) for i in range(7) for j in range(i) if simhash.jaccard(sets[i], sets[j]) >= 0.8}
+        for side in (None, np.arange(7) % 2):
+            a, b, many = simhash._near_parities(np.arange(7), of, odd, np.arange(7), side, 0.8)
+            got = {(max(p), min(p)) for p in zip(a, b)}
+            assert not many and {p for p in want if side is None or side[p[0]] != side[p[1]]} <= got and (n < 1000 or not got & {(5, 0), (6, 0)})
+
+
+@pytest.mark.parametrize("listed", [4096, 4])
+def test_shared_shingles_lose_no_pair(spark, monkeypatch, listed):
+    """Each pair of a shingle's texts that length and place allow is tried or left with its shingle, in batches of any size."""
+    rnd = random.Random(listed)
+    n = [rnd.randint(20, 40) for _ in range(60)]
+    comp = [rnd.randrange(60) for _ in range(60)]
+    rows = [(h, d, n[d], rnd.randrange(8), comp[d]) for h in range(-20, 20) for d in rnd.sample(range(60), rnd.choice((1, 1, 2, 3, 5, 40)))]
+    monkeypatch.setattr(simhash, "LISTED", listed)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        got = simhash._shared(spark.createDataFrame(rows, "h long, node long, n long, pos long, comp long"), 0.8).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    tried, left = {(r.a, r.b) for r in got if r.pair}, Counter((r.h, r.a) for r in got if not r.pair)
+    may = lambda x, y: x[4] != y[4] and min(x[2] - x[3], y[2] - y[3]) * 1.8 >= 0.8 * (x[2] + y[2]) - 1e-6
+    pairs = [(x, y) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and may(x, y)]
+    assert pairs and all((x[1], y[1]) in tried or (left[x[0], x[1]] and left[y[0], y[1]]) for x, y in pairs)
+    assert tried <= {(x[1], y[1]) for x, y in pairs} and max(left.values()) == 1
+
+
 # -- the pipeline ---------------------------------------------------------------------------------------------------
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
