@@ -47,8 +47,16 @@ def fingerprint(text: str | None, k: int) -> int:
     begins, ends = begins[:n].tolist(), (ends[k - 1 :] if len(words) >= k else ends[-1:]).tolist()
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, n, STEP):
-        h = np.array([digest(flat[a:b], 42) for a, b in zip(begins[i : i + STEP], ends[i : i + STEP])], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += _ones(np.array([digest(flat[a:b], 42) for a, b in zip(begins[i : i + STEP], ends[i : i + STEP])], dtype="<u8"))
+    return _majority(ones, n)
+
+
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     return int(((2 * ones > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
 
 
@@ -226,6 +234,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k
 # -- near copies by the share of common shingles ----------------------------------------------------------------------
 #: Texts compared at a time within a group of candidates, and those of one shingle that are listed in one row.
 GROUP, LISTED = 512, 4096
+#: Bits that fingerprints of near texts may differ in to be found by SimHash; pairs beyond are found by shingles.
+BITS = 2
 #: Texts of a shingle that are looked at by pairs when it is first read.
 PAIRED = 32
 #: Texts, about, whose shingles are counted to put frequent ones last, how often one must be met there, and how many are
@@ -237,8 +247,8 @@ PARITIES, PARITY_BYTES = 4096, 8 << 20
 BINS = 256
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted hashes of the different k-word shingles (fewer words: the whole sequence; none: nothing)."""
+def shingle_hashes(text: str | None, k: int) -> np.ndarray:
+    """Hashes of the k-word shingles, repeats included (fewer words: the whole sequence; none: nothing)."""
     import xxhash
 
     words = (text or "").encode().lower().split()
@@ -248,7 +258,17 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends, n = np.cumsum(sizes + 1) - 1, max(1, len(words) - k + 1)
     begins, ends = (ends - sizes)[:n].tolist(), (ends[k - 1 :] if len(words) >= k else ends[-1:]).tolist()
-    return np.unique(np.fromiter((digest(flat[i:j], 7) for i, j in zip(begins, ends)), dtype=np.uint64, count=n))
+    return np.fromiter((digest(flat[i:j], 42) for i, j in zip(begins, ends)), dtype=np.uint64, count=n)
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """Sorted hashes of the different k-word shingles."""
+    return np.unique(shingle_hashes(text, k))
+
+
+def print_of(h: np.ndarray) -> int:
+    """The fingerprint of a text with these shingle hashes."""
+    return _majority(sum((_ones(h[i : i + STEP]) for i in range(0, len(h), STEP)), np.zeros(64, dtype=np.int64)), len(h))
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -467,9 +487,10 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     """(id, key, component_id, group) per row: groups of texts linked by a share of at least `similarity` of their k-word
     shingles (as sets); key is the text's SHA-256, component_id the least id of the group, group a number of its own.
 
-    Equal texts are one node. Candidates share a shingle of their prefixes (see shingle_prefix), so that no pair with
-    the share is lost; outlines rule out most of those that lack it, and the sets themselves decide. First each shingle's
-    texts are compared with the least of them, where length and place of the shingle allow the share (see _shared). Then
+    Equal texts are one node. SimHash comes first: texts whose fingerprints are equal or linked within BITS bits are
+    candidates. As fingerprints lose pairs, all others with the share are found from shingles of their prefixes (see
+    shingle_prefix), one of which every such pair has in common. Outlines rule out most candidates that lack the share, and
+    the sets themselves decide. Of texts that SimHash leaves apart, first each shingle's are compared with the least of them, where length and place of the shingle allow the share (see _shared). Then
     those pairs that are not linked by that, and that length and place allow, are compared one by one; a shingle with many such pairs beside its texts, or with more than LISTED
     texts, gives a spanning forest, and a group so made is compared together, in blocks: by parities, which leave few pairs,
     and where they leave many by the sets."""
@@ -494,18 +515,19 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     order = np.argsort(shingle)
     held = spark.sparkContext.broadcast((shingle[order], times[order]))  # bounded by ORDERED
 
-    @F.pandas_udf("n long, sig array<long>, outline binary, odd binary")
+    @F.pandas_udf("n long, sig array<long>, outline binary, odd binary, fp long")
     @lean
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [shingle_set(x, k) for x in batch]
+            fps, got = [], []
+            for x in batch:
+                h = shingle_hashes(x, k)
+                fps.append(print_of(h))
+                got.append(np.unique(h))
             sig = [shingle_prefix(s, *held.value, similarity) for s in got]
-            yield pd.DataFrame({"n": np.array([len(s) for s in got], dtype=np.int64), "sig": sig, "outline": [outline(s) for s in got], "odd": [parity(s) for s in got]})
-
-    nodes = written(texts.withColumn("p", signed("text")).select("node", "own", "key", "p.n", "p.sig", "p.outline", "p.odd"), "nodes")
-    index = nodes.select("node", "n", F.posexplode("sig").alias("pos", "h"))
-    shared = written(_shared(index.withColumn("comp", F.col("node")), similarity), "shared")
+            yield pd.DataFrame({"n": np.array([len(s) for s in got], dtype=np.int64), "sig": sig, "outline": [outline(s) for s in got], "odd": [parity(s) for s in got], "fp": np.array(fps, dtype=np.uint64).astype(np.int64)})
 
+    nodes = written(texts.withColumn("p", signed("text")).select("node", "own", "key", "p.n", "p.sig", "p.outline", "p.odd", "p.fp"), "nodes")
     @F.pandas_udf("boolean")
     @lean
     def may(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -542,11 +564,22 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
         dropped(maybe)
         return out
 
-    # 1: each text against the least of each of its shingles
+    # 1: SimHash: fingerprints that are equal or within BITS bits
+    prints = written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "prints")
+    within = link(prints, BITS)
+    equal = nodes.select("fp", F.col("node").alias("b")).join(prints.withColumnRenamed("node", "a"), "fp").where("a <> b").select("a", "b")
+    alike = linked(within.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(equal).distinct(), "simhash")
+    dropped(within)
+    dropped(prints)
+    known = components(alike)
+    # 2: of texts not linked by that, each against the least of each of its shingles
+    named = join_checked(nodes.select("node", "n", "sig"), known, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    index = named.select("node", "n", "comp", F.posexplode("sig").alias("pos", "h"))
+    shared = written(_shared(index, similarity), "shared")
     tried = written(shared.where("pair").select("a", "b").distinct(), "tried")
-    stars = linked(tried, "stars")
+    stars = alike.union(linked(tried, "stars"))
     first = components(stars)
-    # 2: what these links leave open
+    # 3: what these links leave open
     comp = join_checked(shared.where("not pair").select("h", F.col("a").alias("node"), "n", "pos"), first, "node", "left")
     comp = written(comp.withColumn("comp", F.coalesce("component", "node")).drop("component"), "open")
     dropped(shared)

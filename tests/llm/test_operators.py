@@ -602,6 +602,21 @@ def test_parities_lose_no_pair():
             assert not many and {p for p in want if side is None or side[p[0]] != side[p[1]]} <= got and (n < 1000 or not got & {(5, 0), (6, 0)})
 
 
+def test_near_texts_by_simhash(spark, monkeypatch):
+    """Texts within two bits are found by fingerprints, without the shingles of prefixes; the step links no others."""
+    rnd, rows = random.Random(3), []
+    for i in range(12):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(400)]
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join([*words, "tail"])), (10 * i + 2, " ".join(["head", *words]))]
+    s, fp = {d: simhash.shingle_set(t, 5) for d, t in rows}, {d: slow_print(t, 5) for d, t in rows}
+    assert all(simhash.print_of(simhash.shingle_hashes(t, 5)) == fp[d] for d, t in rows)
+    near = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 2 and simhash.jaccard(s[a], s[b]) >= 0.8]
+    want = linked(fp, near)
+    monkeypatch.setattr(simhash, "_shared", lambda index, _: spark.createDataFrame([], "pair boolean, h long, a long, b long, n long, pos long"))
+    got = {r.id: r.component_id for r in simhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and sum(want[d] != d for d in want) > 5
+
+
 @pytest.mark.parametrize("listed", [4096, 4])
 def test_shared_shingles_lose_no_pair(spark, monkeypatch, listed):
     """Each pair of a shingle's texts that length and place allow is tried or left with its shingle, in batches of any size."""
