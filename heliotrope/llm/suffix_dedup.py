@@ -24,6 +24,7 @@ deduplicated() untouched, those that have the name of a result under that name w
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -428,8 +429,9 @@ def repeats(texts: DataFrame, length: int, k: int) -> DataFrame:
     return out
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 100, k: int = K) -> DataFrame:
-    """df with n_bytes, n_removed, n_spans and kept (binary): what is left of each text."""
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 100, k: int = K, decoded: bool = False) -> DataFrame:
+    """df with n_bytes, n_removed, n_spans and kept (binary): what is left of each text. decoded: kept is a text, without
+    what is left of characters that were cut."""
     if not 0 < k <= length:
         raise ValueError("k must lie in 1..length")
     narrow_batches(df.sparkSession)
@@ -472,29 +474,30 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text: str = "text", leng
     else:
         work = spans.withColumn("copy", F.lit(False)).unionByName(copies.select(F.col("id").alias("place"), F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), F.lit(True).alias("copy")))
         joined = rows.join(work, F.col(id_).cast("long") == F.col("place"), "left")
-    out = joined.select(*names, _cut(length)(F.coalesce(F.col(text_), F.lit("")), "spans", F.coalesce("copy", F.lit(False))).alias("_out"))
+    out = joined.select(*names, _cut(length, decoded)(F.coalesce(F.col(text_), F.lit("")), "spans", F.coalesce("copy", F.lit(False))).alias("_out"))
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, ends)], *[f"_out.{r}" for r in results])
 
 
-def _cut(length: int):
+def _cut(length: int, decoded: bool):
     """What is left of a text without the bytes that its repeated windows cover."""
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
-    def cut(text: pd.Series, spans: pd.Series, copy: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, s, c in zip(text, spans, copy):
-            t = t.encode()
-            if c and len(t) >= length:
-                rows.append((len(t), len(t), 1, b""))
-            elif s is None or not len(s):
-                rows.append((len(t), 0, 0, t))
-            else:
-                a = np.array([r["lo"] for r in s]), np.array([r["hi"] for r in s]) + length
-                edge = np.bincount(a[0], minlength=len(t) + 1) - np.bincount(a[1], minlength=len(t) + 1)
-                gone = np.cumsum(edge[: len(t)]) > 0
-                runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                rows.append((len(t), int(gone.sum()), runs, np.frombuffer(t, dtype=np.uint8)[~gone].tobytes()))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
+    def left(t: bytes, s, c: bool) -> tuple[int, int, int, bytes]:
+        if c and len(t) >= length:
+            return len(t), len(t), 1, b""
+        if s is None or not len(s):
+            return len(t), 0, 0, t
+        a = np.array([r["lo"] for r in s]), np.array([r["hi"] for r in s]) + length
+        edge = np.bincount(a[0], minlength=len(t) + 1) - np.bincount(a[1], minlength=len(t) + 1)
+        gone = np.cumsum(edge[: len(t)]) > 0
+        runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+        return len(t), int(gone.sum()), runs, np.frombuffer(t, dtype=np.uint8)[~gone].tobytes()
+
+    @F.pandas_udf(f"n_bytes long, n_removed long, n_spans long, kept {'string' if decoded else 'binary'}")
+    @lean
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text, spans, copy in batches:
+            out = pd.DataFrame([left(t.encode(), s, c) for t, s, c in zip(text, spans, copy)], columns=["n_bytes", "n_removed", "n_spans", "kept"])
+            yield out.assign(kept=[b.decode("utf-8", "ignore") for b in out.kept]) if decoded else out
 
     return cut
 

@@ -653,6 +653,16 @@ def test_pipeline(spark, sf):
     assert all(f(spark, empty, sf).count() == 0 for _, f in p.STAGES)
 
 
+def test_pipeline_cuts_repeats_with_one_python_worker_a_task(spark, sf):
+    """A second function behind the first would keep two workers beside the executor for each core."""
+    import corpus_pipeline as p
+
+    out = p.drop_repeats(spark, spark.createDataFrame([(1, "é" * 80, "en", "x", 0), (2, "a" + "é" * 80 + "b", "en", "x", 0)], "doc_id long, text string, lang string, source string, n_chars long"), sf)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    want = repeats_of([(1, "é" * 80), (2, "a" + "é" * 80 + "b")], 100)
+    assert {r.doc_id: r.text for r in out.collect()} == {i: k.decode("utf-8", "ignore") for i, _, _, _, k in want}
+
+
 def test_pipeline_stages_odd_rows(spark, sf, odd):
     """Null ids, texts and sources, repeated rows and ids, extra columns: what each stage's docstring says."""
     import corpus_pipeline as p
