@@ -136,10 +136,9 @@ class Pipelines:
             return self._near_traces(df, window)
         if words[:1] != ["logs"]:
             raise PipelineError("correlate takes traces or logs")
-        logs = all_rows(self.logs).select(F.element_at("resource", F.lit("service.name")).alias("service"), F.col("ts_ns").alias("timestamp_ns"), F.col("severity_number").alias("_n"), F.lit(1).alias("_log"))
-        near = lambda f, c: f(c).over(_around(window))
-        out = _beside(df, logs, window).withColumn("correlated_log_count", near(F.count, "_log")).withColumn("correlated_max_severity_number", near(F.max, "_n"))
-        return out.where("_log is null").select(*df.columns, "correlated_log_count", "correlated_max_severity_number")
+        logs = all_rows(self.logs).select(F.element_at("resource", F.lit("service.name")).alias("service"), F.col("ts_ns").alias("timestamp_ns"), F.col("severity_number").alias("_v"))
+        out = _around(df, logs, window)
+        return out.select(*df.columns, F.col("_c").alias("correlated_log_count"), F.col("_m").alias("correlated_max_severity_number"))
 
     def _near_traces(self, df: DataFrame, window: int) -> DataFrame:
         """Services, number of spans and longest span of each row's trace; a row whose trace has no span gets those of the
@@ -150,27 +149,29 @@ class Pipelines:
         per = spans.groupBy("trace_id").agg(F.sort_array(F.collect_set("service")).alias(cols[0]), F.count(F.lit(1)).alias(cols[1]), F.max(took).alias(cols[2]))
         met = df.join(per, "trace_id", "left").select(*df.columns, *cols)
         alone = met.where(F.col(cols[1]).isNull()).drop(*cols)
-        other = spans.select("service", F.col("start_ns").alias("timestamp_ns"), took.alias("_ms"), F.lit(1).alias("_log"))
-        w = _around(window)
-        near = _beside(alone, other, window).withColumn("_c", F.count("_log").over(w)).withColumn("_d", F.max("_ms").over(w)).where("_log is null")
-        some = F.col("_c") > 0
-        near = near.select(*df.columns, F.when(some, F.array("service")).alias(cols[0]), F.when(some, F.col("_c")).alias(cols[1]), F.col("_d").alias(cols[2]))
+        other = spans.select("service", F.col("start_ns").alias("timestamp_ns"), took.alias("_v"))
+        near, some = _around(alone, other, window), F.col("_c") > 0
+        near = near.select(*df.columns, F.when(some, F.array("service")).alias(cols[0]), F.when(some, F.col("_c")).alias(cols[1]), F.col("_m").alias(cols[2]))
         return met.where(F.col(cols[1]).isNotNull()).unionByName(near)
 
 
-#: Windows in a slice of a service's time line, so that no service is one task; rows near an edge are in two slices.
-SLICE = 64
-
-
-def _beside(rows: DataFrame, others: DataFrame, window: int) -> DataFrame:
-    """rows and others (service, timestamp_ns, ...; their _log is set) in one table, others in each slice (_s) that a row
-    within the window of them may be in. No pairs are made: counts are ranges of a sorted slice."""
-    size = window * SLICE
-    slice_of = lambda t: F.call_function("div", t - F.pmod(t, F.lit(size)), F.lit(size))
-    t = F.col("timestamp_ns")
-    there = others.withColumn("_s", F.explode(F.array_distinct(F.array(slice_of(t - window), slice_of(t + window)))))
-    return rows.withColumn("_s", slice_of(t)).unionByName(there, allowMissingColumns=True)
-
-
-def _around(window: int):
-    return Window.partitionBy("service", "_s").orderBy("timestamp_ns").rangeBetween(-window, window)
+def _around(rows: DataFrame, others: DataFrame, window: int) -> DataFrame:
+    """rows with the number _c and the largest value _m of the others (service, timestamp_ns, _v) of their service within the
+    window. A service's time line is cut into cells as long as a whole window, so that each window is the end of one cell
+    and the begin of the next, or one cell: counts and maxima run along sorted cells, from either end. No pairs are made,
+    and no window is read anew."""
+    size, t = 2 * window + 1, F.col("timestamp_ns")
+    there = others.withColumn("_at", t).withColumn("_other", F.lit(1))
+
+    def running(df: DataFrame, at, order, count: str, most: str) -> DataFrame:
+        both = df.withColumn("_at", at).unionByName(there, allowMissingColumns=True)
+        both = both.withColumn("_cell", F.call_function("div", F.col("_at") - F.pmod("_at", F.lit(size)), F.lit(size)))
+        # rows of equal times are peers
+        w = Window.partitionBy("service", "_cell").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        both = both.withColumn(count, F.count("_other").over(w)).withColumn(most, F.max("_v").over(w))
+        return both.where("_other is null").select(*df.columns, count, most)
+
+    out = running(rows, t + window, F.col("_at"), "_c", "_m")
+    out = running(out, t - window, F.col("_at").desc(), "_c0", "_m0")
+    whole = F.pmod(t - window, F.lit(size)) == 0
+    return out.withColumn("_c", F.col("_c") + F.when(whole, 0).otherwise(F.col("_c0"))).withColumn("_m", F.greatest("_m", "_m0")).drop("_c0", "_m0")

@@ -1,6 +1,7 @@
 """The core queries against their SQL, and the languages' readings on small fixtures."""
 
 import math
+import re
 from pathlib import Path
 
 import duckdb
@@ -292,3 +293,21 @@ def test_selectors_of_logs(spark):
     assert hit('{k="a\\"b", service=~"s|t"}') and not hit('{service=~"x"}') and hit('{gone=""}') and hit("{}") and not hit('{service!~"s"}')
     with pytest.raises(search.SearchError):
         hit('{k=5}')
+
+
+def test_correlation_counts_run_along_cells(spark, sf):
+    """Counts and maxima equal pairs, at the very ends of windows and of cells too, and no window frame slides."""
+    from heliotrope.plans.pipeline import _around
+
+    plan = _plan_text(queries.QUERIES["pipeline_correlate_logs"](spark, sf))
+    frames = re.findall(r"RangeFrame, (\S+), (\S+)\)", plan)
+    assert frames and {f[0] for f in frames} == {"unboundedpreceding$()"} and all(f[1].startswith("currentrow$()") for f in frames), frames
+    rows = [("a", t) for t in range(-25, 40)] + [("b", 0), ("none", 3), ("a", 7)]
+    others = [("a", t * t % 37 - 18, t % 5) for t in range(30)] + [("a", 7, 9), ("a", 7, None), ("b", 5, 1), ("b", -5, 2), ("b", 6, 8)]
+    got = _around(spark.createDataFrame(rows, "service string, timestamp_ns long"), spark.createDataFrame(others, "service string, timestamp_ns long, _v int"), 5).collect()
+    want = []
+    for s, t in rows:
+        near = [v for o, u, v in others if o == s and abs(u - t) <= 5]
+        want.append((s, t, len(near), max((v for v in near if v is not None), default=None)))
+    key = lambda r: (r[0], r[1])
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
