@@ -213,9 +213,8 @@ class Engine:
             return self._binary(node, g)
         raise ParseError("a text is no query")
 
-    def _series(self, s: Selector, first: int, last: int, by_time: int = 0) -> DataFrame:
-        """(lkey, ts_ns, value): samples of a selector in [first, last], one per series and time (the largest of equal
-        times); dealt out by series, or by series and spans of by_time ns where no step looks at more."""
+    def _selected(self, s: Selector, first: int, last: int) -> DataFrame:
+        """(lkey, ts_ns, value): samples of a selector in [first, last]."""
         df = between(self.samples, first, last)
         if s.name:
             df = df.where(F.col("metric_name") == s.name)
@@ -226,8 +225,12 @@ class Engine:
             key = label_key(F.map_concat(drop(F.col("labels"), []), F.create_map(F.lit("__name__"), F.col("metric_name"))))
         else:
             key = F.col("lkey") if "lkey" in df.columns else label_key(F.col("labels"))
-        df = df.select(key.alias("lkey"), "ts_ns", "value")
-        parts = ["lkey"]
+        return df.select(key.alias("lkey"), "ts_ns", "value")
+
+    def _series(self, s: Selector, first: int, last: int, by_time: int = 0) -> DataFrame:
+        """_selected(), of a series and time one (the largest of equal times); dealt out by series, or by series and spans of
+        by_time ns where no step looks at more."""
+        df, parts = self._selected(s, first, last), ["lkey"]
         if by_time:
             df, parts = df.withColumn("_span", _floor_div(F.col("ts_ns"), by_time)), ["lkey", "_span"]
         # of equal times the last in order of value stays, by a sort that the windows over changes need anyway
@@ -236,11 +239,14 @@ class Engine:
         return df.where("_next is null or _next > ts_ns").select("lkey", "ts_ns", "value")
 
     def _instant(self, s: Selector, g: Grid) -> DataFrame:
-        t = F.col("ts_ns") + s.offset
-        df = self._series(s, g.start - s.offset - self.lookback, g.end - 1 - s.offset)
-        nxt = F.lead("ts_ns").over(Window.partitionBy("lkey").orderBy("ts_ns", "value")) + s.offset
+        """Of a series' samples with the same first step only the last (of equal times the largest) can be the last at any
+        step: they become one row where they are read, and the window is over these rows."""
+        df = self._selected(s, g.start - s.offset - self.lookback, g.end - 1 - s.offset)
+        cells = df.groupBy("lkey", up(F.col("ts_ns") + s.offset, g).alias("low")).agg(F.max(F.struct("ts_ns", "value")).alias("x"))
+        df, t = cells.select("lkey", "low", "x.ts_ns", "x.value"), F.col("ts_ns") + s.offset
+        nxt = F.lead("ts_ns").over(Window.partitionBy("lkey").orderBy("ts_ns")) + s.offset
         last = F.least(F.coalesce(nxt - 1, t + self.lookback), t + self.lookback)
-        df = df.withColumn("low", up(t, g)).withColumn("high", down(last, g))
+        df = df.withColumn("high", down(last, g))
         df = df.where("low <= high").withColumn("k", F.explode(F.sequence("low", "high")))
         return df.select((F.lit(g.start) + F.col("k") * g.step).alias("step_ts"), read_key(F.col("lkey")).alias("labels"), "lkey", "value")
 
@@ -461,8 +467,10 @@ class Engine:
         return isinstance(node, Number)
 
     def _binary(self, b: Binary, g: Grid):
+        if b.op == "or":
+            return self._either(b, g)
         left, right = self.eval(b.left, g), self.eval(b.right, g)
-        if b.op in ("and", "or", "unless"):
+        if b.op in ("and", "unless"):
             if self._is_scalar(b.left) or self._is_scalar(b.right):
                 raise ParseError("set operators need vectors")
             return self._set(b, left, right)
@@ -509,10 +517,18 @@ class Engine:
         j = j.where(cond) if cond is not None else j
         return j.withColumn("value", value).withColumn("lkey", label_key(F.col("labels"))).select(*cols)
 
+    def _either(self, b: Binary, g: Grid) -> DataFrame:
+        """a or b or ...: at each step and label set the rows of the first vector that has it; each vector is evaluated once."""
+        of = lambda x: [*of(x.left), *of(x.right)] if isinstance(x, Binary) and x.op == "or" else [x]
+        if any(self._is_scalar(x) for x in of(b)):
+            raise ParseError("set operators need vectors")
+        cols = ["step_ts", "labels", "lkey", "value"]
+        parts = [self.eval(x, g).select(*cols, F.lit(i).alias("_nth")) for i, x in enumerate(of(b))]
+        first = F.min("_nth").over(Window.partitionBy("step_ts", "lkey"))
+        return reduce(DataFrame.union, parts).withColumn("_first", first).where("_nth = _first").select(*cols)
+
     def _set(self, b: Binary, left: DataFrame, right: DataFrame) -> DataFrame:
         cols, key = ["step_ts", "labels", "lkey", "value"], ["step_ts", "lkey"]
-        if b.op == "or":
-            return left.select(*cols).union(right.join(left.select(*key), key, "left_anti").select(*cols))
         return left.join(right.select(*key), key, "left_semi" if b.op == "and" else "left_anti").select(*cols)
 
 

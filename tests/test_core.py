@@ -311,3 +311,15 @@ def test_correlation_counts_run_along_cells(spark, sf):
         want.append((s, t, len(near), max((v for v in near if v is not None), default=None)))
     key = lambda r: (r[0], r[1])
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_or_reads_each_vector_once(spark, sf):
+    """A chain of `or` scans as often as it has vectors, and samples fold into one a series and step before any is dealt out."""
+    plan = _plan_text(queries.QUERIES["promql_histogram_quantile_5"](spark, sf))
+    assert plan.count("FileScan") == 4 and "LeftAnti" not in plan
+    one = _plan_text(Engine(queries.event_samples(spark, sf), 6 * queries.HOUR).query_range("event_value", queries.START, queries.END, queries.STEP))
+    assert "max(struct" in one.split("Exchange")[-1].lower()  # the part of the plan that reads
+    rows = [(m, {"s": s}, t * S, v) for m, s, t, v in [("a", "x", 10, 1.0), ("a", "x", 10, 3.0), ("a", "x", 9, 8.0), ("a", "x", 61, 4.0), ("b", "x", 50, 5.0), ("b", "y", 50, 6.0), ("c", "y", 55, 7.0), ("c", "z", 55, 2.0), ("c", "x", 115, 9.0)]]
+    e = Engine(spark.createDataFrame(rows, "metric_name string, labels map<string,string>, ts_ns long, value double"), 60 * S)
+    got = sorted((r.step_ts // S, r.labels["s"], r.value) for r in e.query_range("a or b or (c or a)", 60 * S, 240 * S, 60 * S).collect())
+    assert got == [(60, "x", 3.0), (60, "y", 6.0), (60, "z", 2.0), (120, "x", 4.0)]
