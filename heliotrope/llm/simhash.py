@@ -295,10 +295,15 @@ def _candidates(nodes: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndar
     """Pairs of a shingle's texts (places) that are not linked yet and may have the share if this is the first shingle
     that they have in common; of many pairs a spanning forest, and True."""
     rest, a, b, forest, total = n - pos, [], [], ([], []), 0
-    label = np.arange(len(nodes))
+    label, parts = np.arange(len(nodes)), len(nodes)
     for i in range(len(nodes) - 1):
         both = np.minimum(rest[i + 1 :], rest[i])
-        j = np.flatnonzero((both * (1 + similarity) >= similarity * (n[i + 1 :] + n[i]) - 1e-6) & (comp[i + 1 :] != comp[i])) + i + 1
+        fits = (both * (1 + similarity) >= similarity * (n[i + 1 :] + n[i]) - 1e-6) & (comp[i + 1 :] != comp[i])
+        if total > 4 * len(nodes):  # many: from here on only texts that the forest does not join yet count
+            if parts == 1:
+                break
+            fits &= label[i + 1 :] != label[i]
+        j = np.flatnonzero(fits) + i + 1
         if not len(j):
             continue
         total += len(j)
@@ -311,6 +316,7 @@ def _candidates(nodes: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndar
             forest[0].extend([i] * int(new.sum()))
             forest[1].extend(j[at[new]].tolist())
             label[np.isin(label, others[new])] = label[i]
+            parts -= int(new.sum())
     return (*forest, True) if total > 4 * len(nodes) else (a, b, False)
 
 
@@ -331,7 +337,7 @@ def parity(s: np.ndarray) -> bytes:
 def _near_parities(nodes: np.ndarray, n: np.ndarray, odd: list[bytes], comp: np.ndarray, side: np.ndarray | None, similarity: float) -> tuple[list[int], list[int], bool]:
     """Pairs of texts (places) that are not linked yet and may have the share, by their numbers of shingles and parities; of
     many pairs a spanning forest, and True. side: only pairs of texts of different sides."""
-    a, b, forest, total, label = [], [], ([], []), 0, np.arange(len(nodes))
+    a, b, forest, total, label, parts = [], [], ([], []), 0, np.arange(len(nodes)), len(nodes)
     sizes = np.array([len(o) for o in odd])
     of = {m: np.flatnonzero(sizes == m) for m in np.unique(sizes).tolist()}
     bits = {m: np.frombuffer(b"".join([odd[k] for k in v.tolist()]), dtype=np.uint64).reshape(len(v), -1) for m, v in of.items()}
@@ -346,6 +352,10 @@ def _near_parities(nodes: np.ndarray, n: np.ndarray, odd: list[bytes], comp: np.
             fits = (np.minimum(n[j], n[i]) >= similarity * np.maximum(n[j], n[i]) - 1e-6) & (comp[j] != comp[i])
             if side is not None:
                 fits &= side[j] != side[i]
+            if total > 4 * len(nodes):  # as in _candidates
+                if parts == 1:
+                    break
+                fits &= label[j] != label[i]
             j, x = j[fits], x[fits]
             j = j[np.bitwise_count(x ^ rows[k]).sum(axis=1, dtype=np.int64) * (1 + similarity) <= (n[j] + n[i]) * (1 - similarity) + 1e-6]
             if not len(j):
@@ -360,6 +370,7 @@ def _near_parities(nodes: np.ndarray, n: np.ndarray, odd: list[bytes], comp: np.
                 forest[0].extend([i] * int(new.sum()))
                 forest[1].extend(j[at[new]].tolist())
                 label[np.isin(label, others[new])] = label[i]
+                parts -= int(new.sum())
     return (*forest, True) if total > 4 * len(nodes) else (a, b, False)
 
 

@@ -742,3 +742,16 @@ def test_no_more_operators_and_clean_imports():
     for f in root.rglob("*.py"):
         if os.sep + "llm" + os.sep not in str(f):
             assert not re.search(r"\bllm\b", f.read_text()), f
+
+
+def test_dense_shingle_stops_once_joined(monkeypatch):
+    """A shingle whose texts all may have the share gives a forest of them without looking at every pair."""
+    import numpy as np
+
+    from heliotrope.llm import simhash
+
+    c, looks, places = 2000, [], np.flatnonzero
+    monkeypatch.setattr(simhash.np, "flatnonzero", lambda a: looks.append(1) or places(a))
+    a, b, many = simhash._candidates(np.arange(c), np.full(c, 20), np.zeros(c, dtype=np.int64), np.arange(c), 0.8)
+    assert many and len(a) == c - 1 and {*a, *b} == set(range(c))
+    assert len(looks) < 20
